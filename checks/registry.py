@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import text_queries
+from checks import metric_queries, text_queries
 
-AREAS = [text_queries]
+AREAS = [text_queries, metric_queries]
 
 
 def queries():
