@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    # Wide nested expressions: skip recording a Python call site per expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

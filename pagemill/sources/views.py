@@ -140,3 +140,36 @@ def part_links(spark: SparkSession, folder: str) -> DataFrame:
         F.col("k").alias("src"),
         F.posexplode(F.array((F.col("k") * 7 + 1) % n, (F.col("k") * 3 + 2) % n)).alias("link_seq", "dst"),
     )
+
+
+def catalog_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """A product page per part: metadata, media, tables and nested lists that ``pages`` lacks."""
+    c = lambda name: F.col(name).cast("string")
+    key, size, name, brand, kind = c("p_partkey"), c("p_size"), c("p_name"), c("p_brand"), c("p_type")
+    pieces = [
+        '<html lang="en"><head><title> ', name, ' </title><meta name="description" content="', kind, ' item">',
+        '<meta name="Keywords" content="first"><meta name="keywords" content="', brand, '">',
+        '<meta property="og:title" content="', name, '"><meta property="og:type" content="product">',
+        '<meta name="twitter:card" content="summary"><meta name="twitter:site" content="', brand, '">',
+        '<meta http-equiv="Content-Type" content="text/html; charset=iso-8859-1">',
+        '<meta name="viewport" content="width=device-width"><meta name="robots" content="index">',
+        '<link rel="canonical" href="https://shop.example/p/', key, '"><link rel="shortcut icon" href="/icons/', size, '.ico">',
+        '<script type="application/ld+json">{"sku": ', key, ', "size": ', size, "}</script>",
+        F.when(F.col("p_size") % 3 == 0, '<script type="application/ld+json">{broken</script>').otherwise(""),
+        '</head><body><header><a href="/home">Home</a></header><h2>Offer ', brand, "</h2><h1>", name, " by ", brand, "</h1>",
+        "<p>The ", name, " is a ", kind, " part of size ", size, " made by ", brand, ".</p><p>Short.</p>",
+        "<table><tr><th>Brand</th><td>", brand, "</td></tr><tr></tr><tr><td>Size ", size, "</td><td></td></tr></table>",
+        "<table><tr></tr></table><ul><li>", kind, "<ol><li>size ", size, "</li><li> </li></ol></li></ul>",
+        '<img src="img/', key, '.jpg" alt="', name, '" width="', size, '"><img src="/abs.png" loading="lazy"><img src=" ">',
+        '<video controls poster="/p.png"><source src="v/', key, '.mp4" type="video/mp4"><source src=""></video>',
+        '<video autoplay></video><a href="../list?page=', size, '#x" rel="nofollow next">All parts</a>',
+        '<a href="HTTPS://WWW.Vendor', size, '.example/a/" title="Vendor">Vendor guide</a>',
+        '<a href="https://vendor', size, '.example/a">Same vendor</a><a href="mailto:x@shop.example">Mail</a>',
+        '<a href="#top">Top</a><footer>&copy; 2024 shop</footer></body></html>',
+    ]
+    html = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces])
+    url = F.concat(F.lit("https://www.Shop.example/items/"), key, F.lit(".html"))
+    server = F.create_map(F.lit("server"), brand, F.lit("content-type"), F.lit("text/html"))
+    return table(spark, folder, "part").select(
+        F.col("p_partkey").alias("page_id"), url.alias("url"), server.alias("headers"), html.alias("html")
+    )
