@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import metric_queries, page_queries, text_queries
+from checks import insight_queries, metric_queries, page_queries, text_queries
 
-AREAS = [text_queries, metric_queries, page_queries]
+AREAS = [text_queries, metric_queries, page_queries, insight_queries]
 
 
 def queries():
