@@ -321,7 +321,7 @@ CATALOG_SOURCE = """
 SQL_CATALOG_LINKS = """
     lk AS (
       SELECT p_brand AS brand, p_partkey AS page_id, 0 AS pos, 'https://www.Shop.example/home' AS url, 'home' AS text FROM part
-      UNION ALL SELECT p_brand, p_partkey, 1, 'https://vendor' || p_size || '.example/a', 'same vendor' FROM part
+      UNION ALL SELECT p_brand, p_partkey, 1, 'https://vendor' || p_size || '.example/a', p_name || [' part guide', ' click here for more', ' offer'][p_size % 3 + 1] FROM part
     ),
     fl AS (SELECT *, regexp_extract(url, '://([^/]*)', 1) AS domain, row_number() OVER (PARTITION BY brand, regexp_extract(url, '://([^/]*)', 1) ORDER BY page_id, pos) AS nth
            FROM lk QUALIFY nth = 1)"""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import insight_queries, metric_queries, page_queries, text_queries
+from checks import insight_queries, io_queries, metric_queries, page_queries, text_queries
 
-AREAS = [text_queries, metric_queries, page_queries, insight_queries]
+AREAS = [text_queries, metric_queries, page_queries, insight_queries, io_queries]
 
 
 def queries():

@@ -58,20 +58,28 @@ def analyse(df: DataFrame, text: str = "text", as_of: Column | None = None) -> D
     return base.withColumns(columns).drop("_ranked", "_lower", "_short")
 
 
-def mark_duplicates(df: DataFrame, key: str, text: str = "text", first_seen: str | None = None) -> DataFrame:
+def mark_duplicates(
+    df: DataFrame, key: str, text: str = "text", first_seen: str | None = None, seen: DataFrame | None = None
+) -> DataFrame:
     """Flag every text that an earlier row (by ``key``) already had.
 
-    Only (key, hash) is shuffled. The text is read and hashed once; a hash shared by
-    a third of the corpus is counted map-side and joined back over salted tasks.
+    ``seen`` (text_hash, first_key, first_seen) holds texts known from before. Only
+    (key, hash) is shuffled. The text is read and hashed once; a hash shared by a third
+    of the corpus is counted map-side and joined back over salted tasks.
     """
-    seen = F.col(first_seen) if first_seen else F.col(key)
-    hashed = materialize(df.select(F.col(key), F.md5(F.col(text)).alias("text_hash"), seen.alias("_seen")), "hashes")
+    at = F.col(first_seen) if first_seen else F.col(key)
+    hashed = materialize(df.select(F.col(key), F.md5(F.col(text)).alias("text_hash"), at.alias("_seen")), "hashes")
     firsts = hashed.groupBy("text_hash").agg(
         F.min_by(F.struct(F.col(key).alias("first_key"), F.col("_seen").alias("first_seen")), F.col(key)).alias("_first"),
         F.count("*").alias("copies"),
     )
+    known = F.lit(False)
+    if seen is not None:
+        before = seen.select("text_hash", F.struct("first_key", "first_seen").alias("_before"))
+        firsts = firsts.join(before, "text_hash", "left").withColumn("_first", F.coalesce("_before", "_first"))
+        known = F.col("_before").isNotNull()
     joined = join_on_hot_key(hashed, firsts, "text_hash", "copies", key)
-    later = F.col(key) != F.col("_first.first_key")
+    later = known | (F.col(key) != F.col("_first.first_key"))
     return joined.select(
         key,
         "text_hash",

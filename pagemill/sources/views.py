@@ -146,6 +146,8 @@ def catalog_pages(spark: SparkSession, folder: str) -> DataFrame:
     """A product page per part: metadata, media, tables and nested lists that ``pages`` lacks."""
     c = lambda name: F.col(name).cast("string")
     key, size, name, brand, kind = c("p_partkey"), c("p_size"), c("p_name"), c("p_brand"), c("p_type")
+    kind_of_link = F.col("p_size") % 3
+    link_text = F.when(kind_of_link == 0, " part guide").when(kind_of_link == 1, " click here for more").otherwise(" offer")
     pieces = [
         '<html lang="en"><head><title> ', name, ' </title><meta name="description" content="', kind, ' item">',
         '<meta name="Keywords" content="first"><meta name="keywords" content="', brand, '">',
@@ -164,7 +166,7 @@ def catalog_pages(spark: SparkSession, folder: str) -> DataFrame:
         '<video controls poster="/p.png"><source src="v/', key, '.mp4" type="video/mp4"><source src=""></video>',
         '<video autoplay></video><a href="../list?page=', size, '#x" rel="nofollow next">All parts</a>',
         '<a href="HTTPS://WWW.Vendor', size, '.example/a/" title="Vendor">Vendor guide</a>',
-        '<a href="https://vendor', size, '.example/a">Same vendor</a><a href="mailto:x@shop.example">Mail</a>',
+        '<a href="https://vendor', size, '.example/a">', name, link_text, '</a><a href="mailto:x@shop.example">Mail</a>',
         '<a href="#top">Top</a><footer>&copy; 2024 shop</footer></body></html>',
     ]
     html = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces])
