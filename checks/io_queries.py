@@ -144,8 +144,13 @@ def status_writeback(spark, folder):
 # --- streams -----------------------------------------------------------------
 
 
+def table_stream(spark, folder, name, schema):
+    """A table as a stream, whether it is one file or a folder of files (hence the glob)."""
+    return flows.read_folder(spark, f"{folder}/{name}.parque[t]", schema)
+
+
 def event_stream(spark, folder):
-    stream = flows.read_folder(spark, f"{folder}/events.parquet", schemas.EVENTS)
+    stream = table_stream(spark, folder, "events", schemas.EVENTS)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -198,7 +203,7 @@ def stream_batches(spark, folder):
 
 
 def stream_duplicates(spark, folder):
-    stream = flows.read_folder(spark, f"{folder}/documents.parquet", "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    stream = table_stream(spark, folder, "documents", "doc_id bigint, text string, lang string, source string, n_chars bigint")
     seen = flows.SeenTexts(spark, "doc_id")
     flows.run_batches(stream.select("doc_id", "text"), seen.update)
     return seen.table()

@@ -57,7 +57,7 @@ def metric_rollup(samples: DataFrame, width: str = "5 seconds", late: str = "1 m
             *[F.max(c).alias(c.replace("percent", "peak")) for c in load],
             F.count("*").alias("samples"),
         )
-        .select("host", F.col("window.start").alias("window_start"), "*")
+        .withColumn("window_start", F.col("window.start"))
         .drop("window")
     )
 
