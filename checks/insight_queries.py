@@ -10,6 +10,7 @@ from checks.page_queries import SQL_LINKS, SQL_PAGES, SQL_PARAS, per_part, web_c
 from checks.text_queries import sql_list, sql_strip
 from pagemill import fixed_values as fixed
 from pagemill.functions import urls
+from pagemill.functions.common import unnest
 from pagemill.operators import corpus, crawl, documents as docs, pages as pg, recommend as rec
 from pagemill.plans.stored import materialize
 from pagemill.sources import views
@@ -26,9 +27,8 @@ def bfs_levels(spark, folder):
 
 
 def page_link_rows(spark, folder):
-    df = pq.parsed(spark, folder).select(
-        "page_id", F.col("url").alias("src"), F.posexplode(pg.links(pq.els(), F.col("url"), "api")).alias("link_seq", "l")
-    )
+    links = pg.links(pq.els(), F.col("url"), "api")
+    df = unnest(pq.parsed(spark, folder), ["page_id", F.col("url").alias("src")], links, "l", "link_seq")
     return df.select("page_id", "src", F.col("link_seq").cast("long").alias("link_seq"), F.col("l.url").alias("dst"), "l.text")
 
 
@@ -163,7 +163,7 @@ def catalog_records(spark, folder):
 
 
 def catalog_links(records):
-    return records.select("brand", "page_id", F.posexplode("links").alias("pos", "l")).select(
+    return unnest(records, ["brand", "page_id"], "links", "l").select(
         "brand", F.struct("page_id", "pos").alias("at"), "l.url", "l.text"
     )
 
@@ -178,7 +178,8 @@ def catalog_analysis(spark, folder):
 
 def key_terms(spark, folder):
     analysis = catalog_combined(materialize(catalog_records(spark, folder), "catalog"))
-    return analysis.select("brand", F.explode(rec.key_terms(F.col("topics"), F.col("keywords"))).alias("term"))
+    terms = rec.key_terms(F.col("topics"), F.col("keywords"))
+    return unnest(analysis, ["brand"], terms, "term").select("brand", "term")
 
 
 def link_first_per_domain(spark, folder):
@@ -208,7 +209,8 @@ def link_categories(spark, folder):
     """Links of every page by kind, against the page's own URL."""
     links = page_link_rows(spark, folder)
     kind = urls.link_type(F.col("dst"), F.col("src"))
-    catalog = pg.extract(pq.catalog(spark, folder), "enhanced").select(F.explode("links").alias("l")).select(F.col("l.type").alias("type"))
+    catalog = pg.extract(pq.catalog(spark, folder), "enhanced")
+    catalog = unnest(catalog, [], "links", "l").select(F.col("l.type").alias("type"))
     own = links.select(kind.alias("type")).groupBy("type").agg(F.count("*").alias("links")).withColumn("corpus", F.lit("pages"))
     shop = catalog.groupBy("type").agg(F.count("*").alias("links")).withColumn("corpus", F.lit("catalog"))
     return own.unionByName(shop)
@@ -226,7 +228,7 @@ def learning_path(spark, folder):
 
 def search_suggestions(spark, folder):
     found = rec.search_suggestions(F.col("topics"), F.col("keywords"), F.col("content_type.primary_type"))
-    df = _document_view(spark, folder).select("doc_id", F.posexplode(found).alias("rank", "query"))
+    df = unnest(_document_view(spark, folder), ["doc_id"], found, "query", "rank")
     return df.select("doc_id", (F.col("rank") + 1).cast("long").alias("rank"), "query")
 
 

@@ -8,7 +8,7 @@ from checks.metric_queries import r
 from checks.text_queries import SPACE, sql_strip
 from pagemill import fixed_values as fixed
 from pagemill.functions import urls
-from pagemill.functions.common import round_to
+from pagemill.functions.common import round_to, unnest
 from pagemill.operators import elements as el, pages as pg
 from pagemill.sources import views
 
@@ -32,7 +32,7 @@ def els():
 
 
 def exploded(df, column, *keys, name="item"):
-    out = df.select(*keys, F.posexplode(column).alias("pos", name))
+    out = unnest(df, list(keys), column, name)
     return out.withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -121,8 +121,8 @@ def page_links_enhanced(spark, folder):
 
 def page_lists(spark, folder):
     df = parsed(spark, folder).select("page_id", pg.lists(els()).alias("l"))
-    df = exploded(df, "l", "page_id").select("page_id", "item.type", F.posexplode("item.items").alias("pos", "text"))
-    return df.withColumn("pos", F.col("pos").cast("long"))
+    df = exploded(df, "l", "page_id").select("page_id", "item.type", "item.items")
+    return exploded(df, "items", "page_id", "type", name="text")
 
 
 def page_main_content(spark, folder):
@@ -172,7 +172,8 @@ def catalog_parsed(spark, folder):
 
 def page_tables(spark, folder):
     df = exploded(catalog_parsed(spark, folder).select("page_id", pg.tables(els()).alias("t")), "t", "page_id", name="block")
-    df = df.select("page_id", F.col("pos").alias("table_no"), F.posexplode("block.rows").alias("row_no", "cells"))
+    df = df.select("page_id", F.col("pos").alias("table_no"), "block.rows")
+    df = unnest(df, ["page_id", "table_no"], "rows", "cells", "row_no")
     return df.select("page_id", "table_no", F.col("row_no").cast("long").alias("row_no"), F.array_join("cells", "|").alias("cells"))
 
 
@@ -189,14 +190,15 @@ def page_images(spark, folder):
 
 def page_videos(spark, folder):
     base = urls.normalize_url(F.col("url"))
-    df = catalog_parsed(spark, folder).select("page_id", F.explode(pg.videos(els(), base)).alias("v"))
-    return df.select("page_id", F.explode("v.sources").alias("s"), "v.poster", "v.controls", "v.autoplay").select(
+    df = unnest(catalog_parsed(spark, folder), ["page_id"], pg.videos(els(), base), "v")
+    df = df.select("page_id", "v.*")
+    return unnest(df, ["page_id", "poster", "controls", "autoplay"], "sources", "s").select(
         "page_id", "s.src", "s.type", "poster", "controls", "autoplay"
     )
 
 
 def _map_rows(df, column):
-    return df.select("page_id", F.explode(column).alias("key", "value"))
+    return unnest(df, ["page_id"], F.map_entries(column), "e").select("page_id", "e.key", "e.value")
 
 
 def page_meta(spark, folder):
@@ -216,7 +218,7 @@ def page_twitter(spark, folder):
 
 
 def page_json_ld(spark, folder):
-    df = catalog_parsed(spark, folder).select("page_id", F.explode(pg.json_ld(els())).alias("v"))
+    df = unnest(catalog_parsed(spark, folder), ["page_id"], pg.json_ld(els()), "v")
     return df.select(
         "page_id", F.variant_get("v", "$.sku", "bigint").alias("sku"), F.variant_get("v", "$.size", "bigint").alias("size")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagemill import fixed_values as fixed
 from pagemill.functions import text as tx
+from pagemill.functions.common import unnest
 from pagemill.operators import documents as docs
 from pagemill.sources.views import spread, table
 
@@ -107,7 +108,7 @@ def basic_stats(spark, folder):
 def top_words(spark, folder):
     df = docs.with_tokens(documents(spark, folder))
     ranked = df.select("doc_id", tx.top_words(tx.ranked_words(F.col("tokens"), 10)).alias("w"))
-    return ranked.select("doc_id", F.posexplode("w").alias("rank", "w")).select(
+    return unnest(ranked, ["doc_id"], "w", "w", "rank").select(
         "doc_id", (F.col("rank") + 1).cast("long").alias("rank"), "w.word", "w.count"
     )
 
@@ -129,14 +130,14 @@ def sentiment(spark, folder):
 
 def topics(spark, folder):
     df = documents(spark, folder).withColumn("low", F.lower("text"))
-    df = df.select("doc_id", F.posexplode(tx.topics(F.col("low"))).alias("rank", "t"))
+    df = unnest(df, ["doc_id"], tx.topics(F.col("low")), "t", "rank")
     return df.select("doc_id", (F.col("rank") + 1).cast("long").alias("rank"), "t.*")
 
 
 def keywords(spark, folder):
     df = docs.with_tokens(documents(spark, folder))
     words = tx.keywords(tx.ranked_words(F.col("tokens"), 20), F.size("tokens"))
-    df = df.select("doc_id", F.posexplode(words).alias("rank", "k"))
+    df = unnest(df, ["doc_id"], words, "k", "rank")
     return df.select("doc_id", (F.col("rank") + 1).cast("long").alias("rank"), "k.*")
 
 
@@ -153,12 +154,12 @@ def language(spark, folder):
 
 
 def sentence_rows(spark, folder):
-    df = documents(spark, folder).select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
+    df = unnest(documents(spark, folder), ["doc_id"], tx.sentences(F.col("text")), "sentence")
     return df.select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence")
 
 
 def token_rows(spark, folder):
-    df = documents(spark, folder).select("doc_id", F.posexplode(tx.tokens(F.col("text"))).alias("pos", "word"))
+    df = unnest(documents(spark, folder), ["doc_id"], tx.tokens(F.col("text")), "word")
     return df.select("doc_id", F.col("pos").cast("long").alias("pos"), "word")
 
 
@@ -170,8 +171,8 @@ def summary(spark, folder):
 def entities(spark, folder):
     df = documents(spark, folder).select("doc_id", tx.entities(F.col("text")).alias("e"))
     kinds = [F.struct(F.lit(k).alias("kind"), F.col(f"e.{k}").alias("found")) for k in fixed.ENTITY_PATTERNS]
-    df = df.select("doc_id", F.explode(F.array(*kinds)).alias("k"))
-    return df.select("doc_id", "k.kind", F.explode("k.found").alias("value"))
+    df = unnest(df, ["doc_id"], F.array(*kinds), "k").select("doc_id", "k.kind", "k.found")
+    return unnest(df, ["doc_id", "kind"], "found", "value").select("doc_id", "kind", "value")
 
 
 def text_clean(spark, folder):

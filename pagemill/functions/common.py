@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Unicode whitespace, spelt out because \s is ASCII-only in Java and in RE2.
 SPACE = r"\t-\r\x1C-\x1F\x{85}\p{Z}"
+# The same characters one by one, for the native trim.
+SPACE_CODES = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+SPACE_CHARS = "".join(map(chr, SPACE_CODES))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -19,9 +22,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def unnest(df: DataFrame, columns: list, array: Column | str, item: str = "item", pos: str = "pos") -> DataFrame:
+    """One row per array element with its position; empty arrays give no rows.
+
+    A plain explode makes the optimizer infer a filter on the array's size and push it
+    below, where the array is computed a second time. The outer form does not.
+    """
+    rows = df.select(*columns, F.posexplode_outer(array).alias(pos, item))
+    return rows.filter(F.col(pos).isNotNull())
+
+
 def strip(value: Column) -> Column:
     """Trim Unicode whitespace at both ends."""
-    return F.regexp_replace(value, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.trim(value, F.lit(SPACE_CHARS))
 
 
 def squeeze(value: Column) -> Column:

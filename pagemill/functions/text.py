@@ -61,8 +61,8 @@ def ranked_words(words: Column, limit: int) -> Column:
 
         return F.slice(F.sort_array(F.transform(starts, run)), 1, limit)
 
-    ranked = let(pairs, lambda p: let(run_starts(p), lambda starts: runs(p, starts)))
-    return F.when(F.size(words) > 0, ranked).otherwise(F.array().cast(RANKED_TYPE))
+    ranked = let(pairs, lambda p: F.when(F.size(p) > 0, let(run_starts(p), lambda starts: runs(p, starts))))
+    return F.coalesce(ranked, F.array().cast(RANKED_TYPE))
 
 
 def top_words(ranked: Column, limit: int = 10) -> Column:
@@ -110,18 +110,25 @@ def reading_ease(n_words: Column, n_sentences: Column, n_syllables: Column) -> C
 
 
 def readability(n_words: Column, n_sentences: Column, n_syllables: Column) -> Column:
-    n_words, n_sentences = F.nullif(n_words, F.lit(0)), F.nullif(n_sentences, F.lit(0))
-    score = reading_ease(n_words, n_sentences, n_syllables)
-    grade = 0.39 * (n_words / n_sentences) + 11.8 * (n_syllables / n_words) - 15.59
-    level = F.lit(fixed.READABILITY_LOWEST)
-    for floor, name in reversed(fixed.READABILITY_BANDS):
-        level = F.when(score >= floor, name).otherwise(level)
-    result = F.struct(
-        round_to(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 1).alias("flesch_reading_ease"),
-        round_to(F.greatest(F.lit(0.0), grade), 1).alias("flesch_kincaid_grade"),
-        level.alias("readability_level"),
-    )
-    return F.when(score.isNotNull(), result)
+    def describe(both: Column) -> Column:
+        score, grade = both["score"], both["grade"]
+        level = F.lit(fixed.READABILITY_LOWEST)
+        for floor, name in reversed(fixed.READABILITY_BANDS):
+            level = F.when(score >= floor, name).otherwise(level)
+        result = F.struct(
+            round_to(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 1).alias("flesch_reading_ease"),
+            round_to(F.greatest(F.lit(0.0), grade), 1).alias("flesch_kincaid_grade"),
+            level.alias("readability_level"),
+        )
+        return F.when(score.isNotNull(), result)
+
+    def scores(c: Column) -> Column:
+        n, m, syl = c["n"], c["m"], c["syl"]
+        grade = 0.39 * (n / m) + 11.8 * (syl / n) - 15.59
+        return let(F.struct(reading_ease(n, m, syl).alias("score"), grade.alias("grade")), describe)
+
+    n, m = F.nullif(n_words, F.lit(0)), F.nullif(n_sentences, F.lit(0))
+    return let(F.struct(n.alias("n"), m.alias("m"), n_syllables.alias("syl")), scores)
 
 
 def count_in(words: Column, lexicon: list[str]) -> Column:
@@ -143,10 +150,11 @@ def sentiment_from_counts(positive: Column, negative: Column, n_words: Column) -
 
 
 def sentiment(words: Column) -> Column:
-    n = F.nullif(F.size(words), F.lit(0))
-    return sentiment_from_counts(
-        count_in(words, fixed.POSITIVE_WORDS), count_in(words, fixed.NEGATIVE_WORDS), n
+    counts = F.struct(
+        count_in(words, fixed.POSITIVE_WORDS).alias("p"), count_in(words, fixed.NEGATIVE_WORDS).alias("q"),
+        F.nullif(F.size(words), F.lit(0)).alias("n"),
     )
+    return let(counts, lambda c: sentiment_from_counts(c["p"], c["q"], c["n"]))
 
 
 def topics_from_hits(matches: dict[str, Column]) -> Column:
@@ -213,26 +221,34 @@ def language_from_counts(english: Column, spanish: Column, n_words: Column) -> C
 
 
 def language(words: Column) -> Column:
-    n = F.nullif(F.size(words), F.lit(0))
-    return language_from_counts(count_in(words, fixed.ENGLISH_WORDS), count_in(words, fixed.SPANISH_WORDS), n)
+    counts = F.struct(
+        count_in(words, fixed.ENGLISH_WORDS).alias("e"), count_in(words, fixed.SPANISH_WORDS).alias("s"),
+        F.nullif(F.size(words), F.lit(0)).alias("n"),
+    )
+    return let(counts, lambda c: language_from_counts(c["e"], c["s"], c["n"]))
 
 
 def summary(text: Column, pieces: Column) -> Column:
     """All of up to three sentences, else the first, the middle and the last."""
-    n = F.size(pieces)
-    middle = (n / 2).cast("int")
-    chosen = F.when(n <= 3, pieces).otherwise(
-        F.array(F.get(pieces, F.lit(0)), F.get(pieces, middle), F.get(pieces, n - 1))
-    )
 
-    def describe(joined: Column) -> Column:
+    def choose(all_pieces: Column) -> Column:
+        n = F.size(all_pieces)
+        ends = F.array(
+            F.get(all_pieces, F.lit(0)), F.get(all_pieces, (n / 2).cast("int")), F.get(all_pieces, n - 1)
+        )
+        joined = F.concat_ws(" ", F.when(n <= 3, all_pieces).otherwise(ends))
+        return F.struct(joined.alias("text"), n.alias("n"))
+
+    def describe(chosen: Column) -> Column:
+        length = F.length(chosen["text"])
+        ratio = round_to(length / F.nullif(F.length(text), F.lit(0)), 3)
         return F.struct(
-            joined.alias("summary"),
-            F.length(joined).cast("long").alias("summary_length"),
-            F.when(n > 0, round_to(F.length(joined) / F.nullif(F.length(text), F.lit(0)), 3)).alias("compression_ratio"),
+            chosen["text"].alias("summary"),
+            length.cast("long").alias("summary_length"),
+            F.when(chosen["n"] > 0, ratio).alias("compression_ratio"),
         )
 
-    return let(F.concat_ws(" ", chosen), describe)
+    return let(let(pieces, choose), describe)
 
 
 def entities(text: Column) -> Column:

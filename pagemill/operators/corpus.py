@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagemill import fixed_values as fixed
 from pagemill.functions import text as tx
-from pagemill.functions.common import round_to, strip
+from pagemill.functions.common import round_to, strip, unnest
 from pagemill.plans.ordered import running_totals
 from pagemill.plans.stored import materialize
 
@@ -29,7 +29,7 @@ def page_texts(pages: DataFrame, *keys: str) -> DataFrame:
 
 def dominant_topics(analysed: DataFrame, order: str, keys: Sequence[str] = (), limit: int = 5) -> DataFrame:
     """Topics by number of pages, with their total confidence; ties by first appearance."""
-    rows = analysed.select(*keys, order, F.posexplode("topics").alias("_rank", "_topic"))
+    rows = unnest(analysed, [*keys, order], "topics", "_topic", "_rank")
     counted = rows.groupBy(*keys, F.col("_topic.topic").alias("topic")).agg(
         F.count("*").alias("pages"),
         F.sum("_topic.confidence").alias("total_confidence"),
@@ -78,7 +78,7 @@ def crawl_words(pages: DataFrame, key: str, order: str) -> DataFrame:
     Each page is counted inside its row first; only distinct words per page are shuffled.
     """
     every = tx.ranked_words(F.col("tokens"), 2**31 - 1)
-    rows = pages.select(key, order, F.explode(every).alias("_w"))
+    rows = unnest(pages, [key, order], every, "_w")
     return rows.groupBy(key, F.col("_w.word").alias("word")).agg(
         (-F.sum("_w.neg_count")).alias("count"), F.min(F.struct(F.col(order), F.col("_w.first_pos"))).alias("first_at")
     )
@@ -109,24 +109,49 @@ def _inner(pieces: Column) -> Column:
     return F.filter(F.transform(middle, strip), lambda piece: piece != "")
 
 
-def _sentence_counts(texts: DataFrame, key: str, order: str) -> DataFrame:
-    """Per page, how its pieces fall into the crawl's segments; no text is carried.
+SUMS = ["n", "letters", "vowels", "positive", "negative", "english", "spanish", "chars", "trimmed"]
 
-    Segments are the stretches between terminators over the whole crawl. The last
-    piece of a page and the first of the next share a segment.
+
+def page_parts(texts: DataFrame, key: str, order: str) -> DataFrame:
+    """Everything a crawl's analysis needs of a page, without its text: one narrow row per page.
+
+    ``_page`` is the page's index in the crawl. Segments are the stretches between
+    terminators over the whole crawl; the last piece of a page and the first of the next
+    share one, and ``_head_id`` and ``_tail_id`` number the page's first and last.
     """
-    pieces = texts.select(key, order, _pieces(F.col("text")).alias("_p"))
-    counted = pieces.select(
-        key, order, (F.size("_p") - 1).alias("_marks"), F.size(_inner(F.col("_p"))).alias("_n_inner"),
-        (strip(F.get("_p", F.lit(0))) != "").alias("_head_filled"), (strip(F.element_at("_p", -1)) != "").alias("_tail_filled"),
+    base = texts.select(
+        key, order, "text", tx.tokens(F.col("text")).alias("_words"), _pieces(F.col("text")).alias("_p"),
+        F.lower("text").alias("_low"),
+    )
+    words = F.col("_words")
+    counted = base.select(
+        key,
+        order,
+        F.size(words).alias("n"),
+        F.aggregate(words, F.lit(0), lambda total, word: total + F.length(word)).alias("letters"),
+        tx.vowel_runs(F.col("text")).alias("vowels"),
+        tx.count_in(words, fixed.POSITIVE_WORDS).alias("positive"),
+        tx.count_in(words, fixed.NEGATIVE_WORDS).alias("negative"),
+        tx.count_in(words, fixed.ENGLISH_WORDS).alias("english"),
+        tx.count_in(words, fixed.SPANISH_WORDS).alias("spanish"),
+        (F.length("text") + 1).alias("chars"),
+        F.length(strip(F.col("text"))).alias("trimmed"),
+        _bits(F.col("_low"), TOPIC_TERMS).alias("topic_bits"),
+        _bits(F.col("_low"), TYPE_TERMS).alias("type_bits"),
+        F.right("_low", F.lit(BORDER)).alias("_end"),
+        F.substring("_low", 1, BORDER).alias("_start"),
+        (F.size("_p") - 1).alias("_marks"),
+        F.size(_inner(F.col("_p"))).alias("_n_inner"),
+        (strip(F.get("_p", F.lit(0))) != "").alias("_head_filled"),
+        (strip(F.element_at("_p", -1)) != "").alias("_tail_filled"),
     )
     numbered = running_totals(counted, [F.col(order).asc()], {"_marks": "_tail_id"}, [key], index="_page")
-    return materialize(numbered.withColumn("_head_id", F.col("_tail_id") - F.col("_marks")), "sentences")
+    return materialize(numbered.withColumn("_head_id", F.col("_tail_id") - F.col("_marks")), "page-parts")
 
 
-def combined_sentences(texts: DataFrame, key: str, order: str) -> DataFrame:
+def combined_sentences(texts: DataFrame, parts: DataFrame, key: str, order: str) -> DataFrame:
     """Per crawl: number of sentences and the summary made of the first, middle and last."""
-    parts = _sentence_counts(texts, key, order)
+    parts = parts.select(key, order, "_page", "_marks", "_head_id", "_tail_id", "_n_inner", "_head_filled", "_tail_filled")
     has_tail = F.col("_marks") > 0
     head = F.struct(F.col("_head_id").alias("id"), F.col("_head_filled").alias("filled"), F.lit(0).alias("piece"))
     tail = F.struct(F.col("_tail_id").alias("id"), F.col("_tail_filled").alias("filled"), F.lit(-1).alias("piece"))
@@ -172,56 +197,36 @@ def combined_sentences(texts: DataFrame, key: str, order: str) -> DataFrame:
 
 def combined_analysis(texts: DataFrame, key: str, order: str) -> DataFrame:
     """One analysis row per crawl over (key, order, text) rows made by :func:`page_texts`."""
-    lower = F.lower("text")
-    base = texts.select(key, order, "text").withColumn("tokens", tx.tokens(F.col("text")))
-    words = F.col("tokens")
-    per_page = base.select(
-        key,
-        F.size(words).alias("n"),
-        F.aggregate(words, F.lit(0), lambda total, word: total + F.length(word)).alias("letters"),
-        tx.vowel_runs(F.col("text")).alias("vowels"),
-        tx.count_in(words, fixed.POSITIVE_WORDS).alias("positive"),
-        tx.count_in(words, fixed.NEGATIVE_WORDS).alias("negative"),
-        tx.count_in(words, fixed.ENGLISH_WORDS).alias("english"),
-        tx.count_in(words, fixed.SPANISH_WORDS).alias("spanish"),
-        (F.length("text") + 1).alias("chars"),
-        F.length(strip(F.col("text"))).alias("trimmed"),
-        _bits(lower, TOPIC_TERMS).alias("topic_bits"),
-        _bits(lower, TYPE_TERMS).alias("type_bits"),
-    )
-    sums = per_page.groupBy(key).agg(
+    parts = page_parts(texts, key, order)
+    sums = parts.groupBy(key).agg(
         F.count("*").alias("pages"),
-        *[F.sum(c).alias(c) for c in
-          ("n", "letters", "vowels", "positive", "negative", "english", "spanish", "chars", "trimmed")],
+        *[F.sum(c).alias(c) for c in SUMS],
         *[F.bit_or(c).alias(c) for c in ("topic_bits", "type_bits")],
     )
+    with_words = texts.select(key, order, tx.tokens(F.col("text")).alias("tokens"))
+    words = materialize(crawl_words(with_words, key, order), "words")
     joined = (
-        sums.join(combined_words(crawl_words(base, key, order), key), key, "left")
-        .join(combined_sentences(texts, key, order), key, "left")
-        .join(_border_bits(texts, key, order), key, "left")
+        sums.join(combined_words(words, key), key, "left")
+        .join(combined_sentences(texts, parts, key, order), key, "left")
+        .join(_border_bits(parts, key), key, "left")
     )
     for bits in ("topic_bits", "type_bits"):
         joined = joined.withColumn(bits, F.col(bits).bitwiseOR(F.coalesce(F.col(f"_border_{bits}"), F.lit(0).cast("long"))))
     return _compose(joined, key)
 
 
-def _border_bits(texts: DataFrame, key: str, order: str) -> DataFrame:
+def _border_bits(parts: DataFrame, key: str) -> DataFrame:
     """Terms of several words that straddle the space between two pages.
 
     A page text holds two spaces of its own, more than any term, so a term reaches
     over one border at most and the texts next to it suffice.
     """
-    ends = texts.select(
-        key, order, F.lit(1).alias("_one"),
-        F.lower(F.right("text", F.lit(BORDER))).alias("_end"), F.lower(F.substring("text", 1, BORDER)).alias("_start"),
-    )
-    numbered = running_totals(ends, [F.col(order).asc()], {"_one": "_no"}, [key])
-    before = numbered.select(key, (F.col("_no") + 1).alias("_no"), "_end")
-    pairs = numbered.select(key, "_no", "_start").join(before, [key, "_no"])
-    border = F.concat("_end", F.lit(" "), "_start")
+    before = parts.select(key, (F.col("_page") + 1).alias("_page"), "_end")
+    pairs = parts.select(key, "_page", "_start").join(before, [key, "_page"])
+    pairs = pairs.select(key, F.concat("_end", F.lit(" "), "_start").alias("_border"))
     return pairs.groupBy(key).agg(
-        F.bit_or(_bits(border, TOPIC_TERMS)).alias("_border_topic_bits"),
-        F.bit_or(_bits(border, TYPE_TERMS)).alias("_border_type_bits"),
+        F.bit_or(_bits(F.col("_border"), TOPIC_TERMS)).alias("_border_topic_bits"),
+        F.bit_or(_bits(F.col("_border"), TYPE_TERMS)).alias("_border_type_bits"),
     )
 
 
@@ -273,5 +278,5 @@ def combined_entities(texts: DataFrame, key: str) -> DataFrame:
     """Distinct entities per crawl, one row each; no pattern reaches over a space."""
     found = texts.select(key, tx.entities(F.col("text")).alias("_e"))
     kinds = [F.struct(F.lit(kind).alias("kind"), F.col(f"_e.{kind}").alias("values")) for kind in fixed.ENTITY_PATTERNS]
-    rows = found.select(key, F.explode(F.array(*kinds)).alias("_k")).select(key, "_k.kind", F.explode("_k.values").alias("value"))
-    return rows.distinct()
+    rows = unnest(found, [key], F.array(*kinds), "_k").select(key, "_k.kind", "_k.values")
+    return unnest(rows, [key, "kind"], "values", "value").select(key, "kind", "value").distinct()

@@ -175,4 +175,4 @@ def with_elements(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def element_table(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
     """The corpus as one row per element."""
-    return with_elements(pages.select(*keys, html), html).select(*keys, F.inline("elements"))
+    return with_elements(pages.select(*keys, html), html).select(*keys, F.inline_outer("elements")).filter("seq IS NOT NULL")

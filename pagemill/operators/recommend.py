@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagemill import fixed_values as fixed
 from pagemill.functions import urls
-from pagemill.functions.common import any_of, hits, round_to
+from pagemill.functions.common import any_of, hits, round_to, unnest
 
 
 def key_terms(topics: Column, keywords: Column) -> Column:
@@ -121,7 +121,7 @@ def learning_path(analysis: DataFrame, key: str) -> DataFrame:
     steps = path(fixed.LEARNING_STEPS_GENERIC)
     for name, own in fixed.LEARNING_STEPS.items():
         steps = F.when(topic == name, path(own)).otherwise(steps)
-    rows = analysis.filter(F.size("topics") > 0).select(key, F.posexplode(steps).alias("_at", "_s"))
+    rows = unnest(analysis, [key], F.when(F.size("topics") > 0, steps), "_s", "_at")
     return rows.select(key, (F.col("_at") + 1).cast("long").alias("step_no"), "_s.*")
 
 

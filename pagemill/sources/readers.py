@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagemill import schemas
 from pagemill.functions import urls
+from pagemill.functions.common import unnest
 
 
 def page_corpus(spark: SparkSession, path: str, html_files: bool = False) -> DataFrame:
@@ -22,7 +23,7 @@ def crawl_results(spark: SparkSession, path: str, lines: bool = False) -> DataFr
 
 def crawl_pages(results: DataFrame) -> DataFrame:
     """The pages of crawl results, one row each."""
-    return results.select("base_url", F.explode("pages").alias("page")).select("base_url", "page.*")
+    return unnest(results, ["base_url"], "pages", "page").select("base_url", "page.*")
 
 
 def structured_log(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from pagemill import schemas
+from pagemill.functions.common import unnest
 
 NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 GZIP_ABOVE = 10  # rows: larger answers are compressed
@@ -45,7 +46,7 @@ def gather(wanted: DataFrame, processed: DataFrame) -> DataFrame:
     for twice gives its items twice.
     """
     joined = wanted.join(processed.select("id", "data"), "id")
-    return joined.select("position", F.posexplode("data").alias("item_no", "item")).select("position", "item_no", "item.*")
+    return unnest(joined, ["position"], "data", "item", "item_no").select("position", "item_no", "item.*")
 
 
 def export(
