@@ -145,6 +145,8 @@ def page_parts(texts: DataFrame, key: str, order: str) -> DataFrame:
         (strip(F.get("_p", F.lit(0))) != "").alias("_head_filled"),
         (strip(F.element_at("_p", -1)) != "").alias("_tail_filled"),
     )
+    # Range partitioning samples its input first, so the features are computed once, before it.
+    counted = materialize(counted, "page-features")
     numbered = running_totals(counted, [F.col(order).asc()], {"_marks": "_tail_id"}, [key], index="_page")
     return materialize(numbered.withColumn("_head_id", F.col("_tail_id") - F.col("_marks")), "page-parts")
 

@@ -4,6 +4,9 @@ A window partitioned by key sends every row of a key to one task. Here rows are
 range-partitioned by (key, order) instead, so a key of any size spreads over many
 slices. A slice knows its local position; a small table with one row per
 (slice, key) carries what the earlier slices hold. The order must be unique.
+
+Range partitioning reads its input twice (once to sample the boundaries): hand in a
+projection of a scan, or materialize costly columns first.
 """
 
 from __future__ import annotations
