@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pagemill import fixed_values as fixed
 from pagemill.functions import text as tx
 from pagemill.functions.common import round_to, strip, unnest
-from pagemill.plans.ordered import running_totals
+from pagemill.plans.ordered import join_null_safe, running_totals
+from pagemill.plans.skew import join_on_hot_key
 from pagemill.plans.stored import materialize
 
 TOPIC_TERMS = [(topic, word) for topic, words in fixed.TOPIC_KEYWORDS.items() for word in words]
@@ -95,7 +96,7 @@ def combined_words(words: DataFrame, key: str, limit: int = 20) -> DataFrame:
             )
         ).alias("ranked")
     )
-    return words.groupBy(key).agg(F.count("*").alias("unique_words")).join(ranked, key)
+    return join_null_safe(words.groupBy(key).agg(F.count("*").alias("unique_words")), ranked, [key])
 
 
 def _pieces(text: Column) -> Column:
@@ -159,42 +160,48 @@ def combined_sentences(texts: DataFrame, parts: DataFrame, key: str, order: str)
     tail = F.struct(F.col("_tail_id").alias("id"), F.col("_tail_filled").alias("filled"), F.lit(-1).alias("piece"))
     ends = F.when(has_tail, F.array(head, tail)).otherwise(F.array(head))
     borders = parts.select(key, order, F.inline(ends))
-    filled = borders.groupBy(key, "id").agg(F.max("filled").alias("_filled"))
-    # A page owns its inner sentences and its tail; only the first page owns its head.
-    tails = filled.select(key, F.col("id").alias("_tail_id"), F.col("_filled").alias("_closes"))
-    heads = filled.filter("id = 0").select(key, F.col("_filled").alias("_opens"))
-    own = parts.join(tails, [key, "_tail_id"]).join(heads, key)
-    leads = F.when((F.col("_page") == 0) & F.col("_opens"), 1).otherwise(0)
-    closes = F.when(has_tail & F.col("_closes"), 1).otherwise(0)
-    own = own.withColumn("_leads", leads).withColumn("_own", leads + F.col("_n_inner") + closes)
-    placed = running_totals(own.drop("_opens", "_closes"), [F.col(order).asc()], {"_own": "_upto"}, [key])
-    totals = placed.groupBy(key).agg(F.max("_upto").alias("sentences"))
+    filled = borders.groupBy(key, "id").agg(F.max("filled").cast("int").alias("_filled"))
+    # A page owns its inner sentences and, with a terminator, its tail; the first page also
+    # owns its head. Both joins meet one row per key on either side, whatever the crawl's size.
+    tails = join_null_safe(parts.filter(has_tail), filled.withColumnRenamed("id", "_tail_id"), [key, "_tail_id"])
+    heads = join_null_safe(parts.filter("_page = 0"), filled.withColumnRenamed("id", "_head_id"), [key, "_head_id"])
+    rows = parts.select(key, order, "_head_id", "_tail_id", "_n_inner")
+    rows = rows.unionByName(tails.select(key, order, F.col("_filled").alias("_closes")), allowMissingColumns=True)
+    rows = rows.unionByName(heads.select(key, order, F.col("_filled").alias("_leads")), allowMissingColumns=True)
+    ends_of = [F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("_leads", "_closes")]
+    own = rows.groupBy(key, order).agg(*[F.max(c).alias(c) for c in ("_head_id", "_tail_id", "_n_inner")], *ends_of)
+    own = own.withColumn("_own", F.col("_leads") + F.col("_n_inner") + F.col("_closes"))
+    placed = running_totals(own, [F.col(order).asc()], {"_own": "_upto"}, [key])
+    totals = placed.groupBy(key).agg(F.max("_upto").alias("sentences"), F.count("*").alias("_pages"))
     last = F.col("sentences").cast("int") - 1
     wanted = F.when(F.col("sentences") <= 3, F.sequence(F.lit(0), last)).otherwise(
         F.array(F.lit(0), (F.col("sentences") / 2).cast("int"), last)
     )
-    targets = totals.filter("sentences > 0").select(key, F.explode(wanted).alias("_at"))
-    holders = placed.join(targets, key).filter("_at < _upto AND _at >= _upto - _own")
+    targets = totals.filter("sentences > 0").select(key, "_pages", wanted.alias("_targets"))
+    near = join_on_hot_key(placed, targets, key, "_pages", order)
+    inside_page = lambda at: (at < F.col("_upto")) & (at >= F.col("_upto") - F.col("_own"))
+    holders = unnest(near, ["*"], F.filter("_targets", inside_page), "_at", "_nth")
     local = (F.col("_at") - (F.col("_upto") - F.col("_own")) - F.col("_leads")).cast("int")
     is_inner = (local >= 0) & (local < F.col("_n_inner"))
     border_id = F.when(local < 0, F.col("_head_id")).otherwise(F.col("_tail_id"))
     found = holders.select(key, order, "_at", F.when(is_inner, local).alias("_local"), border_id.alias("id"))
     # Fetch the few sentences from the texts; one across pages is joined from its pieces.
     inside = found.filter("_local IS NOT NULL").select(key, order, "_at", "_local", F.lit(None).cast("int").alias("piece"))
-    across = found.filter("_local IS NULL").select(key, "id", "_at").join(borders, [key, "id"])
+    # A sentence may span any number of pages without a terminator; all of it is one value.
+    across = join_null_safe(found.filter("_local IS NULL").select(key, "id", "_at"), borders, [key, "id"])
     across = across.select(key, order, "_at", F.lit(None).cast("int").alias("_local"), "piece")
     pieces = _pieces(F.col("text"))
     chosen = F.when(F.col("_local").isNotNull(), F.get(_inner(pieces), F.col("_local"))).otherwise(
         F.when(F.col("piece") == 0, F.get(pieces, F.lit(0))).otherwise(F.element_at(pieces, -1))
     )
-    fetched = texts.select(key, order, "text").join(inside.unionByName(across), [key, order])
+    fetched = join_null_safe(texts.select(key, order, "text"), inside.unionByName(across), [key, order])
     sentences = fetched.select(key, "_at", order, chosen.alias("_text")).groupBy(key, "_at").agg(
         F.sort_array(F.collect_list(F.struct(order, "_text"))).alias("_t")
     )
     whole = strip(F.array_join(F.transform("_t", lambda t: t["_text"]), ""))
     summaries = sentences.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_at", whole.alias("_s")))).alias("_all"))
     joined = F.coalesce(F.array_join(F.transform("_all", lambda s: s["_s"]), " "), F.lit(""))
-    return totals.join(summaries, key, "left").select(key, "sentences", joined.alias("summary"))
+    return join_null_safe(totals, summaries, [key], "left").select(key, "sentences", joined.alias("summary"))
 
 
 def combined_analysis(texts: DataFrame, key: str, order: str) -> DataFrame:
@@ -207,11 +214,9 @@ def combined_analysis(texts: DataFrame, key: str, order: str) -> DataFrame:
     )
     with_words = texts.select(key, order, tx.tokens(F.col("text")).alias("tokens"))
     words = materialize(crawl_words(with_words, key, order), "words")
-    joined = (
-        sums.join(combined_words(words, key), key, "left")
-        .join(combined_sentences(texts, parts, key, order), key, "left")
-        .join(_border_bits(parts, key), key, "left")
-    )
+    joined = sums
+    for part in (combined_words(words, key), combined_sentences(texts, parts, key, order), _border_bits(parts, key)):
+        joined = join_null_safe(joined, part, [key], "left")
     for bits in ("topic_bits", "type_bits"):
         joined = joined.withColumn(bits, F.col(bits).bitwiseOR(F.coalesce(F.col(f"_border_{bits}"), F.lit(0).cast("long"))))
     return _compose(joined, key)
@@ -224,7 +229,7 @@ def _border_bits(parts: DataFrame, key: str) -> DataFrame:
     over one border at most and the texts next to it suffice.
     """
     before = parts.select(key, (F.col("_page") + 1).alias("_page"), "_end")
-    pairs = parts.select(key, "_page", "_start").join(before, [key, "_page"])
+    pairs = join_null_safe(parts.select(key, "_page", "_start"), before, [key, "_page"])
     pairs = pairs.select(key, F.concat("_end", F.lit(" "), "_start").alias("_border"))
     return pairs.groupBy(key).agg(
         F.bit_or(_bits(F.col("_border"), TOPIC_TERMS)).alias("_border_topic_bits"),

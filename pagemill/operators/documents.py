@@ -68,7 +68,7 @@ def mark_duplicates(
     of the corpus is counted map-side and joined back over salted tasks.
     """
     at = F.col(first_seen) if first_seen else F.col(key)
-    hashed = materialize(df.select(F.col(key), F.md5(F.col(text)).alias("text_hash"), at.alias("_seen")), "hashes")
+    hashed = materialize(df.select(F.col(key), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), at.alias("_seen")), "hashes")
     firsts = hashed.groupBy("text_hash").agg(
         F.min_by(F.struct(F.col(key).alias("first_key"), F.col("_seen").alias("first_seen")), F.col(key)).alias("_first"),
         F.count("*").alias("copies"),

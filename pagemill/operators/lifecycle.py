@@ -89,15 +89,15 @@ def advice(metrics: DataFrame) -> DataFrame:
 
 
 def write_layout(
-    df: DataFrame, folder: str, time: str = "created_at", sort: Sequence[str] = ("user_id", "created_at"), files: int = 8
+    df: DataFrame, folder: str, time: str = "created_at", sort: Sequence[str] = ("user_id", "created_at")
 ) -> None:
     """Store a table for its access paths: a directory per day, files sorted by user and time.
 
-    A day's rows are spread over ``files`` tasks by the sort key's hash, so a day or
-    user that holds most rows does not land in one task.
+    Rows are range-partitioned by day and sort key, so files are even and a day or user
+    that holds most rows spreads over many tasks.
     """
-    dated = df.withColumn("day", F.to_date(time)).withColumn("_file", F.pmod(F.xxhash64(*sort), F.lit(files)))
-    dated = dated.repartition("day", "_file").drop("_file").sortWithinPartitions("day", *sort)
+    dated = df.withColumn("day", F.to_date(time))
+    dated = dated.repartitionByRange("day", *sort).sortWithinPartitions("day", *sort)
     dated.write.mode("overwrite").partitionBy("day").parquet(folder)
 
 

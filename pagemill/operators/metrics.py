@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pagemill import fixed_values as fixed
 from pagemill.functions.common import round_to, share
-from pagemill.plans.ordered import exact_percentiles, row_index, running_totals, trailing_window
+from pagemill.plans.ordered import exact_percentiles, join_null_safe, row_index, running_totals, trailing_window
 
 
 def latest_time(df: DataFrame, column: str) -> datetime:
@@ -65,7 +65,10 @@ def response_times(df: DataFrame, keys: Sequence[str] = (), approximate: bool =
         )
     means = df.groupBy(*keys).agg(mean)
     ranks = exact_percentiles(df, "response_time", {"median": 0.5, "p95": 0.95}, keys)
-    joined = means.join(ranks, list(keys), "left") if keys else means.join(F.broadcast(ranks), F.lit(True), "left")
+    if keys:
+        joined = join_null_safe(means, ranks, keys, "left")
+    else:
+        joined = means.unionByName(ranks, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("mean", "median", "p95")])
     return joined.select(*keys, "mean", _zero(F.col("median")).alias("median"), _zero(F.col("p95")).alias("p95"))
 
 
@@ -275,4 +278,4 @@ def function_durations(log: DataFrame) -> DataFrame:
 
 def _durations(log: DataFrame, keys: list[str]) -> DataFrame:
     basic = log.groupBy(*keys).agg(F.count("*").alias("calls"), F.avg("duration").alias("avg_duration"))
-    return basic.join(exact_percentiles(log, "duration", {"p95_duration": 0.95}, keys), keys, "left")
+    return join_null_safe(basic, exact_percentiles(log, "duration", {"p95_duration": 0.95}, keys), keys, "left")

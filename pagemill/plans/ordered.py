@@ -12,6 +12,7 @@ projection of a scan, or materialize costly columns first.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -41,12 +42,19 @@ def _earlier(per_slice: DataFrame, keys: Sequence[str], columns: Sequence[str])
     return per_slice.select(SLICE, *keys, "_first", *before)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same name where null matches null; the right copies are dropped."""
+    renamed = right.withColumnsRenamed({name: f"_right_{name}" for name in on})
+    condition = reduce(Column.__and__, [left[name].eqNullSafe(renamed[f"_right_{name}"]) for name in on])
+    return left.join(renamed, condition, how).drop(*[f"_right_{name}" for name in on])
+
+
 def row_index(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), name: str = "row_index") -> DataFrame:
     """0-based position of every row within its key, in ``order``."""
     sliced = _sliced(df, keys, order)
     per_slice = sliced.groupBy(SLICE, *keys).agg(F.min(LOCAL).alias("_first"), F.count("*").alias("rows"))
     earlier = _earlier(per_slice, keys, ["rows"])
-    joined = sliced.join(earlier, [SLICE, *keys])
+    joined = join_null_safe(sliced, earlier, [SLICE, *keys])
     index = (F.col(LOCAL) - F.col("_first") + F.col("_before_rows")).cast("long")
     return joined.select(*df.columns, index.alias(name))
 
@@ -61,7 +69,7 @@ def running_totals(
     earlier = _earlier(per_slice, keys, ["rows", *totals.values()])
     within = Window.partitionBy(SLICE, *keys).orderBy(LOCAL).rowsBetween(Window.unboundedPreceding, 0)
     local = sliced.select("*", *[F.sum(column).over(within).alias(f"_here_{name}") for column, name in totals.items()])
-    joined = local.join(earlier, [SLICE, *keys])
+    joined = join_null_safe(local, earlier, [SLICE, *keys])
     out = [(F.col(f"_here_{name}") + F.col(f"_before_{name}")).alias(name) for name in totals.values()]
     if index:
         out.append((F.col(LOCAL) - F.col("_first") + F.col("_before_rows")).cast("long").alias(index))
@@ -103,7 +111,10 @@ def exact_percentiles(
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     ranked = running_totals(counts, [F.col(value).asc()], {"_n": "_upto"}, keys)
     sizes = ranked.groupBy(*keys).agg(F.max("_upto").alias("_total"))
-    placed = ranked.join(sizes, list(keys)) if keys else ranked.join(F.broadcast(sizes), F.lit(True))
+    if keys:
+        placed = join_null_safe(ranked, sizes, keys)
+    else:
+        placed = ranked.withColumn("_total", F.lit(sizes.first()["_total"]).cast("long"))  # one number
     picks = []
     for name, fraction in fractions.items():
         spot = (F.col("_total") - 1) * F.lit(fraction)

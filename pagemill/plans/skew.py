@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from pagemill.plans.ordered import join_null_safe
+
 HEAVIEST = 1000  # keys treated as hot: a fixed number, so the list is always small
 
 
@@ -19,10 +21,10 @@ def join_on_hot_key(
     """
     hot = one.orderBy(F.desc(weight), key).limit(HEAVIEST).filter(F.col(weight) > 10_000)
     hot = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
-    salted = many.join(hot, key, "left").withColumn(
+    salted = join_null_safe(many, hot, [key], "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0).cast("bigint"))
     )
     every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
     copies = F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0).cast("bigint")))
-    repeated = one.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return salted.drop("_hot").join(repeated, [key, "_salt"], how).drop("_salt")
+    repeated = join_null_safe(one, hot, [key], "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return join_null_safe(salted.drop("_hot"), repeated, [key, "_salt"], how).drop("_salt")

@@ -87,3 +87,11 @@ def test_materialize_uses_the_shared_folder(spark):
     with pytest.raises(Exception):
         spark.read.parquet(other)
     stored.remove(spark, "/tmp")  # not ours: ignored
+
+
+def test_null_keys_stay(spark):
+    df = spark.createDataFrame([(1, None, 1.0), (2, None, 3.0), (3, "a", 5.0)], "id long, k string, v double")
+    assert {r.id: r.row_index for r in ordered.row_index(df, [F.col("id").asc()], ["k"]).collect()} == {1: 0, 2: 1, 3: 0}
+    assert {r.k: r.m for r in ordered.exact_percentiles(df, "v", {"m": 0.5}, ["k"]).collect()} == {None: 2.0, "a": 5.0}
+    one = df.groupBy("k").agg(F.count("*").alias("n"))
+    assert sorted((r.id, r.n) for r in skew.join_on_hot_key(df, one, "k", "n", "id").collect()) == [(1, 2), (2, 2), (3, 1)]
