@@ -32,6 +32,7 @@ ATTRIBUTES = {
 }
 PART_OF = {"li": ("ul", "ol"), "td": ("tr",), "th": ("tr",)}
 JSON_LD = "application/ld+json"
+OUTPUT_ROWS = 256  # pages per output batch: bounds a task's memory whatever the session's batch size
 
 ELEMENT = T.StructType(
     [
@@ -163,7 +164,7 @@ def with_elements(pages: DataFrame, html: str = "html") -> DataFrame:
     )
 
     def read(batches):
-        for batch in batches:
+        for batch in (b.slice(at, OUTPUT_ROWS) for b in batches for at in range(0, b.num_rows, OUTPUT_ROWS)):
             done = [read_page(text) for text in batch.column(position).to_pylist()]
             arrays = [batch.column(i) for i in range(batch.num_columns) if i != position]
             arrays.append(pa.array([rows for rows, _ in done], pa.list_(ARROW_ELEMENT)))
