@@ -90,6 +90,8 @@ def trailing_window(
     of a segment are also sent to the next one, so every segment is complete on its
     own and no task sees more than one segment of a key.
     """
+    if segment_rows < size:
+        raise ValueError("a segment must hold at least one whole window")
     indexed = row_index(df, order, keys, "_index")
     segment = F.floor(F.col("_index") / segment_rows)
     tail = F.col("_index") % segment_rows >= segment_rows - (size - 1)
@@ -109,8 +111,9 @@ def exact_percentiles(
     values then locate the two ranks each percentile needs. No task holds a key.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    counts = materialize(counts, "value-counts")
     ranked = running_totals(counts, [F.col(value).asc()], {"_n": "_upto"}, keys)
-    sizes = ranked.groupBy(*keys).agg(F.max("_upto").alias("_total"))
+    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     if keys:
         placed = join_null_safe(ranked, sizes, keys)
     else:
