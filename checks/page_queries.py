@@ -163,7 +163,7 @@ def text_clean_web(spark, folder):
 
 
 def catalog(spark, folder):
-    return views.spread(views.catalog_pages(spark, folder))
+    return views.catalog_pages(spark, folder)
 
 
 def catalog_parsed(spark, folder):

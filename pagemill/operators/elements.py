@@ -66,7 +66,9 @@ class TagReader(HTMLParser):
     def handle_starttag(self, tag, attrs):
         self.seq += 1
         found = {name: value or "" for name, value in attrs}
-        named = CONTENT_NAMES.intersection([*found.get("class", "").split(), found.get("id", "")])
+        named = ("class" in found or "id" in found) and CONTENT_NAMES.intersection(
+            [*found.get("class", "").split(), found.get("id", "")]
+        )
         data = tag == "script" and found.get("type") == JSON_LD
         keeps_text = tag in TEXT_TAGS or bool(named) or tag in PART_OF
         row = None

@@ -172,6 +172,6 @@ def catalog_pages(spark: SparkSession, folder: str) -> DataFrame:
     html = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces])
     url = F.concat(F.lit("https://www.Shop.example/items/"), key, F.lit(".html"))
     server = F.create_map(F.lit("server"), brand, F.lit("content-type"), F.lit("text/html"))
-    return table(spark, folder, "part").select(
+    return spread(table(spark, folder, "part")).select(
         F.col("p_partkey").alias("page_id"), url.alias("url"), server.alias("headers"), html.alias("html")
     )
