@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagemill.llm import simhash
+from pagemill.llm import bestfit, cutting_stock, simhash
 
 QUERIES, ORACLES = {}, {}
 
@@ -22,3 +22,19 @@ def _documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 def op1_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.near_groups(_documents(spark, folder, "doc_id", "text"))
     return groups.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op6_bestfit_matrices(spark: SparkSession, folder: str) -> DataFrame:
+    return bestfit.pack(_documents(spark, folder, "doc_id", "text"), _vocabulary())
+
+
+@query
+def op8_cutting_stock(spark: SparkSession, folder: str) -> DataFrame:
+    return cutting_stock.pack(_documents(spark, folder, "doc_id", "text"), _vocabulary())
