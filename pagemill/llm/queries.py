@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagemill.llm import bestfit, cutting_stock, simhash
+from pagemill.llm import bestfit, cutting_stock, hyperlang, simhash, sketch
 
 QUERIES, ORACLES = {}, {}
 
@@ -38,3 +38,13 @@ def op6_bestfit_matrices(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_cutting_stock(spark: SparkSession, folder: str) -> DataFrame:
     return cutting_stock.pack(_documents(spark, folder, "doc_id", "text"), _vocabulary())
+
+
+@query
+def op2_language_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    return hyperlang.identify(_documents(spark, folder, "doc_id", "text", "lang"))
+
+
+@query
+def op3_scaled_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    return sketch.compare_edited(_documents(spark, folder, "doc_id", "text"))
