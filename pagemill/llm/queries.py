@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagemill.llm import bestfit, cutting_stock, hyperlang, simhash, sketch
+from pagemill.llm import bestfit, cutting_stock, hyperlang, mixing, sharding, simhash, sketch
 
 QUERIES, ORACLES = {}, {}
 
@@ -48,3 +48,21 @@ def op2_language_profiles(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_scaled_sketch(spark: SparkSession, folder: str) -> DataFrame:
     return sketch.compare_edited(_documents(spark, folder, "doc_id", "text"))
+
+
+SHARDS = [f"shard-{i:03d}" for i in range(128)]
+
+
+@query
+def op4_permutation_shards(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder, "doc_id", "text", "source")
+    sized = docs.select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return sharding.assign(sized, ["doc_id"], SHARDS)
+
+
+@query
+def op7_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder, "doc_id", "text", "lang", "source")
+    levels = {"domain": mixing.domain_of(F.col("source")), "language": F.col("lang"), "origin": F.col("source")}
+    mixed = mixing.mix(docs, levels, share=1.0, weights={("domain0",): 2.0, (None, "en"): 2.0}, max_epochs=4.0, seed=7)
+    return mixed.select("doc_id", "domain", "language", "origin", "n_tokens", "copies")
