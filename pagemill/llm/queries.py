@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagemill.llm import bestfit, cutting_stock, hyperlang, mixing, sharding, simhash, sketch
+from pagemill.llm import bestfit, cutting_stock, hyperlang, mixing, personal, sharding, simhash, sketch
 
 QUERIES, ORACLES = {}, {}
 
@@ -66,3 +66,8 @@ def op7_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
     levels = {"domain": mixing.domain_of(F.col("source")), "language": F.col("lang"), "origin": F.col("source")}
     mixed = mixing.mix(docs, levels, share=1.0, weights={("domain0",): 2.0, (None, "en"): 2.0}, max_epochs=4.0, seed=7)
     return mixed.select("doc_id", "domain", "language", "origin", "n_tokens", "copies")
+
+
+@query
+def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.find(_documents(spark, folder, "doc_id", "text"))
