@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 DIMENSIONS = 1024
 PER_LANGUAGE = 1_500  # training documents per language at most, the smallest by a hash of their id
@@ -20,6 +20,7 @@ SLAB = 4_096  # trigrams whose vectors are held at once
 PIECE = 1 << 20  # code points read at a time
 SHARPNESS = 24.0  # turns cosines into shares
 SEED = 20_177
+UNKNOWN = "und"
 
 
 def _letter_vector(code: int, dimensions: int) -> np.ndarray:
@@ -120,8 +121,6 @@ def train(docs: DataFrame, training: Column, dimensions: int = DIMENSIONS, per_l
     """
     narrow = docs.filter(training & F.col("lang").isNotNull()).select("doc_id", "lang").distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    from pyspark.sql import Window
-
     ranked = narrow.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     sample = ranked.filter(F.col("r") <= per_language).select("doc_id", "lang").collect()
     if len({row["lang"] for row in sample}) > LANGUAGES:
@@ -181,9 +180,9 @@ def predict(docs: DataFrame, labels: list[str], prototypes: np.ndarray, keep: li
                     best = cosine.argmax(axis=1)
                     share = np.exp(SHARPNESS * (cosine - cosine.max(axis=1, keepdims=True)))
                     score = np.where(has, 1 / share.sum(axis=1), 0.0)
-                    names = [labels[i] if ok else "und" for i, ok in zip(best.tolist(), has.tolist())]
+                    names = [labels[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), has.tolist())]
                 else:
-                    names, score = ["und"] * len(texts), np.zeros(len(texts))
+                    names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 columns = [part.column(i) for i in range(part.num_columns) if i != part_text or text_stays]
                 yield pa.record_batch([*columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=out)
 
