@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagemill.llm import bestfit, cutting_stock, hyperlang, mixing, personal, sharding, simhash, sketch
+from pagemill.llm import bestfit, cutting_stock, hilbert, hyperlang, mixing, personal, sharding, simhash, sketch
 
 QUERIES, ORACLES = {}, {}
 
@@ -71,3 +71,9 @@ def op7_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal.find(_documents(spark, folder, "doc_id", "text"))
+
+
+@query
+def op9_hilbert_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+    return hilbert.search(vectors, F.col("vec_id") % 20 == 0)
