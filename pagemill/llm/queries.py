@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagemill.llm import bestfit, cutting_stock, hilbert, hyperlang, mixing, personal, sharding, simhash, sketch
+from pagemill.llm import bestfit, cutting_stock, hilbert, hyperlang, kneser_ney, mixing, personal, sharding, simhash, sketch
 
 QUERIES, ORACLES = {}, {}
 
@@ -77,3 +77,8 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 def op9_hilbert_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
     return hilbert.search(vectors, F.col("vec_id") % 20 == 0)
+
+
+@query
+def op5_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    return kneser_ney.score_folds(_documents(spark, folder, "doc_id", "text"))
