@@ -63,6 +63,15 @@ def _first_patterns(sizes: np.ndarray, demand: np.ndarray, room: int) -> np.ndar
     return np.array([np.bincount(row, minlength=len(sizes)) for row in sorted(rows)], dtype=float)
 
 
+def _refreshed(basis: np.ndarray, inverse: np.ndarray, use: np.ndarray, demand: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The inverse computed anew; the updated one where rounding has made the basis singular (a plan stays valid with it)."""
+    try:
+        inverse = np.linalg.inv(basis)
+    except np.linalg.LinAlgError:
+        return inverse, use
+    return inverse, np.maximum(inverse @ demand, 0)
+
+
 def fractional(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows) and how often each is used in a near-optimal solution of the linear program.
 
@@ -82,10 +91,13 @@ def fractional(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.nda
             if worth[entering] <= 1 + 1e-7 or use.sum() - bound <= GAP * bound:
                 break
             step = inverse @ pool[entering]
-            rising = step > 1e-9
+            rising = step > 1e-6
+            if not rising.any():
+                break
             ratio = np.where(rising, use / np.where(rising, step, 1), np.inf)
-            leaving = int(ratio.argmin())
-            amount = ratio[leaving]
+            amount = ratio.min()
+            tied = ratio <= amount * (1 + 1e-9) + 1e-12
+            leaving = int(np.where(tied, step, 0).argmax())  # the largest pivot keeps the basis well-conditioned
             use = np.maximum(use - amount * step, 0)
             use[leaving] = amount
             basis[:, leaving] = pool[entering]
@@ -93,8 +105,7 @@ def fractional(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.nda
             step[leaving] = 0
             inverse -= np.outer(step, inverse[leaving])
             if pivot % 100 == 99:
-                inverse = np.linalg.inv(basis)
-                use = np.maximum(inverse @ demand, 0)
+                inverse, use = _refreshed(basis, inverse, use, demand)
         prices = inverse.sum(axis=0)
         value, taken = _knapsack(sizes, prices, room)
         bound = max(bound, prices @ demand / max(value[room], 1.0))
@@ -103,8 +114,7 @@ def fractional(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.nda
         around = prices + value[room - sizes]
         firsts = [k for k in np.argsort(-around)[:TOGETHER].tolist() if around[k] > 1 + 1e-7]
         pool = np.vstack([pool, *[_pattern(sizes, taken, k, room)[None] for k in firsts]])
-    inverse = np.linalg.inv(basis)
-    return basis.T.astype(int), np.maximum(inverse @ demand, 0)
+    return basis.T.astype(int), _refreshed(basis, inverse, use, demand)[1]
 
 
 @dataclass

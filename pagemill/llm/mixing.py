@@ -117,7 +117,6 @@ def mix(
         "*", *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for n, c in levels.items()],
         (word_tokens(F.col("text")) if tokens is None else tokens).cast("long").alias("n_tokens"),
     )
-    epoch_key = lambda epoch: F.xxhash64(F.lit(seed), epoch, *[F.col(n) for n in names], F.col(id_col))
     bucket_of = lambda key: F.shiftrightunsigned(key, 64 - BUCKETS.bit_length() + 1)
     narrow = materialize(measured.select(*names, id_col, "n_tokens"), "mixing-lengths")
     leaves = narrow.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"))
@@ -131,7 +130,7 @@ def mix(
     planned = planned.withColumn("_need", F.col("budget") - F.col("_epochs") * F.col("tokens"))
     planned = materialize(planned, "mixing-plan")
     placed = narrow.join(planned.select(*names, "_epochs", "_need"), names)
-    placed = placed.withColumn("_key", epoch_key(F.col("_epochs"))).withColumn("_bucket", bucket_of(F.col("_key")))
+    placed = placed.withColumn("_key", F.xxhash64(F.lit(seed), "_epochs", *names, id_col)).withColumn("_bucket", bucket_of(F.col("_key")))
     sums = placed.groupBy(*names, "_bucket").agg(F.sum("n_tokens").alias("_tokens"), F.max("_need").alias("_need"))
     running = Window.partitionBy(*names).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_tokens").over(running), F.lit(0)))
@@ -150,10 +149,11 @@ def mix(
     for n in names:
         on = on & (measured[n] == renamed[f"_leaf_{n}"])
     joined = measured.join(renamed, on)
-    place = epoch_key(F.col("_epochs")).bitwiseXOR(F.lit(-(1 << 63)))
-    within = (place < F.col("_from")) | F.coalesce(place <= F.col("_cut"), F.lit(False))
-    copies = F.col("_epochs") + F.when(F.coalesce(within, F.lit(False)), 1).otherwise(0)
-    return joined.select(*[measured[c] for c in docs.columns], *names, "n_tokens", copies.cast("int").alias("copies"))
+    key = F.xxhash64(F.lit(seed), renamed["_epochs"], *[measured[n] for n in names], measured[id_col])
+    place = key.bitwiseXOR(F.lit(-(1 << 63)))
+    within = (place < renamed["_from"]) | F.coalesce(place <= renamed["_cut"], F.lit(False))
+    copies = renamed["_epochs"] + F.when(F.coalesce(within, F.lit(False)), 1).otherwise(0)
+    return joined.select(*[measured[c] for c in [*docs.columns, *names, "n_tokens"]], copies.cast("int").alias("copies"))
 
 
 def domain_of(source: Column, domains: int = 3) -> Column:

@@ -159,8 +159,10 @@ def _training_windows(docs: DataFrame) -> list[tuple[str, bytes]]:
     return [(r["text"], bytes(r["tags"])) for r in ordered.collect()]
 
 
-def train(docs: DataFrame, seed: int = 11) -> Tagger:
+def train(docs: DataFrame, seed: int = 11) -> Tagger | None:
     """A tagger from a bounded sample of the documents and as many made-up values set into their text."""
+    if not docs.head(1):
+        return None  # nothing to tag
     real = _training_windows(docs)
     r = np.random.default_rng(seed)
     plain = [t for t, tags in real if not any(tags)] or ["the quick brown fox jumps over the lazy dog and runs off again "]

@@ -287,6 +287,6 @@ def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
     stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = stay.groupBy(F.col("doc_id").alias("_stay")).agg(F.count("*").alias("_rows"))
     kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]))
-    single = kept.filter("_rows = 1").select(*[kept[c] for c in docs.columns])
-    repeated = kept.filter("_rows > 1").select(*[kept[c] for c in docs.columns])
+    single = kept.filter(stay["_rows"] == 1).select(*[docs[c] for c in docs.columns])
+    repeated = kept.filter(stay["_rows"] > 1).select(*[docs[c] for c in docs.columns])
     return single.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
