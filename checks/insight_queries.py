@@ -62,8 +62,8 @@ def outcome_split(spark, folder):
     return good.unionByName(bad)
 
 
-def crawl_records(spark, folder, profile="crawl"):
-    df = pg.extract(pq.corpus(spark, folder), profile)
+def crawl_records(spark, folder, profile="crawl", caps=None):
+    df = pg.extract(pq.corpus(spark, folder), profile, caps=caps)
     return df.withColumn("crawl_id", urls.domain(F.col("url")))
 
 
@@ -72,7 +72,7 @@ def crawl_summary(spark, folder):
 
 
 def crawl_summary_capped(spark, folder):
-    return crawl.crawl_summary(crawl_records(spark, folder, "basic"), capped=True)
+    return crawl.crawl_summary(crawl_records(spark, folder, "basic", pg.CAPS["basic"]), capped=True)
 
 
 def run_lists(spark, folder):

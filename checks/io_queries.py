@@ -10,7 +10,7 @@ from checks.page_queries import SQL_PAGES, SQL_PARAS
 from checks.text_queries import SPACE, SQL_SENTENCES, sql_clean
 from pagemill import schemas
 from pagemill.functions import text as tx
-from pagemill.operators import documents as docs, metrics as mx
+from pagemill.operators import documents as docs, lifecycle as life, listing, metrics as mx
 from pagemill.plans.stored import fresh_path
 from pagemill.sources import readers, views, writers
 from pagemill.streaming import flows
@@ -23,6 +23,27 @@ def page_scan(spark, folder):
     return corpus.select("page_id", "url", F.length("html").cast("long").alias("html_chars"))
 
 
+def html_file_scan(spark, folder):
+    """Every page as an HTML file of its own, read back whole."""
+    path = fresh_path(spark, "html")
+    pages = views.table(spark, folder, "pages").select(F.col("html").alias("value"), "page_id")
+    pages.repartition("page_id").write.partitionBy("page_id").text(path)
+    out = readers.page_corpus(spark, f"{path}/*/*.txt", html_files=True)
+    page = F.regexp_extract("url", "page_id=([0-9]+)", 1).cast("long")
+    return out.select(page.alias("page_id"), F.md5(F.regexp_replace("html", "\n$", "")).alias("html_md5"))
+
+
+def crawl_json_multiline(spark, folder):
+    """Crawl results pretty-printed, one object per file."""
+    pages = iq.crawl_records(spark, folder, "basic").select(F.col("page_id").alias("file"), "url", "title", "content_length")
+    page = F.struct("url", "title", "content_length")
+    text = F.to_json(F.struct(F.col("url").alias("base_url"), F.lit(1).alias("pages_scraped"), F.array(page).alias("pages")), {"pretty": "true"})
+    path = fresh_path(spark, "crawl-objects")
+    pages.select(text.alias("value"), "file").repartition("file").write.partitionBy("file").text(path)
+    out = readers.crawl_pages(readers.crawl_results(spark, f"{path}/*/*.txt"))
+    return out.select("base_url", "title", "content_length")
+
+
 def crawl_json_scan(spark, folder):
     """Crawl results of one page each, written as JSON and read back through the schema."""
     pages = iq.crawl_records(spark, folder, "basic").select(
@@ -141,9 +162,67 @@ def status_writeback(spark, folder):
     return writers.current_status(spark.read.schema(schemas.STATUS_EVENT).parquet(path)).select("id", "processing_status", "error")
 
 
+def processed_listing(spark, folder):
+    """One user's processed documents; every seventh document is theirs."""
+    sub = tq.documents(spark, folder).select(
+        F.col("doc_id").alias("id"), (F.col("doc_id") % 7).alias("user_id"), F.timestamp_seconds("doc_id").alias("created_at"), F.lit("").alias("url"),
+        F.get(tx.sentences(F.col("text")), F.lit(0)).alias("title"), tx.sentences(F.col("text")).alias("headings"),
+        F.array().cast("array<string>").alias("paragraphs"), "text",
+    )
+    out = listing.processed_listing(docs.clean_record(sub, content="text"), 3)
+    return out.select("id", "title", F.array_join("headings", "|").alias("headings"), "content_length", "headings_count", F.array_join(F.map_keys("meta"), "").alias("meta"))
+
+
+def export_listing(spark, folder):
+    """One user's exports, derived from the labels: toxic ones failed."""
+    bad = F.col("toxic") == 1
+    exports = views.table(spark, folder, "labels").select(
+        F.col("doc_id").alias("id"), (F.col("doc_id") % 5).alias("user_id"), F.when(F.col("quality") == 1, "csv").otherwise("json").alias("format"),
+        F.when(bad, "failed").otherwise("completed").alias("status"), (F.col("doc_id") * 2).alias("record_count"),
+        F.when(~bad, F.concat(F.lit("export_"), "doc_id")).alias("file_path"), F.timestamp_seconds("doc_id").alias("created_at"), F.when(bad, "disk full").alias("error"),
+    )
+    return listing.export_listing(exports, 2).drop("created_at")
+
+
+def _task_layout(spark, folder):
+    path = fresh_path(spark, "layout")
+    life.write_layout(views.tasks(spark, folder).select("task_id", "user_id", "status", "created_at"), path)
+    return path
+
+
+def layout_scan(spark, folder):
+    """Tasks stored by day and user, read back by both."""
+    back = spark.read.parquet(_task_layout(spark, folder))
+    return back.groupBy(F.col("day").cast("string").alias("day"), "user_id").agg(F.count("*").alias("tasks"))
+
+
+def retention_applied(spark, folder):
+    """Old failed tasks deleted from the stored layout."""
+    path, now = _task_layout(spark, folder), mq.clock(spark, folder)
+    life.expire(spark, path, life.expired_failure(now, 14))
+    return spark.read.parquet(path).select("task_id", "status")
+
+
 # --- streams -----------------------------------------------------------------
 
 
+def stream_restart(spark, folder):
+    """Three batches of documents, each handled by a new session of the flow on the same folder."""
+    df, path = views.table(spark, folder, "documents").select("doc_id", "text"), fresh_path(spark, "restart")
+    for batch_id in range(3):
+        flows.SeenTexts(spark, "doc_id", path).update(df.filter(F.col("doc_id") % 3 == batch_id), batch_id)
+    return flows.SeenTexts(spark, "doc_id", path).table().select("doc_id", "text_hash", "is_duplicate")
+
+
+def stream_states_restart(spark, folder):
+    """Task states over many batches, the last one twice, with a restart before each."""
+    events, path = views.task_events(spark, folder), fresh_path(spark, "states-restart")
+    for batch_id in [*range(18), 17]:
+        flows.TaskStates(spark, path).update(events.filter(F.pmod(F.xxhash64("sequence"), F.lit(18)) == batch_id), batch_id)
+    return micros(flows.TaskStates(spark, path).table(), "updated_at", "completed_at")
+
+
+
 def table_stream(spark, folder, name, schema):
     """A table as a stream, whether it is one file or a folder of files (hence the glob)."""
     return flows.read_folder(spark, f"{folder}/{name}.parque[t]", schema)
@@ -220,7 +299,9 @@ def stream_ingest(spark, folder):
 
 
 QUERIES = {
-    "page_scan": page_scan, "crawl_json_scan": crawl_json_scan, "export_rows": export_rows, "csv_export": csv_export,
+    "page_scan": page_scan, "html_file_scan": html_file_scan, "crawl_json_scan": crawl_json_scan, "crawl_json_multiline": crawl_json_multiline,
+    "processed_listing": processed_listing, "export_listing": export_listing, "layout_scan": layout_scan, "retention_applied": retention_applied,
+    "stream_restart": stream_restart, "stream_states_restart": stream_states_restart, "export_rows": export_rows, "csv_export": csv_export,
     "json_export": json_export, "export_manifest": export_manifest, "metric_append": metric_append, "log_scan": log_scan,
     "compressed_output": compressed_output, "submissions": submissions, "status_writeback": status_writeback,
     "stream_rollup": stream_rollup, "stream_alerts": stream_alerts, "stream_recent": stream_recent,
@@ -232,7 +313,7 @@ SQL_CLEANED = f"""
     x AS (SELECT doc_id, text, {SQL_SENTENCES} AS sents FROM documents),
     y AS (SELECT doc_id, text, coalesce({sql_clean('sents[1]')}, '') AS title,
             list_filter(list_transform(sents, lambda v: {sql_clean('v')}), lambda v: length(v) > 3) AS heads FROM x),
-    ex AS (SELECT -l.doc_id AS position, 'https://docs.example/' || y.doc_id AS url, title, heads[1:10] AS heads, text
+    ex AS (SELECT -l.doc_id AS position, 'https://docs.example/' || y.doc_id AS url, title, heads, text
            FROM labels l JOIN y ON y.doc_id = l.doc_id * 2)"""
 PROBLEMS = ["''", "'malformed JSON'", "'missing title'", "'missing headings'", "'invalid URL'", "'malformed JSON'"]
 SQL_PROBLEM = f"[{', '.join(PROBLEMS)}][doc_id % {KINDS} + 1]"
@@ -243,9 +324,21 @@ SQL_SUBMITTED = f"""
 
 ORACLES = {
     "page_scan": "SELECT page_id, url, CAST(length(html) AS BIGINT) AS html_chars FROM pages",
+    "html_file_scan": "SELECT page_id, md5(rtrim(html, chr(10))) AS html_md5 FROM pages",
+    "crawl_json_multiline": f"WITH {SQL_PAGES} SELECT url AS base_url, {tq.sql_strip('title')} AS title, CAST(length(html) AS BIGINT) AS content_length FROM pg",
+    "processed_listing": f"""WITH {SQL_CLEANED} SELECT doc_id AS id, title, array_to_string(heads, '|') AS headings, CAST(length(text) AS BIGINT) AS content_length,
+        CAST(len(heads) AS BIGINT) AS headings_count, '' AS meta FROM y WHERE doc_id % 7 = 3""",
+    "export_listing": """SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'csv' ELSE 'json' END AS format, CASE WHEN toxic = 1 THEN 'failed' ELSE 'completed' END AS status,
+        doc_id * 2 AS record_count, CASE WHEN toxic = 0 THEN 'export_' || doc_id END AS file_path, CASE WHEN toxic = 1 THEN 'disk full' END AS error FROM labels WHERE doc_id % 5 = 2""",
+    "layout_scan": f"WITH {mq.SQL_TASKS} SELECT CAST(created_at::DATE AS VARCHAR) AS day, user_id, count(*) AS tasks FROM tasks GROUP BY 1, 2",
+    "retention_applied": mq.ORACLES["retained_tasks"],
+    "stream_restart": """WITH d AS (SELECT doc_id, md5(text) AS text_hash, doc_id % 3 AS part FROM documents),
+        f AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_hash ORDER BY part, doc_id) AS first FROM d)
+        SELECT doc_id, text_hash, doc_id <> first AS is_duplicate FROM f""",
+    "stream_states_restart": mq.ORACLES["latest_state"],
     "crawl_json_scan": f"""WITH {SQL_PAGES}, {SQL_PARAS}, np AS (SELECT page_id, count(*) AS n FROM basic GROUP BY page_id)
         SELECT {tq.sql_strip('title')} AS title, count(*) AS pages, CAST(sum(length(html)) AS BIGINT) AS content_length,
-          CAST(sum(least(50, coalesce(n, 0))) AS BIGINT) AS paragraphs FROM pg LEFT JOIN np USING (page_id) GROUP BY 1""",
+          CAST(sum(coalesce(n, 0)) AS BIGINT) AS paragraphs FROM pg LEFT JOIN np USING (page_id) GROUP BY 1""",
     "export_rows": f"WITH {SQL_CLEANED} SELECT position, url, title, array_to_string(heads, '|') AS headings, CAST(length(text) AS BIGINT) AS content_length FROM ex",
     "csv_export": f"WITH {SQL_CLEANED} SELECT position, url, title, CAST(to_json(heads) AS VARCHAR) AS headings FROM ex",
     "json_export": f"WITH {SQL_CLEANED} SELECT position, url, title, CAST(to_json(heads) AS VARCHAR) AS headings FROM ex",

@@ -105,6 +105,17 @@ def histogram(spark, folder):
     return mx.histogram(views.tasks(spark, folder), "duration", 0.0, 100.0, 20)
 
 
+def time_series_raw(spark, folder):
+    return micros(mx.time_series(views.events(spark, folder), "ts", "value"), "timestamp")
+
+
+def heatmap_other(spark, folder):
+    """Values of y that are not listed go to a column of their own."""
+    df = views.events(spark, folder).withColumn("shard", F.col("user_id") % 4)
+    out = mx.heatmap(df, "event_type", "shard", "value", [0, 1], other="rest").toDF("event_type", "y0", "y1", "rest")
+    return rounded(out, "y0", "y1", "rest")
+
+
 def heatmap(spark, folder):
     df = views.events(spark, folder).withColumn("shard", F.col("user_id") % 4)
     out = mx.heatmap(df, "event_type", "shard", "value", [0, 1, 2, 3])
@@ -282,6 +293,7 @@ QUERIES = {
     "response_pct": response_pct, "response_pct_by_status": response_pct_by_status, "rates": rates,
     "task_window": task_window, "task_window_daily": task_window_daily, "system_stats": system_stats,
     "trend": trend, "time_series": time_series, "histogram": histogram, "heatmap": heatmap,
+    "time_series_raw": time_series_raw, "heatmap_other": heatmap_other,
     "perf_summary": perf_summary, "health": health, "active_tasks": active, "hit_rate": hit_rate,
     "cache_health": cache_health, "batch_assign": batch_assign, "batch_stats": batch_stats,
     "batch_running": batch_running, "request_durations": request_durations,
@@ -350,6 +362,10 @@ ORACLES = {
     "time_series": f"WITH {SQL_SYSTEM} SELECT epoch_us(date_trunc('hour', ts)) AS timestamp, {r('avg(cpu)')} AS value, count(*) AS points FROM sys GROUP BY 1",
     "histogram": """SELECT CAST(CASE WHEN value < 0 THEN 0 WHEN value >= 100 THEN 21 ELSE floor(value / 100 * 20) + 1 END AS BIGINT) AS bin,
         count(*) AS rows FROM events GROUP BY 1""",
+    "time_series_raw": "SELECT epoch_us(ts) AS timestamp, value FROM events",
+    "heatmap_other": "SELECT event_type, " + ", ".join(
+        r(f"coalesce(avg(value) FILTER (WHERE {c}), 0.0)") + f" AS {n}" for n, c in (("y0", "user_id % 4 = 0"), ("y1", "user_id % 4 = 1"), ("rest", "user_id % 4 > 1"))
+    ) + " FROM events GROUP BY 1",
     "heatmap": "SELECT event_type, " + ", ".join(
         r(f"coalesce(avg(value) FILTER (WHERE user_id % 4 = {y}), 0.0)") + f" AS y{y}" for y in range(4)
     ) + " FROM events GROUP BY 1",

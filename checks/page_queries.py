@@ -40,6 +40,13 @@ def url_normalize(spark, folder):
     return raw(spark, folder).select("page_id", urls.normalize_url(F.col("url")).alias("normalized"))
 
 
+def url_normalize_bare(spark, folder):
+    """URLs as people type them: no scheme, mixed case, ``www.``."""
+    host = F.concat(F.lit("WWW."), F.initcap(F.parse_url("url", F.lit("HOST"))))
+    bare = F.concat(host, F.regexp_replace("url", "^[a-z]+://[^/?#]*", ""))
+    return raw(spark, folder).select("page_id", urls.normalize_url(bare).alias("normalized"))
+
+
 def url_valid(spark, folder):
     url = F.col("url")
     return raw(spark, folder).select(
@@ -144,7 +151,7 @@ def page_counts(spark, folder):
 
 
 def page_caps(spark, folder):
-    out = pg.extract(corpus(spark, folder), "crawl")
+    out = pg.extract(corpus(spark, folder), "crawl", caps=pg.CAPS["crawl"])
     return out.select(
         "page_id", "links_count", "paragraphs_count", F.size("links").cast("long").alias("links_kept"),
         F.size("paragraphs").cast("long").alias("paragraphs_kept"),
@@ -245,7 +252,7 @@ def catalog_record(spark, folder):
 
 
 QUERIES = {
-    "url_normalize": url_normalize, "url_valid": url_valid, "url_exclude": url_exclude, "url_parts": url_parts,
+    "url_normalize": url_normalize, "url_normalize_bare": url_normalize_bare, "url_valid": url_valid, "url_exclude": url_exclude, "url_parts": url_parts,
     "url_resolve": url_resolve, "url_default_scheme": url_default_scheme, "page_elements": page_elements,
     "page_title": page_title, "page_headings": page_headings, "page_headings_enhanced": page_headings_enhanced,
     "page_paragraphs": page_paragraphs, "page_paragraphs_enhanced": page_paragraphs_enhanced,
@@ -343,6 +350,7 @@ RESOLVED = [
 
 ORACLES = {
     "url_normalize": f"WITH {SQL_PAGES} SELECT page_id, normalized FROM nm",
+    "url_normalize_bare": f"WITH {SQL_PAGES} SELECT page_id, 'https://' || host || CASE WHEN rtrim(path, '/') = '' THEN '/' ELSE rtrim(path, '/') END || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS normalized FROM pg",
     "url_valid": f"WITH {SQL_PAGES} SELECT page_id, scheme IN ('http', 'https') AND host <> '' AS valid, nhost = 'cheap-pills.example.com' AS on_domain, false AS bare_valid FROM nm",
     "url_exclude": """SELECT page_id, regexp_matches(url || ['', '.pdf', '.PNG', '.tar.gz', '.html', '.mp3', '.docx'][page_id % 7 + 1],
         '(?i)(\\.(pdf|docx?|xlsx?|pptx?|zip|rar|tar\\.gz|exe|dmg|mp[34]|avi|mov|wmv|flv|jpe?g|png|gif|bmp|svg)$|mailto:|tel:|ftp:|javascript:)') AS excluded FROM pages""",
@@ -374,7 +382,7 @@ ORACLES = {
     "page_main_content": f"""WITH {SQL_PAGES}, {SQL_PARAS}, m AS (SELECT page_id, {web_clean(plain('article'))} AS text FROM pg),
         fb AS (SELECT page_id, string_agg(clean, ' ' ORDER BY pos) AS text FROM rich WHERE pos < 5 GROUP BY page_id),
         x AS (SELECT page_id, CASE WHEN m.text <> '' THEN m.text ELSE coalesce(fb.text, '') END AS text FROM m LEFT JOIN fb USING (page_id))
-        SELECT page_id, text[1:1000] AS main_content, CAST(length(text) AS BIGINT) AS text_length FROM x""",
+        SELECT page_id, text AS main_content, CAST(length(text) AS BIGINT) AS text_length FROM x""",
     "page_quality": f"""WITH {SQL_PAGES}, {SQL_PARAS}, m AS (SELECT page_id, html, title, h1, {web_clean(plain('article'))} AS text FROM pg),
         n AS (SELECT page_id, count(*) AS np FROM rich GROUP BY page_id),
         x AS (SELECT m.page_id, length({web_clean('title')}) AS tl, length(text) AS n, length(html) AS h, coalesce(np, 0) AS np,
@@ -384,7 +392,7 @@ ORACLES = {
           + CASE WHEN n::DOUBLE / h > 0.1 THEN 0.1::DOUBLE WHEN n::DOUBLE / h > 0.05 THEN 0.05 ELSE 0 END)''')} AS quality_score FROM x""",
     "page_counts": f"""WITH {SQL_PAGES}, {SQL_PARAS}, n AS (SELECT page_id, count(*) AS np FROM basic GROUP BY page_id)
         SELECT page_id, CAST(length(html) AS BIGINT) AS content_length, 1::BIGINT AS headings_count, coalesce(np, 0) AS paragraphs_count,
-          0::BIGINT AS links_count, 0::BIGINT AS images_count, least(50, coalesce(np, 0)) AS paragraphs_kept FROM pg LEFT JOIN n USING (page_id)""",
+          0::BIGINT AS links_count, 0::BIGINT AS images_count, coalesce(np, 0) AS paragraphs_kept FROM pg LEFT JOIN n USING (page_id)""",
     "page_caps": f"""WITH {SQL_PAGES}, {SQL_PARAS}, {SQL_LINKS}, n AS (SELECT page_id, count(*) AS np FROM basic GROUP BY page_id),
         k AS (SELECT page_id, count(*) FILTER (WHERE starts_with(href, '/') AND {sql_strip('text')} <> '') AS nl FROM hrefs GROUP BY page_id)
         SELECT page_id, coalesce(nl, 0) AS links_count, coalesce(np, 0) AS paragraphs_count, least(30, coalesce(nl, 0)) AS links_kept,

@@ -371,7 +371,7 @@ ORACLES = {
             list_filter(list_transform(lines, lambda v: {sql_clean('v')}), lambda v: length(v) > 20) AS paras
           FROM x)
         SELECT doc_id, 'https://docs.example/' || doc_id AS url, title,
-          array_to_string(heads[1:10], '|') AS headings, array_to_string(paras[1:20], '|') AS paragraphs,
+          array_to_string(heads, '|') AS headings, array_to_string(paras, '|') AS paragraphs,
           CAST(length(text) AS BIGINT) AS content_length, CAST(len(heads) AS BIGINT) AS headings_count,
           CAST(len(paras) AS BIGINT) AS paragraphs_count
         FROM y""",

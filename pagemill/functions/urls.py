@@ -53,15 +53,15 @@ def normalize_url(url: Column) -> Column:
 
     def build(p: Column) -> Column:
         path = F.regexp_replace(p["path"], r"/+$", "")
-        # A bare "host/x" gets its host back instead of an authority-less https URL.
+        # A bare "Host/x" gets its host back, and is treated like one with a scheme.
         bare = (p["scheme"] == "") & (p["netloc"] == "") & ~F.startswith(p["path"], F.lit("/")) & (path != "")
-        with_root = F.when(path == "", F.lit("/")).otherwise(path)
-        usual = _join(
+        host = F.when(bare, F.substring_index(path, "/", 1)).otherwise(p["netloc"])
+        rest = F.when(bare, F.substr(path, F.length(F.substring_index(path, "/", 1)) + 1)).otherwise(path)
+        with_root = F.when(rest == "", F.lit("/")).otherwise(rest)
+        return _join(
             F.when(p["scheme"] == "", F.lit("https")).otherwise(p["scheme"]),
-            _without_www(F.lower(p["netloc"])), with_root, p["params"], p["query"],
+            _without_www(F.lower(host)), with_root, p["params"], p["query"],
         )
-        query = F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise("")
-        return F.when(bare, F.concat(F.lit("https://"), path, p["params"], query)).otherwise(usual)
 
     return let(split_url(strip(url)), build)
 

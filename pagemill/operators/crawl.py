@@ -59,9 +59,10 @@ def bounded_crawl(links: DataFrame, seeds: DataFrame, max_pages: int, depth: int
     first = seeds.select("crawl_id", F.lit(0).alias("position"), "url")
     if depth < 2 or max_pages < 2:
         return first
-    found = seeds.join(links, seeds["url"] == links["src"]).select("crawl_id", "url", "dst", "link_seq")
-    own = found.filter((F.col("dst") != F.col("url")) & (urls.domain(F.col("dst")) == urls.domain(F.col("url"))))
-    once = own.groupBy("crawl_id", "dst").agg(F.min("link_seq").alias("link_seq"))
+    # A page stored several times has its links once, so a join makes no row per copy and link.
+    own = links.filter((F.col("dst") != F.col("src")) & (urls.domain(F.col("dst")) == urls.domain(F.col("src"))))
+    own = own.groupBy("src", "dst").agg(F.min("link_seq").alias("link_seq"))
+    once = seeds.distinct().join(own, seeds["url"] == own["src"]).groupBy("crawl_id", "dst").agg(F.min("link_seq").alias("link_seq"))
     order = Window.partitionBy("crawl_id").orderBy("link_seq", "dst")
     ranked = once.withColumn("position", F.row_number().over(order)).filter(F.col("position") < max_pages)
     return first.unionByName(ranked.select("crawl_id", "position", F.col("dst").alias("url")))

@@ -102,8 +102,14 @@ def full_analysis(df: DataFrame, key: str, text: str = "text", as_of: Column | N
     return joined.withColumn("duplicate_score", F.coalesce("duplicate_score", none))
 
 
-def clean_record(df: DataFrame, content: str | None = None, as_of: Column | None = None) -> DataFrame:
-    """Submitted documents cleaned for storage; counts are taken after filtering, before capping."""
+def clean_record(
+    df: DataFrame,
+    content: str | None = None,
+    as_of: Column | None = None,
+    max_headings: int | None = None,
+    max_paragraphs: int | None = None,
+) -> DataFrame:
+    """Submitted documents cleaned for storage, whole unless limits are given; counts are those before any limit."""
     heads = F.filter(F.transform(F.col("headings"), tx.clean_for_storage), lambda h: F.length(h) > 3)
     paras = F.filter(F.transform(F.col("paragraphs"), tx.clean_for_storage), lambda p: F.length(p) > 20)
     empty = F.array().cast("array<string>")
@@ -115,8 +121,8 @@ def clean_record(df: DataFrame, content: str | None = None, as_of: Column | None
         *keys,
         F.coalesce("url", F.lit("")).alias("url"),
         tx.clean_for_storage(F.col("title")).alias("title"),
-        F.slice("_heads", 1, 10).alias("headings"),
-        F.slice("_paras", 1, 20).alias("paragraphs"),
+        (F.slice("_heads", 1, max_headings) if max_headings else F.col("_heads")).alias("headings"),
+        (F.slice("_paras", 1, max_paragraphs) if max_paragraphs else F.col("_paras")).alias("paragraphs"),
         meta.alias("meta"),
         (as_of if as_of is not None else F.current_timestamp()).alias("processed_at"),
         length.cast("long").alias("content_length"),

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagemill import fixed_values as fixed
+from pagemill.plans.stored import delete_folder, materialize
 
 
 def expired_before(column: str, as_of: datetime, days: int) -> Column:
@@ -36,16 +37,25 @@ def retention_counts(tables: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def drop_expired_days(df: DataFrame, folder: str, time: str, as_of: datetime, days: int) -> None:
-    """Rewrite only the day that the cutoff splits, in a table laid out by ``day``.
+def expire(spark: SparkSession, folder: str, expired: Column) -> None:
+    """Delete the rows of a table laid out by ``day`` for which ``expired`` holds.
 
-    Dynamic partition overwrite leaves newer days alone; whole older days are
-    directories to drop. ``df`` must not be read from ``folder`` itself.
+    One pass over the columns of the condition counts each day. Days without a row to keep are dropped as folders;
+    days that the rule splits are rewritten, from a copy stored before anything is replaced; others are not touched.
     """
-    cutoff = as_of - timedelta(days=days)
-    split_day = df.filter(F.to_date(time) == F.lit(cutoff.date())).filter(F.col(time) >= F.lit(cutoff))
-    writer = split_day.withColumn("day", F.to_date(time)).write.mode("overwrite").partitionBy("day")
-    writer.option("partitionOverwriteMode", "dynamic").parquet(folder)
+    table = spark.read.parquet(folder)
+    gone = F.coalesce(expired, F.lit(False))
+    counts = table.groupBy("day").agg(F.count_if(gone).alias("gone"), F.count("*").alias("rows"))
+    hit = counts.filter("gone > 0").select(F.col("day").cast("string").alias("day"), "gone", "rows").collect()  # a row per day
+    split = [r["day"] for r in hit if r["gone"] < r["rows"]]
+    if split:
+        chosen = F.coalesce(F.col("day").cast("string"), F.lit("")).isin([d or "" for d in split])
+        kept = materialize(table.filter(chosen & ~gone), "kept")
+        writer = kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day")
+        writer.parquet(folder)
+    for r in hit:
+        if r["gone"] == r["rows"]:
+            delete_folder(spark, f"{folder.rstrip('/')}/day={r['day'] or '__HIVE_DEFAULT_PARTITION__'}")
 
 
 def unique_violations(df: DataFrame, key: str, name: str | None = None) -> DataFrame:

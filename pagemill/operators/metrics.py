@@ -162,9 +162,16 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
     return df.filter(F.col(value).isNotNull()).groupBy(bin_.cast("long").alias("bin")).agg(F.count("*").alias("rows"))
 
 
-def heatmap(df: DataFrame, x: str, y: str, value: str, columns: list) -> DataFrame:
-    """Mean of ``value`` for x by y, 0 where there is no row; ``columns`` lists the values of y."""
-    return df.groupBy(x).pivot(y, columns).agg(F.avg(value)).na.fill(0.0)
+def heatmap(df: DataFrame, x: str, y: str, value: str, columns: list, other: str | None = None) -> DataFrame:
+    """Mean of ``value`` for x by y, 0 where there is no row; ``columns`` lists the values of y.
+
+    Values of y that are not listed, null included, go to the column ``other``; without one they are an error.
+    """
+    listed = F.col(y).isin(*columns)
+    stray = F.lit(other) if other else F.raise_error(F.concat(F.lit(f"{y} has a value that is not listed: "), F.coalesce(F.col(y).cast("string"), F.lit("null"))))
+    named = df.withColumn(y, F.when(listed, F.col(y).cast("string")).otherwise(stray))
+    wanted = [str(c) for c in columns] + ([other] if other else [])
+    return named.groupBy(x).pivot(y, wanted).agg(F.avg(value)).na.fill(0.0)
 
 
 def health(df: DataFrame, error_rate: str = "error_rate") -> DataFrame:

@@ -5,7 +5,7 @@ whole extraction is a map over the corpus. ``profile`` selects the rule set:
 
 * ``basic``     level-ordered headings, absolute links only
 * ``api``       document order, link text required, extended metadata
-* ``crawl``     as ``api`` with smaller caps
+* ``crawl``     as ``api``
 * ``enhanced``  boilerplate removed, cleaned and filtered text, normalised links
 """
 
@@ -18,8 +18,10 @@ from pagemill.functions import urls
 from pagemill.functions.common import SPACE, let, squeeze, strip, word_count
 from pagemill.operators.elements import JSON_LD, with_elements
 
-# headings, paragraphs, links, images kept per page
-CAPS = {"basic": (20, 50, 100, 50), "api": (20, 20, 50, 20), "crawl": (15, 15, 30, 15), "enhanced": None}
+PROFILES = ("basic", "api", "crawl", "enhanced")
+# Response limits per profile, for callers that want them: headings, paragraphs, links, images kept per page.
+CAPS = {"basic": (20, 50, 100, 50), "api": (20, 20, 50, 20), "crawl": (15, 15, 30, 15)}
+CONTENT_CAP, LINK_TEXT_CAP = 1000, 100  # characters of main content (enhanced) and of a link's text (basic)
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 TEXTS = "array<string>"
 
@@ -45,6 +47,10 @@ def _body(element: Column) -> Column:
     return F.coalesce(element["body_text"], element["text"], F.lit(""))
 
 
+def _cut(text: Column, cap: int | None) -> Column:
+    return text if cap is None else F.substring(text, 1, cap)
+
+
 def _first(elements: Column) -> Column:
     return F.get(elements, F.lit(0))
 
@@ -151,13 +157,13 @@ def _first_by_url(rows: Column) -> Column:
     return F.transform(F.sort_array(kept), lambda s: s["row"])
 
 
-def links(elements: Column, base: Column, profile: str) -> Column:
+def links(elements: Column, base: Column, profile: str, text_cap: int | None = None) -> Column:
     found = F.filter(_tagged(elements, "a"), lambda e: _attr(e, "href") != "")
     if profile == "basic":
         absolute = F.filter(found, lambda e: F.startswith(_attr(e, "href"), F.lit("http")))
         return F.transform(
             absolute,
-            lambda e: F.struct(_attr(e, "href").alias("url"), F.substring(strip(e["text"]), 1, 100).alias("text")),
+            lambda e: F.struct(_attr(e, "href").alias("url"), _cut(strip(e["text"]), text_cap).alias("text")),
         )
     if profile == "enhanced":
         # "#..." and blank references lead nowhere
@@ -332,14 +338,21 @@ def quality_score(title_: Column, text_length: Column, n_headings: Column, n_par
 
 
 def extract(
-    pages: DataFrame, profile: str = "enhanced", drop_boilerplate: bool | None = None, as_of: Column | None = None
+    pages: DataFrame,
+    profile: str = "enhanced",
+    drop_boilerplate: bool | None = None,
+    as_of: Column | None = None,
+    caps: tuple[int, int, int, int] | None = None,
+    text_cap: int | None = None,
 ) -> DataFrame:
     """Page records of a (.., url, html) corpus under one profile.
 
-    ``drop_boilerplate`` defaults to the profile's rule. Optional columns ``headers``
-    (map), ``status_code`` are used when present; other columns pass through.
+    Records are whole. ``caps`` (such as ``CAPS[profile]``) limits the headings, paragraphs, links and images
+    of a record, and ``text_cap`` the characters of main content (enhanced) or of a link's text (basic); counts
+    and scores are those of the whole page either way. ``drop_boilerplate`` defaults to the profile's rule. Optional columns
+    ``headers`` (map), ``status_code`` are used when present; other columns pass through.
     """
-    if profile not in CAPS:
+    if profile not in PROFILES:
         raise ValueError(f"unknown profile {profile!r}")
     enhanced = profile == "enhanced"
     drop = enhanced if drop_boilerplate is None else drop_boilerplate
@@ -355,7 +368,7 @@ def extract(
         "title": title(every, profile),
         "headings": headings(body, profile),
         "paragraphs": paragraphs(body, profile),
-        "links": links(body, base, profile),
+        "links": links(body, base, profile, text_cap),
         "images": images(body, base, profile),
         "meta": meta(every, profile),
     }
@@ -365,8 +378,11 @@ def extract(
         columns["json_ld"] = json_ld(every)
     if profile in ("api", "crawl"):
         columns["attributes"] = document_attributes(every, base)
-        if "headers" in pages.columns:
-            columns["http_headers"] = response_headers(F.col("headers"))
+    if profile != "basic" and "headers" in pages.columns:
+        columns["http_headers"] = response_headers(F.col("headers"))
+        if enhanced:
+            columns["content_type"] = columns["http_headers"]["content_type"]
+            columns["last_modified"] = columns["http_headers"]["last_modified"]
     if enhanced:
         columns["videos"] = videos(body, base)
         columns["lists"] = lists(body)
@@ -374,11 +390,13 @@ def extract(
     out = parsed.withColumns(columns)
     if enhanced:
         out = out.withColumn("main_content", main_content(body, F.col("paragraphs")))
-    out = _counted(out, profile, as_of).drop("elements", "_body", "headers")
+    out = _counted(out, profile, as_of, caps, text_cap).drop("elements", "_body", "headers")
     return out.drop("_base")
 
 
-def _counted(df: DataFrame, profile: str, as_of: Column | None) -> DataFrame:
+def _counted(
+    df: DataFrame, profile: str, as_of: Column | None, caps: tuple[int, int, int, int] | None, text_cap: int | None
+) -> DataFrame:
     sized = ["headings", "paragraphs", "links", "images"]
     if profile == "enhanced":
         sized += ["videos", "lists", "tables"]
@@ -387,9 +405,10 @@ def _counted(df: DataFrame, profile: str, as_of: Column | None) -> DataFrame:
     if profile == "enhanced":
         counts["text_length"] = F.length("main_content").cast("long")
         counts["original_url"] = F.col("url")
+    kept = {c: F.slice(c, 1, cap) for c, cap in zip(sized, caps)} if caps else {}
     out = df.withColumns(counts)
-    if CAPS[profile]:
-        return out.withColumns({c: F.slice(c, 1, cap) for c, cap in zip(sized, CAPS[profile])})
+    if profile != "enhanced":
+        return out.withColumns(kept)
     score = quality_score(
         F.col("title"), F.col("text_length"), F.col("headings_count"), F.col("paragraphs_count"), F.col("content_length")
     )
@@ -399,7 +418,8 @@ def _counted(df: DataFrame, profile: str, as_of: Column | None) -> DataFrame:
             "domain": urls.domain(F.col("_base")),
             "path": urls.path(F.col("_base")),
             "quality_score": score,
-            "main_content": F.substring("main_content", 1, 1000),
+            "main_content": _cut(F.col("main_content"), text_cap),
+            **kept,
         }
     )
 

@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one is made only where none is configured."""
+    """The cluster's shared folder. Only a local master may go without one, and gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="pagemill-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -30,18 +32,31 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{_session_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder this session made."""
-    if not path.startswith(_session_folder(spark) + "/"):
-        return
+def _file_system(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any file system; one that is not there is fine."""
+    target, system = _file_system(spark, path)
+    system.delete(target, True)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names inside a folder; none where there is no folder."""
+    target, system = _file_system(spark, path)
+    return sorted(s.getPath().getName() for s in system.listStatus(target)) if system.exists(target) else []
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target, system = _file_system(spark, path)
+    return system.exists(target)
 
 
 def release(spark: SparkSession) -> None:
     """Delete all intermediates of this session; DataFrames built on them end here."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    delete_folder(spark, _session_folder(spark))
 
 
 def materialize(df: DataFrame, label: str = "part") -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, ty
 
 from pagemill import schemas
 from pagemill.functions.common import unnest
+from pagemill.plans.stored import delete_folder
 
 NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
-GZIP_ABOVE = 10  # rows: larger answers are compressed
 
 
 def flat_text(df: DataFrame) -> DataFrame:
@@ -30,13 +30,13 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists", **options:
     df.write.mode(mode).options(ignoreNullFields=False, **options).json(path)
 
 
+STATUS_ORDER = ["pending", "processing", "completed", "failed"]
 WRITERS = {"csv": write_csv, "json": write_json}
 
 
-def compressed_json(df: DataFrame, path: str) -> None:
-    """JSON lines, gzipped when there are more than ten rows; reads no more than that to decide."""
-    large = df.limit(GZIP_ABOVE + 1).count() > GZIP_ABOVE
-    write_json(df, path, compression="gzip" if large else "none")
+def compressed_json(df: DataFrame, path: str, codec: str = "gzip") -> None:
+    """JSON lines, compressed as the caller says (``none`` for plain files); the input is computed once."""
+    write_json(df, path, compression=codec)
 
 
 def gather(wanted: DataFrame, processed: DataFrame) -> DataFrame:
@@ -70,6 +70,7 @@ def export(
             rows = seen.get["rows"]
         except Exception as problem:  # reported in the manifest, as any export outcome is
             error = f"{type(problem).__name__}: {problem}"
+            delete_folder(spark, path)
     row = (
         export_id, str(user_id), fmt, rows, None if error else path, as_of or datetime.now(timezone.utc),
         "failed" if error else "completed", error,
@@ -91,11 +92,18 @@ def status_events(documents: DataFrame, status: str, at, error=None) -> DataFram
 
 
 def current_status(events: DataFrame) -> DataFrame:
-    """The newest status per id; an earlier error stays until overwritten."""
-    return events.groupBy("id").agg(
-        F.max_by("processing_status", "updated_at").alias("processing_status"),
-        F.max("updated_at").alias("updated_at"),
-        F.max_by("error", F.when(F.col("error").isNotNull(), F.col("updated_at"))).alias("error"),
+    """The newest status per id; an earlier error stays until overwritten.
+
+    Of equal times the status further along wins (pending, processing, completed, failed, others by name), and of
+    equal errors' times the last error by text.
+    """
+    place = F.array_position(F.array(*[F.lit(s) for s in STATUS_ORDER]), F.coalesce("processing_status", F.lit("")))
+    newest = F.max(F.struct("updated_at", F.when(place == 0, len(STATUS_ORDER) + 1).otherwise(place).alias("place"), "processing_status"))
+    failed = F.max(F.when(F.col("error").isNotNull(), F.struct("updated_at", "error")))
+    grouped = events.groupBy("id").agg(newest.alias("_newest"), failed.alias("_failed"))
+    return grouped.select(
+        "id", F.col("_newest.processing_status").alias("processing_status"), F.col("_newest.updated_at").alias("updated_at"),
+        F.col("_failed.error").alias("error"),
     )
 
 

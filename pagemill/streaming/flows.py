@@ -7,11 +7,12 @@ there is and stops. Output and checkpoints go to folders, never to the driver.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from pagemill.operators import documents as docs, lifecycle, metrics as mx
-from pagemill.plans.stored import fresh_path, remove
+from pagemill.operators import documents as docs, metrics as mx
+from pagemill.plans.stored import delete_folder, exists, fresh_path, list_names
 from pagemill.sources import readers
 
 
@@ -68,37 +69,70 @@ def alerts(samples: DataFrame) -> DataFrame:
     return judged.filter(F.size("issues") > 0).drop("error_rate")
 
 
+class Deltas:
+    """State of a stream as folders on shared storage: one per micro-batch, now and then merged into one.
+
+    A batch writes only its own rows, and a retried one replaces them. What exists is read from the folder, so a restart goes
+    on where the stream stopped. Every ``EVERY`` batches all but the last ones are merged into ``upto=N``, after which the
+    folders it replaces are deleted; a merge cut short leaves its sources, and counts only once it is complete.
+    """
+
+    EVERY = 16
+
+    def __init__(self, spark: SparkSession, folder: str, merge: Callable[[DataFrame], DataFrame]):
+        self.spark, self.folder, self.merge = spark, folder, merge
+
+    def _numbers(self, kind: str) -> list[int]:
+        return sorted(int(n.split("=")[1]) for n in list_names(self.spark, self.folder) if n.startswith(f"{kind}="))
+
+    def _paths(self, below: int | None = None) -> list[str]:
+        """Folders that hold the state before batch ``below``, or now."""
+        merged = [n for n in self._numbers("upto") if exists(self.spark, f"{self.folder}/upto={n}/_SUCCESS")]
+        base = max(merged, default=-1)
+        later = [n for n in self._numbers("batch") if n > base and (below is None or n < below)]
+        return ([f"{self.folder}/upto={base}"] if base >= 0 else []) + [f"{self.folder}/batch={n}" for n in later]
+
+    def read(self, below: int | None = None) -> DataFrame | None:
+        paths = self._paths(below)
+        if not paths:
+            return None
+        parts = [self.spark.read.parquet(p) for p in paths]
+        return self.merge(reduce(DataFrame.unionByName, parts))
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
+        if batch_id % self.EVERY == 0 and batch_id > 1:
+            self._compact(batch_id - 2)  # the last two batches may be retried
+
+    def _compact(self, upto: int) -> None:
+        sources = self._paths(upto + 1)
+        if len(sources) < 2:
+            return
+        self.read(upto + 1).write.mode("overwrite").parquet(f"{self.folder}/upto={upto}")
+        for path in sources:
+            delete_folder(self.spark, path)
+
+
 class RecentRows:
-    """The newest ``size`` rows per key, kept as a table that every micro-batch replaces.
+    """The newest ``size`` rows per key of a stream.
 
-    The batch is cut to the newest rows per key on the map side (a ranked limit before
-    the shuffle), so a busy key costs its buffer and no more. State is a folder per
-    batch id: a retried batch starts from its predecessor again, and two are kept.
+    A batch is cut to the newest rows per key on the map side (a ranked limit before the shuffle), so a busy key costs its buffer
+    and no more; batches are stored as deltas in ``folder``, which outlives restarts if the caller names one.
     """
 
     def __init__(self, spark: SparkSession, keys: Sequence[str], order: Sequence[str], size: int, folder: str | None = None):
-        self.spark, self.keys, self.order, self.size = spark, list(keys), list(order), size
-        self.folder = folder or fresh_path(spark, "recent")
-        self.last: int | None = None
-
-    def _path(self, batch_id: int) -> str:
-        return f"{self.folder}/batch={batch_id}"
+        self.keys, self.order, self.size = list(keys), list(order), size
+        self.state = Deltas(spark, folder or fresh_path(spark, "recent"), self.newest)
 
     def newest(self, df: DataFrame) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy(*self.keys).orderBy(*[F.desc(c) for c in self.order]))
         return df.withColumn("_rank", rank).filter(F.col("_rank") <= self.size).drop("_rank")
 
     def update(self, batch: DataFrame, batch_id: int) -> None:
-        rows = self.newest(batch)
-        if batch_id > 0:
-            before = self.spark.read.schema(batch.schema).parquet(self._path(batch_id - 1))
-            rows = self.newest(before.unionByName(rows))
-        rows.write.mode("overwrite").parquet(self._path(batch_id))
-        remove(self.spark, self._path(batch_id - 2))
-        self.last = batch_id
+        self.state.write(self.newest(batch), batch_id)
 
     def table(self) -> DataFrame:
-        return self.spark.read.parquet(self._path(self.last))
+        return self.state.read()
 
 
 # --- tasks -------------------------------------------------------------------
@@ -107,15 +141,12 @@ class RecentRows:
 class TaskStates:
     """Current state per task from a stream of state changes.
 
-    Each batch is reduced to one row per task first, then merged with the stored
-    states; the result equals the batch operator over all changes.
+    Each batch is reduced to one row per task and stored as a delta; reading merges them, and the result equals the batch
+    operator over all changes. No trigger rewrites the states of other tasks.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
-        self.spark, self.folder, self.last = spark, folder or fresh_path(spark, "states"), None
-
-    def _path(self, batch_id: int) -> str:
-        return f"{self.folder}/batch={batch_id}"
+        self.state = Deltas(spark, folder or fresh_path(spark, "states"), self._merged)
 
     @staticmethod
     def _partial(events: DataFrame) -> DataFrame:
@@ -129,22 +160,20 @@ class TaskStates:
             F.count("*").alias("changes"),
         )
 
+    @staticmethod
+    def _merged(parts: DataFrame) -> DataFrame:
+        return parts.groupBy("task_id").agg(
+            F.max("latest").alias("latest"), F.max("completed_at").alias("completed_at"),
+            F.max("failure").alias("failure"), F.sum("changes").alias("changes"),
+        )
+
     def update(self, batch: DataFrame, batch_id: int) -> None:
-        states = self._partial(batch)
-        if batch_id > 0:
-            before = self.spark.read.schema(states.schema).parquet(self._path(batch_id - 1))
-            states = before.unionByName(states).groupBy("task_id").agg(
-                F.max("latest").alias("latest"), F.max("completed_at").alias("completed_at"),
-                F.max("failure").alias("failure"), F.sum("changes").alias("changes"),
-            )
-        states.write.mode("overwrite").parquet(self._path(batch_id))
-        remove(self.spark, self._path(batch_id - 2))
-        self.last = batch_id
+        self.state.write(self._partial(batch), batch_id)
 
     def table(self) -> DataFrame:
         status = F.col("latest.status")
         progress = F.when(status == "processing", 10).when(status == "completed", 100).otherwise(0)
-        return self.spark.read.parquet(self._path(self.last)).select(
+        return self.state.read().select(
             "task_id", status.alias("status"), F.col("latest.at.updated_at").alias("updated_at"), "completed_at",
             F.col("failure.error").alias("error"), "changes", progress.cast("long").alias("progress"),
         )
@@ -182,23 +211,18 @@ class SeenTexts:
 
     def __init__(self, spark: SparkSession, key: str, folder: str | None = None):
         self.spark, self.key, self.folder = spark, key, folder or fresh_path(spark, "seen")
-        self.batches: list[int] = []
-
-    def _path(self, kind: str, batch_id: int) -> str:
-        return f"{self.folder}/{kind}/batch={batch_id}"
+        self.first = Deltas(spark, f"{self.folder}/first", lambda rows: rows)
 
     def update(self, batch: DataFrame, batch_id: int) -> None:
-        earlier = [b for b in self.batches if b < batch_id]
-        seen = self.spark.read.parquet(*[self._path("first", b) for b in earlier]) if earlier else None
-        marks = docs.mark_duplicates(batch, self.key, seen=seen)
-        marks.write.mode("overwrite").parquet(self._path("marks", batch_id))
-        stored = self.spark.read.parquet(self._path("marks", batch_id)).filter(~F.col("is_duplicate"))
-        first = stored.select("text_hash", F.col(self.key).alias("first_key"), F.col(self.key).alias("first_seen"))
-        first.write.mode("overwrite").parquet(self._path("first", batch_id))
-        self.batches = [*earlier, batch_id]
+        marks = docs.mark_duplicates(batch, self.key, seen=self.first.read(below=batch_id))
+        path = f"{self.folder}/marks/batch={batch_id}"
+        marks.write.mode("overwrite").parquet(path)
+        stored = self.spark.read.parquet(path).filter(~F.col("is_duplicate"))
+        self.first.write(stored.select("text_hash", F.col(self.key).alias("first_key"), F.col(self.key).alias("first_seen")), batch_id)
 
     def table(self) -> DataFrame:
-        return self.spark.read.parquet(*[self._path("marks", b) for b in self.batches])
+        """The flags of every batch so far, whichever session wrote them."""
+        return self.spark.read.parquet(f"{self.folder}/marks").drop("batch")
 
 
 def ingest(lines: DataFrame, clean_path: str, rejected_path: str, as_of: Column | None = None) -> None:
@@ -215,8 +239,3 @@ def ingest(lines: DataFrame, clean_path: str, rejected_path: str, as_of: Column
         bad.withColumn("status", F.lit("failed")).write.mode("overwrite").parquet(f"{rejected_path}/batch={batch_id}")
 
     run_batches(lines, store)
-
-
-def latest_states(events: DataFrame) -> DataFrame:
-    """Update-mode aggregate for sinks that take upserts: the newest state per task."""
-    return lifecycle.latest_state(events)

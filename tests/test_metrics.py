@@ -165,9 +165,15 @@ def test_layout_round_trip_and_expiry(spark, tasks, tmp_path):
     life.write_layout(df, path)
     back = spark.read.parquet(path)
     assert back.count() == 4 and len({str(r.day) for r in back.select("day").collect()}) == 3
-    life.drop_expired_days(df, path, "created_at", NOW, 2)
-    ids = [r.task_id for r in spark.read.parquet(path).collect()]
-    assert 4 in ids and {1, 2} <= set(ids)
+    life.expire(spark, path, life.expired_before("created_at", NOW, 2))
+    assert sorted(r.task_id for r in spark.read.parquet(path).collect()) == [1, 2, 3, 4]  # the cutoff itself stays
+    life.expire(spark, path, life.expired_before("created_at", NOW - timedelta(seconds=30), 2))
+    assert sorted(r.task_id for r in spark.read.parquet(path).collect()) == [1, 2, 3, 4]
+    life.expire(spark, path, life.expired_before("created_at", NOW + timedelta(seconds=30), 2))
+    assert sorted(r.task_id for r in spark.read.parquet(path).collect()) == [1, 2, 4]  # its day is split
+    life.expire(spark, path, life.expired_before("created_at", NOW, 0.5))
+    assert sorted(r.task_id for r in spark.read.parquet(path).collect()) == [1]
+    assert len([d for d in (tmp_path / "layout").iterdir() if d.name.startswith("day=")]) == 1
 
 
 def test_unique_keys_and_statistics(spark):

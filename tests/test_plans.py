@@ -83,10 +83,29 @@ def test_materialize_uses_the_shared_folder(spark):
     assert df.count() == 5
     other = stored.fresh_path(spark, "gone")
     spark.range(2).write.parquet(other)
-    stored.remove(spark, other)
+    assert stored.exists(spark, other) and "_SUCCESS" in stored.list_names(spark, other)
+    stored.delete_folder(spark, other)
+    assert stored.list_names(spark, other) == []
     with pytest.raises(Exception):
         spark.read.parquet(other)
-    stored.remove(spark, "/tmp")  # not ours: ignored
+
+
+def test_a_cluster_must_name_a_shared_folder(spark, monkeypatch):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        stored.shared_folder(Session())
 
 
 def test_null_keys_stay(spark):

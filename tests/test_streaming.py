@@ -29,7 +29,6 @@ def test_recent_rows(spark, tiny, parts):
     samples = views.system_metrics(spark, tiny).select("host", "sample_id", "timestamp", "cpu_percent")
     recent = flows.RecentRows(spark, ["host"], ["timestamp", "sample_id"], 60)
     flows.run_batches(parts(samples), recent.update)
-    assert recent.last == 3
     want = recent.newest(samples)
     assert sorted(recent.table().collect()) == sorted(want.collect())
 
@@ -63,6 +62,22 @@ def test_seen_texts(spark, parts):
     assert all(r.first_seen == first[r.text_hash] for r in marks if r.is_duplicate)
 
 
+def test_restarts_and_compaction(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(flows.Deltas, "EVERY", 3)
+    rows = spark.createDataFrame([(i, f"text {i % 7}") for i in range(60)], "id long, text string")
+    path = str(tmp_path / "seen")
+    for batch in [*range(10), 9, 8]:  # the last two are handled again
+        flows.SeenTexts(spark, "id", path).update(rows.filter(F.floor(F.col("id") / 6) == batch), batch)
+    marks = flows.SeenTexts(spark, "id", path).table().collect()
+    assert len(marks) == 60 and sorted(r.id for r in marks if not r.is_duplicate) == list(range(7))
+    assert len(list((tmp_path / "seen" / "first").glob("*=*"))) <= 5
+    recent = flows.RecentRows(spark, ["k"], ["id"], 4, str(tmp_path / "recent"))
+    keyed = rows.select("id", (F.col("id") % 2).alias("k"))
+    for batch in range(10):
+        flows.RecentRows(spark, ["k"], ["id"], 4, str(tmp_path / "recent")).update(keyed.filter(F.floor(F.col("id") / 6) == batch), batch)
+    assert sorted(r.id for r in recent.table().collect()) == list(range(52, 60))
+
+
 def test_one_batch_equals_batch_duplicates(spark, tiny):
     df = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text")
     seen = flows.SeenTexts(spark, "doc_id")

@@ -163,7 +163,9 @@ def test_clean_record_counts_before_caps(spark):
     heads = ["abc", "abcd"] + [f"heading {i}" for i in range(12)]
     paras = ["x" * 20, "x" * 21] + ["y" * 30] * 25
     df = spark.createDataFrame([("1", "u", "a title", heads, paras)], "id string, url string, title string, headings array<string>, paragraphs array<string>")
-    row = docs.clean_record(df).first()
+    whole = docs.clean_record(df).first()
+    assert (len(whole.headings), len(whole.paragraphs)) == (13, 26)
+    row = docs.clean_record(df, max_headings=10, max_paragraphs=20).first()
     assert (row.headings_count, len(row.headings)) == (13, 10)
     assert (row.paragraphs_count, len(row.paragraphs)) == (26, 20)
     assert row.content_length == 0
