@@ -13,7 +13,7 @@ from pagemill.functions import urls
 from pagemill.functions.common import unnest
 from pagemill.operators import corpus, crawl, documents as docs, pages as pg, recommend as rec
 from pagemill.plans.stored import materialize
-from pagemill.sources import views
+from checks import views
 
 DEPTH, MAX_PAGES = 6, 40
 
@@ -201,6 +201,17 @@ def link_recommendations(spark, folder):
     return out.select("brand", F.col("rank").cast("long").alias("rank"), "url", "relevance_score")
 
 
+def link_outcomes(spark, folder):
+    """Every brand as a crawl, and one more without any page."""
+    records = materialize(catalog_records(spark, folder), "catalog")
+    links, analysis = catalog_links(records), materialize(catalog_combined(records), "combined")
+    known = analysis.select("brand", F.lit(True).alias("analysed"))
+    crawls = known.unionByName(spark.range(1).select(F.lit("Brand#none").alias("brand"), F.lit(False).alias("analysed")))
+    out = rec.recommendation_outcomes(crawls, rec.scored_links(links, analysis, "brand", "at"), rec.link_totals(links, "brand"), "brand", "at")
+    urls_ = F.array_join(F.transform("recommended_urls", lambda u: u["url"]), " ")
+    return out.select("brand", urls_.alias("urls"), F.coalesce("reasoning", F.lit("")).alias("reasoning"), "total_links_analyzed", "unique_domains_found")
+
+
 def link_totals(spark, folder):
     return rec.link_totals(catalog_links(catalog_records(spark, folder)), "brand")
 
@@ -249,7 +260,7 @@ QUERIES = {
     "type_distribution": type_distribution, "page_topics": page_topics, "combined_pages": combined_pages,
     "combined_sources": combined_sources, "combined_entities": combined_entities, "catalog_analysis": catalog_analysis,
     "key_terms": key_terms, "link_first_per_domain": link_first_per_domain, "link_scores": link_scores,
-    "link_recommendations": link_recommendations, "link_totals": link_totals, "link_categories": link_categories,
+    "link_recommendations": link_recommendations, "link_totals": link_totals, "link_outcomes": link_outcomes, "link_categories": link_categories,
     "learning_path": learning_path, "search_suggestions": search_suggestions, "recommendation_strategy": strategy,
 }
 
@@ -449,6 +460,11 @@ ORACLES = {
     "link_scores": f"{CATALOG}, {SQL_SCORED} SELECT brand, domain, url, text, relevance_score, reasoning FROM kept",
     "link_recommendations": f"""{CATALOG}, {SQL_SCORED}, k AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY relevance_score DESC, page_id, pos) AS rank FROM kept QUALIFY rank <= 5)
         SELECT brand, rank, url, relevance_score FROM k""",
+    "link_outcomes": f"""{CATALOG}, {SQL_SCORED}, top AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY relevance_score DESC, page_id, pos) AS rank FROM kept QUALIFY rank <= 5),
+        best AS (SELECT brand, string_agg(url, ' ' ORDER BY rank) AS urls FROM top GROUP BY brand),
+        totals AS (SELECT brand, count(*) AS total_links_analyzed, count(DISTINCT regexp_extract(url, '://([^/]*)', 1)) AS unique_domains_found FROM lk GROUP BY 1)
+        SELECT brand, coalesce(urls, '') AS urls, '' AS reasoning, total_links_analyzed, unique_domains_found FROM totals LEFT JOIN best USING (brand)
+        UNION ALL SELECT 'Brand#none', '', 'Insufficient data for recommendations', 0, 0""",
     "link_totals": f"{CATALOG} SELECT brand, count(*) AS total_links_analyzed, count(DISTINCT regexp_extract(url, '://([^/]*)', 1)) AS unique_domains_found FROM lk GROUP BY 1",
     "link_categories": f"""WITH {SQL_PAGES}, {SQL_LINKS} SELECT 'pages' AS corpus, 'internal' AS type, count(*) AS links FROM hrefs WHERE starts_with(href, '/') AND {sql_strip('text')} <> ''
         UNION ALL SELECT 'catalog', t, count(*) FROM (SELECT unnest(['internal', 'external', 'relative']) AS t FROM part) GROUP BY t""",

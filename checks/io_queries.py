@@ -12,7 +12,8 @@ from pagemill import schemas
 from pagemill.functions import text as tx
 from pagemill.operators import documents as docs, lifecycle as life, listing, metrics as mx
 from pagemill.plans.stored import fresh_path
-from pagemill.sources import readers, views, writers
+from checks import views
+from pagemill.sources import readers, writers
 from pagemill.streaming import flows
 
 KINDS = 6  # ways a submission can be good or bad

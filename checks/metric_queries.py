@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagemill import fixed_values as fixed
 from pagemill.functions.common import round_to
 from pagemill.operators import lifecycle as life, listing, metrics as mx
-from pagemill.sources import views
+from checks import views
 
 # A user id that exists at every scale.
 USER = 7

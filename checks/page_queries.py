@@ -10,7 +10,7 @@ from pagemill import fixed_values as fixed
 from pagemill.functions import urls
 from pagemill.functions.common import round_to, unnest
 from pagemill.operators import elements as el, pages as pg
-from pagemill.sources import views
+from checks import views
 
 HREFS = ["x/y", "../z", "./w/", "?q=1", "//other.example/k", "/abs/./a/../b", "#frag", "mailto:a@b.c", "HTTP://Q.example/u"]
 
@@ -80,8 +80,8 @@ def url_default_scheme(spark, folder):
 
 
 def page_elements(spark, folder):
-    rows = el.element_table(corpus(spark, folder), ["page_id"])
-    return rows.filter(F.col("tag").isin("a", "p", "h1", "ul", "article", "title", "meta")).groupBy("page_id", "tag").agg(
+    rows = el.element_table(corpus(spark, folder), ["page_id"], tags=["a", "p", "h1", "ul", "article", "title", "meta"])
+    return rows.groupBy("page_id", "tag").agg(
         F.count("*").alias("elements")
     )
 

@@ -8,7 +8,7 @@ from pagemill import fixed_values as fixed
 from pagemill.functions import text as tx
 from pagemill.functions.common import unnest
 from pagemill.operators import documents as docs
-from pagemill.sources.views import spread, table
+from checks.views import spread, table
 
 SPACE = r"\t-\r\x1C-\x1F\x{85}\p{Z}"
 

@@ -48,6 +48,8 @@ READABILITY_BANDS = [
 READABILITY_LOWEST = "Very Difficult"
 
 # --- fixed values: entity patterns ------------------------------------------
+# URLs are a run of one character class: an alternation of classes and escapes inside a repeat recurses once per
+# character in Java's matcher and overflows its stack on long URLs. The class is the union of those alternatives.
 ENTITY_PATTERNS = {
     "emails": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
     "urls": r"https?://[!$-_a-z]+",
@@ -56,6 +58,7 @@ ENTITY_PATTERNS = {
 }
 
 # --- fixed values: URL exclusion --------------------------------------------
+# Listed one by one; ``functions.urls.excluded_pattern`` joins them to a single alternation, so a URL is searched once.
 EXCLUDED_SUFFIXES = [
     "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "zip", "rar", "tar.gz", "exe", "dmg",
     "mp3", "mp4", "avi", "mov", "wmv", "flv", "jpg", "jpeg", "png", "gif", "bmp", "svg",
@@ -63,6 +66,7 @@ EXCLUDED_SUFFIXES = [
 EXCLUDED_SCHEMES = ["mailto:", "tel:", "ftp:", "javascript:"]
 
 # --- fixed values: page texts that carry no content (matched at the start) ---
+# Each is tried at the start only; ``operators.pages.clean_web_text`` joins them to one anchored alternation.
 BOILERPLATE_STARTS = [
     r"(skip to|jump to|go to)\s+\w+",
     r"(home|about|contact|privacy|terms)\s*$",
@@ -139,3 +143,6 @@ STORE_SIZE_LIMIT, SLOW_QUERY_MILLIS, SLOW_QUERY_COUNT, INDEX_SHARE = 1_000_000_0
 ADVICE_ARCHIVE = "Consider implementing data archiving for large collections"
 ADVICE_SLOW = "Multiple slow queries detected. Review and optimize query patterns"
 ADVICE_INDEX = "Index size is large relative to data size. Consider index optimization"
+
+# --- fixed values: outcome of recommendations without links or analysis -----
+NO_RECOMMENDATIONS = "Insufficient data for recommendations"

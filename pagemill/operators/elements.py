@@ -3,6 +3,10 @@
 The reader is lenient and implies nothing: void tags close at once, an end tag pops
 to its nearest open match, an unmatched one is ignored. What the elements mean is
 decided in Spark by :mod:`pagemill.operators.pages`.
+
+A page's text is kept once, as its pieces in order: all of them (``text_pieces``), and those outside
+boilerplate (``body_pieces``). An element holds the range of pieces inside it, so a page of unclosed tags, in which
+every element contains all that follow, costs no more than its text. Rules cut the texts they need by ``text_of`` and ``body_of``.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # --- fixed values: tag groups -------------------------------------------------
 VOID = frozenset(
@@ -32,25 +36,31 @@ ATTRIBUTES = {
 }
 PART_OF = {"li": ("ul", "ol"), "td": ("tr",), "th": ("tr",)}
 JSON_LD = "application/ld+json"
+TEXTS = ("text_pieces", "body_pieces")
 OUTPUT_ROWS = 256  # pages per output batch: bounds a task's memory whatever the session's batch size
 
+PIECES = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("size", T.IntegerType())])
+PART = T.StructType([T.StructField("whole", T.BooleanType()), *PIECES.fields])  # whole: a range of text_pieces, else of body_pieces
 ELEMENT = T.StructType(
     [
         T.StructField("seq", T.IntegerType()),
         T.StructField("tag", T.StringType()),
-        T.StructField("text", T.StringType()),  # all text inside, scripts and comments left out
-        T.StructField("body_text", T.StringType()),  # without boilerplate descendants; null when the same
+        T.StructField("data", T.StringType()),  # content of a JSON-LD script
+        T.StructField("text", PIECES),  # all text inside, scripts and comments left out
+        T.StructField("body", PIECES),  # without boilerplate descendants; null inside boilerplate, where it is the same
         T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
         T.StructField("boilerplate", T.BooleanType()),
         T.StructField("within", T.ArrayType(T.IntegerType())),  # enclosing tables or videos
-        T.StructField("parts", T.ArrayType(T.StringType())),  # items of a list, cells of a table row
+        T.StructField("parts", T.ArrayType(PART)),  # items of a list, cells of a table row
     ]
 )
+ARROW_PIECES = pa.struct([("start", pa.int32()), ("size", pa.int32())])
+ARROW_PART = pa.struct([("whole", pa.bool_()), ("start", pa.int32()), ("size", pa.int32())])
 ARROW_ELEMENT = pa.struct(
     [
-        ("seq", pa.int32()), ("tag", pa.string()), ("text", pa.string()), ("body_text", pa.string()),
+        ("seq", pa.int32()), ("tag", pa.string()), ("data", pa.string()), ("text", ARROW_PIECES), ("body", ARROW_PIECES),
         ("attrs", pa.map_(pa.string(), pa.string())), ("boilerplate", pa.bool_()),
-        ("within", pa.list_(pa.int32())), ("parts", pa.list_(pa.string())),
+        ("within", pa.list_(pa.int32())), ("parts", pa.list_(ARROW_PART)),
     ]
 )
 
@@ -60,7 +70,8 @@ class TagReader(HTMLParser):
 
     def __init__(self):
         super().__init__()
-        self.rows, self.open, self.chunks, self.boiler_chunks = [], [], [], []
+        self.rows, self.open, self.pieces, self.body_pieces = [], [], [], []
+        self.opened = {}  # tag -> how many are open
         self.seq = self.hidden = self.boiler = 0
 
     def handle_starttag(self, tag, attrs):
@@ -74,18 +85,20 @@ class TagReader(HTMLParser):
         row = None
         if tag in TEXT_TAGS or named or data or (tag in ATTRIBUTES and tag != "script"):
             wanted = [*ATTRIBUTES.get(tag, ()), *(("class", "id") if named else ())]
-            row = dict(seq=self.seq, tag=tag, text=None, body_text=None, within=None, parts=None)
+            row = dict(seq=self.seq, tag=tag, data=None, text=None, body=None, within=None, parts=None)
             row["attrs"] = [(name, found[name]) for name in wanted if name in found]
             row["boilerplate"] = bool(self.boiler) or tag in BOILERPLATE
             holder = {"tr": "table", "source": "video"}.get(tag)
             if holder:
-                row["within"] = [entry[3] for entry in self.open if entry[0] == holder]
+                row["within"] = [entry[3] for entry in self.open if entry[0] == holder] if self.opened.get(holder) else []
             self.rows.append(row)
         if tag in VOID:
             return
         self.hidden += tag in TEXTLESS
         self.boiler += tag in BOILERPLATE
-        self.open.append((tag, row, len(self.chunks) if keeps_text else None, self.seq, [], data))
+        self.opened[tag] = self.opened.get(tag, 0) + 1
+        at = (len(self.pieces), len(self.body_pieces)) if keeps_text else None
+        self.open.append((tag, row, at, self.seq, [], data))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -93,40 +106,40 @@ class TagReader(HTMLParser):
             self._pop()
 
     def handle_endtag(self, tag):
-        if any(entry[0] == tag for entry in self.open):
+        if self.opened.get(tag):
             while self._pop() != tag:
                 pass
 
     def handle_data(self, data):
         if self.open and self.open[-1][5]:
-            self.open[-1][1]["text"] = (self.open[-1][1]["text"] or "") + data
+            self.open[-1][1]["data"] = (self.open[-1][1]["data"] or "") + data
         if not self.hidden:
-            self.chunks.append(data)
-            self.boiler_chunks.append(self.boiler > 0)
+            self.pieces.append(data)
+            if not self.boiler:
+                self.body_pieces.append(data)
 
     def unknown_decl(self, data):
         if data.startswith("CDATA["):
             self.handle_data(data[len("CDATA["):])
 
     def _pop(self):
-        tag, row, start, seq, parts, _ = self.open.pop()
+        tag, row, at, seq, parts, _ = self.open.pop()
+        self.opened[tag] -= 1
         self.hidden -= tag in TEXTLESS
         self.boiler -= tag in BOILERPLATE
-        if start is not None:
-            text = "".join(self.chunks[start:])
-            body = text
-            if not self.boiler and any(self.boiler_chunks[start:]):
-                body = "".join(c for c, b in zip(self.chunks[start:], self.boiler_chunks[start:]) if not b)
+        if at is not None:
+            text = {"start": at[0], "size": len(self.pieces) - at[0]}
+            body = {"start": at[1], "size": len(self.body_pieces) - at[1]}
             if row is not None:
-                row["text"] = text
-                row["body_text"] = body if body != text else None
-            if tag in PART_OF:
+                row["text"], row["body"] = text, None if self.boiler else body
+            if tag in PART_OF and any(self.opened.get(holder) for holder in PART_OF[tag]):
+                part = {"whole": bool(self.boiler), **(text if self.boiler else body)}
                 for holder in self.open:
                     # boilerplate inside a holder is no part of it
                     if holder[0] in PART_OF[tag] and (not self.boiler or holder[1]["boilerplate"]):
-                        holder[4].append((seq, body))
+                        holder[4].append((seq, part))
         if row is not None and tag in ("ul", "ol", "tr"):
-            row["parts"] = [text for _, text in sorted(parts)]
+            row["parts"] = [part for _, part in sorted(parts, key=lambda p: p[0])]
         return tag
 
     def finish(self):
@@ -136,17 +149,17 @@ class TagReader(HTMLParser):
         return self.rows
 
 
-def read_page(html: str | None) -> tuple[list[dict], str | None]:
-    """Elements of a page, and what stopped the reader, if anything did."""
+def read_page(html: str | None) -> tuple[list[dict], list[str], list[str], str | None]:
+    """Elements of a page, its text pieces, those outside boilerplate, and what stopped the reader, if anything did."""
     reader, stopped = TagReader(), None
     try:
         reader.feed(html or "")
-        return reader.finish(), None
+        reader.finish()
     except AssertionError as error:  # malformed marked sections
         stopped = str(error) or "malformed markup"
     while reader.open:
         reader._pop()
-    return reader.rows, stopped
+    return reader.rows, reader.pieces, reader.body_pieces, stopped
 
 
 # Ship the reader with the task, so executors need no installed package.
@@ -154,7 +167,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def with_elements(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Replace the HTML column by ``content_length`` (its characters), ``elements`` and ``parse_error``.
+    """Replace the HTML column by ``content_length`` (its characters), ``elements``, the text pieces and ``parse_error``.
 
     One row in, one row out: no shuffle, and the wide HTML goes no further.
     """
@@ -162,20 +175,52 @@ def with_elements(pages: DataFrame, html: str = "html") -> DataFrame:
     position = kept.columns.index(html)
     fields = [f for f in kept.schema.fields if f.name != html]
     schema = T.StructType(
-        [*fields, T.StructField("elements", T.ArrayType(ELEMENT)), T.StructField("parse_error", T.StringType())]
+        [
+            *fields, T.StructField("elements", T.ArrayType(ELEMENT)), *[T.StructField(c, T.ArrayType(T.StringType())) for c in TEXTS],
+            T.StructField("parse_error", T.StringType()),
+        ]
     )
 
     def read(batches):
         for batch in (b.slice(at, OUTPUT_ROWS) for b in batches for at in range(0, b.num_rows, OUTPUT_ROWS)):
             done = [read_page(text) for text in batch.column(position).to_pylist()]
             arrays = [batch.column(i) for i in range(batch.num_columns) if i != position]
-            arrays.append(pa.array([rows for rows, _ in done], pa.list_(ARROW_ELEMENT)))
-            arrays.append(pa.array([error for _, error in done], pa.string()))
+            arrays.append(pa.array([page[0] for page in done], pa.list_(ARROW_ELEMENT)))
+            arrays += [pa.array([page[i] for page in done], pa.list_(pa.string())) for i in (1, 2)]
+            arrays.append(pa.array([page[3] for page in done], pa.string()))
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
 
     return kept.mapInArrow(read, schema)
 
 
-def element_table(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
-    """The corpus as one row per element."""
-    return with_elements(pages.select(*keys, html), html).select(*keys, F.inline_outer("elements")).filter("seq IS NOT NULL")
+def _joined(pieces: str, place: Column) -> Column:
+    return F.array_join(F.slice(F.col(pieces), place["start"] + 1, place["size"]), "")
+
+
+def text_of(element: Column) -> Column:
+    """All text inside an element of the row's page; null for elements that hold none by their kind."""
+    return _joined("text_pieces", element["text"])
+
+
+def body_of(element: Column) -> Column:
+    """Text inside an element without boilerplate descendants."""
+    return F.when(element["body"].isNull(), text_of(element)).otherwise(_joined("body_pieces", element["body"]))
+
+
+def part_of(part: Column) -> Column:
+    """Text of a list item or table cell."""
+    return F.when(part["whole"], _joined("text_pieces", part)).otherwise(_joined("body_pieces", part))
+
+
+def element_table(pages: DataFrame, keys: list[str], html: str = "html", tags: list[str] | None = None) -> DataFrame:
+    """The corpus as one row per element, of ``tags`` if given, with its texts written out."""
+    chosen = F.filter("elements", lambda e: e["tag"].isin(*tags)) if tags else F.col("elements")
+    written = F.transform(
+        chosen,
+        lambda e: F.struct(
+            e["seq"].alias("seq"), e["tag"].alias("tag"), F.coalesce(e["data"], text_of(e)).alias("text"), body_of(e).alias("body_text"), e["attrs"].alias("attrs"),
+            e["boilerplate"].alias("boilerplate"), e["within"].alias("within"), F.transform(e["parts"], part_of).alias("parts"),
+        ),
+    )
+    parsed = with_elements(pages.select(*keys, html), html).select(*keys, written.alias("_rows"))
+    return parsed.select(*keys, F.inline_outer("_rows")).filter("seq IS NOT NULL")

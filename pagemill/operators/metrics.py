@@ -13,7 +13,7 @@ from pagemill.plans.ordered import exact_percentiles, join_null_safe, row_index,
 
 
 def latest_time(df: DataFrame, column: str) -> datetime:
-    """The newest timestamp, as the clock of window queries (one value; Parquet statistics answer it)."""
+    """The newest timestamp, as the clock of window queries (one value, from one narrow column)."""
     return df.agg(F.max(column)).first()[0]
 
 

@@ -1,7 +1,7 @@
 """Page records from element arrays.
 
 A page's elements travel in one row, so every rule is an array expression and the
-whole extraction is a map over the corpus. ``profile`` selects the rule set:
+whole extraction is a map over the corpus. Rules on texts need the page's text pieces beside ``elements``. ``profile`` selects the rule set:
 
 * ``basic``     level-ordered headings, absolute links only
 * ``api``       document order, link text required, extended metadata
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pagemill import fixed_values as fixed
 from pagemill.functions import urls
 from pagemill.functions.common import SPACE, let, squeeze, strip, word_count
-from pagemill.operators.elements import JSON_LD, with_elements
+from pagemill.operators.elements import JSON_LD, TEXTS, body_of, part_of, text_of, with_elements
 
 PROFILES = ("basic", "api", "crawl", "enhanced")
 # Response limits per profile, for callers that want them: headings, paragraphs, links, images kept per page.
@@ -44,7 +44,7 @@ def _attr(element: Column, name: str, default: str | None = "") -> Column:
 
 
 def _body(element: Column) -> Column:
-    return F.coalesce(element["body_text"], element["text"], F.lit(""))
+    return F.coalesce(body_of(element), F.lit(""))
 
 
 def _cut(text: Column, cap: int | None) -> Column:
@@ -63,11 +63,11 @@ def body_elements(elements: Column) -> Column:
 def title(elements: Column, profile: str) -> Column:
     found = _first(_tagged(elements, "title"))
     if profile == "enhanced":
-        own = clean_web_text(found["text"])
-        heading = clean_web_text(_first(_tagged(elements, "h1"))["text"])
+        own = clean_web_text(text_of(found))
+        heading = clean_web_text(text_of(_first(_tagged(elements, "h1"))))
         return F.when(own != "", own).otherwise(heading)
     missing = "No title" if profile == "basic" else "No title found"
-    return F.coalesce(strip(found["text"]), F.lit(missing))
+    return F.coalesce(strip(text_of(found)), F.lit(missing))
 
 
 def headings(elements: Column, profile: str) -> Column:
@@ -86,9 +86,9 @@ def headings(elements: Column, profile: str) -> Column:
             F.sort_array(kept), lambda h: F.struct(h["level"].alias("level"), h["text"].alias("text"), h["tag"].alias("tag"))
         )
     if profile == "basic":
-        rows = F.transform(found, lambda e: F.struct(e["tag"], e["seq"], strip(e["text"]).alias("text")))
+        rows = F.transform(found, lambda e: F.struct(e["tag"], e["seq"], strip(text_of(e)).alias("text")))
         return F.transform(F.sort_array(rows), lambda h: h["text"])
-    return F.filter(F.transform(found, lambda e: strip(e["text"])), lambda t: F.length(t) > 2)
+    return F.filter(F.transform(found, lambda e: strip(text_of(e))), lambda t: F.length(t) > 2)
 
 
 def paragraphs(elements: Column, profile: str) -> Column:
@@ -97,7 +97,7 @@ def paragraphs(elements: Column, profile: str) -> Column:
     if profile == "enhanced":
         texts = F.transform(found, lambda e: clean_web_text(_body(e)))
         return F.filter(texts, lambda t: (F.length(t) > 30) & (word_count(t) >= 5))
-    return F.filter(F.transform(found, lambda e: strip(e["text"])), lambda t: F.length(t) > 20)
+    return F.filter(F.transform(found, lambda e: strip(text_of(e))), lambda t: F.length(t) > 20)
 
 
 def lists(elements: Column) -> Column:
@@ -105,7 +105,7 @@ def lists(elements: Column) -> Column:
         _tagged(elements, "ul", "ol"),
         lambda e: F.struct(
             e["tag"].alias("type"),
-            F.filter(F.transform(e["parts"], clean_web_text), lambda item: item != "").alias("items"),
+            F.filter(F.transform(e["parts"], lambda p: clean_web_text(part_of(p))), lambda item: item != "").alias("items"),
         ),
     )
     return F.filter(blocks, lambda b: F.size(b["items"]) > 0)
@@ -117,7 +117,7 @@ def tables(elements: Column) -> Column:
 
     def block(table: Column) -> Column:
         own = F.filter(rows, lambda row: F.array_contains(row["within"], table["seq"]))
-        return F.struct(F.transform(own, lambda row: F.transform(row["parts"], clean_web_text)).alias("rows"))
+        return F.struct(F.transform(own, lambda row: F.transform(row["parts"], lambda p: clean_web_text(part_of(p)))).alias("rows"))
 
     return F.filter(F.transform(_tagged(elements, "table"), block), lambda t: F.size(t["rows"]) > 0)
 
@@ -138,10 +138,10 @@ def main_content(elements: Column, paras: Column) -> Column:
             best = F.when(matches, place).otherwise(best)
         return best
 
-    ranked = F.transform(elements, lambda e: F.struct(rank(e).alias("rank"), e["seq"].alias("seq"), _body(e).alias("text")))
+    ranked = F.transform(elements, lambda e: F.struct(rank(e).alias("rank"), e["seq"].alias("seq"), e["text"].alias("text"), e["body"].alias("body")))
     best = F.array_min(F.filter(ranked, lambda e: e["rank"].isNotNull()))
     fallback = F.array_join(F.slice(paras, 1, 5), " ")
-    return let(clean_web_text(best["text"]), lambda text: F.when(text != "", text).otherwise(fallback))
+    return let(clean_web_text(_body(best)), lambda text: F.when(text != "", text).otherwise(fallback))
 
 
 def _first_by_url(rows: Column) -> Column:
@@ -163,7 +163,7 @@ def links(elements: Column, base: Column, profile: str, text_cap: int | None = N
         absolute = F.filter(found, lambda e: F.startswith(_attr(e, "href"), F.lit("http")))
         return F.transform(
             absolute,
-            lambda e: F.struct(_attr(e, "href").alias("url"), _cut(strip(e["text"]), text_cap).alias("text")),
+            lambda e: F.struct(_attr(e, "href").alias("url"), _cut(strip(text_of(e)), text_cap).alias("text")),
         )
     if profile == "enhanced":
         # "#..." and blank references lead nowhere
@@ -187,7 +187,7 @@ def links(elements: Column, base: Column, profile: str, text_cap: int | None = N
             href,
             lambda h: F.struct(
                 F.when(F.startswith(h, F.lit("/")), urls.resolve_url(base, h)).when(h.rlike("^https?://"), h).alias("url"),
-                strip(e["text"]).alias("text"),
+                strip(text_of(e)).alias("text"),
             ),
         )
 
@@ -285,7 +285,7 @@ def twitter_card(elements: Column, profile: str) -> Column:
 def json_ld(elements: Column) -> Column:
     """Parsed JSON-LD blocks; invalid ones are dropped. Read from the whole page."""
     blocks = F.filter(_tagged(elements, "script"), lambda e: _attr(e, "type") == JSON_LD)
-    return F.filter(F.transform(blocks, lambda e: F.try_parse_json(e["text"])), lambda v: v.isNotNull())
+    return F.filter(F.transform(blocks, lambda e: F.try_parse_json(e["data"])), lambda v: v.isNotNull())
 
 
 def document_attributes(elements: Column, base: Column) -> Column:
@@ -390,7 +390,7 @@ def extract(
     out = parsed.withColumns(columns)
     if enhanced:
         out = out.withColumn("main_content", main_content(body, F.col("paragraphs")))
-    out = _counted(out, profile, as_of, caps, text_cap).drop("elements", "_body", "headers")
+    out = _counted(out, profile, as_of, caps, text_cap).drop("elements", *TEXTS, "_body", "headers")
     return out.drop("_base")
 
 

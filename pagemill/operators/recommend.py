@@ -87,6 +87,23 @@ def top_recommendations(scored: DataFrame, key: str, order: str, limit: int = 5)
     return scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= limit)
 
 
+def recommendation_outcomes(crawls: DataFrame, scored: DataFrame, totals: DataFrame, key: str, order: str, limit: int = 5) -> DataFrame:
+    """One row per crawl: its ``limit`` best links, and why there are none where it has no analysis or no links.
+
+    ``crawls`` has a row per crawl and ``analysed``, whether there is a combined analysis.
+    """
+    link = F.struct("rank", "url", "text", "relevance_score", "reasoning")
+    best = top_recommendations(scored, key, order, limit).groupBy(key).agg(F.sort_array(F.collect_list(link)).alias("recommended_urls"))
+    joined = crawls.join(best, key, "left").join(totals, key, "left")
+    enough = F.coalesce(F.col("analysed"), F.lit(False)) & (F.coalesce("total_links_analyzed", F.lit(0)) > 0)
+    none = F.array().cast(best.schema["recommended_urls"].dataType)
+    return joined.select(
+        key, F.when(enough, F.coalesce("recommended_urls", none)).otherwise(none).alias("recommended_urls"),
+        F.when(~enough, fixed.NO_RECOMMENDATIONS).alias("reasoning"),
+        F.coalesce("total_links_analyzed", F.lit(0)).alias("total_links_analyzed"), F.coalesce("unique_domains_found", F.lit(0)).alias("unique_domains_found"),
+    )
+
+
 def link_totals(links: DataFrame, key: str) -> DataFrame:
     """Links analysed and distinct domains of the usable ones."""
     usable = (F.col("url") != "") & (F.col("text") != "")

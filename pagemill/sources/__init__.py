@@ -1 +1 @@
-"""Readers, writers and the views over the driver tables."""
+"""Readers and writers."""

@@ -126,7 +126,7 @@ def test_paging(tasks):
 
 
 def test_listing_pushes_filters_and_takes_the_top(spark, tiny):
-    from pagemill.sources import views
+    from checks import views
 
     df = views.table(spark, tiny, "orders").filter(F.col("o_custkey") == 5).orderBy(F.desc("o_orderdate")).limit(3)
     plan = df._jdf.queryExecution().executedPlan().toString()

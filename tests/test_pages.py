@@ -181,5 +181,18 @@ def test_one_python_step_and_no_shuffle(spark, tiny):
 
 
 def test_reader_keeps_document_order():
-    rows, stopped = el.read_page("<title>t</title><p>a<p>b")
-    assert stopped is None and [(r["seq"], r["tag"], r["text"]) for r in rows] == [(1, "title", "t"), (2, "p", "ab"), (3, "p", "b")]
+    rows, pieces, body, stopped = el.read_page("<title>t</title><p>a<p>b")
+    texts = ["".join(pieces[r["text"]["start"] : r["text"]["start"] + r["text"]["size"]]) for r in rows]
+    assert stopped is None and body == pieces
+    assert [(r["seq"], r["tag"], t) for r, t in zip(rows, texts)] == [(1, "title", "t"), (2, "p", "ab"), (3, "p", "b")]
+
+
+def test_reader_is_linear_on_unclosed_tags(spark):
+    html = "".join(f"<p>word{i} <li>x" for i in range(20_000))
+    rows, pieces, _, _ = el.read_page("<ul>" + html)
+    assert sum(map(len, pieces)) < len(html) and len(rows) == 20_001 and len(rows[0]["parts"]) == 20_000
+    df = spark.createDataFrame([(1, "http://s/", html)], "page_id long, url string, html string")
+    parsed = el.with_elements(df)
+    assert parsed.select(F.length(F.to_json(F.struct("elements", "text_pieces", "body_pieces"))).alias("n")).first().n < 400 * 20_000
+    table = el.element_table(df.withColumn("html", F.lit("<nav>n<p>a</nav><p>b<i>c<p>d")), ["page_id"], tags=["p"])
+    assert [(r.text, r.body_text) for r in table.orderBy("seq").collect()] == [("a", "a"), ("bcd", "bcd"), ("d", "d")]

@@ -67,10 +67,11 @@ def test_exact_percentiles(skewed):
     assert ordered.exact_percentiles(df.filter("false"), "v", {"q": 0.5}).first().q is None
 
 
-def test_hot_key_join(spark):
+def test_hot_key_join(spark, monkeypatch):
+    monkeypatch.setattr(skew, "TASK_ROWS", 2_500)
     many = spark.range(60_000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("key"))
     one = many.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    joined = skew.join_on_hot_key(many, one, "key", "n", "id", salts=8)
+    joined = skew.join_on_hot_key(many, one, "key", "n", "id")
     assert joined.count() == 60_000
     assert joined.filter("key = 'hot'").agg(F.min("first"), F.max("first"), F.count("*")).first()[:] == (0, 0, 20_000)
     spread = joined.filter("key = 'hot'").select(F.pmod(F.xxhash64("id"), F.lit(8)).alias("s")).distinct().count()

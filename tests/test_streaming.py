@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.operators import documents as docs, lifecycle, metrics as mx
-from pagemill.sources import views
+from checks import views
 from pagemill.streaming import flows
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
