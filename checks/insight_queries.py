@@ -286,7 +286,7 @@ SQL_PAGE_TEXT = f"""
     ptext AS (
       SELECT pg.page_id, host AS crawl_id, {sql_strip('title')} || ' ' || CASE WHEN length({sql_strip('h1')}) > 2 THEN {sql_strip('h1')} ELSE '' END
         || ' ' || coalesce(b.text, '') AS text
-      FROM pg LEFT JOIN (SELECT page_id, string_agg(text, ' ' ORDER BY pos) AS text FROM basic WHERE pos < 15 GROUP BY page_id) b USING (page_id)
+      FROM pg LEFT JOIN (SELECT page_id, string_agg(text, ' ' ORDER BY pos) AS text FROM basic GROUP BY page_id) b USING (page_id)
     )"""
 
 

@@ -34,13 +34,14 @@ def dominant_topics(analysed: DataFrame, order: str, keys: Sequence[str] = (), l
     counted = rows.groupBy(*keys, F.col("_topic.topic").alias("topic")).agg(
         F.count("*").alias("pages"),
         F.sum("_topic.confidence").alias("total_confidence"),
-        F.min(F.struct(order, "_rank")).alias("_seen"),
+        # Two columns of fixed width, where a struct would make Spark sort all rows to aggregate them.
+        F.min(order).alias("_seen"), F.min_by("_rank", order).alias("_seen_rank"),
     )
-    by = [F.desc("pages"), F.asc("_seen")]
+    by = [F.desc("pages"), F.asc("_seen"), F.asc("_seen_rank")]
     if not keys:
-        return counted.orderBy(*by).limit(limit).drop("_seen")
+        return counted.orderBy(*by).limit(limit).drop("_seen", "_seen_rank")
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
-    return ranked.filter(F.col("rank") <= limit).drop("_seen")
+    return ranked.filter(F.col("rank") <= limit).drop("_seen", "_seen_rank")
 
 
 def average_sentiment(analysed: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -60,6 +61,8 @@ def content_type_distribution(analysed: DataFrame, keys: Sequence[str] = ()) ->
 
 def _bits(lower_text: Column, terms: list[tuple[str, str]]) -> Column:
     """One bit per term found in the text."""
+    if len(terms) > 63:
+        raise ValueError("a bit mask holds 63 terms")
     mask = F.lit(0).cast("long")
     for place, (_, word) in enumerate(terms):
         mask = mask.bitwiseOR(F.when(F.contains(lower_text, F.lit(word)), F.lit(1 << place).cast("long")).otherwise(0))

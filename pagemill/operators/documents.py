@@ -70,9 +70,9 @@ def mark_duplicates(
     at = F.col(first_seen) if first_seen else F.col(key)
     hashed = materialize(df.select(F.col(key), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), at.alias("_seen")), "hashes")
     firsts = hashed.groupBy("text_hash").agg(
-        F.min_by(F.struct(F.col(key).alias("first_key"), F.col("_seen").alias("first_seen")), F.col(key)).alias("_first"),
-        F.count("*").alias("copies"),
-    )
+        # Fixed-width minima where the columns allow, so that Spark aggregates by hash and sorts nothing.
+        F.min(key).alias("_key"), F.min_by("_seen", key).alias("_at"), F.count("*").alias("copies"),
+    ).select("text_hash", F.struct(F.col("_key").alias("first_key"), F.col("_at").alias("first_seen")).alias("_first"), "copies")
     known = F.lit(False)
     if seen is not None:
         before = seen.select("text_hash", F.struct("first_key", "first_seen").alias("_before"))
