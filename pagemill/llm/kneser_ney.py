@@ -94,6 +94,12 @@ def _posix(path: str) -> str | None:
     return path if "://" not in path else None
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in the smallest unsigned type that holds them all; the file's size tells which."""
+    most = int(counts.max(initial=0))
+    return counts.astype(next(k for k in ("<u1", "<u2", "<u4", "<u8") if most <= np.iinfo(k).max))
+
+
 def _write(path: str, arrays: list[np.ndarray]) -> None:
     local = _posix(path)
     if local:
@@ -115,8 +121,8 @@ def _write(path: str, arrays: list[np.ndarray]) -> None:
     store.move(beside, name)
 
 
-def _map(path: str, kinds: list[tuple[str, int]], rows: int) -> list[np.ndarray]:
-    """Memory-mapped columns of a file; from a store that cannot be mapped, of a copy that has no name any more."""
+def _map(path: str, rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Memory-mapped keys and values of a file; from a store that cannot be mapped, of a copy that has no name any more."""
     local = _posix(path)
     if not local:
         from pyarrow import fs
@@ -129,14 +135,10 @@ def _map(path: str, kinds: list[tuple[str, int]], rows: int) -> list[np.ndarray]
     whole = np.memmap(local, np.uint8, "r")
     if not _posix(path):
         os.unlink(local)
-    out, at = [], 0
-    for kind, width in kinds:
-        size = rows * width * np.dtype(kind).itemsize
-        out.append(np.frombuffer(whole[at : at + size], kind).reshape(rows, width) if width > 1 else np.frombuffer(whole[at : at + size], kind))
-        at += size
-    if at != len(whole):
-        raise OSError(f"{path} has {len(whole)} bytes, expected {at}")
-    return out
+    size, rest = divmod(len(whole) - 8 * rows, rows * width)
+    if rest or size not in (1, 2, 4, 8):
+        raise OSError(f"{path} has {len(whole)} bytes, which do not fit {rows} rows")
+    return np.frombuffer(whole[: 8 * rows], "<u8"), np.frombuffer(whole[8 * rows :], f"<u{size}").reshape(rows, width)
 
 
 # --- counting --------------------------------------------------------------------------------------
@@ -205,7 +207,7 @@ def _add_pairs(folder: str, parts: int):
             key, first, where = np.unique(pair_hash(u, w), return_index=True, return_inverse=True)
             c = np.bincount(where, c, len(key)).astype(np.int64)
             u, w = u[first], w[first]
-            _write(f"{folder}/pairs-{part}", [key.astype("<u8"), c.astype("<u8")])
+            _write(f"{folder}/pairs-{part}", [key.astype("<u8"), _narrow(c)])
             words, at = np.unique(np.concatenate((w, u)), return_inverse=True)
             as_word, as_context = at[: len(w)], at[len(w) :]
             n = len(words)
@@ -242,8 +244,8 @@ def _add_words(folder: str):
                 words = np.concatenate([_unpack(ws) for ws, _ in rows])
                 table = np.concatenate([np.frombuffer(f, "<u4").reshape(WORD_FIELDS, -1).T for _, f in rows])
                 key, where = np.unique(words, return_inverse=True)
-                total = np.stack([np.bincount(where, table[:, i], len(key)) for i in range(WORD_FIELDS)], axis=1).astype("<u8")
-                _write(f"{folder}/words-{part}", [key.astype("<u8"), total])
+                total = np.stack([np.bincount(where, table[:, i], len(key)) for i in range(WORD_FIELDS)], axis=1).astype(np.int64)
+                _write(f"{folder}/words-{part}", [key.astype("<u8"), _narrow(total)])
                 ones = [int((total[:, 1] == i).sum()) for i in range(1, 5)]
                 facts = [0, part, len(key), *ones, int(total[:, 0].sum()), int((total[:, 0] > 0).sum())]
             yield pa.record_batch([pa.array([x], pa.int64()) for x in facts], names=FACTS)
@@ -321,11 +323,11 @@ class Lookup:
             if number not in rows:
                 continue
             if (kind, number) not in self.maps:
-                self.maps[kind, number] = _map(f"{self.model.folder}/{kind}-{number}", [("<u8", 1), ("<u8", width)], rows[number])
+                self.maps[kind, number] = _map(f"{self.model.folder}/{kind}-{number}", rows[number], width)
             keys, values = self.maps[kind, number]
             place = np.minimum(np.searchsorted(keys, key[at]), len(keys) - 1)
             hit = keys[place] == key[at]
-            out[at[hit]] = values[place[hit]].reshape(-1, width)
+            out[at[hit]] = values[place[hit]]
         return out
 
     def log_scores(self, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
