@@ -1,0 +1,25 @@
+import subprocess
+import sys
+from pathlib import Path
+
+import __spark_entry__ as entry_module
+
+ROOT = Path(__file__).resolve().parents[2]
+
+
+def test_every_operator_has_one_query():
+    names = entry_module.queries()
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+
+
+def test_the_rest_works_without_the_subpackage(tmp_path):
+    """A copy of the repository without llm, its tests and the pipeline still imports and lists its queries."""
+    for name in ("pagemill", "checks"):
+        for file in (ROOT / name).rglob("*.py"):
+            if "llm" not in file.relative_to(ROOT).parts:
+                target = tmp_path / file.relative_to(ROOT)
+                target.parent.mkdir(parents=True, exist_ok=True)
+                target.write_text(file.read_text())
+    (tmp_path / "__spark_entry__.py").write_text((ROOT / "__spark_entry__.py").read_text())
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(n.startswith('op') and n[2].isdigit() for n in q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
