@@ -4,8 +4,8 @@ Vectors are lifted by one coordinate so that the largest inner product is the sm
 shifts a few projected coordinates and orders them along a Hilbert curve. Spark range-partitions every ordering; a query
 is compared with the vectors whose ranks lie within its window of each curve, and the curves' answers merge and are ranked by the exact measure.
 
-Ranks are cut into cells. A group of work is one cell of candidates and one stretch of query cells within reach, so its size is fixed
-whatever the table's; queries travel to the cells in their window and candidates are copied once per stretch.
+Ranks are cut into stretches of fixed length. A task holds the queries of one stretch with their best answers so far, and the candidates
+within reach stream past in blocks, so its memory is fixed whatever the table's size, and a query leaves one short list per curve.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pagemill.plans.stored import materialize
 CURVES = 6
 AXES, BITS = 6, 8  # projected coordinates of a curve, and bits of each
 REACH = 0.2  # share of the distinct vectors on either side of a query's rank that its window holds
-CELL = 4_096  # candidates of a group of work
-STRETCH = 8  # query cells of a group of work
+STRETCH = 65_536  # ranks whose queries are answered together
+BLOCK = 1_024  # candidates compared at a time
 SEED = 90_001
 
 
@@ -131,53 +131,55 @@ def search(
     low = F.greatest(F.lit(0), F.least(F.col("at") - window // 2, F.lit(n - window))).cast("long")
     ranked = ranked.join(points, "point").select("curve", "at", "point", "v", "asks", low.alias("low"))
     ranked = materialize(ranked, "hilbert-ranked")
-    cell, stretch = F.floor(F.col("at") / CELL).cast("long"), F.floor(F.col("at") / (CELL * STRETCH)).cast("long")
-    high = F.col("low") + (window - 1)
-    reached = F.explode(F.sequence(F.floor(F.col("low") / CELL).cast("long"), F.floor(high / CELL).cast("long")))
-    queries = ranked.filter("asks").select("curve", reached.alias("cell"), stretch.alias("stretch"), F.lit(True).alias("asks"), "at", "low", "point", "v")
-    behind = F.greatest(F.lit(0), F.floor((cell * CELL - window) / (CELL * STRETCH))).cast("long")
-    ahead = F.least(F.lit((n - 1) // (CELL * STRETCH)), F.floor(((cell + 1) * CELL + window) / (CELL * STRETCH))).cast("long")
-    candidates = ranked.select("curve", cell.alias("cell"), F.explode(F.sequence(behind, ahead)).alias("stretch"), F.lit(False).alias("asks"), "at", "low", "point", "v")
-    keys = ["curve", "cell", "stretch"]
-    work = candidates.union(queries).repartition(*keys).sortWithinPartitions(*keys, "asks")
+    stretch = lambda at: F.floor(at / STRETCH).cast("long")
+    queries = ranked.filter("asks").select("curve", stretch(F.col("at")).alias("stretch"), F.lit(0).alias("turn"), "at", "low", "point", "v")
+    behind = F.greatest(F.lit(0).cast("long"), stretch(F.col("at") - window))
+    ahead = F.least(F.lit((n - 1) // STRETCH).cast("long"), stretch(F.col("at") + window))
+    candidates = ranked.select("curve", F.explode(F.sequence(behind, ahead)).alias("stretch"), F.lit(1).alias("turn"), "at", "low", "point", "v")
+    work = queries.union(candidates).repartition("curve", "stretch").sortWithinPartitions("curve", "stretch", "turn", "at")
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answer(at, low, point, asks, v):
-            found, asked = ~asks, np.flatnonzero(asks)
-            if not found.any():
-                return
-            across, ranks, ids = v[found].T, at[found], point[found]
-            for i in range(0, len(asked), 512):
-                q = asked[i : i + 512]
-                scores = v[q] @ across
-                outside = (ranks[None] < low[q][:, None]) | (ranks[None] > low[q][:, None] + (window - 1))
-                scores[outside] = -np.inf
-                take = min(k + 1, scores.shape[1])
-                best = np.argpartition(-scores, take - 1, axis=1)[:, :take]
-                value = np.take_along_axis(scores, best, axis=1)
+        key, asked = None, []  # of the current stretch; queries come first
+        query = low = value = ids = asker = None
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            if value is not None:
                 keep = value > -np.inf
-                yield pa.record_batch(
-                    [pa.array(np.repeat(point[q], take)[keep.ravel()]), pa.array(ids[best][keep]), pa.array(value[keep])], names=["asker", "point", "near"]
-                )
+                who = np.repeat(asker, value.shape[1]).reshape(value.shape)
+                yield pa.record_batch([pa.array(who[keep]), pa.array(ids[keep]), pa.array(value[keep])], names=["asker", "point", "near"])
 
-        held: list = []
-        key = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-            v = _matrix(batch.column(7), width)
-            codes = np.stack([c.astype(np.int64) for c in cols[:3]], axis=1)
-            cuts = np.concatenate(([0], np.flatnonzero((codes[1:] != codes[:-1]).any(axis=1)) + 1, [len(codes)]))
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                now = tuple(codes[a].tolist())
-                if key is not None and now != key:
-                    yield from answer(*[np.concatenate(x) for x in zip(*held)])
-                    held = []
-                key = now
-                held.append((cols[4][a:b], cols[5][a:b], cols[6][a:b], cols[3][a:b].astype(bool), v[a:b]))
-        if held:
-            yield from answer(*[np.concatenate(x) for x in zip(*held)])
+            curve, part, turn, at, lows, points_ = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6))
+            v = _matrix(batch.column(6), width)
+            change = (curve[1:] != curve[:-1]) | (part[1:] != part[:-1]) | (turn[1:] != turn[:-1])
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(curve)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if key != (curve[a], part[a]):
+                    yield from settled()
+                    key, asked, value = (curve[a], part[a]), [], None
+                if turn[a] == 0:
+                    asked.append((v[a:b], lows[a:b], points_[a:b]))
+                    continue
+                if not asked:
+                    continue
+                if value is None:
+                    query, low, asker = (np.concatenate(x) for x in zip(*asked))
+                    value, ids = np.full((len(asker), k + 1), -np.inf), np.zeros((len(asker), k + 1), np.int64)
+                for i in range(a, b, BLOCK):
+                    block = slice(i, min(i + BLOCK, b))
+                    # Candidates come by rank: queries whose window lies wholly before or after the block are passed over.
+                    rows = np.flatnonzero((low <= at[block.stop - 1]) & (low + (window - 1) >= at[i]))
+                    if not len(rows):
+                        continue
+                    scores = query[rows] @ v[block].T
+                    scores[(at[block] < low[rows][:, None]) | (at[block] > low[rows][:, None] + (window - 1))] = -np.inf
+                    every = np.concatenate((value[rows], scores), axis=1)
+                    names = np.concatenate((ids[rows], np.broadcast_to(points_[block], scores.shape)), axis=1)
+                    best = np.argpartition(-every, k, axis=1)[:, : k + 1]
+                    value[rows], ids[rows] = np.take_along_axis(every, best, axis=1), np.take_along_axis(names, best, axis=1)
+        yield from settled()
 
     hits = work.mapInArrow(nearest, "asker long, point long, near double").groupBy("asker", "point").agg(F.max("near").alias("near"))
     # A point that shares the k-th place by value may hold smaller ids: equal values are kept together by rank().

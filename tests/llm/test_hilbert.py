@@ -43,8 +43,8 @@ def test_query_recall(spark):
 
 
 def test_many_cells_and_copies(spark, monkeypatch):
-    monkeypatch.setattr(hilbert, "CELL", 16)
-    monkeypatch.setattr(hilbert, "STRETCH", 2)
+    monkeypatch.setattr(hilbert, "STRETCH", 48)
+    monkeypatch.setattr(hilbert, "BLOCK", 13)
     r = np.random.default_rng(5)
     rows = {i: np.round(r.standard_normal(8), 3) for i in range(0, 400)}
     for i in range(100, 260):
