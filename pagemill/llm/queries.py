@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagemill.llm import bestfit, cutting_stock, hilbert, hyperlang, kneser_ney, mixing, personal, sharding, simhash, sketch
+from pagemill.llm import bestfit, cutting_stock, hilbert, hyperlang, kneser_ney, link_trust, mixing, personal, sharding, simhash, sketch
 
 QUERIES, ORACLES = {}, {}
 
@@ -82,3 +82,21 @@ def op9_hilbert_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     return kneser_ney.score_folds(_documents(spark, folder, "doc_id", "text"))
+
+
+URL_RULES = [
+    link_trust.Rule("allow", "org", "/"),
+    link_trust.Rule("block", "example.org", "/es/"),
+    link_trust.Rule("block", "example.org", "/en/1"),
+    link_trust.Rule("allow", "com", "/fr/"),
+    link_trust.Rule("block", "com", "/de/"),
+]
+
+
+@query
+def op12_link_trust(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
+    return link_trust.judge(pages, URL_RULES)
+
+
+ORACLES["op12_link_trust"] = link_trust.judge_sql(URL_RULES)
