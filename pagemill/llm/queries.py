@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagemill.llm import bestfit, cutting_stock, hilbert, hyperlang, kneser_ney, link_trust, mixing, personal, sharding, simhash, sketch
+from pagemill.llm import bestfit, cutting_stock, hilbert, hyperlang, kneser_ney, link_trust, mixing, personal, sharding, simhash, sketch, turn_repair
 
 QUERIES, ORACLES = {}, {}
 
@@ -100,3 +100,8 @@ def op12_link_trust(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op12_link_trust"] = link_trust.judge_sql(URL_RULES)
+
+
+@query
+def op11_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return turn_repair.damaged_and_repaired(spark.read.parquet(f"{folder}/conversations.parquet"))
