@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagemill.llm import bestfit, cutting_stock, hilbert, hyperlang, kneser_ney, link_trust, mixing, personal, sharding, simhash, sketch, turn_repair
+from pagemill.llm import bestfit, cutting_stock, hilbert, hyperlang, kneser_ney, link_trust, mixing, personal, sharding, simhash, sketch, token_links, turn_repair
 
 QUERIES, ORACLES = {}, {}
 
@@ -105,3 +105,11 @@ ORACLES["op12_link_trust"] = link_trust.judge_sql(URL_RULES)
 @query
 def op11_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
     return turn_repair.damaged_and_repaired(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+@query
+def op13_token_links(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_links.measure(_documents(spark, folder, "doc_id", "text"), *paths)
