@@ -112,4 +112,4 @@ def op13_token_links(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-    return token_links.measure(_documents(spark, folder, "doc_id", "text"), *paths)
+    return token_links.measure(_documents(spark, folder, "doc_id", "text"), *paths, a_pattern=public_tokenizers.PATTERN)

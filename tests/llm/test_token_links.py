@@ -77,7 +77,7 @@ def test_odd_rows(spark, odd, rows, known, chunk):
 def test_given_documents(spark, tiny, documents, known):
     some = [d for d in documents if not d[1] or len(d[1]) < 3000]
     df = spark.createDataFrame([d[:2] for d in some], "doc_id long, text string").repartition(3)
-    assert rows_of(token_links.measure(df, *PATHS, chunk=20_000)) == sorted(((d[0], *x) for d, x in zip(some, by_hand([d[1] for d in some], known))), key=repr)
+    assert rows_of(token_links.measure(df, *PATHS, a_pattern=public_tokenizers.PATTERN, chunk=20_000)) == sorted(((d[0], *x) for d, x in zip(some, by_hand([d[1] for d in some], known))), key=repr)
 
 
 def test_lanes_make_no_difference():
@@ -111,5 +111,14 @@ def test_alignments(spark, known):
         assert a[-1][1] == len(f" {text}".encode())
 
 
+def test_both_encoders_of_a_agree(known, documents):
+    quick = token_links.vocabularies(*PATHS, public_tokenizers.PATTERN)
+    draw = random.Random(1)
+    marks = ["'s", "'ll", " \n", "<|endoftext|>", "\r\n", *"   abcABC019.,'\t"]
+    texts = ["".join(draw.choice([chr(draw.randrange(1, 0x250)), chr(draw.randrange(0x1F000, 0x1F700)), draw.choice(marks)]) for _ in range(30)) for _ in range(2000)]
+    for text in [" " * 1_000_000, "^" * 100_000, *ODD, *texts, *[d[1] or "" for d in documents]]:
+        assert quick._a_ids(" " + text) == known._a_ids(" " + text)
+
+
 def test_none(spark, none):
     assert token_links.measure(none, *PATHS).collect() == [] and token_links.alignments(none, *PATHS).collect() == []
