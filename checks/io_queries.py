@@ -207,6 +207,15 @@ def retention_applied(spark, folder):
 # --- streams -----------------------------------------------------------------
 
 
+def arrivals(rows, runs=2, files=4, files_per_batch=2):
+    """Rows that arrive in a folder in ``runs`` parts: a stream per part, over all that has arrived, of a few files per micro-batch."""
+    spark, path = rows.sparkSession, fresh_path(rows.sparkSession, "arrivals")
+    for run in range(runs):
+        part = rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(runs)) == run)
+        part.repartition(files).write.mode("append").parquet(path)
+        yield flows.read_folder(spark, path, rows.schema, files_per_batch=files_per_batch)
+
+
 def stream_restart(spark, folder):
     """Three batches of documents, each handled by a new session of the flow on the same folder."""
     df, path = views.table(spark, folder, "documents").select("doc_id", "text"), fresh_path(spark, "restart")
@@ -216,14 +225,13 @@ def stream_restart(spark, folder):
 
 
 def stream_states_restart(spark, folder):
-    """Task states over many batches, the last one twice, with a restart before each."""
+    """Task states over four runs of a stream, each by a new session of the flow on the same checkpoint."""
     events, path = views.task_events(spark, folder), fresh_path(spark, "states-restart")
-    for batch_id in [*range(18), 17]:
-        flows.TaskStates(spark, path).update(events.filter(F.pmod(F.xxhash64("sequence"), F.lit(18)) == batch_id), batch_id)
+    for stream in arrivals(events, runs=4, files=2, files_per_batch=2):
+        flows.TaskStates(spark, path).run(stream)
     return micros(flows.TaskStates(spark, path).table(), "updated_at", "completed_at")
 
 
-
 def table_stream(spark, folder, name, schema):
     """A table as a stream, whether it is one file or a folder of files (hence the glob)."""
     return flows.read_folder(spark, f"{folder}/{name}.parque[t]", schema)
@@ -234,8 +242,12 @@ def event_stream(spark, folder):
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def sample_stream(spark, folder):
-    return event_stream(spark, folder).select(
+def event_rows(spark, folder):
+    return views.table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def sample_rows(events):
+    return events.select(
         F.col("event_id").alias("sample_id"), (F.col("user_id") % 8).alias("host"), F.col("ts").alias("timestamp"),
         F.least("value", F.lit(100.0)).alias("cpu_percent"), (F.col("event_id") % 100).cast("double").alias("memory_percent"),
         (F.col("user_id") % 100).cast("double").alias("disk_percent"),
@@ -244,32 +256,36 @@ def sample_stream(spark, folder):
 
 def stream_rollup(spark, folder):
     """Hourly load per host; windows the watermark has closed."""
-    rolled = flows.metric_rollup(sample_stream(spark, folder), "1 hour", "1 hour")
+    rolled = flows.metric_rollup(sample_rows(event_stream(spark, folder)), "1 hour", "1 hour")
     out = flows.run_available(rolled, fresh_path(spark, "rollup"))
     return rounded(micros(out, "window_start"), "cpu_avg", "memory_avg", "disk_avg")
 
 
 def stream_alerts(spark, folder):
-    judged = flows.alerts(sample_stream(spark, folder)).select("sample_id", "status", F.array_join("issues", "; ").alias("issues"))
+    judged = flows.alerts(sample_rows(event_stream(spark, folder))).select("sample_id", "status", F.array_join("issues", "; ").alias("issues"))
     return flows.run_available(judged, fresh_path(spark, "alerts"))
 
 
 def stream_recent(spark, folder):
-    """The last 60 samples of every host."""
-    recent = flows.RecentRows(spark, ["host"], ["timestamp", "sample_id"], 60)
-    flows.run_batches(sample_stream(spark, folder), recent.update)
+    """The last 60 samples of every host, over several micro-batches and a restart."""
+    samples, path = sample_rows(event_rows(spark, folder)), fresh_path(spark, "recent")
+    for stream in arrivals(samples):
+        flows.RecentRows(spark, ["host"], ["timestamp", "sample_id"], 60, samples.schema, checkpoint=path).run(stream)
+    recent = flows.RecentRows(spark, ["host"], ["timestamp", "sample_id"], 60, samples.schema, checkpoint=path)
     return recent.table().select("host", "sample_id", "cpu_percent")
 
 
 def stream_task_states(spark, folder):
-    changes = event_stream(spark, folder).select(
+    """The state of every task, over several micro-batches and a restart."""
+    changes = event_rows(spark, folder).select(
         F.col("user_id").alias("task_id"), views._status(F.col("event_type")).alias("status"), F.col("ts").alias("updated_at"),
         F.col("event_id").alias("sequence"),
         F.when((F.col("event_type") == "error") & (F.col("event_id") % 2 == 0), "HTTP 500").alias("error"),
     )
-    states = flows.TaskStates(spark)
-    flows.run_batches(changes, states.update)
-    return micros(states.table(), "updated_at", "completed_at")
+    path = fresh_path(spark, "states")
+    for stream in arrivals(changes):
+        flows.TaskStates(spark, path).run(stream)
+    return micros(flows.TaskStates(spark, path).table(), "updated_at", "completed_at")
 
 
 def stream_batches(spark, folder):

@@ -58,17 +58,17 @@ def analyse(df: DataFrame, text: str = "text", as_of: Column | None = None) -> D
     return base.withColumns(columns).drop("_ranked", "_lower", "_short")
 
 
-def mark_duplicates(
-    df: DataFrame, key: str, text: str = "text", first_seen: str | None = None, seen: DataFrame | None = None
-) -> DataFrame:
-    """Flag every text that an earlier row (by ``key``) already had.
+def hashed_texts(df: DataFrame, key: str, text: str = "text", first_seen: str | None = None) -> DataFrame:
+    """Stored rows (``key``, ``text_hash``, ``_seen``): the text is read and hashed once, and goes no further."""
+    at = F.col(first_seen) if first_seen else F.col(key)
+    return materialize(df.select(F.col(key), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), at.alias("_seen")), "hashes")
+
+
+def mark_hashed(hashed: DataFrame, key: str, seen: DataFrame | None = None) -> DataFrame:
+    """Flags for the rows of ``hashed_texts``. A hash shared by a third of the corpus is counted map-side and joined back over salted tasks.
 
-    ``seen`` (text_hash, first_key, first_seen) holds texts known from before. Only
-    (key, hash) is shuffled. The text is read and hashed once; a hash shared by a third
-    of the corpus is counted map-side and joined back over salted tasks.
+    ``seen`` (text_hash, first_key, first_seen) holds texts known from before.
     """
-    at = F.col(first_seen) if first_seen else F.col(key)
-    hashed = materialize(df.select(F.col(key), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), at.alias("_seen")), "hashes")
     firsts = hashed.groupBy("text_hash").agg(
         # Fixed-width minima where the columns allow, so that Spark aggregates by hash and sorts nothing.
         F.min(key).alias("_key"), F.min_by("_seen", key).alias("_at"), F.count("*").alias("copies"),
@@ -89,6 +89,13 @@ def mark_duplicates(
     )
 
 
+def mark_duplicates(
+    df: DataFrame, key: str, text: str = "text", first_seen: str | None = None, seen: DataFrame | None = None
+) -> DataFrame:
+    """Flag every text that an earlier row (by ``key``) already had. Only (key, hash) is shuffled; ``seen`` as in ``mark_hashed``."""
+    return mark_hashed(hashed_texts(df, key, text, first_seen), key, seen)
+
+
 def full_analysis(df: DataFrame, key: str, text: str = "text", as_of: Column | None = None) -> DataFrame:
     """One row per document: ``analyse`` plus the duplicate score; short texts are never duplicates."""
     marks = mark_duplicates(df.filter(~tx.too_short(F.col(text))), key, text)

@@ -6,14 +6,16 @@ there is and stops. Output and checkpoints go to folders, never to the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from pagemill.operators import documents as docs, metrics as mx
-from pagemill.plans.stored import delete_folder, exists, fresh_path, list_names
+from pagemill.plans.stored import delete_folder, exists, fresh_path, list_names, materialize
 from pagemill.sources import readers
+from pagemill.streaming import keyed
 
 
 def read_folder(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -69,113 +71,127 @@ def alerts(samples: DataFrame) -> DataFrame:
     return judged.filter(F.size("issues") > 0).drop("error_rate")
 
 
-class Deltas:
-    """State of a stream as folders on shared storage: one per micro-batch, now and then merged into one.
+@contextmanager
+def _state_store(spark: SparkSession) -> Iterator[None]:
+    """Keyed state lives in RocksDB, which holds more keys than memory does; other queries of the session keep their store."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
-    A batch writes only its own rows, and a retried one replaces them. What exists is read from the folder, so a restart goes
-    on where the stream stopped. Every ``EVERY`` batches all but the last ones are merged into ``upto=N``, after which the
-    folders it replaces are deleted; a merge cut short leaves its sources, and counts only once it is complete.
-    """
 
-    EVERY = 16
+class _Keyed:
+    """A stateful flow whose state is Spark's: kept below ``checkpoint``, read by the state reader.
 
-    def __init__(self, spark: SparkSession, folder: str, merge: Callable[[DataFrame], DataFrame]):
-        self.spark, self.folder, self.merge = spark, folder, merge
+    ``run`` takes what input there is and stops; a later ``run`` with the same checkpoint, by whatever session, goes on where the last one
+    stopped, and a batch that is tried again leaves no trace of the first try. ``changes`` names a folder for the rows of changed
+    keys, one folder per micro-batch. With ``forget_after`` and ``late`` (intervals) event-time timers drop what is no longer needed.
+    """
 
-    def _numbers(self, kind: str) -> list[int]:
-        return sorted(int(n.split("=")[1]) for n in list_names(self.spark, self.folder) if n.startswith(f"{kind}="))
+    def __init__(self, spark: SparkSession, checkpoint: str | None = None, forget_after: str | None = None, late: str = "1 minute"):
+        self.spark, self.checkpoint, self.late = spark, checkpoint or fresh_path(spark, "keyed"), late
+        self.forget_after = forget_after and int(spark.sql(f"SELECT unix_millis(timestamp_seconds(0) + INTERVAL {forget_after})").first()[0])
 
-    def _paths(self, below: int | None = None) -> list[str]:
-        """Folders that hold the state before batch ``below``, or now."""
-        merged = [n for n in self._numbers("upto") if exists(self.spark, f"{self.folder}/upto={n}/_SUCCESS")]
-        base = max(merged, default=-1)
-        later = [n for n in self._numbers("batch") if n > base and (below is None or n < below)]
-        return ([f"{self.folder}/upto={base}"] if base >= 0 else []) + [f"{self.folder}/batch={n}" for n in later]
+    def _grouped(self, rows: DataFrame, keys: Sequence[str], processor, schema) -> DataFrame:
+        if self.forget_after:
+            # The processor reads event times as numbers; the watermark follows the time itself.
+            rows = rows.withColumn("_watermark", F.timestamp_millis(keyed.EVENT_TIME)).withWatermark("_watermark", self.late)
+        mode = "EventTime" if self.forget_after else "None"
+        return rows.groupBy(*keys).transformWithState(processor, schema, "update", mode)
 
-    def read(self, below: int | None = None) -> DataFrame | None:
-        paths = self._paths(below)
-        if not paths:
-            return None
-        parts = [self.spark.read.parquet(p) for p in paths]
-        return self.merge(reduce(DataFrame.unionByName, parts))
+    def run(self, stream: DataFrame, changes: str | None = None) -> None:
+        def store(batch: DataFrame, batch_id: int) -> None:
+            if changes:
+                batch.write.mode("overwrite").parquet(f"{changes}/batch={batch_id}")
+            else:
+                batch.write.format("noop").mode("overwrite").save()
 
-    def write(self, rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
-        if batch_id % self.EVERY == 0 and batch_id > 1:
-            self._compact(batch_id - 2)  # the last two batches may be retried
+        with _state_store(self.spark):
+            run_batches(self.updates(stream), store, "update", self.checkpoint)
 
-    def _compact(self, upto: int) -> None:
-        sources = self._paths(upto + 1)
-        if len(sources) < 2:
-            return
-        self.read(upto + 1).write.mode("overwrite").parquet(f"{self.folder}/upto={upto}")
-        for path in sources:
-            delete_folder(self.spark, path)
+    def _state(self, variable: str, schema: T.StructType) -> DataFrame:
+        """A state variable as rows; none where no batch has run."""
+        if not exists(self.spark, f"{self.checkpoint}/commits/0"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.format("statestore").option("stateVarName", variable).load(self.checkpoint)
 
 
-class RecentRows:
-    """The newest ``size`` rows per key of a stream.
+class RecentRows(_Keyed):
+    """The newest ``size`` rows per key of a stream, in list state.
 
-    A batch is cut to the newest rows per key on the map side (a ranked limit before the shuffle), so a busy key costs its buffer
-    and no more; batches are stored as deltas in ``folder``, which outlives restarts if the caller names one.
+    Every task cuts its rows to the newest per key before the shuffle, so a busy key costs its buffer and no more. Times travel as
+    microseconds. Columns may be numbers, strings, booleans and timestamps. With ``forget_after`` the first column of ``order``
+    is a timestamp, and a key that gets nothing newer for that long is dropped.
     """
 
-    def __init__(self, spark: SparkSession, keys: Sequence[str], order: Sequence[str], size: int, folder: str | None = None):
-        self.keys, self.order, self.size = list(keys), list(order), size
-        self.state = Deltas(spark, folder or fresh_path(spark, "recent"), self.newest)
+    def __init__(self, spark: SparkSession, keys: Sequence[str], order: Sequence[str], size: int, schema: T.StructType, **options):
+        super().__init__(spark, **options)
+        self.keys, self.order, self.size, self.schema = list(keys), list(order), size, schema
+        self.times = [f.name for f in schema.fields if isinstance(f.dataType, T.TimestampType)]
+        fields = [T.StructField(f.name, T.LongType() if f.name in self.times else f.dataType) for f in schema.fields]
+        self.stored = T.StructType(fields)
 
     def newest(self, df: DataFrame) -> DataFrame:
+        """The same over a table."""
         rank = F.row_number().over(Window.partitionBy(*self.keys).orderBy(*[F.desc(c) for c in self.order]))
         return df.withColumn("_rank", rank).filter(F.col("_rank") <= self.size).drop("_rank")
 
-    def update(self, batch: DataFrame, batch_id: int) -> None:
-        self.state.write(self.newest(batch), batch_id)
+    def updates(self, stream: DataFrame) -> DataFrame:
+        """Streaming: the newest rows of every key that changed."""
+        columns = [F.unix_micros(c).alias(c) if c in self.times else F.col(c) for c in self.schema.names]
+        if self.forget_after:
+            columns.append(F.unix_millis(self.order[0]).alias(keyed.EVENT_TIME))
+        rows = stream.select(columns)
+        keys, order, size = self.keys, self.order, self.size
+        cut = rows.mapInArrow(keyed.reduced(lambda table: keyed.newest(table, keys, order, size)), rows.schema)
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.stored.fields)
+        found = self._grouped(cut, keys, keyed.Newest(self.stored.names, ddl, order, size, self.forget_after), self.stored)
+        return found.select(self._plain(""))
+
+    def _plain(self, prefix: str) -> list[Column]:
+        return [F.timestamp_micros(prefix + c).alias(c) if c in self.times else F.col(prefix + c).alias(c) for c in self.schema.names]
 
     def table(self) -> DataFrame:
-        return self.state.read()
+        rows = self._state("rows", T.StructType([T.StructField("list_element", self.stored)]))
+        return rows.select(self._plain("list_element."))
 
 
 # --- tasks -------------------------------------------------------------------
 
 
-class TaskStates:
-    """Current state per task from a stream of state changes.
+class TaskStates(_Keyed):
+    """Current state per task from a stream of state changes, in value state.
 
-    Each batch is reduced to one row per task and stored as a delta; reading merges them, and the result equals the batch
-    operator over all changes. No trigger rewrites the states of other tasks.
+    Every task of Spark first reduces its changes to one partial state per key; the result equals ``lifecycle.latest_state`` over all
+    changes. With ``forget_after`` a task that has ended and gets no change for that long is dropped.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None):
-        self.state = Deltas(spark, folder or fresh_path(spark, "states"), self._merged)
-
-    @staticmethod
-    def _partial(events: DataFrame) -> DataFrame:
-        order = F.struct("updated_at", "sequence")
+    def updates(self, stream: DataFrame) -> DataFrame:
+        """Streaming: the state of every task that changed."""
         failed = (F.col("status") == "failed") & F.col("error").isNotNull()
-        ends = (F.col("status") == "completed") | failed
-        return events.groupBy("task_id").agg(
-            F.max(F.struct(order.alias("at"), "status")).alias("latest"),
-            F.max(F.when(ends, F.col("updated_at"))).alias("completed_at"),
-            F.max(F.when(failed, F.struct(order.alias("at"), "error"))).alias("failure"),
-            F.count("*").alias("changes"),
-        )
-
-    @staticmethod
-    def _merged(parts: DataFrame) -> DataFrame:
-        return parts.groupBy("task_id").agg(
-            F.max("latest").alias("latest"), F.max("completed_at").alias("completed_at"),
-            F.max("failure").alias("failure"), F.sum("changes").alias("changes"),
-        )
-
-    def update(self, batch: DataFrame, batch_id: int) -> None:
-        self.state.write(self._partial(batch), batch_id)
-
-    def table(self) -> DataFrame:
-        status = F.col("latest.status")
+        at, sequence = F.unix_micros("updated_at"), F.col("sequence").cast("long")
+        columns = [
+            "task_id", at.alias("at"), sequence.alias("sequence"), F.col("status"), F.when((F.col("status") == "completed") | failed, at).alias("completed_at"),
+            F.when(failed, at).alias("failed_at"), F.when(failed, sequence).alias("failed_sequence"), F.when(failed, F.col("error")).alias("error"),
+            F.lit(1).cast("long").alias("changes"),
+        ]
+        if self.forget_after:
+            columns.append(F.unix_millis("updated_at").alias(keyed.EVENT_TIME))
+        rows = stream.select(columns)
+        parts = rows.mapInArrow(keyed.reduced(keyed.task_partials), rows.schema)
+        kind = rows.schema["task_id"].dataType.simpleString()
+        return self._grouped(parts, ["task_id"], keyed.LatestState(self.forget_after), f"task_id {kind}, {keyed.TASK_STATE}")
+
+    def table(self, kind: str = "string") -> DataFrame:
+        schema = T.StructType.fromDDL(f"key struct<task_id: {kind}>, value struct<{keyed.TASK_STATE.replace(' ', ': ').replace(',:', ',')}>")
+        status = F.col("value.status")
         progress = F.when(status == "processing", 10).when(status == "completed", 100).otherwise(0)
-        return self.state.read().select(
-            "task_id", status.alias("status"), F.col("latest.at.updated_at").alias("updated_at"), "completed_at",
-            F.col("failure.error").alias("error"), "changes", progress.cast("long").alias("progress"),
+        return self._state("state", schema).select(
+            "key.task_id", status.alias("status"), F.timestamp_micros("value.at").alias("updated_at"),
+            F.timestamp_micros("value.completed_at").alias("completed_at"), "value.error", "value.changes", progress.cast("long").alias("progress"),
         )
 
 
@@ -204,21 +220,62 @@ def micro_batches(items: DataFrame, handle: Callable[[DataFrame, int], None], lo
 class SeenTexts:
     """Duplicate flags over an unbounded stream whose memory never expires.
 
-    The texts seen so far are a table of hashes; a batch is reduced to one row per hash
-    before it meets that table, so copies within and across batches are found without
-    holding a hot hash in one task.
+    The hashes of texts seen so far lie in buckets, by batch. In front of them stands a Bloom filter: ``words`` words of 64 bits, of
+    which a hash owns four bits of one. A batch is reduced to one row per hash and meets the filter's words first; only hashes whose bits are all
+    set are looked up, in their buckets alone, and compared exactly. So a batch of new texts reads no stored hash, and one with few old texts
+    reads few buckets. Beyond about eight hashes a word the filter lets more through; flags stay exact.
+
+    Hashes and filter of a batch lie in folders of its id: a retried batch replaces its own, and reads only earlier ones.
     """
 
-    def __init__(self, spark: SparkSession, key: str, folder: str | None = None):
-        self.spark, self.key, self.folder = spark, key, folder or fresh_path(spark, "seen")
-        self.first = Deltas(spark, f"{self.folder}/first", lambda rows: rows)
+    BUCKETS = 64
+
+    def __init__(self, spark: SparkSession, key: str, folder: str | None = None, words: int = 1 << 20):
+        self.spark, self.key, self.folder, self.words = spark, key, folder or fresh_path(spark, "seen"), words
+
+    def _placed(self, hashes: DataFrame) -> DataFrame:
+        """With each hash's ``bucket``, its ``word`` of the filter, and the ``mask`` of its bits there."""
+        spot, bits = F.xxhash64("text_hash"), F.xxhash64("text_hash", F.lit(1))
+        mask = reduce(Column.bitwiseOR, [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(bits, 6 * i).bitwiseAND(63).cast("int")) for i in range(4)])
+        return hashes.select(
+            "*", F.pmod(spot, F.lit(self.BUCKETS)).cast("int").alias("bucket"), F.pmod(F.shiftrightunsigned(spot, 8), F.lit(self.words)).alias("word"), mask.alias("mask")
+        )
+
+    def _filter(self, below: int) -> DataFrame | None:
+        """The filter before batch ``below``: (``word``, ``bits``) where any bit is set."""
+        numbers = [int(n.split("=")[1]) for n in list_names(self.spark, f"{self.folder}/filter") if n.startswith("batch=")]
+        earlier = [n for n in numbers if n < below]
+        return self.spark.read.schema("word long, bits long").parquet(f"{self.folder}/filter/batch={max(earlier)}") if earlier else None
+
+    def _known(self, hashed: DataFrame, batch_id: int) -> DataFrame | None:
+        """First keys of the batch's hashes that an earlier batch has stored; None where the filter rules all of them out."""
+        words = self._filter(batch_id)
+        if words is None:
+            return None
+        probes = self._placed(hashed.select("text_hash").distinct())
+        possible = probes.join(words, "word").filter(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")).select("text_hash", "bucket")
+        possible = materialize(possible, "possible")
+        buckets = possible.agg(F.sort_array(F.collect_set("bucket"))).first()[0]  # at most BUCKETS numbers
+        if not buckets:
+            return None
+        kind = hashed.schema[self.key].dataType.simpleString()
+        schema = f"text_hash string, first_key {kind}, first_seen {kind}, batch long, bucket int"
+        stored = self.spark.read.schema(schema).parquet(f"{self.folder}/hashes").filter((F.col("batch") < batch_id) & F.col("bucket").isin(buckets))
+        return stored.join(possible.select("text_hash"), "text_hash").select("text_hash", "first_key", "first_seen")
 
     def update(self, batch: DataFrame, batch_id: int) -> None:
-        marks = docs.mark_duplicates(batch, self.key, seen=self.first.read(below=batch_id))
+        hashed = docs.hashed_texts(batch, self.key)
         path = f"{self.folder}/marks/batch={batch_id}"
-        marks.write.mode("overwrite").parquet(path)
-        stored = self.spark.read.parquet(path).filter(~F.col("is_duplicate"))
-        self.first.write(stored.select("text_hash", F.col(self.key).alias("first_key"), F.col(self.key).alias("first_seen")), batch_id)
+        docs.mark_hashed(hashed, self.key, self._known(hashed, batch_id)).write.mode("overwrite").parquet(path)
+        fresh = self.spark.read.parquet(path).filter(~F.col("is_duplicate"))
+        fresh = self._placed(fresh.select("text_hash", F.col(self.key).alias("first_key"), F.col(self.key).alias("first_seen")))
+        # One file per bucket and batch, whatever the number of tasks.
+        by_bucket = fresh.select("text_hash", "first_key", "first_seen", "bucket").repartition("bucket")
+        by_bucket.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/hashes/batch={batch_id}")
+        words, before = fresh.select("word", F.col("mask").alias("bits")), self._filter(batch_id)
+        words = words.union(before) if before is not None else words
+        words.groupBy("word").agg(F.bit_or("bits").alias("bits")).write.mode("overwrite").parquet(f"{self.folder}/filter/batch={batch_id}")
+        delete_folder(self.spark, f"{self.folder}/filter/batch={batch_id - 2}")  # the last batch may be tried again, and reads the one before
 
     def table(self) -> DataFrame:
         """The flags of every batch so far, whichever session wrote them."""

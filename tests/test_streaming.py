@@ -1,14 +1,16 @@
 """Streams over several micro-batches give what the batch operators give over all rows."""
 
 import json
+import random
 from datetime import datetime, timedelta, timezone
 
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from pagemill.operators import documents as docs, lifecycle, metrics as mx
 from checks import views
-from pagemill.streaming import flows
+from pagemill.streaming import flows, keyed
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -25,30 +27,81 @@ def parts(spark, tmp_path):
     return make
 
 
-def test_recent_rows(spark, tiny, parts):
+def test_recent_rows(spark, tiny, tmp_path):
+    """Several micro-batches and a restart; a hot host is cut before the shuffle."""
     samples = views.system_metrics(spark, tiny).select("host", "sample_id", "timestamp", "cpu_percent")
-    recent = flows.RecentRows(spark, ["host"], ["timestamp", "sample_id"], 60)
-    flows.run_batches(parts(samples), recent.update)
-    want = recent.newest(samples)
-    assert sorted(recent.table().collect()) == sorted(want.collect())
-
-
-def test_task_states(spark, tiny, parts):
+    make = lambda: flows.RecentRows(spark, ["host"], ["timestamp", "sample_id"], 60, samples.schema, checkpoint=str(tmp_path / "state"))
+    assert make().table().collect() == []
+    path, changes = str(tmp_path / "in"), str(tmp_path / "changes")
+    for run in range(2):
+        samples.filter(F.col("sample_id") % 2 == run).repartition(3).write.mode("append").parquet(path)
+        make().run(flows.read_folder(spark, path, samples.schema, files_per_batch=2), changes)
+    want = sorted(make().newest(samples).collect())
+    assert sorted(make().table().collect()) == want
+    written = spark.read.parquet(changes)
+    assert written.agg(F.max("batch")).first()[0] >= 3
+    last = written.join(written.groupBy("host").agg(F.max("batch").alias("batch")), ["host", "batch"]).select(samples.columns)
+    assert sorted(last.collect()) == want
+
+
+def test_newest_per_key_before_the_shuffle():
+    """The reduction in front of the state equals a sort, however often it is applied and whatever it may hold."""
+    draw = random.Random(2)
+    rows = [(draw.choice([None, "a", "b", "c"]), draw.choice([None, *range(50)]), n) for n in range(3000)]
+    table = pa.table({"k": [r[0] for r in rows], "at": [r[1] for r in rows], "n": [r[2] for r in rows]})
+    want = []
+    for key in (None, "a", "b", "c"):
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2]), reverse=True)
+        want += mine[:7]
+    for hold in (100_000, 500, 20):
+        cut = lambda t: keyed.newest(t, ["k"], ["at", "n"], 7)
+        got = pa.Table.from_batches(keyed.reduced(cut, hold)(iter(table.to_batches(max_chunksize=100))))
+        assert sorted(map(str, (tuple(r.values()) for r in cut(got).to_pylist()))) == sorted(map(str, want))
+    assert keyed.newest(table.slice(0, 0), ["k"], ["at"], 3).num_rows == 0
+
+
+def test_task_states(spark, tiny, tmp_path):
     events = views.task_events(spark, tiny)
+    path = str(tmp_path / "in")
+    for run in range(2):
+        events.filter(F.col("sequence") % 2 == run).repartition(3).write.mode("append").parquet(path)
+        flows.TaskStates(spark, str(tmp_path / "state")).run(flows.read_folder(spark, path, events.schema, files_per_batch=2))
+    want = lifecycle.latest_state(events)
+    got = flows.TaskStates(spark, str(tmp_path / "state")).table()
+    assert sorted(got.select(*want.columns).collect(), key=repr) == sorted(want.collect(), key=repr)
+
+
+def test_odd_changes(spark, tmp_path):
+    """Null tasks, times, states and errors, repeated changes: as the batch operator has them."""
+    draw = random.Random(4)
+    rows = [
+        (draw.choice([None, "a", "b", "c"]), draw.choice([None, "failed", "completed", "processing", "pending"]), draw.choice([None, *(T0 + timedelta(seconds=s) for s in range(9))]), n // 2, draw.choice([None, "x", "y"]))
+        for n in range(300)
+    ]
+    events = spark.createDataFrame(rows, "task_id string, status string, updated_at timestamp, sequence long, error string").dropDuplicates(["sequence"])
+    events.repartition(5).write.parquet(str(tmp_path / "in"))
+    events = spark.read.parquet(str(tmp_path / "in"))
     states = flows.TaskStates(spark)
-    flows.run_batches(parts(events), states.update)
+    states.run(flows.read_folder(spark, str(tmp_path / "in"), events.schema, files_per_batch=2))
     want = lifecycle.latest_state(events)
     assert sorted(states.table().select(*want.columns).collect(), key=repr) == sorted(want.collect(), key=repr)
 
 
-def test_a_retried_batch_changes_nothing(spark, tiny):
-    events = views.task_events(spark, tiny)
-    states = flows.TaskStates(spark)
-    states.update(events.filter("sequence % 2 = 0"), 0)
-    states.update(events.filter("sequence % 2 = 1"), 1)
-    before = sorted(states.table().collect(), key=repr)
-    states.update(events.filter("sequence % 2 = 1"), 1)
-    assert sorted(states.table().collect(), key=repr) == before
+def test_timers_forget(spark, tmp_path):
+    """Ended tasks and silent hosts leave the state once the watermark has passed their time; others stay."""
+    rows = [[("a", "completed", 0, 0), ("b", "processing", 0, 1)], [("c", "pending", 500, 2)], [("c", "pending", 501, 3)], [("c", "pending", 502, 4)]]
+    tasks, hosts = str(tmp_path / "tasks"), str(tmp_path / "hosts")
+    schema = "task_id string, status string, updated_at timestamp, sequence long, error string"
+    for batch in rows:
+        df = spark.createDataFrame([(t, s, T0 + timedelta(seconds=at), n, None) for t, s, at, n in batch], schema)
+        df.coalesce(1).write.mode("append").parquet(tasks)
+        stream = flows.read_folder(spark, tasks, df.schema)
+        flows.TaskStates(spark, str(tmp_path / "s1"), forget_after="60 seconds", late="1 second").run(stream)
+        kept = df.schema.fields[:1] + df.schema.fields[2:4]
+        recent = flows.RecentRows(spark, ["task_id"], ["updated_at"], 3, T.StructType(kept), checkpoint=hosts, forget_after="60 seconds", late="1 second")
+        recent.run(stream)
+    assert sorted(r.task_id for r in flows.TaskStates(spark, str(tmp_path / "s1")).table().collect()) == ["b", "c"]
+    assert sorted((r.task_id, r.sequence) for r in recent.table().collect()) == [("c", 2), ("c", 3), ("c", 4)]
 
 
 def test_seen_texts(spark, parts):
@@ -62,20 +115,40 @@ def test_seen_texts(spark, parts):
     assert all(r.first_seen == first[r.text_hash] for r in marks if r.is_duplicate)
 
 
-def test_restarts_and_compaction(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(flows.Deltas, "EVERY", 3)
+def test_restarts(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"text {i % 7}") for i in range(60)], "id long, text string")
     path = str(tmp_path / "seen")
-    for batch in [*range(10), 9, 8]:  # the last two are handled again
+    for batch in [*range(10), 9]:  # the last one is handled again
         flows.SeenTexts(spark, "id", path).update(rows.filter(F.floor(F.col("id") / 6) == batch), batch)
     marks = flows.SeenTexts(spark, "id", path).table().collect()
     assert len(marks) == 60 and sorted(r.id for r in marks if not r.is_duplicate) == list(range(7))
-    assert len(list((tmp_path / "seen" / "first").glob("*=*"))) <= 5
-    recent = flows.RecentRows(spark, ["k"], ["id"], 4, str(tmp_path / "recent"))
-    keyed = rows.select("id", (F.col("id") % 2).alias("k"))
-    for batch in range(10):
-        flows.RecentRows(spark, ["k"], ["id"], 4, str(tmp_path / "recent")).update(keyed.filter(F.floor(F.col("id") / 6) == batch), batch)
-    assert sorted(r.id for r in recent.table().collect()) == list(range(52, 60))
+    assert len(list((tmp_path / "seen" / "filter").glob("batch=*"))) == 2
+
+
+def test_new_texts_read_no_stored_hash(spark, tmp_path):
+    """The filter stands before the hashes: new texts are ruled out by it, an old one opens its bucket alone."""
+    make = lambda ids: spark.createDataFrame([(i, f"text {i}") for i in ids], "id long, text string")
+    seen = flows.SeenTexts(spark, "id", str(tmp_path / "seen"))
+    seen.update(make(range(2000)), 0)
+    hashed = lambda ids: docs.hashed_texts(make(ids), "id")
+    assert seen._known(hashed(range(10_000, 12_000)), 1) is None
+    one = seen._known(hashed([*range(10_000, 12_000), 77]), 1)
+    assert [r.first_key for r in one.collect()] == [77]
+    files = {f.split("/hashes/")[1].rsplit("/", 1)[0] for f in one.inputFiles() if "/hashes/" in f and "/batch=" in f}
+    scanned = one._jdf.queryExecution().executedPlan().toString()
+    assert len(files) == 64 and "PartitionFilters" in scanned and "bucket" in scanned.split("PartitionFilters")[1][:200]
+
+
+def test_a_full_filter_stays_exact(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"text {i % 300}") for i in range(900)], "id long, text string")
+    seen = flows.SeenTexts(spark, "id", str(tmp_path / "seen"), words=2)
+    for batch in range(3):
+        seen.update(rows.filter(F.col("id") % 3 == batch), batch)
+    first = {}
+    for batch in range(3):
+        for i in range(batch, 900, 3):
+            first.setdefault(i % 300, i)
+    assert {r.id for r in seen.table().collect() if not r.is_duplicate} == set(first.values())
 
 
 def test_one_batch_equals_batch_duplicates(spark, tiny):
