@@ -80,10 +80,10 @@ def url_default_scheme(spark, folder):
 
 
 def page_elements(spark, folder):
-    rows = el.element_table(corpus(spark, folder), ["page_id"], tags=["a", "p", "h1", "ul", "article", "title", "meta"])
-    return rows.groupBy("page_id", "tag").agg(
-        F.count("*").alias("elements")
-    )
+    """Every element of every page: its place in the tree, and a digest of the text inside."""
+    rows = el.element_table(corpus(spark, folder), ["page_id"])
+    numbers = [F.col(c).cast("long").alias(c) for c in ("seq", "last", "level", "container")]
+    return rows.select("page_id", *numbers, "tag", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
 def page_title(spark, folder):
@@ -322,6 +322,28 @@ SQL_LINKS = f"""
       SELECT page_id, scheme, host, nhost, k, {unescape("regexp_extract(a, 'href=\"([^\"]*)\"', 1)")} AS href,
         {unescape("regexp_extract(a, '>([^<]*)<', 1)")} AS text FROM anchors
     )"""
+# Tokens of a page, the open elements after each (a stack that an end tag cuts back to its nearest match), and from both the tree.
+SQL_TREE = f"""
+    cut AS (SELECT page_id, regexp_extract_all(html, '(?s)<!--.*?-->|<!.*?>|<script>.*?</script>|<style>.*?</style>|</?[a-zA-Z][^>]*>|[^<]+') AS ts FROM pages),
+    named AS (SELECT page_id, unnest(ts) AS tok, generate_subscripts(ts, 1) AS k FROM cut),
+    kinds AS (SELECT *, lower(regexp_extract(tok, '^</?([a-zA-Z0-9]+)', 1)) AS tag, CASE WHEN starts_with(tok, '<!') THEN 'none' WHEN starts_with(tok, '</') THEN 'end'
+        WHEN regexp_matches(tok, '^<(script|style|br|meta|img|link|hr|input)\\b') THEN 'leaf' WHEN starts_with(tok, '<') THEN 'start' ELSE 'text' END AS kind FROM named),
+    toks AS MATERIALIZED (SELECT *, CASE WHEN kind IN ('start', 'leaf') THEN sum(CASE WHEN kind IN ('start', 'leaf') THEN 1 ELSE 0 END)
+        OVER (PARTITION BY page_id ORDER BY k)::BIGINT END AS seq FROM kinds),
+    walk AS (
+      SELECT page_id, 0::BIGINT AS k, []::BIGINT[] AS seqs, []::VARCHAR[] AS tags FROM pages
+      UNION ALL
+      SELECT w.page_id, t.k, CASE WHEN kind = 'start' THEN list_append(seqs, t.seq) WHEN kind = 'end' AND list_contains(tags, tag)
+          THEN seqs[:len(tags) - list_position(list_reverse(tags), tag)] ELSE seqs END,
+        CASE WHEN kind = 'start' THEN list_append(tags, tag) WHEN kind = 'end' AND list_contains(tags, tag)
+          THEN tags[:len(tags) - list_position(list_reverse(tags), tag)] ELSE tags END
+      FROM walk w JOIN toks t ON t.page_id = w.page_id AND t.k = w.k + 1
+    ),
+    placed AS MATERIALIZED (SELECT t.*, w.seqs FROM toks t JOIN walk w ON w.page_id = t.page_id AND w.k = t.k - 1),
+    texts AS (SELECT page_id, inside, string_agg({unescape("tok")}, '' ORDER BY k) AS text FROM (SELECT page_id, k, tok, unnest(seqs) AS inside FROM placed WHERE kind = 'text') GROUP BY 1, 2),
+    lasts AS (SELECT page_id, inside, max(seq) AS last FROM (SELECT page_id, seq, unnest(seqs) AS inside FROM placed WHERE seq IS NOT NULL) GROUP BY 1, 2),
+    tree AS (SELECT p.page_id, p.seq, coalesce(l.last, p.seq) AS last, len(p.seqs)::BIGINT AS level, coalesce(p.seqs[-1], 0) AS container, p.tag, text
+        FROM placed p LEFT JOIN texts x ON x.page_id = p.page_id AND x.inside = p.seq LEFT JOIN lasts l ON l.page_id = p.page_id AND l.inside = p.seq WHERE p.seq IS NOT NULL)"""
 SQL_PART = "SELECT p_partkey AS page_id"
 TWO = "https://vendor"
 
@@ -359,9 +381,7 @@ ORACLES = {
         f"SELECT page_id, '{href}' AS href, {expected} AS resolved FROM nm" for href, expected in zip(HREFS, RESOLVED)
     ),
     "url_default_scheme": """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://' || regexp_replace(url, '^https?://', '') ELSE url END AS full FROM pages""",
-    "page_elements": """WITH t AS (SELECT page_id, lower(unnest(regexp_extract_all(html, '<(a|p|h1|ul|article|title|meta)[ >]', 1))) AS tag
-        FROM (SELECT page_id, regexp_replace(html, '<script>.*?</script>', '', 'gs') AS html FROM pages))
-        SELECT page_id, tag, count(*) AS elements FROM t GROUP BY 1, 2""",
+    "page_elements": f"WITH RECURSIVE {SQL_TREE} SELECT page_id, seq, last, level, container, tag, md5(coalesce(text, '')) AS text_md5 FROM tree",
     "page_title": f"""WITH {SQL_PAGES} SELECT page_id, {sql_strip('title')} AS title,
         CASE WHEN {web_clean('title')} <> '' THEN {web_clean('title')} ELSE {web_clean('h1')} END AS clean_title FROM pg""",
     "page_headings": f"WITH {SQL_PAGES} SELECT page_id, 0::BIGINT AS pos, {sql_strip('h1')} AS heading FROM pg",

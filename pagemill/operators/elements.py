@@ -7,11 +7,16 @@ decided in Spark by :mod:`pagemill.operators.pages`.
 A page's text is kept once, as its pieces in order: all of them (``text_pieces``), and those outside
 boilerplate (``body_pieces``). An element holds the range of pieces inside it, so a page of unclosed tags, in which
 every element contains all that follow, costs no more than its text. Rules cut the texts they need by ``text_of`` and ``body_of``.
+
+Elements are numbered as nested sets: ``seq`` counts start tags, ``last`` is the greatest number inside, so an element is inside another if
+its number is above the other's and at most the other's ``last``. In the same way a table holds a range of the page's rows and a video one of
+its sources. What rules ask of a paragraph (its length, words and first characters) comes from running sums over the pieces, without its text.
 """
 
 from __future__ import annotations
 
 import sys
+from bisect import bisect_left
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -35,12 +40,17 @@ ATTRIBUTES = {
     "ul": [], "ol": [], "table": [], "tr": [],
 }
 PART_OF = {"li": ("ul", "ol"), "td": ("tr",), "th": ("tr",)}
+HOLDERS = {"table": "tr", "video": "source"}  # what holds a range of what
 JSON_LD = "application/ld+json"
 TEXTS = ("text_pieces", "body_pieces")
 OUTPUT_ROWS = 256  # pages per output batch: bounds a task's memory whatever the session's batch size
 
 PIECES = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("size", T.IntegerType())])
 PART = T.StructType([T.StructField("whole", T.BooleanType()), *PIECES.fields])  # whole: a range of text_pieces, else of body_pieces
+HEAD = 32  # first characters of a measured text
+MEASURE = T.StructType(
+    [T.StructField("chars", T.LongType()), T.StructField("squeezed", T.LongType()), T.StructField("words", T.LongType()), T.StructField("head", T.StringType())]
+)
 ELEMENT = T.StructType(
     [
         T.StructField("seq", T.IntegerType()),
@@ -50,29 +60,89 @@ ELEMENT = T.StructType(
         T.StructField("body", PIECES),  # without boilerplate descendants; null inside boilerplate, where it is the same
         T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
         T.StructField("boilerplate", T.BooleanType()),
-        T.StructField("within", T.ArrayType(T.IntegerType())),  # enclosing tables or videos
         T.StructField("parts", T.ArrayType(PART)),  # items of a list, cells of a table row
+        T.StructField("last", T.IntegerType()),  # greatest seq inside, or its own
+        T.StructField("post", T.IntegerType()),  # its number by end
+        T.StructField("level", T.IntegerType()),  # how many elements it is inside
+        T.StructField("container", T.IntegerType()),  # seq of the innermost of them; 0 at the top
+        T.StructField("held", PIECES),  # rows of a table, sources of a video, as a range of all on the page
+        T.StructField("body_held", PIECES),  # the same among those outside boilerplate
+        T.StructField("measure", MEASURE),  # of a paragraph's text
+        T.StructField("body_measure", MEASURE),  # of its body; null where it is the same
     ]
 )
 ARROW_PIECES = pa.struct([("start", pa.int32()), ("size", pa.int32())])
 ARROW_PART = pa.struct([("whole", pa.bool_()), ("start", pa.int32()), ("size", pa.int32())])
+ARROW_MEASURE = pa.struct([("chars", pa.int64()), ("squeezed", pa.int64()), ("words", pa.int64()), ("head", pa.string())])
 ARROW_ELEMENT = pa.struct(
     [
         ("seq", pa.int32()), ("tag", pa.string()), ("data", pa.string()), ("text", ARROW_PIECES), ("body", ARROW_PIECES),
-        ("attrs", pa.map_(pa.string(), pa.string())), ("boilerplate", pa.bool_()),
-        ("within", pa.list_(pa.int32())), ("parts", pa.list_(ARROW_PART)),
+        ("attrs", pa.map_(pa.string(), pa.string())), ("boilerplate", pa.bool_()), ("parts", pa.list_(ARROW_PART)),
+        ("last", pa.int32()), ("post", pa.int32()), ("level", pa.int32()), ("container", pa.int32()),
+        ("held", ARROW_PIECES), ("body_held", ARROW_PIECES), ("measure", ARROW_MEASURE), ("body_measure", ARROW_MEASURE),
     ]
 )
 
 
+FIELDS = [field.name for field in ELEMENT.fields]
+
+
+class TextIndex:
+    """Text pieces with running sums, from which any range of them is measured without being joined."""
+
+    def __init__(self):
+        self.pieces = []
+        self.worn, self.worn_at = [], []  # pieces with more than white space, and where their first other character is
+        # At the border before each piece and at the end: characters, those other than white space, word starts, end of the last word.
+        self.chars, self.letters, self.starts, self.ends = [0], [0], [0], [0]
+
+    def add(self, piece):
+        at, words = self.chars[-1], piece.split()
+        letters = sum(map(len, words))
+        end, starts = self.ends[-1], len(words)
+        if words:
+            lead = len(piece) - len(piece.lstrip())
+            self.worn.append(len(self.pieces))
+            self.worn_at.append(at + lead)
+            starts -= not lead and at > 0 and end == at  # goes on with the word before it
+            end = at + len(piece.rstrip())
+        self.pieces.append(piece)
+        self.chars.append(at + len(piece))
+        self.letters.append(self.letters[-1] + letters)
+        self.starts.append(self.starts[-1] + starts)
+        self.ends.append(end)
+
+    def measure(self, start, stop):
+        """Of pieces ``start`` to ``stop`` joined: characters when stripped, when squeezed too, words, and the first squeezed ones."""
+        first = bisect_left(self.worn, start)
+        if first == len(self.worn) or self.worn[first] >= stop:
+            return {"chars": 0, "squeezed": 0, "words": 0, "head": ""}
+        at, border = self.worn_at[first], self.chars[start]
+        cut = at == border and border > 0 and self.ends[start] == border  # starts within a word
+        words = self.starts[stop] - self.starts[start] + cut
+        squeezed = self.letters[stop] - self.letters[start] + words - 1
+        return {"chars": self.ends[stop] - at, "squeezed": squeezed, "words": words, "head": self._head(first, stop)}
+
+    def _head(self, worn, stop):
+        head, end = "", None
+        while len(head) < HEAD and worn < len(self.worn) and self.worn[worn] < stop:
+            piece, at = self.pieces[self.worn[worn]], self.worn_at[worn]
+            head += (" " if end is not None and end < at else "") + " ".join(piece[: 4 * HEAD].split() if len(piece) < 4 * HEAD else piece.split(None, HEAD)[:HEAD])
+            end = self.ends[self.worn[worn] + 1]
+            worn += 1
+        return head[:HEAD]
+
+
 class TagReader(HTMLParser):
     """Collects the elements of one page in document order."""
 
-    def __init__(self):
+    def __init__(self, every=False):
         super().__init__()
-        self.rows, self.open, self.pieces, self.body_pieces = [], [], [], []
+        self.every = every  # all tags, not only those that some rule reads
+        self.rows, self.open, self.text, self.body = [], [], TextIndex(), TextIndex()
         self.opened = {}  # tag -> how many are open
-        self.seq = self.hidden = self.boiler = 0
+        self.counts = {tag: [0, 0] for tag in HOLDERS.values()}  # held tags so far: all, outside boilerplate
+        self.seq = self.ended = self.hidden = self.boiler = 0
 
     def handle_starttag(self, tag, attrs):
         self.seq += 1
@@ -81,24 +151,35 @@ class TagReader(HTMLParser):
             [*found.get("class", "").split(), found.get("id", "")]
         )
         data = tag == "script" and found.get("type") == JSON_LD
-        keeps_text = tag in TEXT_TAGS or bool(named) or tag in PART_OF
+        keeps_text = self.every or tag in TEXT_TAGS or bool(named) or tag in PART_OF
         row = None
-        if tag in TEXT_TAGS or named or data or (tag in ATTRIBUTES and tag != "script"):
-            wanted = [*ATTRIBUTES.get(tag, ()), *(("class", "id") if named else ())]
-            row = dict(seq=self.seq, tag=tag, data=None, text=None, body=None, within=None, parts=None)
+        if self.every or tag in TEXT_TAGS or named or data or (tag in ATTRIBUTES and tag != "script"):
+            wanted = found if self.every else [*ATTRIBUTES.get(tag, ()), *(("class", "id") if named else ())]
+            row = dict.fromkeys(FIELDS)
+            row["seq"], row["tag"], row["last"], row["level"] = self.seq, tag, self.seq, len(self.open)
+            row["container"] = self.open[-1][3] if self.open else 0
             row["attrs"] = [(name, found[name]) for name in wanted if name in found]
             row["boilerplate"] = bool(self.boiler) or tag in BOILERPLATE
-            holder = {"tr": "table", "source": "video"}.get(tag)
-            if holder:
-                row["within"] = [entry[3] for entry in self.open if entry[0] == holder] if self.opened.get(holder) else []
             self.rows.append(row)
+        held = None
+        if tag in HOLDERS:
+            held = list(self.counts[HOLDERS[tag]])
+        if tag in self.counts:
+            self.counts[tag][0] += 1
+            self.counts[tag][1] += not row["boilerplate"]
         if tag in VOID:
+            self._ended(row)
             return
         self.hidden += tag in TEXTLESS
         self.boiler += tag in BOILERPLATE
         self.opened[tag] = self.opened.get(tag, 0) + 1
-        at = (len(self.pieces), len(self.body_pieces)) if keeps_text else None
-        self.open.append((tag, row, at, self.seq, [], data))
+        at = (len(self.text.pieces), len(self.body.pieces)) if keeps_text else None
+        self.open.append((tag, row, at, self.seq, [], data, held))
+
+    def _ended(self, row):
+        self.ended += 1
+        if row is not None:
+            row["post"], row["last"] = self.ended, self.seq
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -114,30 +195,37 @@ class TagReader(HTMLParser):
         if self.open and self.open[-1][5]:
             self.open[-1][1]["data"] = (self.open[-1][1]["data"] or "") + data
         if not self.hidden:
-            self.pieces.append(data)
+            self.text.add(data)
             if not self.boiler:
-                self.body_pieces.append(data)
+                self.body.add(data)
 
     def unknown_decl(self, data):
         if data.startswith("CDATA["):
             self.handle_data(data[len("CDATA["):])
 
     def _pop(self):
-        tag, row, at, seq, parts, _ = self.open.pop()
+        tag, row, at, seq, parts, _, held = self.open.pop()
         self.opened[tag] -= 1
         self.hidden -= tag in TEXTLESS
         self.boiler -= tag in BOILERPLATE
+        self._ended(row)
         if at is not None:
-            text = {"start": at[0], "size": len(self.pieces) - at[0]}
-            body = {"start": at[1], "size": len(self.body_pieces) - at[1]}
+            text = {"start": at[0], "size": len(self.text.pieces) - at[0]}
+            body = {"start": at[1], "size": len(self.body.pieces) - at[1]}
             if row is not None:
                 row["text"], row["body"] = text, None if self.boiler else body
+            if tag == "p":
+                row["measure"] = self.text.measure(at[0], len(self.text.pieces))
+                own = None if self.boiler else self.body.measure(at[1], len(self.body.pieces))
+                row["body_measure"] = None if own == row["measure"] else own
             if tag in PART_OF and any(self.opened.get(holder) for holder in PART_OF[tag]):
                 part = {"whole": bool(self.boiler), **(text if self.boiler else body)}
                 for holder in self.open:
                     # boilerplate inside a holder is no part of it
                     if holder[0] in PART_OF[tag] and (not self.boiler or holder[1]["boilerplate"]):
                         holder[4].append((seq, part))
+        if held:
+            row["held"], row["body_held"] = ({"start": then, "size": now - then} for then, now in zip(held, self.counts[HOLDERS[tag]]))
         if row is not None and tag in ("ul", "ol", "tr"):
             row["parts"] = [part for _, part in sorted(parts, key=lambda p: p[0])]
         return tag
@@ -146,12 +234,11 @@ class TagReader(HTMLParser):
         self.close()
         while self.open:
             self._pop()
-        return self.rows
 
 
-def read_page(html: str | None) -> tuple[list[dict], list[str], list[str], str | None]:
+def read_page(html: str | None, every: bool = False) -> tuple[list[dict], list[str], list[str], str | None]:
     """Elements of a page, its text pieces, those outside boilerplate, and what stopped the reader, if anything did."""
-    reader, stopped = TagReader(), None
+    reader, stopped = TagReader(every), None
     try:
         reader.feed(html or "")
         reader.finish()
@@ -159,16 +246,18 @@ def read_page(html: str | None) -> tuple[list[dict], list[str], list[str], str |
         stopped = str(error) or "malformed markup"
     while reader.open:
         reader._pop()
-    return reader.rows, reader.pieces, reader.body_pieces, stopped
+    return reader.rows, reader.text.pieces, reader.body.pieces, stopped
 
 
 # Ship the reader with the task, so executors need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def with_elements(pages: DataFrame, html: str = "html") -> DataFrame:
+def with_elements(pages: DataFrame, html: str = "html", every: bool = False) -> DataFrame:
     """Replace the HTML column by ``content_length`` (its characters), ``elements``, the text pieces and ``parse_error``.
 
+    Elements are those that some rule reads, with the attributes that rules read, or with ``every`` all of them, with all attributes.
+
     One row in, one row out: no shuffle, and the wide HTML goes no further.
     """
     kept = pages.withColumn("content_length", F.coalesce(F.length(html), F.lit(0)).cast("long"))
@@ -183,7 +272,7 @@ def with_elements(pages: DataFrame, html: str = "html") -> DataFrame:
 
     def read(batches):
         for batch in (b.slice(at, OUTPUT_ROWS) for b in batches for at in range(0, b.num_rows, OUTPUT_ROWS)):
-            done = [read_page(text) for text in batch.column(position).to_pylist()]
+            done = [read_page(text, every) for text in batch.column(position).to_pylist()]
             arrays = [batch.column(i) for i in range(batch.num_columns) if i != position]
             arrays.append(pa.array([page[0] for page in done], pa.list_(ARROW_ELEMENT)))
             arrays += [pa.array([page[i] for page in done], pa.list_(pa.string())) for i in (1, 2)]
@@ -212,15 +301,20 @@ def part_of(part: Column) -> Column:
     return F.when(part["whole"], _joined("text_pieces", part)).otherwise(_joined("body_pieces", part))
 
 
-def element_table(pages: DataFrame, keys: list[str], html: str = "html", tags: list[str] | None = None) -> DataFrame:
-    """The corpus as one row per element, of ``tags`` if given, with its texts written out."""
+def element_table(pages: DataFrame, keys: list[str], html: str = "html", tags: list[str] | None = None, texts: bool = True) -> DataFrame:
+    """The corpus as one row per element, of ``tags`` if given: nested-set numbers, attributes, and its texts written out.
+
+    An element is inside another of its page if ``seq`` is above the other's ``seq`` and at most its ``last``. A text stands in the row of
+    every element that it is inside; ``texts=False`` leaves texts out, which keeps pages of unclosed tags linear.
+    """
     chosen = F.filter("elements", lambda e: e["tag"].isin(*tags)) if tags else F.col("elements")
-    written = F.transform(
-        chosen,
-        lambda e: F.struct(
-            e["seq"].alias("seq"), e["tag"].alias("tag"), F.coalesce(e["data"], text_of(e)).alias("text"), body_of(e).alias("body_text"), e["attrs"].alias("attrs"),
-            e["boilerplate"].alias("boilerplate"), e["within"].alias("within"), F.transform(e["parts"], part_of).alias("parts"),
-        ),
-    )
-    parsed = with_elements(pages.select(*keys, html), html).select(*keys, written.alias("_rows"))
+
+    def row(e: Column) -> Column:
+        fields = [e[c].alias(c) for c in ("seq", "last", "post", "level", "container", "tag", "attrs", "boilerplate")]
+        if texts:
+            parts = F.transform(e["parts"], part_of).alias("parts")
+            fields += [F.coalesce(e["data"], text_of(e)).alias("text"), body_of(e).alias("body_text"), parts]
+        return F.struct(*fields)
+
+    parsed = with_elements(pages.select(*keys, html), html, every=True).select(*keys, F.transform(chosen, row).alias("_rows"))
     return parsed.select(*keys, F.inline_outer("_rows")).filter("seq IS NOT NULL")

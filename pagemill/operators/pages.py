@@ -91,13 +91,44 @@ def headings(elements: Column, profile: str) -> Column:
     return F.filter(F.transform(found, lambda e: strip(text_of(e))), lambda t: F.length(t) > 2)
 
 
-def paragraphs(elements: Column, profile: str) -> Column:
-    """Paragraph texts; an unclosed paragraph repeats the ones inside it."""
+def _kept_paragraphs(elements: Column, profile: str) -> Column:
+    """Elements of the paragraphs that the profile keeps, decided by their measures alone: linear in the page."""
     found = _tagged(elements, "p")
-    if profile == "enhanced":
-        texts = F.transform(found, lambda e: clean_web_text(_body(e)))
-        return F.filter(texts, lambda t: (F.length(t) > 30) & (word_count(t) >= 5))
-    return F.filter(F.transform(found, lambda e: strip(text_of(e))), lambda t: F.length(t) > 20)
+    if profile != "enhanced":
+        return F.filter(found, lambda e: e["measure"]["chars"] > 20)
+    measure = lambda e: F.coalesce(e["body_measure"], e["measure"])
+    # Every start that drops a text is shorter than the measured head, and the one that asks for the text's end fails its length.
+    return F.filter(found, lambda e: (measure(e)["squeezed"] > 30) & (measure(e)["words"] >= 5) & (clean_web_text(measure(e)["head"]) != ""))
+
+
+def _paragraph_text(element: Column, profile: str) -> Column:
+    return clean_web_text(_body(element)) if profile == "enhanced" else strip(text_of(element))
+
+
+def paragraphs(elements: Column, profile: str, first: int | None = None) -> Column:
+    """Paragraph texts, the ``first`` ones if given; an unclosed paragraph repeats the ones inside it."""
+    kept = _kept_paragraphs(elements, profile)
+    return F.transform(kept if first is None else F.slice(kept, 1, first), lambda e: _paragraph_text(e, profile))
+
+
+def paragraph_spans(elements: Column, profile: str, longest: int = 0) -> Column:
+    """Paragraphs without repeating text: struct(``seq``, ``chars``, ``words``, ``start``, ``end``, ``text``).
+
+    ``start`` and ``end`` are piece numbers of ``body_pieces`` (enhanced, outside boilerplate) or ``text_pieces``. The text is
+    written out up to ``longest`` characters, and null beyond, so nested paragraphs cost no more than that each.
+    """
+
+    def span(e: Column) -> Column:
+        own = profile == "enhanced"
+        measure = F.coalesce(e["body_measure"], e["measure"]) if own else e["measure"]
+        pieces = F.coalesce(e["body"], e["text"]) if own else e["text"]
+        chars = measure["squeezed" if own else "chars"]
+        return F.struct(
+            e["seq"].alias("seq"), chars.alias("chars"), measure["words"].alias("words"), pieces["start"].alias("start"),
+            (pieces["start"] + pieces["size"]).alias("end"), F.when(chars <= longest, _paragraph_text(e, profile)).alias("text"),
+        )
+
+    return F.transform(_kept_paragraphs(elements, profile), span)
 
 
 def lists(elements: Column) -> Column:
@@ -111,19 +142,25 @@ def lists(elements: Column) -> Column:
     return F.filter(blocks, lambda b: F.size(b["items"]) > 0)
 
 
-def tables(elements: Column) -> Column:
-    """Rows of cleaned cells per table; empty cells stay, empty rows and tables go."""
-    rows = F.filter(_tagged(elements, "tr"), lambda e: F.size(e["parts"]) > 0)
+def _held(holder: Column, items: Column, whole: bool) -> Column:
+    """The rows of a table, or the sources of a video: a range of the page's, found while the page was read."""
+    return F.slice(items, holder["held" if whole else "body_held"]["start"] + 1, holder["held" if whole else "body_held"]["size"])
 
-    def block(table: Column) -> Column:
-        own = F.filter(rows, lambda row: F.array_contains(row["within"], table["seq"]))
+
+def tables(elements: Column, whole: bool = True) -> Column:
+    """Rows of cleaned cells per table; empty cells stay, empty rows and tables go. ``whole``: boilerplate is among ``elements``."""
+
+    def block(table: Column, rows: Column) -> Column:
+        own = F.filter(_held(table, rows, whole), lambda row: F.size(row["parts"]) > 0)
         return F.struct(F.transform(own, lambda row: F.transform(row["parts"], lambda p: clean_web_text(part_of(p)))).alias("rows"))
 
-    return F.filter(F.transform(_tagged(elements, "table"), block), lambda t: F.size(t["rows"]) > 0)
+    found = _tagged(elements, "table")
+    blocks = let(_tagged(elements, "tr"), lambda rows: F.transform(found, lambda table: block(table, rows)))
+    return F.filter(blocks, lambda t: F.size(t["rows"]) > 0)
 
 
 def main_content(elements: Column, paras: Column) -> Column:
-    """Text of the best-ranked content element, else the first five paragraphs."""
+    """Text of the best-ranked content element, else the first five paragraphs of ``paras``."""
 
     def rank(e: Column) -> Column:
         classes = F.split(_attr(e, "class"), rf"[{SPACE}]+")
@@ -226,11 +263,11 @@ def images(elements: Column, base: Column, profile: str) -> Column:
     return F.transform(used, lambda e: F.struct(source(e).alias("src"), strip(_attr(e, "alt")).alias("alt")))
 
 
-def videos(elements: Column, base: Column) -> Column:
-    sources = F.filter(_tagged(elements, "source"), lambda e: strip(_attr(e, "src")) != "")
+def videos(elements: Column, base: Column, whole: bool = True) -> Column:
+    """Videos with sources that lead somewhere. ``whole``: boilerplate is among ``elements``."""
 
-    def describe(video: Column) -> Column:
-        own = F.filter(sources, lambda s: F.array_contains(s["within"], video["seq"]))
+    def describe(video: Column, sources: Column) -> Column:
+        own = F.filter(_held(video, sources, whole), lambda s: strip(_attr(s, "src")) != "")
         return F.struct(
             F.transform(
                 own,
@@ -243,14 +280,21 @@ def videos(elements: Column, base: Column) -> Column:
             _attr(video, "autoplay", None).isNotNull().alias("autoplay"),
         )
 
-    return F.filter(F.transform(_tagged(elements, "video"), describe), lambda v: F.size(v["sources"]) > 0)
+    found = _tagged(elements, "video")
+    described = let(_tagged(elements, "source"), lambda sources: F.transform(found, lambda v: describe(v, sources)))
+    return F.filter(described, lambda v: F.size(v["sources"]) > 0)
 
 
 def _last_by_key(entries: Column) -> Column:
-    """Map of (key, value) entries where the last entry of a key wins."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    last = lambda key: F.element_at(F.filter(entries, lambda e: e["key"] == key), -1)["value"]
-    return F.map_from_entries(F.transform(keys, lambda key: F.struct(key, last(key))))
+    """Map of (key, value) entries in order of first occurrence, where the last entry of a key wins: sort once, keep run ends."""
+    placed = F.sort_array(F.transform(entries, lambda e, at: F.struct(e["key"].alias("key"), at.alias("at"), e["value"].alias("value"))))
+
+    def runs(rows: Column) -> Column:
+        starts = F.filter(rows, lambda e, i: (i == 0) | (F.get(rows, i - 1)["key"] != e["key"]))
+        ends = F.filter(rows, lambda e, i: (i == F.size(rows) - 1) | (F.get(rows, i + 1)["key"] != e["key"]))
+        return F.zip_with(starts, ends, lambda s, e: F.struct(s["at"].alias("at"), s["key"].alias("key"), e["value"].alias("value")))
+
+    return F.map_from_entries(F.transform(F.sort_array(let(placed, runs)), lambda e: F.struct(e["key"], e["value"])))
 
 
 def _meta_entries(elements: Column, key, stripped: bool) -> Column:
@@ -384,12 +428,13 @@ def extract(
             columns["content_type"] = columns["http_headers"]["content_type"]
             columns["last_modified"] = columns["http_headers"]["last_modified"]
     if enhanced:
-        columns["videos"] = videos(body, base)
+        columns["videos"] = videos(body, base, whole=not drop)
         columns["lists"] = lists(body)
-        columns["tables"] = tables(body)
+        columns["tables"] = tables(body, whole=not drop)
     out = parsed.withColumns(columns)
     if enhanced:
-        out = out.withColumn("main_content", main_content(body, F.col("paragraphs")))
+        out = out.withColumn("main_content", main_content(body, paragraphs(body, profile, first=5)))
+    out = out.withColumn("paragraphs_count", F.size(_kept_paragraphs(body, profile)).cast("long"))
     out = _counted(out, profile, as_of, caps, text_cap).drop("elements", *TEXTS, "_body", "headers")
     return out.drop("_base")
 
@@ -400,7 +445,7 @@ def _counted(
     sized = ["headings", "paragraphs", "links", "images"]
     if profile == "enhanced":
         sized += ["videos", "lists", "tables"]
-    counts = {f"{name}_count": F.size(name).cast("long") for name in sized}
+    counts = {f"{name}_count": F.size(name).cast("long") for name in sized if name != "paragraphs"}  # those are counted without their texts
     counts["scraped_at"] = as_of if as_of is not None else F.current_timestamp()
     if profile == "enhanced":
         counts["text_length"] = F.length("main_content").cast("long")

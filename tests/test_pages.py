@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +198,72 @@ def test_reader_is_linear_on_unclosed_tags(spark):
     assert parsed.select(F.length(F.to_json(F.struct("elements", "text_pieces", "body_pieces"))).alias("n")).first().n < 400 * 20_000
     table = el.element_table(df.withColumn("html", F.lit("<nav>n<p>a</nav><p>b<i>c<p>d")), ["page_id"], tags=["p"])
     assert [(r.text, r.body_text) for r in table.orderBy("seq").collect()] == [("a", "a"), ("bcd", "bcd"), ("d", "d")]
+
+
+def test_nested_sets(spark):
+    html = "<div><p>a<b>c</b><br>d<table><tr><td>e<table><tr><td>f</table></table></div><p>g"
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    rows = el.element_table(df, ["page_id"]).orderBy("seq").collect()
+    inside = {(a.seq, b.seq) for a in rows for b in rows if a.seq < b.seq <= a.last}
+    by_seq, parents = {r.seq: r for r in rows}, {(r.container, r.seq) for r in rows if r.container}
+    assert [r.tag for r in rows] == ["div", "p", "b", "br", "table", "tr", "td", "table", "tr", "td", "p"]
+    assert parents <= inside and all(len([1 for a, b in inside if b == r.seq]) == r.level for r in rows)
+    assert all(by_seq[a].post > by_seq[b].post for a, b in inside) and sorted(r.post for r in rows) == list(range(1, 12))
+    assert [r.text for r in rows if r.tag in ("p", "table")] == ["acdef", "ef", "f", "g"]
+    assert "text" not in el.element_table(df, ["page_id"], texts=False).columns
+
+
+def test_measures_equal_joined_texts():
+    """Lengths, words and first characters from running sums, for every range of pieces."""
+    draw = random.Random(6)
+    for _ in range(300):
+        index = el.TextIndex()
+        for _ in range(draw.randrange(12)):
+            index.add("".join(draw.choice([" ", "\n", "\xa0", "a", "b", "\u3000", "é", "word", "x" * 40]) for _ in range(draw.randrange(1, 6))))
+        for start in range(len(index.pieces) + 1):
+            for stop in range(start, len(index.pieces) + 1):
+                text = "".join(index.pieces[start:stop])
+                squeezed = " ".join(text.split())
+                want = {"chars": len(text.strip()), "squeezed": len(squeezed), "words": len(text.split()), "head": squeezed[: el.HEAD]}
+                assert index.measure(start, stop) == want
+
+
+def test_unclosed_paragraphs_cost_their_page(spark):
+    """20,000 unclosed paragraphs: counts, quality and filters need none of their texts."""
+    html = "<title>A page of paragraphs</title>" + "".join(f"<p>Paragraph {i} has some words of its own." for i in range(20_000))
+    df = spark.createDataFrame([(1, "http://s/", html)], "page_id long, url string, html string")
+    for profile in ("basic", "enhanced"):
+        out = pg.extract(df, profile)
+        row = out.select("paragraphs_count", *(["quality_score", "text_length"] if profile == "enhanced" else [])).first()
+        assert row.paragraphs_count == 20_000
+    spans = el.with_elements(df).select(pg.paragraph_spans(F.col("elements"), "enhanced", longest=50).alias("s")).first().s
+    assert len(spans) == 20_000 and spans[-1].text == "Paragraph 19999 has some words of its own." and spans[0].text is None
+    assert spans[0].end - spans[0].start == 20_000 and spans[0].words == 7 * 20_000 + 1  # "own.Paragraph" is one word
+
+
+def test_spans_are_the_paragraphs(spark):
+    html = "<p>Skip to main content of this long page here<nav><p>in the navigation there are words too</nav><p>Copyright 2024 by all who wrote it down<p>home<p> five   words make\n it\xa0 count really <b>more</b>over</p>"
+    df = el.with_elements(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    for profile in ("basic", "enhanced"):
+        for elements in (F.col("elements"), pg.body_elements(F.col("elements"))):
+            row = df.select(pg.paragraphs(elements, profile).alias("p"), pg.paragraph_spans(elements, profile, 10_000).alias("s")).first()
+            assert [s.text for s in row.s] == row.p and [s.chars for s in row.s] == list(map(len, row.p))
+
+
+def test_many_tables_videos_and_keys(spark):
+    """3,000 tables with a row each, 3,000 videos with a source each, 3,000 keys given twice: each item is met once."""
+    n = 3000
+    html = "".join(f"<table><tr><td>{i}</td></tr></table><video poster='p{i}'><source src='/v{i}'></video><meta name='k{i}' content='a'>" for i in range(n))
+    html += "".join(f"<meta name='k{i}' content='b{i}'>" for i in range(n))
+    df = el.with_elements(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    els, base = F.col("elements"), F.lit("http://s/")
+    row = df.select(pg.tables(els).alias("t"), pg.videos(els, base).alias("v"), pg.meta(els, "basic").alias("m")).first()
+    assert [t.rows for t in row.t] == [[[str(i)]] for i in range(n)]
+    assert [v.sources[0].src for v in row.v] == [f"http://s/v{i}" for i in range(n)] and row.m == {f"k{i}": f"b{i}" for i in range(n)}
+
+
+def test_nested_tables_and_boilerplate_rows(extract):
+    html = "<nav><table><tr><td>n</table></nav><table><tr><td>a<table><tr><td>b</table></td></tr><nav><tr><td>c</tr></nav><tr><td>d</table>"
+    assert [t.rows for t in extract(html).tables] == [[["ab", "b"], ["b"], ["d"]], [["b"]]]  # inner rows and cells are the outer's too
+    whole = [t.rows for t in extract(html, drop_boilerplate=False).tables]
+    assert whole[0] == [["n"]] and len(whole[1]) == 4 and whole[2] == [["b"]]
