@@ -271,17 +271,30 @@ def store_totals(spark, folder):
     return rounded(life.store_totals(stats), "average_document_size")
 
 
-#: The other tables hold times or floats, which SQL engines write as JSON of other lengths: no SQL answer, the test counts them.
-ALL_TABLES = [*STAT_TABLES, "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"]
+#: Columns of all tables as SQL names their types; bytes are those of the values, the same in both engines.
+COLUMNS = {
+    "region": "r_regionkey int, r_name text", "nation": "n_nationkey int, n_name text, n_regionkey int",
+    "customer": "c_custkey long, c_name text, c_nationkey int, c_acctbal long, c_mktsegment text",
+    "supplier": "s_suppkey long, s_name text, s_nationkey int, s_acctbal long",
+    "part": "p_partkey long, p_name text, p_brand text, p_type text, p_size int, p_retailprice long",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus text, o_totalprice long, o_orderdate long, o_orderpriority text",
+    "lineitem": """l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity long, l_extendedprice long, l_discount long, l_tax long,
+        l_returnflag text, l_linestatus text, l_shipdate long""",
+    "events": "event_id long, ts long, user_id long, event_type text, value long, props text",
+    "documents": "doc_id long, text text, lang text, source text, n_chars long", "embeddings": "vec_id long, embedding floats, label int",
+    "pages": "page_id long, url text, html text", "benchmark": "item_id long, text text", "labels": "doc_id long, quality int, toxic int",
+    "conversations": "conv_id long, turn long, role text, text text",
+}
 
 
 def table_stats_all(spark, folder):
-    out = life.table_statistics({name: views.table(spark, folder, name) for name in ALL_TABLES})
+    """Rows and bytes of all tables."""
+    out = life.table_statistics({name: views.table(spark, folder, name) for name in COLUMNS}, life.row_bytes)
     return rounded(out, "mean_row_bytes")
 
 
 def store_totals_all(spark, folder):
-    stats = life.table_statistics({name: views.table(spark, folder, name) for name in ALL_TABLES})
+    stats = life.table_statistics({name: views.table(spark, folder, name) for name in COLUMNS}, life.row_bytes)
     return rounded(life.store_totals(stats), "average_document_size")
 
 
@@ -353,7 +366,19 @@ SQL_STATS = " UNION ALL ".join(
     for t in STAT_TABLES
 )
 
+
+def _sql_bytes(columns: str) -> str:
+    sizes = {"int": "4 * count({c})", "long": "8 * count({c})", "text": "coalesce(sum(strlen({c})), 0)", "floats": "coalesce(sum(4 * list_count({c})), 0)"}
+    pairs = [column.split() for column in columns.split(",")]
+    return " + ".join(sizes[kind].format(c=name) for name, kind in pairs)
+
+
+SQL_STATS_ALL = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows, CAST({_sql_bytes(c)} AS BIGINT) AS bytes FROM {t}" for t, c in COLUMNS.items())
+
 ORACLES = {
+    "table_stats_all": f"WITH s AS ({SQL_STATS_ALL}) SELECT table_name, rows, bytes, {r('bytes::DOUBLE / rows')} AS mean_row_bytes FROM s",
+    "store_totals_all": f"""WITH s AS ({SQL_STATS_ALL}) SELECT CAST(sum(rows) AS BIGINT) AS total_documents, CAST(sum(bytes) AS BIGINT) AS total_size_bytes,
+        count(*) AS collections, {r('sum(bytes)::DOUBLE / sum(rows)')} AS average_document_size FROM s""",
     "task_stats": f"WITH {SQL_TASKS} SELECT count(*) AS total_tasks, {r(pct(chr(115) + 'tatus = ' + repr('completed')))} AS success_rate, {r('avg(duration)')} AS average_duration FROM tasks",
     "status_breakdown": f"WITH {SQL_TASKS} SELECT status, count(*) AS tasks FROM tasks GROUP BY status",
     "hourly": f"WITH {SQL_TASKS} SELECT hour(created_at) AS hour, count(*) AS tasks FROM tasks GROUP BY 1",

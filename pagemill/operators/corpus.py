@@ -13,13 +13,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagemill import fixed_values as fixed
 from pagemill.functions import text as tx
-from pagemill.functions.common import round_to, strip, unnest
+from pagemill.functions.common import SPACE_CHARS, round_to, strip, unnest
 from pagemill.plans.ordered import join_null_safe, running_totals
 from pagemill.plans.skew import join_on_hot_key
 from pagemill.plans.stored import materialize
 
 TOPIC_TERMS = [(topic, word) for topic, words in fixed.TOPIC_KEYWORDS.items() for word in words]
 TYPE_TERMS = [(kind, word) for kind, words in fixed.TYPE_INDICATORS.items() for word in words]
+SUMMARY_LIMIT = 16_000_000  # characters of a summary that is written as one value
+BROADCAST_ROWS = 50_000  # narrow rows of a side that is broadcast after it was counted
 BORDER = max(len(word) for _, word in TOPIC_TERMS + TYPE_TERMS) - 1  # characters a term can reach past a page border
 
 
@@ -79,10 +81,9 @@ def _group_hits(mask: Column, terms: list[tuple[str, str]]) -> dict[str, Column]
 def crawl_words(pages: DataFrame, key: str, order: str) -> DataFrame:
     """Word counts per crawl with the place of the first occurrence.
 
-    Each page is counted inside its row first; only distinct words per page are shuffled.
+    ``pages`` holds the words of each page counted inside its row (``_ranked``); only distinct words per page are shuffled.
     """
-    every = tx.ranked_words(F.col("tokens"), 2**31 - 1)
-    rows = unnest(pages, [key, order], every, "_w")
+    rows = unnest(pages, [key, order], "_ranked", "_w")
     return rows.groupBy(key, F.col("_w.word").alias("word")).agg(
         (-F.sum("_w.neg_count")).alias("count"), F.min(F.struct(F.col(order), F.col("_w.first_pos"))).alias("first_at")
     )
@@ -116,13 +117,8 @@ def _inner(pieces: Column) -> Column:
 SUMS = ["n", "letters", "vowels", "positive", "negative", "english", "spanish", "chars", "trimmed"]
 
 
-def page_parts(texts: DataFrame, key: str, order: str) -> DataFrame:
-    """Everything a crawl's analysis needs of a page, without its text: one narrow row per page.
-
-    ``_page`` is the page's index in the crawl. Segments are the stretches between
-    terminators over the whole crawl; the last piece of a page and the first of the next
-    share one, and ``_head_id`` and ``_tail_id`` number the page's first and last.
-    """
+def page_features(texts: DataFrame, key: str, order: str) -> DataFrame:
+    """Everything a crawl's analysis needs of a page, from one reading of its text; stored. ``_ranked`` are the page's words, counted."""
     base = texts.select(
         key, order, "text", tx.tokens(F.col("text")).alias("_words"), _pieces(F.col("text")).alias("_p"),
         F.lower("text").alias("_low"),
@@ -148,15 +144,29 @@ def page_parts(texts: DataFrame, key: str, order: str) -> DataFrame:
         F.size(_inner(F.col("_p"))).alias("_n_inner"),
         (strip(F.get("_p", F.lit(0))) != "").alias("_head_filled"),
         (strip(F.element_at("_p", -1)) != "").alias("_tail_filled"),
+        tx.ranked_words(words, 2**31 - 1).alias("_ranked"),
     )
-    # Range partitioning samples its input first, so the features are computed once, before it.
-    counted = materialize(counted, "page-features")
-    numbered = running_totals(counted, [F.col(order).asc()], {"_marks": "_tail_id"}, [key], index="_page")
+    return materialize(counted, "page-features")
+
+
+def page_parts(features: DataFrame, key: str, order: str) -> DataFrame:
+    """The features without words: one narrow row per page, numbered within its crawl.
+
+    ``_page`` is the page's index in the crawl. Segments are the stretches between
+    terminators over the whole crawl; the last piece of a page and the first of the next
+    share one, and ``_head_id`` and ``_tail_id`` number the page's first and last.
+    """
+    numbered = running_totals(features.drop("_ranked"), [F.col(order).asc()], {"_marks": "_tail_id"}, [key], index="_page")
     return materialize(numbered.withColumn("_head_id", F.col("_tail_id") - F.col("_marks")), "page-parts")
 
 
-def combined_sentences(texts: DataFrame, parts: DataFrame, key: str, order: str) -> DataFrame:
-    """Per crawl: number of sentences and the summary made of the first, middle and last."""
+def combined_sentences(texts: DataFrame, parts: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """(sentences per crawl, pieces of the summary).
+
+    The summary is made of the first, middle and last sentence. A sentence may run over any number of pages without a terminator, so it is kept
+    as pieces: (``key``, ``sentence``, ``order``, ``text``), one row per page that it touches, trimmed at both ends of the sentence and
+    without empty ones. Joined in that order, with a space between two sentences, they are the summary.
+    """
     parts = parts.select(key, order, "_page", "_marks", "_head_id", "_tail_id", "_n_inner", "_head_filled", "_tail_filled")
     has_tail = F.col("_marks") > 0
     head = F.struct(F.col("_head_id").alias("id"), F.col("_head_filled").alias("filled"), F.lit(0).alias("piece"))
@@ -197,32 +207,57 @@ def combined_sentences(texts: DataFrame, parts: DataFrame, key: str, order: str)
     chosen = F.when(F.col("_local").isNotNull(), F.get(_inner(pieces), F.col("_local"))).otherwise(
         F.when(F.col("piece") == 0, F.get(pieces, F.lit(0))).otherwise(F.element_at(pieces, -1))
     )
-    fetched = join_null_safe(texts.select(key, order, "text"), inside.unionByName(across), [key, order])
-    sentences = fetched.select(key, "_at", order, chosen.alias("_text")).groupBy(key, "_at").agg(
-        F.sort_array(F.collect_list(F.struct(order, "_text"))).alias("_t")
-    )
-    whole = strip(F.array_join(F.transform("_t", lambda t: t["_text"]), ""))
-    summaries = sentences.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_at", whole.alias("_s")))).alias("_all"))
-    joined = F.coalesce(F.array_join(F.transform("_all", lambda s: s["_s"]), " "), F.lit(""))
-    return join_null_safe(totals, summaries, [key], "left").select(key, "sentences", joined.alias("summary"))
-
-
-def combined_analysis(texts: DataFrame, key: str, order: str) -> DataFrame:
-    """One analysis row per crawl over (key, order, text) rows made by :func:`page_texts`."""
-    parts = page_parts(texts, key, order)
+    wanted = materialize(inside.unionByName(across), "wanted")
+    # A few sentences per crawl, unless one runs over very many pages: only a counted, small side is broadcast.
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    fetched = join_null_safe(texts.select(key, order, "text"), wanted, [key, order])
+    raw = materialize(fetched.select(key, F.col("_at").alias("sentence"), order, chosen.alias("text")), "sentence-pieces")
+    whole = F.struct(key, "sentence").alias("_whole")
+    filled = raw.filter(strip(F.col("text")) != "").groupBy(whole).agg(F.min(order).alias("_first"), F.max(order).alias("_last"))
+    sizes = raw.groupBy(whole).agg(F.count("*").alias("_rows"))
+    edges = sizes.join(filled, "_whole", "left")
+    near = join_on_hot_key(raw.withColumn("_whole", whole), edges, "_whole", "_rows", order)
+    text, spaces = F.col("text"), F.lit(SPACE_CHARS)
+    text = F.when(F.col(order) == F.col("_first"), F.ltrim(text, spaces)).otherwise(text)
+    text = F.when(F.col(order) == F.col("_last"), F.rtrim(text, spaces)).otherwise(text)
+    pieces = near.filter(F.col(order).between(F.col("_first"), F.col("_last"))).select(key, "sentence", order, text.alias("text")).filter("text <> ''")
+    return totals.select(key, "sentences"), materialize(pieces, "summary-pieces")
+
+
+def summaries(pieces: DataFrame, key: str, order: str, limit: int) -> DataFrame:
+    """Per crawl ``summary_length``, and ``summary`` where it has at most ``limit`` characters: longer ones stay pieces."""
+    lengths = pieces.groupBy(key, "sentence").agg(F.sum(F.length("text")).alias("_n"))
+    lengths = lengths.groupBy(key).agg((F.sum("_n") + F.count("*") - 1).alias("summary_length"))
+    short = join_null_safe(pieces, lengths.filter(F.col("summary_length") <= limit).select(key), [key])
+    sentences = short.groupBy(key, "sentence").agg(F.sort_array(F.collect_list(F.struct(order, "text"))).alias("_t"))
+    joined = F.array_join(F.transform("_t", lambda t: t["text"]), "").alias("_s")
+    texts = sentences.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("sentence", joined))).alias("_all"))
+    summary = F.array_join(F.transform("_all", lambda s: s["_s"]), " ")
+    return join_null_safe(lengths, texts, [key], "left").select(key, "summary_length", summary.alias("summary"))
+
+
+def combined_analysis(texts: DataFrame, key: str, order: str, summary_limit: int = SUMMARY_LIMIT, pieces: bool = False):
+    """One analysis row per crawl over (key, order, text) rows made by :func:`page_texts`.
+
+    A summary of more than ``summary_limit`` characters (a sentence over very many pages) is null in its row, its length is not; with
+    ``pieces`` the result is (analysis, pieces of all summaries as :func:`combined_sentences` has them).
+    """
+    features = page_features(texts, key, order)
+    parts = page_parts(features, key, order)
     sums = parts.groupBy(key).agg(
         F.count("*").alias("pages"),
         *[F.sum(c).alias(c) for c in SUMS],
         *[F.bit_or(c).alias(c) for c in ("topic_bits", "type_bits")],
     )
-    with_words = texts.select(key, order, tx.tokens(F.col("text")).alias("tokens"))
-    words = materialize(crawl_words(with_words, key, order), "words")
+    words = materialize(crawl_words(features, key, order), "words")
+    sentences, found = combined_sentences(texts, parts, key, order)
     joined = sums
-    for part in (combined_words(words, key), combined_sentences(texts, parts, key, order), _border_bits(parts, key)):
+    for part in (combined_words(words, key), sentences, summaries(found, key, order, summary_limit), _border_bits(parts, key)):
         joined = join_null_safe(joined, part, [key], "left")
     for bits in ("topic_bits", "type_bits"):
         joined = joined.withColumn(bits, F.col(bits).bitwiseOR(F.coalesce(F.col(f"_border_{bits}"), F.lit(0).cast("long"))))
-    return _compose(joined, key)
+    analysis = _compose(joined, key)
+    return (analysis, found) if pieces else analysis
 
 
 def _border_bits(parts: DataFrame, key: str) -> DataFrame:
@@ -246,7 +281,8 @@ def _compose(joined: DataFrame, key: str) -> DataFrame:
     ranked = F.coalesce("ranked", F.array().cast(tx.RANKED_TYPE))
     short = F.col("trimmed") < 10
     syllables = F.greatest(F.lit(1), F.col("vowels"))
-    length = F.length("summary").cast("long")
+    length = F.coalesce("summary_length", F.lit(0)).cast("long")
+    summary = F.when(length == 0, "").otherwise(F.col("summary"))
     no_hits = {name: F.lit(0) for name in [*fixed.TOPIC_KEYWORDS, *fixed.TYPE_INDICATORS]}
     stats = F.struct(
         F.col("n").alias("total_words"), F.col("unique_words"), round_to(F.col("letters") / n, 2).alias("avg_word_length"),
@@ -274,7 +310,7 @@ def _compose(joined: DataFrame, key: str) -> DataFrame:
             F.when(short, 0.0).otherwise(speech["confidence"]).alias("confidence"),
         ).alias("language_detection"),
         F.struct(
-            F.when(short, "").otherwise(F.col("summary")).alias("summary"),
+            F.when(short, "").otherwise(summary).alias("summary"),
             F.when(short, 0).otherwise(length).alias("summary_length"),
             F.when(~short & m.isNotNull(), round_to(length / F.col("chars"), 3)).alias("compression_ratio"),
         ).alias("summary"),

@@ -12,6 +12,25 @@ from pagemill.plans.skew import join_on_hot_key
 from pagemill.plans.stored import materialize
 
 
+LINKS_OF_A_TASK = 50_000  # links of one page that are followed in one task
+
+
+def split_adjacency(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links with the ``block`` they lie in, hubs with their number of ``blocks``); both stored.
+
+    A page with more than ``LINKS_OF_A_TASK`` links is cut into blocks by a hash of the target; every other page is one block. There are
+    at most as many hubs as full blocks.
+    """
+    edges = materialize(links.select("src", "dst").distinct(), "edges")
+    degrees = edges.groupBy("src").agg(F.count("*").alias("degree")).filter(F.col("degree") > LINKS_OF_A_TASK)
+    hubs = materialize(degrees.select("src", F.ceil(F.col("degree") / LINKS_OF_A_TASK).cast("int").alias("blocks")), "hubs")
+    if hubs.isEmpty():
+        return edges.withColumn("block", F.lit(0)), hubs
+    blocks = F.coalesce("blocks", F.lit(1))
+    placed = edges.join(hubs, "src", "left").select("src", "dst", F.pmod(F.xxhash64("dst"), blocks).cast("int").alias("block"))
+    return materialize(placed, "blocks"), hubs
+
+
 def breadth_first(
     links: DataFrame,
     seeds: DataFrame,
@@ -25,14 +44,16 @@ def breadth_first(
     ``links`` has (src, dst), ``seeds`` (crawl_id, url). A crawl stops before the level
     at which it already has ``max_pages`` pages; a level is never cut. ``pages`` (url)
     limits it to stored pages; ``same_prefix`` to URLs that start with the seed URL.
-    The driver only loops over levels; each level is stored, so lineage stays flat.
+    The driver only loops over levels; each level is stored, so lineage stays flat. Pages with very many links are followed
+    block by block, and pages per crawl are added up from one count per crawl and level.
     """
     if depth < 1 or max_pages < 1:
         raise ValueError("depth and max_pages must be at least 1")
     roots = seeds.select("crawl_id", F.col("url").alias("_base"))
-    edges = links.select("src", "dst")
+    edges, hubs = split_adjacency(links) if depth > 1 else (None, None)
     frontier = seeds.select("crawl_id", "url").distinct()
     levels: list[DataFrame] = []
+    counts: list[DataFrame] = []
     for level in range(depth):
         if pages is not None:
             frontier = frontier.join(pages.select("url"), "url", "left_semi")
@@ -40,13 +61,16 @@ def breadth_first(
         levels.append(stored)
         if level == depth - 1 or stored.isEmpty():
             break
-        visited = reduce(DataFrame.unionByName, levels)
-        going = visited.groupBy("crawl_id").agg(F.count("*").alias("_n")).filter(F.col("_n") < max_pages)
-        sources = stored.join(going.select("crawl_id"), "crawl_id", "left_semi")
-        reached = sources.join(edges, sources["url"] == edges["src"]).select("crawl_id", F.col("dst").alias("url"))
+        counts.append(materialize(stored.groupBy("crawl_id").agg(F.count("*").alias("_n")), "level-counts"))
+        totals = reduce(DataFrame.unionByName, counts).groupBy("crawl_id").agg(F.sum("_n").alias("_n"))
+        sources = stored.join(totals.filter(F.col("_n") < max_pages).select("crawl_id"), "crawl_id", "left_semi")
+        blocks = F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)
+        spread = sources.join(hubs.withColumnRenamed("src", "url"), "url", "left").select("crawl_id", F.col("url").alias("src"), F.explode(blocks).alias("block"))
+        reached = spread.join(edges, ["src", "block"]).select("crawl_id", F.col("dst").alias("url"))
         if same_prefix:
             reached = reached.join(roots, "crawl_id").filter(F.expr("startswith(url, _base)")).drop("_base")
-        frontier = reached.distinct().join(visited.select("crawl_id", "url"), ["crawl_id", "url"], "left_anti")
+        visited = reduce(DataFrame.unionByName, levels).select("crawl_id", "url")
+        frontier = reached.distinct().join(visited, ["crawl_id", "url"], "left_anti")
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -134,7 +158,10 @@ def run_report(wanted: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFr
     ``wanted`` has (run_id, url_no, url), ``results`` (url, error) with one row per URL.
     """
     known = results.select("url", F.col("error").alias("_error"), F.lit(True).alias("_known"))
-    joined = wanted.join(known, "url", "left")
+    # A URL that most runs ask for spreads by run.
+    asked = wanted.groupBy("url").agg(F.count("*").alias("_asked"))
+    outcome = asked.join(known, "url", "left")
+    joined = join_on_hot_key(wanted.withColumn("_run", F.struct("run_id", "url_no")), outcome, "url", "_asked", "_run")
     failure = F.when(F.col("_known").isNull(), F.lit("No result")).otherwise(F.col("_error"))
     detail = joined.select(
         "run_id", "url_no", "url", F.when(failure.isNull(), "completed").otherwise("failed").alias("status"),

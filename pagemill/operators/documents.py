@@ -58,6 +58,9 @@ def analyse(df: DataFrame, text: str = "text", as_of: Column | None = None) -> D
     return base.withColumns(columns).drop("_ranked", "_lower", "_short")
 
 
+BROADCAST_ROWS = 50_000  # narrow rows of a side that is broadcast after it was counted
+
+
 def hashed_texts(df: DataFrame, key: str, text: str = "text", first_seen: str | None = None) -> DataFrame:
     """Stored rows (``key``, ``text_hash``, ``_seen``): the text is read and hashed once, and goes no further."""
     at = F.col(first_seen) if first_seen else F.col(key)
@@ -101,7 +104,10 @@ def full_analysis(df: DataFrame, key: str, text: str = "text", as_of: Column | N
     marks = mark_duplicates(df.filter(~tx.too_short(F.col(text))), key, text)
     score = F.struct("is_duplicate", "duplicate_score", "first_seen").alias("duplicate_score")
     analysed = analyse(df, text, as_of).drop("tokens", "sentences")
-    joined = analysed.join(marks.select(key, score), key, "left")
+    # Only duplicates need their row; few of them are sent to the analysed rows, which then stay where they are.
+    later = materialize(marks.filter("is_duplicate").select(key, score), "duplicates")
+    later = F.broadcast(later) if later.count() <= BROADCAST_ROWS else later
+    joined = analysed.join(later, key, "left")
     none = F.struct(
         F.lit(False).alias("is_duplicate"), F.lit(0.0).alias("duplicate_score"),
         F.lit(None).cast(df.schema[key].dataType).alias("first_seen"),

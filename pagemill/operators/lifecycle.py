@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from pagemill import fixed_values as fixed
 from pagemill.plans.stored import delete_folder, materialize
@@ -66,12 +66,47 @@ def unique_violations(df: DataFrame, key: str, name: str | None = None) -> DataF
     return counts.filter(F.col("rows") > 1).withColumn("key_name", F.lit(name or key))
 
 
-def table_statistics(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows, bytes (as compact JSON) and mean row bytes per table."""
+FIXED_BYTES = {
+    T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4, T.LongType: 8, T.DoubleType: 8,
+    T.TimestampType: 8, T.TimestampNTZType: 8,
+}
+
+
+def value_bytes(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value whatever engine or file holds it: numbers and times by their width, texts in UTF-8, nested values by their parts; null has none."""
+    if type(kind) in FIXED_BYTES:
+        return F.when(value.isNotNull(), FIXED_BYTES[type(kind)]).otherwise(0).cast("long")
+    none = F.lit(0).cast("long")
+    if isinstance(kind, T.DecimalType):
+        return F.when(value.isNotNull(), 8 if kind.precision <= 18 else 16).otherwise(0).cast("long")
+    if isinstance(kind, T.ArrayType):
+        if type(kind.elementType) in FIXED_BYTES:
+            filled = F.size(F.array_compact(value)).cast("long")
+            return F.when(value.isNotNull(), filled * FIXED_BYTES[type(kind.elementType)]).otherwise(none)
+        return F.coalesce(F.aggregate(value, none, lambda total, item: total + value_bytes(item, kind.elementType)), none)
+    if isinstance(kind, T.MapType):
+        keys, values = T.ArrayType(kind.keyType), T.ArrayType(kind.valueType)
+        return value_bytes(F.map_keys(value), keys) + value_bytes(F.map_values(value), values)
+    if isinstance(kind, T.StructType):
+        return reduce(Column.__add__, [value_bytes(value[f.name], f.dataType) for f in kind.fields], none)
+    return F.coalesce(F.octet_length(value.cast("string") if not isinstance(kind, T.BinaryType) else value), F.lit(0)).cast("long")
+
+
+def json_bytes(df: DataFrame) -> Column:
+    """Bytes of a row as compact JSON."""
+    return F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's values."""
+    return reduce(Column.__add__, [value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields])
+
+
+def table_statistics(tables: dict[str, DataFrame], size: Callable[[DataFrame], Column] = json_bytes) -> DataFrame:
+    """Rows, bytes (as ``json_bytes`` or ``row_bytes`` count them) and mean row bytes per table."""
     parts = []
     for name, df in tables.items():
-        size = F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
-        parts.append(df.select(size.alias("_b")).agg(F.count("*").alias("rows"), F.sum("_b").alias("bytes")).select(
+        parts.append(df.select(size(df).alias("_b")).agg(F.count("*").alias("rows"), F.sum("_b").alias("bytes")).select(
             F.lit(name).alias("table_name"), "rows", F.coalesce("bytes", F.lit(0)).alias("bytes")
         ))
     both = reduce(DataFrame.unionByName, parts)

@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pagemill import fixed_values as fixed
 from pagemill.functions import urls
 from pagemill.functions.common import any_of, hits, round_to, unnest
+from pagemill.plans.ordered import join_null_safe
+from pagemill.plans.skew import join_on_hot_key
+from pagemill.plans.stored import materialize
 
 
 def key_terms(topics: Column, keywords: Column) -> Column:
@@ -72,7 +75,10 @@ def scored_links(links: DataFrame, analysis: DataFrame, key: str, order: str) ->
     about = analysis.select(
         key, key_terms(F.col("topics"), F.col("keywords")).alias("_terms"), F.col("content_type.primary_type").alias("_kind")
     )
-    joined = first_link_per_domain(links, key, order).join(about, key)
+    firsts = materialize(first_link_per_domain(links, key, order), "first-links")
+    # A crawl may hold most domains; its one analysis row meets them in as many tasks as their number asks for.
+    sized = join_null_safe(about, firsts.groupBy(key).agg(F.count("*").alias("_domains")), [key])
+    joined = join_on_hot_key(firsts, sized, key, "_domains", "domain").drop("_domains")
     score = relevance(F.col("url"), F.col("text"), F.col("_terms"), F.col("_kind"))
     kept = joined.withColumn("_score", score).filter(F.col("_score") > 0.1)
     return kept.select(

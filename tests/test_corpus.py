@@ -37,6 +37,20 @@ def test_combined_equals_joined(pair, crawl):
         want.metadata.text_length, want.metadata.word_count, want.metadata.sentence_count)
 
 
+def test_summaries_as_pieces(spark):
+    """A sentence over many pages stays in pieces beyond the limit; its pieces and its length are those of the whole."""
+    rows = [("long", i, f" word{i}  " if i % 3 else "  ") for i in range(400)] + [("two", 0, " One.  And "), ("two", 1, " two "), ("two", 2, "  ")]
+    texts = spark.createDataFrame(rows, "crawl string, page long, text string").repartition(5)
+    whole = {r.crawl: r.summary for r in corpus.combined_analysis(texts, "crawl", "page").collect()}
+    analysis, pieces = corpus.combined_analysis(texts, "crawl", "page", summary_limit=50, pieces=True)
+    cut = {r.crawl: r.summary for r in analysis.collect()}
+    assert cut["long"].summary is None and cut["two"] == whole["two"] and cut["two"].summary.startswith("One And")
+    assert cut["long"].summary_length == whole["long"].summary_length == len(whole["long"].summary) > 2000
+    assert cut["long"].compression_ratio == whole["long"].compression_ratio
+    rows = pieces.filter("crawl = 'long'").orderBy("sentence", "page").collect()
+    assert "".join(r.text for r in rows) == whole["long"].summary and len(rows) > 300
+
+
 def test_border_terms_are_found(pair):
     topics = {t.topic for t in pair[0]["border"].topics}
     assert {"technology", "education"} <= topics and pair[0]["border"].content_type.primary_type == "tutorial"

@@ -74,3 +74,16 @@ def test_summary_and_report(spark):
     detail, totals = crawl.run_report(wanted, results)
     assert {r.url: (r.status, r.error) for r in detail.collect()} == {"a": ("completed", None), "b": ("failed", "boom"), "c": ("failed", "No result")}
     assert totals.first()[:] == (1, "completed", 3, 1, 2)
+
+
+def test_hubs_are_followed_in_blocks(walk, spark, monkeypatch):
+    """A page with 30 % of all links: the same levels, and no block above its share."""
+    edges = [("hub", f"p{i}") for i in range(600)] + [(f"p{i}", f"p{(i * 7) % 600}") for i in range(600)] + [(f"p{i}", f"q{i}") for i in range(800)] + [("start", "hub")]
+    want = walk(edges, [(1, "start"), (2, "p3")], 4, 5000)
+    assert sum(1 for c, level, _ in want if (c, level) == (1, 2)) == 600
+    monkeypatch.setattr(crawl, "LINKS_OF_A_TASK", 50)
+    assert walk(edges, [(1, "start"), (2, "p3")], 4, 5000) == want
+    placed, hubs = crawl.split_adjacency(spark.createDataFrame(edges, "src string, dst string"))
+    assert [tuple(r) for r in hubs.collect()] == [("hub", 12)]
+    sizes = [r["count"] for r in placed.filter("src = 'hub'").groupBy("block").count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 100
