@@ -100,6 +100,11 @@ def _narrow(counts: np.ndarray) -> np.ndarray:
     return counts.astype(next(k for k in ("<u1", "<u2", "<u4", "<u8") if most <= np.iinfo(k).max))
 
 
+def _counts(data: bytes, n: int) -> np.ndarray:
+    """``n`` counts that ``_narrow`` has written; eight bytes each where they need them."""
+    return np.frombuffer(data, f"<u{len(data) // n}") if n else np.zeros(0, np.uint64)
+
+
 def _write(path: str, arrays: list[np.ndarray]) -> None:
     local = _posix(path)
     if local:
@@ -158,8 +163,8 @@ def _count(parts: int):
         rows = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             starts = np.flatnonzero(np.concatenate(([True], u[a + 1 : b] != u[a : b - 1])))
-            runs = np.diff(np.append(starts, b - a)).astype("<u4")
-            rows.append((int(part[a]), _pack(u[a:b][starts]), runs.tobytes(), _pack(w[a:b]), times[a:b].astype("<u4").tobytes()))
+            runs = np.diff(np.append(starts, b - a))
+            rows.append((int(part[a]), _pack(u[a:b][starts]), _narrow(runs).tobytes(), _pack(w[a:b]), _narrow(times[a:b]).tobytes()))
         kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "us", "runs", "ws", "times"])
 
@@ -200,9 +205,9 @@ def _add_pairs(folder: str, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _by_part(batches):
-            u = np.concatenate([np.repeat(_unpack(us), np.frombuffer(runs, "<u4")) for us, runs, _, _ in rows])
+            u = np.concatenate([np.repeat(_unpack(us), _counts(runs, len(us) // 6)) for us, runs, _, _ in rows])
             w = np.concatenate([_unpack(ws) for _, _, ws, _ in rows])
-            c = np.concatenate([np.frombuffer(times, "<u4") for _, _, _, times in rows]).astype(np.float64)
+            c = np.concatenate([_counts(times, len(ws) // 6).astype(np.float64) for _, _, ws, times in rows])
             del rows
             key, first, where = np.unique(pair_hash(u, w), return_index=True, return_inverse=True)
             c = np.bincount(where, c, len(key)).astype(np.int64)
@@ -221,7 +226,7 @@ def _add_pairs(folder: str, parts: int):
             order = np.argsort(target, kind="stable")
             words, table, target = words[order], table[order], target[order]
             bounds = np.concatenate((np.flatnonzero(np.diff(target, prepend=-1)), [n]))
-            out = [(int(target[a]), _pack(words[a:b]), np.ascontiguousarray(table[a:b].T).astype("<u4").tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            out = [(int(target[a]), _pack(words[a:b]), _narrow(np.ascontiguousarray(table[a:b].T)).tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             ones = [int((c == i).sum()) for i in range(1, 5)]
             out.append((-1 - part, b"", np.array([len(key), *ones], "<u8").tobytes()))
             yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out), [pa.int32(), pa.binary(), pa.binary()])], names=["part", "ws", "facts"])
@@ -242,7 +247,7 @@ def _add_words(folder: str):
                 facts = [1, -1 - part, n, *ones, 0, 0]
             else:
                 words = np.concatenate([_unpack(ws) for ws, _ in rows])
-                table = np.concatenate([np.frombuffer(f, "<u4").reshape(WORD_FIELDS, -1).T for _, f in rows])
+                table = np.concatenate([_counts(f, len(ws) // 6 * WORD_FIELDS).reshape(WORD_FIELDS, -1).T.astype(np.float64) for ws, f in rows])
                 key, where = np.unique(words, return_inverse=True)
                 total = np.stack([np.bincount(where, table[:, i], len(key)) for i in range(WORD_FIELDS)], axis=1).astype(np.int64)
                 _write(f"{folder}/words-{part}", [key.astype("<u8"), _narrow(total)])

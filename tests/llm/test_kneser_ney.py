@@ -2,6 +2,8 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagemill.llm import kneser_ney, queries
@@ -85,3 +87,15 @@ def test_odd_rows(odd, none, rows):
     assert kneser_ney.score_folds(none).collect() == []
     untrained = kneser_ney.score(odd, kneser_ney.train(none)).collect()
     assert len(untrained) == len(rows) and all(r.score == 0 and r.base_score == 0 and r.n_known == 0 for r in untrained)
+
+
+def test_counts_beyond_four_bytes(tmp_path):
+    """A context seen three thousand million times before each of two words keeps its count on the way to the word files."""
+    context, words = np.array([77, 77], np.uint64), np.array([5, 9], np.uint64)
+    row = [kneser_ney._pack(context[:1]), np.array([2], "<u1").tobytes(), kneser_ney._pack(words), np.array([3_000_000_000] * 2, "<u4").tobytes()]
+    batch = pa.record_batch([pa.array([0], pa.int32()), *[pa.array([x]) for x in row]], names=["part", "us", "runs", "ws", "times"])
+    told = list(kneser_ney._add_pairs(str(tmp_path), 1)(iter([batch])))
+    list(kneser_ney._add_words(str(tmp_path))(iter(told)))
+    keys, values = kneser_ney._map(f"{tmp_path}/words-0", 3, kneser_ney.WORD_FIELDS)
+    facts = dict(zip(keys.tolist(), values.tolist()))
+    assert facts[77][2] == 6_000_000_000 and facts[5][0] == facts[9][0] == 3_000_000_000 and facts[77][5] == 2
