@@ -24,6 +24,7 @@ AXES, BITS = 6, 8  # projected coordinates of a curve, and bits of each
 REACH = 0.2  # share of the distinct vectors on either side of a query's rank that its window holds
 STRETCH = 65_536  # ranks whose queries are answered together
 BLOCK = 1_024  # candidates compared at a time
+QUANTILES = 65  # marks along each projected coordinate
 SEED = 90_001
 
 
@@ -71,11 +72,17 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``(vec_id, v)`` of rows that take part: no null, zero, null or non-finite components, one row per id (the smallest vector)."""
+    """``(vec_id, v)`` of rows that take part: no null, zero, null or non-finite components; rows that are alike in both count once."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.filter(F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False)))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.filter(F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False))).distinct()
+
+
+def cells_of(projected: np.ndarray, marks: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Cells by the share of all vectors below a coordinate (``marks`` are its quantiles), moved by ``shift`` of the range."""
+    share = np.linspace(0, 1, marks.shape[1])
+    below = np.column_stack([np.interp(projected[:, i], marks[i], share) for i in range(len(marks))])
+    return np.clip((below * 0.75 + 0.125 + shift / 4) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
 
 
 def search(
@@ -90,42 +97,58 @@ def search(
     """``(query_id, rank, vec_id, score)``: for every row where ``is_query`` holds, its ``k`` nearest found among all other rows.
 
     ``is_query`` is a condition on ``vec_id``. Rows of equal vectors are one point of the curves, so copies crowd nothing out: a
-    found point stands for its smallest ids. All vectors must have one length; rows that take no part are named in ``usable``.
-    Ties go to the smaller id. A table without queries, or of one row, gives no rows.
+    found point stands for its smallest ids. Rows that take no part are named in ``usable``; vectors of another length than most (of
+    two equally common lengths, than the greater) take none either. Rows of one id and several vectors are rows like any other: each asks
+    for itself and is a candidate for the others. Cells follow the quantiles of each projected coordinate, so a vector of huge norm
+    shifts nobody else. Ties go to the smaller id. A table without queries, or of one row, gives no rows. Further columns are dropped,
+    whatever their names.
     """
     rows = usable(vectors, id_col, vector_col)
     place = Window.partitionBy("point").orderBy("vec_id")
     rows = materialize(rows.select("vec_id", F.xxhash64(F.lit(SEED), "v").alias("point"), "v"), "vectors")
-    head = rows.agg(F.max(F.size("v")).alias("most"), F.min(F.size("v")).alias("least"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("top")).first()
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    lengths = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), F.max(square).alias("top"))
+    common = lengths.orderBy(F.desc("n"), F.desc("width")).first()
     empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if head["most"] is None:
+    if common is None:
         return empty
-    if head["most"] != head["least"]:
-        raise ValueError("vectors differ in length")
-    width, top = head["most"], float(head["top"])
+    width, top = common["width"], float(common["top"])
+    rows = rows.filter(F.size("v") == width)
     points = materialize(rows.groupBy("point").agg(F.min("v").alias("v"), F.max(is_query).alias("asks")), "points")
     n = points.count()
     members = rows.select("point", "vec_id").withColumn("nth", F.row_number().over(place)).filter(F.col("nth") <= k + 1)
-    planes, shifts = rotations(width + 1, curves, AXES)
+    planes, shifts = rotations(width + 1, curves, AXES)  # at most AXES coordinates of a curve
 
     def lifted(v: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(top - (v * v).sum(axis=1), 0))
         return np.column_stack((v, rest)) / np.sqrt(top)
 
+    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                v = lifted(_matrix(batch.column(0), width))
+                yield pa.RecordBatch.from_arrays([pa.array(v @ planes[c][:, i]) for c in range(curves) for i in range(planes.shape[2])], names=coordinates)
+
+    coordinates = [f"c{n}" for n in range(curves * planes.shape[2])]
+    shares = [i / (QUANTILES - 1) for i in range(QUANTILES)]
+    quantiles = points.select("v").mapInArrow(projected, ", ".join(f"{c} double" for c in coordinates))
+    marks = quantiles.agg(*[F.percentile_approx(c, shares, 1000).alias(c) for c in coordinates]).first()  # numbers whose count is fixed
+    marks = np.array([marks[c] for c in coordinates]).reshape(curves, planes.shape[2], QUANTILES)
+    # Equal marks (a coordinate that most vectors share) would leave the interpolation undefined.
+    marks = marks + np.arange(QUANTILES) * 1e-12 * np.maximum(np.abs(marks).max(axis=2, keepdims=True), 1e-300)
+
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             v = lifted(_matrix(batch.column(1), width))
-            spread = 3.0 / np.sqrt(width + 1)  # nearly all coordinates of a random unit vector lie within it
             for c in range(curves):
-                at = (v @ planes[c] / (2 * spread) + 0.5 + shifts[c] / 4) * (1 << BITS)
-                cells = np.clip(at, 0, (1 << BITS) - 1).astype(np.int64)
+                cells = cells_of(v @ planes[c], marks[c], shifts[c])
                 keys = hilbert_keys(cells, BITS)
                 yield pa.record_batch([pa.array(np.full(len(keys), c), pa.int32()), pa.array(keys, pa.int64()), batch.column(0)], names=["curve", "key", "point"])
 
     keyed = materialize(points.select("point", "v").mapInArrow(key_rows, "curve int, key long, point long"), "hilbert-keys")
-    ranked = row_index(keyed, [F.col("key"), F.col("point")], ["curve"], "at")
+    ranked = row_index(keyed, [F.col("key"), F.xxhash64("curve", "point"), F.col("point")], ["curve"], "at")
     window = min(n, 2 * int(np.ceil(reach * n)) + 1)
     # The window keeps its size at both ends of a curve.
     low = F.greatest(F.lit(0), F.least(F.col("at") - window // 2, F.lit(n - window))).cast("long")
@@ -192,13 +215,13 @@ def search(
         for batch in batches:
             if batch.num_rows:
                 score = np.einsum("ij,ij->i", _matrix(batch.column(2), width), _matrix(batch.column(3), width))
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score)], names=["asker", "vec_id", "score"])
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score), batch.column(4)], names=["asker", "vec_id", "score", "point"])
 
-    scored = pairs.select("asker", "vec_id", "q", "v").mapInArrow(exact, "asker long, vec_id long, score double")
+    scored = pairs.select("asker", "vec_id", "q", "v", "point").mapInArrow(exact, "asker long, vec_id long, score double, point long")
     # k + 1 per distinct query vector suffice: each of its rows leaves out itself alone.
     order = [F.desc("score"), F.asc("vec_id")]
     short = scored.withColumn("r", F.row_number().over(Window.partitionBy("asker").orderBy(*order))).filter(F.col("r") <= k + 1).drop("r")
     askers = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("point").alias("asker"))
-    out = askers.join(materialize(short, "short-lists"), "asker").filter("query_id != vec_id")
-    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    out = askers.join(materialize(short, "short-lists"), "asker").filter("query_id != vec_id OR asker != point")
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "asker").orderBy(*order)))
     return out.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
