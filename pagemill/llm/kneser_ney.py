@@ -1,12 +1,14 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and looked up in memory-mapped hash arrays.
+"""Interpolated modified Kneser-Ney n-gram model, counted in Spark and looked up in memory-mapped hash arrays.
 
-Counting: tasks count the pairs (previous word, word) of their texts and send them, grouped and packed, to parts chosen by a hash of the
-previous word and some bits of the word, so that a very common word spreads over many parts. A part adds up its pairs and writes two sorted
-arrays, pair hashes and counts, to the shared folder. What a part knows about words (occurrences, distinct predecessors, and as a context its
-followers seen once, twice and more often) goes on to parts by word, which write arrays sorted by word hash.
-Nothing but one short row per part reaches the driver. Scoring maps the arrays: workers of a machine share their pages and read only those they touch.
+Counting: tasks count the n-grams of their texts and send them, grouped and packed, to parts chosen by a hash of the context and some
+bits of the word, so that a very common context spreads over many parts. A part adds up its grams and writes two sorted arrays, gram hashes and
+counts, to the shared folder. What it knows about shorter grams goes on to the parts of the next lower level: how many different words
+precede each gram, which is its count there, and as a context how much follows it, and how many words once, twice and more often. One shuffle
+per level, down to single words. A part stands for ``PART_BYTES`` of text, so there are more parts for more text and none grows.
+Nothing but one short row per part and level reaches the driver. Scoring maps the arrays: workers of a machine share their pages and read only
+those they touch.
 
-Words are 48-bit hashes and pairs 64-bit hashes. Files are written beside their place and renamed, so a repeated task leaves the same file.
+Words are 48-bit hashes and longer grams 64-bit hashes. Files are written beside their place and renamed, so a repeated task leaves the same file.
 """
 
 from __future__ import annotations
@@ -27,11 +29,16 @@ from pagemill.llm.hyperlang import fold
 from pagemill.plans.stored import fresh_path
 
 BEGIN, END = 1, 0  # hashes of the marks before and after a text
+NONE = np.uint64((1 << 48) + 1)  # no word's hash
 FLUSH = 1 << 21  # tokens a task counts before it sends its pairs on
 LOOKUP = 1 << 20  # tokens scored together
-SPREAD = 63  # bits of the word that choose the part together with the previous word
+SPREAD = 63  # bits of the word that choose the part together with the context
 REMEMBERED = 400_000
-WORD_FIELDS = 6  # occurrences, predecessors, occurrences as context, followers seen once, twice, more often
+ORDER = 3  # words of the longest grams
+PART_BYTES = 16 << 20  # bytes of text that a part of a level stands for
+SLOTS = 1 << 40  # slots of a level: its parts
+FOLLOWED = 4  # as a context: sum of the counts that follow, words that follow once, twice, more often
+WORD_FIELDS = 2 + FOLLOWED  # occurrences, different words before, and as a context
 
 
 class WordHashes(dict):
@@ -65,7 +72,16 @@ def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mixed(_mixed(before * np.uint64(0x9E3779B97F4A7C15)) + word)
 
 
+def gram_keys(words: np.ndarray) -> np.ndarray:
+    """Hash per row of word hashes; of single words the words themselves."""
+    key = words[:, 0]
+    for i in range(1, words.shape[1]):
+        key = pair_hash(key, words[:, i])
+    return key
+
+
 def pair_part(before: np.ndarray, word: np.ndarray, parts: int) -> np.ndarray:
+    """Part of a gram, by the hash of its context and its last word."""
     return (_mixed(before * np.uint64(64) + (word & np.uint64(SPREAD))) % np.uint64(parts)).astype(np.int64)
 
 
@@ -149,111 +165,190 @@ def _map(path: str, rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
 # --- counting --------------------------------------------------------------------------------------
 
 
-def _count(parts: int):
-    """Texts -> packed pair counts by part."""
-
-    def packed(before: list[np.ndarray], word: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        u, w = np.concatenate(before), np.concatenate(word)
-        _, first, times = np.unique(pair_hash(u, w), return_index=True, return_counts=True)
-        u, w = u[first], w[first]
-        part = pair_part(u, w, parts)
-        order = np.lexsort((u, part))
-        u, w, times, part = u[order], w[order], times[order], part[order]
-        bounds = np.concatenate((np.flatnonzero(np.diff(part, prepend=-1)), [len(part)]))
-        rows = []
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            starts = np.flatnonzero(np.concatenate(([True], u[a + 1 : b] != u[a : b - 1])))
-            runs = np.diff(np.append(starts, b - a))
-            rows.append((int(part[a]), _pack(u[a:b][starts]), _narrow(runs).tobytes(), _pack(w[a:b]), _narrow(times[a:b]).tobytes()))
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "us", "runs", "ws", "times"])
+GRAMS, CONTEXTS, OCCURRENCES, WORDS = range(4)  # kinds of packed rows
+PACKED = "slot long, kind int, heads binary, runs binary, words binary, counts binary"
+NAMES = [column.split()[0] for column in PACKED.split(", ")]
+KINDS = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
+
+
+def _rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], names=NAMES)
+
+
+def _ranges(part: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of equal values."""
+    bounds = np.concatenate((np.flatnonzero(np.diff(part, prepend=-1)), [len(part)])).tolist()
+    return zip(bounds[:-1], bounds[1:])
+
+
+def _packed_grams(words: np.ndarray, counts: np.ndarray, parts: int) -> list[tuple]:
+    """Packed rows of distinct grams: first words with their runs, the other words column by column, counts."""
+    level = words.shape[1]
+    part = pair_part(gram_keys(words[:, :-1]), words[:, -1], parts)
+    order = np.lexsort((words[:, 0], part))
+    words, counts, part = words[order], counts[order], part[order]
+    rows = []
+    for a, b in _ranges(part):
+        starts = np.flatnonzero(np.concatenate(([True], words[a + 1 : b, 0] != words[a : b - 1, 0])))
+        runs = _narrow(np.diff(np.append(starts, b - a))).tobytes()
+        rest = b"".join(_pack(words[a:b, i]) for i in range(1, level))
+        rows.append((level * SLOTS + int(part[a]), GRAMS, _pack(words[a:b, 0][starts]), runs, rest, _narrow(counts[a:b]).tobytes()))
+    return rows
+
+
+def _unpacked_grams(level: int, row: tuple) -> tuple[np.ndarray, np.ndarray]:
+    _, heads, runs, rest, counts = row
+    n = len(rest) // 6 // (level - 1)
+    first = np.repeat(_unpack(heads), _counts(runs, len(heads) // 6).astype(np.int64))
+    return np.column_stack((first, _unpack(rest).reshape(level - 1, n).T)), _counts(counts, n).astype(np.float64)
+
+
+def _packed_tables(slot: np.ndarray, kind: int, keys: np.ndarray, table: np.ndarray) -> list[tuple]:
+    """Packed rows of keys (words in six bytes, hashes in eight) with a table of counts each."""
+    order = np.argsort(slot, kind="stable")
+    slot, keys, table = slot[order], keys[order], table[order]
+    pack = _pack if kind in (OCCURRENCES, WORDS) else lambda x: x.astype("<u8").tobytes()
+    return [(int(slot[a]), kind, b"", b"", pack(keys[a:b]), _narrow(np.ascontiguousarray(table[a:b].T)).tobytes()) for a, b in _ranges(slot)]
+
+
+def _unpacked_table(kind: int, row: tuple) -> tuple[np.ndarray, np.ndarray]:
+    _, _, _, keys, counts = row
+    keys = _unpack(keys) if kind in (OCCURRENCES, WORDS) else np.frombuffer(keys, "<u8")
+    fields = {CONTEXTS: FOLLOWED, OCCURRENCES: 1, WORDS: WORD_FIELDS}[kind]
+    return keys, _counts(counts, len(keys) * fields).reshape(fields, len(keys)).T.astype(np.float64)
+
+
+def _summed(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the sums of their rows, and one place of each."""
+    distinct, first, where = np.unique(keys, return_index=True, return_inverse=True)
+    sums = np.stack([np.bincount(where, table[:, i], len(distinct)) for i in range(table.shape[1])], axis=1) if len(distinct) else np.zeros((0, table.shape[1]))
+    return distinct, sums.astype(np.int64), first
+
+
+def text_grams(words: np.ndarray, order: int) -> list[np.ndarray]:
+    """Grams of a text's word hashes: those of the full order, and the shorter ones that begin with the mark before the text."""
+    padded = np.concatenate((np.array([BEGIN], np.uint64), words))
+    full = [padded[i : len(padded) - order + 1 + i] for i in range(order)]
+    return [*[padded[:k][None] for k in range(2, min(order, len(padded) + 1))], np.column_stack(full) if len(padded) >= order else np.zeros((0, order), np.uint64)]
+
+
+def _count(order: int, parts: int):
+    """Texts -> packed gram counts."""
+
+    def packed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for level in range(2, order + 1):
+            words = [w for w in held if w.shape[1] == level and len(w)]
+            if words:
+                words = np.concatenate(words)
+                _, first, times = np.unique(gram_keys(words), return_index=True, return_counts=True)
+                yield from _rows(_packed_grams(words[first], times, parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, before, word, size = WordHashes(), [], [], 0
+        known, held, size = WordHashes(), [], 0
         for batch in batches:
             for value in batch.column(0).cast(pa.binary()):
-                w = token_hashes(value.as_py() or b"", known)
-                before.append(np.concatenate((np.array([BEGIN], np.uint64), w[:-1])))
-                word.append(w)
-                size += len(w)
+                words = token_hashes(value.as_py() or b"", known)
+                held += text_grams(words, order)
+                size += len(words)
                 if size >= FLUSH:
-                    yield from packed(before, word)
-                    before, word, size = [], [], 0
-        if size:
-            yield from packed(before, word)
+                    yield from packed(held)
+                    held, size = [], 0
+        yield from packed(held)
 
     return run
 
 
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """Rows of sorted parts, gathered: (part, rows without the part)."""
-    part, rows = None, []
+def _by_slot(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows of sorted slots, gathered: (slot, rows without the slot)."""
+    slot, rows = None, []
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for now, *row in zip(*columns):
-            if part is not None and now != part:
-                yield part, rows
+        for now, *row in zip(*[c.to_pylist() for c in batch.columns]):
+            if slot is not None and now != slot:
+                yield slot, rows
                 rows = []
-            part = now
-            rows.append(row)
-    if part is not None:
-        yield part, rows
-
-
-def _add_pairs(folder: str, parts: int):
-    """Packed pair counts of a part -> its pair file, and what it tells about words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in _by_part(batches):
-            u = np.concatenate([np.repeat(_unpack(us), _counts(runs, len(us) // 6)) for us, runs, _, _ in rows])
-            w = np.concatenate([_unpack(ws) for _, _, ws, _ in rows])
-            c = np.concatenate([_counts(times, len(ws) // 6).astype(np.float64) for _, _, ws, times in rows])
-            del rows
-            key, first, where = np.unique(pair_hash(u, w), return_index=True, return_inverse=True)
-            c = np.bincount(where, c, len(key)).astype(np.int64)
-            u, w = u[first], w[first]
-            _write(f"{folder}/pairs-{part}", [key.astype("<u8"), _narrow(c)])
-            words, at = np.unique(np.concatenate((w, u)), return_inverse=True)
-            as_word, as_context = at[: len(w)], at[len(w) :]
-            n = len(words)
+            slot = now
+            rows.append(tuple(row))
+    if slot is not None:
+        yield slot, rows
+
+
+def _sums_row(level: int, part: int, n: int, counts: np.ndarray, tokens: int = 0, known: int = 0) -> tuple:
+    ones = [int((counts == i).sum()) for i in range(1, 5)]
+    return (-1 - level * SLOTS - part, GRAMS, b"", b"", b"", np.array([level, part, n, *ones, tokens, known], "<u8").tobytes())
+
+
+def _add_grams(level: int, order: int, folder: str, parts: int):
+    """Packed counts of a level's parts -> its files, and what they tell the level below. Rows of lower levels pass."""
+
+    def told(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        grams = [_unpacked_grams(level, row) for row in rows if row[0] == GRAMS]
+        contexts = [_unpacked_table(CONTEXTS, row) for row in rows if row[0] == CONTEXTS]
+        rows.clear()
+        words = np.concatenate([w for w, _ in grams])
+        key, count, first = _summed(gram_keys(words), np.concatenate([c for _, c in grams])[:, None])
+        words, count = words[first], count[:, 0]
+        fields = [count[:, None]]
+        if level < order:  # every context of the level above is a gram of this one
+            followed = np.zeros((len(key), FOLLOWED), np.int64)
+            if contexts:
+                known, sums, _ = _summed(np.concatenate([k for k, _ in contexts]), np.concatenate([t for _, t in contexts]))
+                followed[np.searchsorted(key, known)] = sums
+            fields.append(followed)
+        _write(f"{folder}/grams{level}-{part}", [key.astype("<u8"), _narrow(np.column_stack(fields))])
+        yield from _rows([_sums_row(level, part, len(key), count)])
+        seen = np.stack([count, count == 1, count == 2, count > 2], axis=1)
+        if level > 2:
+            suffix, types, place = _summed(gram_keys(words[:, 1:]), np.ones((len(key), 1)))
+            yield from _rows(_packed_grams(words[place][:, 1:], types[:, 0], parts))
+            context, sums, place = _summed(gram_keys(words[:, :-1]), seen)
+            slot = (level - 1) * SLOTS + pair_part(gram_keys(words[place][:, :-2]), words[place][:, -2], parts)
+            yield from _rows(_packed_tables(slot, CONTEXTS, context, sums))
+        else:
+            word, at = np.unique(np.concatenate((words[:, 1], words[:, 0])), return_inverse=True)
+            as_word, as_context, n = at[: len(words)], at[len(words) :], len(word)
             table = np.zeros((n, WORD_FIELDS), np.int64)
-            table[:, 0] = np.bincount(as_word, c, n)
             table[:, 1] = np.bincount(as_word, minlength=n)
-            table[:, 2] = np.bincount(as_context, c, n)
-            for i, seen in enumerate((c == 1, c == 2, c > 2)):
-                table[:, 3 + i] = np.bincount(as_context, seen, n)
-            target = word_part(words, parts)
-            order = np.argsort(target, kind="stable")
-            words, table, target = words[order], table[order], target[order]
-            bounds = np.concatenate((np.flatnonzero(np.diff(target, prepend=-1)), [n]))
-            out = [(int(target[a]), _pack(words[a:b]), _narrow(np.ascontiguousarray(table[a:b].T)).tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-            ones = [int((c == i).sum()) for i in range(1, 5)]
-            out.append((-1 - part, b"", np.array([len(key), *ones], "<u8").tobytes()))
-            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out), [pa.int32(), pa.binary(), pa.binary()])], names=["part", "ws", "facts"])
+            for i in range(FOLLOWED):
+                table[:, 2 + i] = np.bincount(as_context, seen[:, i], n)
+            yield from _rows(_packed_tables(SLOTS + word_part(word, parts), WORDS, word, table))
+        # Tokens are the full grams' last words, and those of shorter grams that begin a text.
+        own = np.ones(len(key), bool) if level == order else words[:, 0] == BEGIN
+        if own.any():
+            word, times, _ = _summed(words[own, -1], count[own, None])
+            yield from _rows(_packed_tables(SLOTS + word_part(word, parts), OCCURRENCES, word, times))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slot, rows in _by_slot(batches):
+            if slot // SLOTS == level:
+                yield from told(slot % SLOTS, rows)
+            else:
+                yield from _rows([(slot, *row) for row in rows])
 
     return run
 
 
-FACTS = ["is_pairs", "part", "rows", "n1", "n2", "n3", "n4", "tokens", "words"]
+FACTS = ["level", "part", "rows", "n1", "n2", "n3", "n4", "tokens", "words"]
 
 
 def _add_words(folder: str):
-    """What the pair parts tell about the words of a part -> its word file, and one row of sums per part."""
+    """What the levels above tell about the words of a part -> its word file; and one row of sums per part and level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in _by_part(batches):
-            if part < 0:
-                n, *ones = np.frombuffer(rows[0][1], "<u8").tolist()
-                facts = [1, -1 - part, n, *ones, 0, 0]
+        for slot, rows in _by_slot(batches):
+            if slot < 0:
+                found = [np.frombuffer(row[-1], "<u8").tolist() for row in rows]
             else:
-                words = np.concatenate([_unpack(ws) for ws, _ in rows])
-                table = np.concatenate([_counts(f, len(ws) // 6 * WORD_FIELDS).reshape(WORD_FIELDS, -1).T.astype(np.float64) for ws, f in rows])
-                key, where = np.unique(words, return_inverse=True)
-                total = np.stack([np.bincount(where, table[:, i], len(key)) for i in range(WORD_FIELDS)], axis=1).astype(np.int64)
-                _write(f"{folder}/words-{part}", [key.astype("<u8"), _narrow(total)])
-                ones = [int((total[:, 1] == i).sum()) for i in range(1, 5)]
-                facts = [0, part, len(key), *ones, int(total[:, 0].sum()), int((total[:, 0] > 0).sum())]
-            yield pa.record_batch([pa.array([x], pa.int64()) for x in facts], names=FACTS)
+                keys, tables = [], []
+                for row in rows:
+                    key, table = _unpacked_table(row[0], row)
+                    keys.append(key)
+                    tables.append(table if row[0] == WORDS else np.pad(table, ((0, 0), (0, WORD_FIELDS - 1))))
+                key, total, _ = _summed(np.concatenate(keys), np.concatenate(tables))
+                _write(f"{folder}/grams1-{slot % SLOTS}", [key.astype("<u8"), _narrow(total)])
+                sums = _sums_row(1, slot % SLOTS, len(key), total[:, 1], int(total[:, 0].sum()), int((total[:, 0] > 0).sum()))
+                found = [np.frombuffer(sums[-1], "<u8").tolist()]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], names=FACTS)
 
     return run
 
@@ -274,39 +369,43 @@ class Model:
     """Where the arrays are and the few numbers that hold for all; a plain value that travels to the workers."""
 
     folder: str
+    order: int
     parts: int
-    pair_rows: dict[int, int]
-    word_rows: dict[int, int]
+    rows: dict[int, dict[int, int]]  # level -> part -> rows
     tokens: int  # N
     words: int  # V
     pairs: int
-    pair_discounts: np.ndarray
-    word_discounts: np.ndarray
+    discounts: dict[int, np.ndarray]  # level -> what is taken from counts 0, 1, 2 and more
     left_over: float  # mass the lowest level takes from words and spreads evenly
 
     def unseen(self) -> float:
         return self.left_over / (self.words + 1)
 
+    def fields(self, level: int) -> int:
+        return WORD_FIELDS if level == 1 else 1 if level == self.order else 1 + FOLLOWED
+
 
-def train(docs: DataFrame, text_col: str = "text") -> Model:
+def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
     """Counts all texts of ``docs``. A null text is an empty one, which is its end mark; repeated rows count again."""
+    if order < 2:
+        raise ValueError("a model has two words or more")
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     folder = fresh_path(spark, "kneser-ney")
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(_count(parts), "part int, us binary, runs binary, ws binary, times binary")
-    told = counted.repartition("part").sortWithinPartitions("part").mapInArrow(_add_pairs(folder, parts), "part int, ws binary, facts binary")
-    facts = told.repartition("part").sortWithinPartitions("part").mapInArrow(_add_words(folder), ", ".join(f"{f} long" for f in FACTS))
-    rows = facts.collect()  # two rows per part
-    pairs, words = [r for r in rows if r["is_pairs"]], [r for r in rows if not r["is_pairs"]]
-    total = lambda part, field: sum(r[field] for r in part)
-    n_pairs, ones = total(pairs, "rows"), [total(words, f"n{i}") for i in range(1, 5)]
-    lower = discounts(ones)
-    known = total(words, "words")
-    taken = lower[1] * ones[0] + lower[2] * ones[1] + lower[3] * (known - ones[0] - ones[1])
-    return Model(
-        folder, parts, {r["part"]: r["rows"] for r in pairs}, {r["part"]: r["rows"] for r in words}, total(words, "tokens"), known, n_pairs,
-        discounts([total(pairs, f"n{i}") for i in range(1, 5)]), lower, taken / n_pairs if n_pairs else 1.0,
-    )
+    told = texts.mapInArrow(_count(order, parts), PACKED)
+    for level in range(order, 1, -1):
+        told = told.repartition("slot").sortWithinPartitions("slot").mapInArrow(_add_grams(level, order, folder, parts), PACKED)
+    facts = told.repartition("slot").sortWithinPartitions("slot").mapInArrow(_add_words(folder), ", ".join(f"{f} long" for f in FACTS))
+    found = facts.collect()  # a row per part and level
+    rows = {k: {r["part"]: r["rows"] for r in found if r["level"] == k} for k in range(1, order + 1)}
+    total = lambda level, field: sum(r[field] for r in found if r["level"] == level)
+    ones = {k: [total(k, f"n{i}") for i in range(1, 5)] for k in rows}
+    taken_from = {k: discounts(n) for k, n in ones.items()}
+    n_pairs, known, lower = total(2, "rows"), total(1, "words"), taken_from[1]
+    taken = lower[1] * ones[1][0] + lower[2] * ones[1][1] + lower[3] * (known - ones[1][0] - ones[1][1])
+    return Model(folder, order, parts, rows, total(1, "tokens"), known, n_pairs, taken_from, taken / n_pairs if n_pairs else 1.0)
 
 
 # --- scoring ---------------------------------------------------------------------------------------
@@ -318,38 +417,57 @@ class Lookup:
     def __init__(self, model: Model) -> None:
         self.model, self.maps = model, {}
 
-    def _find(self, kind: str, rows: dict[int, int], part: np.ndarray, key: np.ndarray, width: int) -> np.ndarray:
-        """Values of distinct keys; zeros for keys that are not there."""
-        out = np.zeros((len(key), width), np.int64)
+    def find(self, level: int, part: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Values of keys; zeros for keys that are not there."""
+        width, rows = self.model.fields(level), self.model.rows[level]
+        key, first, where = np.unique(key, return_index=True, return_inverse=True)
+        part, out = part[first], np.zeros((len(key), width), np.int64)
         order = np.lexsort((key, part))
-        bounds = np.concatenate((np.flatnonzero(np.diff(part[order], prepend=-1)), [len(part)]))
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        for a, b in _ranges(part[order]):
             at, number = order[a:b], int(part[order[a]])
             if number not in rows:
                 continue
-            if (kind, number) not in self.maps:
-                self.maps[kind, number] = _map(f"{self.model.folder}/{kind}-{number}", rows[number], width)
-            keys, values = self.maps[kind, number]
+            if (level, number) not in self.maps:
+                self.maps[level, number] = _map(f"{self.model.folder}/grams{level}-{number}", rows[number], width)
+            keys, values = self.maps[level, number]
             place = np.minimum(np.searchsorted(keys, key[at]), len(keys) - 1)
             hit = keys[place] == key[at]
             out[at[hit]] = values[place[hit]]
-        return out
-
-    def log_scores(self, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per token: log10 of the model's and of the base's probability, and whether the word is known."""
-        m = self.model
-        words, where = np.unique(np.concatenate((word, before)), return_inverse=True)
-        facts = self._find("words", m.word_rows, word_part(words, m.parts), words, WORD_FIELDS)
-        as_word, as_context = where[: len(word)], where[len(word) :]
-        base = np.log10((facts[:, 0] + 0.1) / (m.tokens + 0.1 * (m.words + 1)))
-        preceded = facts[:, 1]
-        lowest = np.maximum(preceded - m.word_discounts[np.minimum(preceded, 3)], 0) / max(m.pairs, 1) + m.unseen()
-        seen = np.maximum(facts[:, 2], 1)
-        kept_back = np.where(facts[:, 2] > 0, facts[:, 3:] @ m.pair_discounts[1:] / seen, 1.0)
-        pairs, first, at = np.unique(pair_hash(before, word), return_index=True, return_inverse=True)
-        count = self._find("pairs", m.pair_rows, pair_part(before[first], word[first], m.parts), pairs, 1)[:, 0][at]
-        direct = np.maximum(count - m.pair_discounts[np.minimum(count, 3)], 0) / seen[as_context]
-        return np.log10(direct + kept_back[as_context] * lowest[as_word]), base[as_word], facts[as_word, 0] > 0
+        return out[where]
+
+    def log_scores(self, history: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per token: log10 of the model's and of the base's probability, and whether the word is known.
+
+        ``history`` holds the words before each, nearest last; places before the mark that opens a text hold ``NONE``.
+        """
+        m, n = self.model, len(word)
+        facts = self.find(1, *(lambda w: (word_part(w, m.parts), w))(np.concatenate((word, history[:, -1]))))
+        own, context = facts[:n], facts[n:, 2:]
+        base = np.log10((own[:, 0] + 0.1) / (m.tokens + 0.1 * (m.words + 1)))
+        found = np.maximum(own[:, 1] - m.discounts[1][np.minimum(own[:, 1], 3)], 0) / max(m.pairs, 1) + m.unseen()
+        for level in range(2, m.order + 1):
+            # The gram itself, and (for the next level) the context that is one word longer.
+            before = history[:, m.order - level :]
+            key, part = pair_hash(gram_keys(before), word), pair_part(gram_keys(before), word, m.parts)
+            if level < m.order:
+                wider = history[:, m.order - level - 1 :]
+                key = np.concatenate((key, gram_keys(wider)))
+                part = np.concatenate((part, pair_part(gram_keys(wider[:, :-1]), wider[:, -1], m.parts)))
+            values = self.find(level, part, key)
+            count, total = values[:n, 0], context[:, 0]
+            seen = np.maximum(total, 1)
+            direct = np.maximum(count - m.discounts[level][np.minimum(count, 3)], 0) / seen
+            kept_back = np.where(total > 0, context[:, 1:] @ m.discounts[level][1:] / seen, 1.0)
+            found = np.where(total > 0, direct, 0) + kept_back * found
+            if level < m.order:
+                context = np.where((wider[:, 0] == NONE)[:, None], 0, values[n:, 1:])
+        return np.log10(found), base, own[:, 0] > 0
+
+
+def histories(words: np.ndarray, order: int) -> np.ndarray:
+    """Per token the ``order`` - 1 words before it, nearest last: the mark that opens the text, and ``NONE`` before that."""
+    padded = np.concatenate((np.full(order - 2, NONE, np.uint64), np.array([BEGIN], np.uint64), words))
+    return np.column_stack([padded[i : i + len(words)] for i in range(order - 1)])
 
 
 SCORES = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -371,13 +489,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
             def settle(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
                 word, before = np.concatenate([w for _, w, _ in rows]), np.concatenate([b for _, _, b in rows])
-                model_log, base_log, is_known = lookup.log_scores(before, word)
+                model_log, base_log, is_known = lookup.log_scores(before, word)  # histories, words
                 starts = np.cumsum([0, *[len(w) for _, w, _ in rows[:-1]]])
                 for i, values in enumerate((model_log, base_log, is_known.astype(float))):
                     np.add.at(sums[:, i], [n for n, _, _ in rows], np.add.reduceat(values, starts))
 
             for n, w in enumerate(tokens):
-                before = np.concatenate((np.array([BEGIN], np.uint64), w[:-1]))
+                before = histories(w, model.order)
                 for at in range(0, len(w), LOOKUP):
                     group.append((n, w[at : at + LOOKUP], before[at : at + LOOKUP]))
                     size += len(group[-1][1])
@@ -409,8 +527,8 @@ def perplexity(log10_score: Column, n_tokens: Column) -> Column:
     return F.pow(F.lit(10.0), -log10_score / n_tokens)
 
 
-def score_folds(docs: DataFrame) -> DataFrame:
+def score_folds(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Scores all documents with a model of those outside fold 0 of 10."""
     held_out = fold("doc_id", 10) == 0
-    scored = score(docs, train(docs.filter(~held_out)))
+    scored = score(docs, train(docs.filter(~held_out), order=order))
     return scored.select("doc_id", held_out.alias("held_out"), *SCORES, perplexity(F.col("score"), F.col("n_tokens")).alias("perplexity"))

@@ -14,46 +14,62 @@ def tokens(text):
 
 
 class Brute:
-    def __init__(self, texts):
-        self.words, self.pairs = Counter(), Counter()
+    """Dictionaries of all grams: counts at the full order and where a text begins, different words before a gram below that."""
+
+    def __init__(self, texts, order=kneser_ney.ORDER):
+        self.order, self.words = order, Counter()
+        counts = {k: Counter() for k in range(1, order + 1)}
         for t in texts:
             w = tokens(t)
             self.words.update(w)
-            self.pairs.update(zip(["begin", *w[:-1]], w))
-        seen = lambda counts: [sum(c == i for c in counts.values()) for i in (1, 2, 3, 4)]
-        self.n, self.v = sum(self.words.values()), len(self.words)
-        self.preceded, self.context, self.followers = Counter(w for _, w in self.pairs), Counter(), defaultdict(lambda: [0, 0, 0])
-        for (u, _), c in self.pairs.items():
-            self.context[u] += c
-            self.followers[u][min(c, 3) - 1] += 1
-        self.d, self.low = kneser_ney.discounts(seen(self.pairs)), kneser_ney.discounts(seen(self.preceded))
-        self.left = sum(self.low[min(c, 3)] for c in self.preceded.values()) / len(self.pairs) if self.pairs else 1.0
-
-    def lowest(self, w):
-        c = self.preceded[w]
-        return max(c - self.low[min(c, 3)], 0) / max(len(self.pairs), 1) + self.left / (self.v + 1)
-
-    def p(self, u, w):
-        if not self.context[u]:
-            return self.lowest(w)
-        c = self.pairs[u, w]
-        kept = sum(self.d[i + 1] * self.followers[u][i] for i in range(3)) / self.context[u]
-        return max(c - self.d[min(c, 3)], 0) / self.context[u] + kept * self.lowest(w)
+            w = ["begin", *w]
+            counts[order].update(zip(*[w[i:] for i in range(order)]))
+            for k in range(2, order):
+                counts[k].update([tuple(w[:k])] if len(w) >= k else [])
+        for k in range(order, 1, -1):
+            for gram in counts[k]:
+                counts[k - 1][gram[1:]] += 1
+        self.counts, self.context, self.followers = counts, Counter(), defaultdict(lambda: [0, 0, 0])
+        for k in range(2, order + 1):
+            for gram, c in counts[k].items():
+                self.context[gram[:-1]] += c
+                self.followers[gram[:-1]][min(c, 3) - 1] += 1
+        self.n, self.v, self.pairs = sum(self.words.values()), len(self.words), len(counts[2])
+        seen = lambda values: [sum(c == i for c in values.values()) for i in (1, 2, 3, 4)]
+        self.d = {k: kneser_ney.discounts(seen(c)) for k, c in counts.items()}
+        self.left = sum(self.d[1][min(c, 3)] for c in counts[1].values()) / self.pairs if self.pairs else 1.0
+
+    def p(self, before, w):
+        if not before:
+            c = self.counts[1][w,]
+            return max(c - self.d[1][min(c, 3)], 0) / max(self.pairs, 1) + self.left / (self.v + 1)
+        lower = self.p(before[1:], w)
+        if not self.context[before]:
+            return lower
+        c, d = self.counts[len(before) + 1][*before, w], self.d[len(before) + 1]
+        kept = sum(d[i + 1] * self.followers[before][i] for i in range(3)) / self.context[before]
+        return max(c - d[min(c, 3)], 0) / self.context[before] + kept * lower
 
     def row(self, text):
         w = tokens(text)
         base = sum(math.log10((self.words[x] + 0.1) / (self.n + 0.1 * (self.v + 1))) for x in w)
-        return len(w), sum(self.words[x] > 0 for x in w), self.n, base, sum(math.log10(self.p(u, x)) for u, x in zip(["begin", *w[:-1]], w))
+        whole, score = ["begin", *w], 0.0
+        for i in range(1, len(whole)):
+            score += math.log10(self.p(tuple(whole[max(0, i - self.order + 1) : i]), whole[i]))
+        return len(w), sum(self.words[x] > 0 for x in w), self.n, base, score
 
 
 def same(got, want):
     assert tuple(got[:3]) == want[:3] and got[3] == pytest.approx(want[3], abs=1e-7) and got[4] == pytest.approx(want[4], abs=1e-7)
 
 
-def test_probabilities_add_up(documents):
-    model = Brute([t for _, t, *_ in documents])
-    for u in ("begin", b"the", b"of", b"never seen"):
-        assert sum(model.p(u, w) for w in model.words) + model.p(u, b"never seen") == pytest.approx(1)
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_probabilities_add_up(documents, order):
+    model = Brute([t for _, t, *_ in documents], order)
+    first = tokens(documents[0][1])
+    for before in (("begin",), (b"the",), (b"of", b"the"), ("begin", first[0]), tuple(first[:3]), (b"never seen",)):
+        before = before[: order - 1]
+        assert sum(model.p(before, w) for w in model.words) + model.p(before, b"never seen") == pytest.approx(1)
 
 
 def test_query(spark, tiny, documents):
@@ -68,13 +84,16 @@ def test_query(spark, tiny, documents):
     assert sum(r.score for r in test) > sum(r.base_score for r in test)
 
 
-def test_small_buffers(spark, documents, monkeypatch):
-    for name, value in (("FLUSH", 500), ("LOOKUP", 300), ("REMEMBERED", 40)):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_orders_and_small_buffers(spark, documents, monkeypatch, order):
+    for name, value in (("FLUSH", 500), ("LOOKUP", 300), ("REMEMBERED", 40), ("PART_BYTES", 2000)):
         monkeypatch.setattr(kneser_ney, name, value)
-    df = spark.createDataFrame([(d, t) for d, t, *_ in documents[:60]], "doc_id long, text string").repartition(3)
-    model = Brute([t for _, t, *_ in documents[:60]])
-    for r in kneser_ney.score(df, kneser_ney.train(df)).collect():
-        same(tuple(r)[1:], model.row(documents[r.doc_id][1]))
+    some = [*documents[:60], (60, "one", "en", "s"), (61, "one two", "en", "s"), (62, "", "en", "s")]
+    df = spark.createDataFrame([(n, d[1]) for n, d in enumerate(some)], "doc_id long, text string").repartition(3)
+    brute, model = Brute([d[1] for d in some], order), kneser_ney.train(df, order=order)
+    assert model.parts > 30
+    for r in kneser_ney.score(df, model).collect():
+        same(tuple(r)[1:], brute.row(some[r.doc_id][1]))
 
 
 def test_odd_rows(odd, none, rows):
@@ -91,11 +110,12 @@ def test_odd_rows(odd, none, rows):
 
 def test_counts_beyond_four_bytes(tmp_path):
     """A context seen three thousand million times before each of two words keeps its count on the way to the word files."""
-    context, words = np.array([77, 77], np.uint64), np.array([5, 9], np.uint64)
-    row = [kneser_ney._pack(context[:1]), np.array([2], "<u1").tobytes(), kneser_ney._pack(words), np.array([3_000_000_000] * 2, "<u4").tobytes()]
-    batch = pa.record_batch([pa.array([0], pa.int32()), *[pa.array([x]) for x in row]], names=["part", "us", "runs", "ws", "times"])
-    told = list(kneser_ney._add_pairs(str(tmp_path), 1)(iter([batch])))
-    list(kneser_ney._add_words(str(tmp_path))(iter(told)))
-    keys, values = kneser_ney._map(f"{tmp_path}/words-0", 3, kneser_ney.WORD_FIELDS)
+    grams = np.array([[77, 5], [77, 9]], np.uint64)
+    rows = kneser_ney._packed_grams(grams, np.array([3_000_000_000] * 2), 1)
+    told = list(kneser_ney._add_grams(2, 2, str(tmp_path), 1)(kneser_ney._rows(rows)))
+    told = pa.Table.from_batches(told).sort_by("slot").to_batches()
+    found = [r for b in kneser_ney._add_words(str(tmp_path))(iter(told)) for r in b.to_pylist()]
+    assert [r["tokens"] for r in found if r["level"] == 1] == [6_000_000_000]
+    keys, values = kneser_ney._map(f"{tmp_path}/grams1-0", 3, kneser_ney.WORD_FIELDS)
     facts = dict(zip(keys.tolist(), values.tolist()))
     assert facts[77][2] == 6_000_000_000 and facts[5][0] == facts[9][0] == 3_000_000_000 and facts[77][5] == 2
