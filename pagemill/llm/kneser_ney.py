@@ -1,12 +1,12 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark and looked up in memory-mapped hash arrays.
 
-Counting: tasks count the n-grams of their texts and send them, grouped and packed, to parts chosen by a hash of the context and some
-bits of the word, so that a very common context spreads over many parts. A part adds up its grams and writes two sorted arrays, gram hashes and
-counts, to the shared folder. What it knows about shorter grams goes on to the parts of the next lower level: how many different words
-precede each gram, which is its count there, and as a context how much follows it, and how many words once, twice and more often. One shuffle
-per level, down to single words. A part stands for ``PART_BYTES`` of text, so there are more parts for more text and none grows.
-Nothing but one short row per part and level reaches the driver. Scoring maps the arrays: workers of a machine share their pages and read only
-those they touch.
+Counting: tasks count the n-grams of their texts and send them, grouped and packed, to parts chosen by the last word but one and some
+bits of the last, so that a very common word spreads over many parts. A gram and its ending (without the first word) share a part: it adds up the
+longest grams, counts how many different words precede each ending, which is the ending's count one level below, and so on down to pairs, and writes
+sorted arrays, gram hashes and counts, to the shared folder. What grams tell about their beginnings, as contexts (how much follows, and how many
+words once, twice and more often), goes to the beginnings' parts by a second shuffle, and is written beside them; what they tell about words likewise.
+A part stands for ``PART_BYTES`` of text, so there are more parts for more text and none grows. Nothing but a few short rows per part reach
+the driver. Scoring maps the arrays: workers of a machine share their pages and read only those they touch.
 
 Words are 48-bit hashes and longer grams 64-bit hashes. Files are written beside their place and renamed, so a repeated task leaves the same file.
 """
@@ -81,7 +81,7 @@ def gram_keys(words: np.ndarray) -> np.ndarray:
 
 
 def pair_part(before: np.ndarray, word: np.ndarray, parts: int) -> np.ndarray:
-    """Part of a gram, by the hash of its context and its last word."""
+    """Part of grams, by their last word but one and their last."""
     return (_mixed(before * np.uint64(64) + (word & np.uint64(SPREAD))) % np.uint64(parts)).astype(np.int64)
 
 
@@ -122,6 +122,8 @@ def _counts(data: bytes, n: int) -> np.ndarray:
 
 
 def _write(path: str, arrays: list[np.ndarray]) -> None:
+    """The number of rows, then the arrays."""
+    arrays = [np.array([len(arrays[0])], "<u8"), *arrays]
     local = _posix(path)
     if local:
         os.makedirs(os.path.dirname(local), exist_ok=True)
@@ -142,8 +144,8 @@ def _write(path: str, arrays: list[np.ndarray]) -> None:
     store.move(beside, name)
 
 
-def _map(path: str, rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Memory-mapped keys and values of a file; from a store that cannot be mapped, of a copy that has no name any more."""
+def _map(path: str, width: int, keyed: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Memory-mapped keys (none of a file without) and values of a file; from a store that cannot be mapped, of a copy that has no name any more."""
     local = _posix(path)
     if not local:
         from pyarrow import fs
@@ -156,16 +158,18 @@ def _map(path: str, rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     whole = np.memmap(local, np.uint8, "r")
     if not _posix(path):
         os.unlink(local)
-    size, rest = divmod(len(whole) - 8 * rows, rows * width)
+    rows = int(np.frombuffer(whole[:8], "<u8")[0])
+    start = 8 + 8 * rows * keyed
+    size, rest = divmod(len(whole) - start, rows * width)
     if rest or size not in (1, 2, 4, 8):
         raise OSError(f"{path} has {len(whole)} bytes, which do not fit {rows} rows")
-    return np.frombuffer(whole[: 8 * rows], "<u8"), np.frombuffer(whole[8 * rows :], f"<u{size}").reshape(rows, width)
+    return np.frombuffer(whole[8:start], "<u8"), np.frombuffer(whole[start:], f"<u{size}").reshape(rows, width)
 
 
 # --- counting --------------------------------------------------------------------------------------
 
 
-GRAMS, CONTEXTS, OCCURRENCES, WORDS = range(4)  # kinds of packed rows
+CONTEXTS, OCCURRENCES, WORDS, SUMS = range(4)  # kinds of packed rows behind the first shuffle; before it, the words of a gram
 PACKED = "slot long, kind int, heads binary, runs binary, words binary, counts binary"
 NAMES = [column.split()[0] for column in PACKED.split(", ")]
 KINDS = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
@@ -183,25 +187,26 @@ def _ranges(part: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _packed_grams(words: np.ndarray, counts: np.ndarray, parts: int) -> list[tuple]:
-    """Packed rows of distinct grams: first words with their runs, the other words column by column, counts."""
+    """Packed rows of distinct grams, by the word before the last: these with their runs, the other words column by column, counts."""
     level = words.shape[1]
-    part = pair_part(gram_keys(words[:, :-1]), words[:, -1], parts)
-    order = np.lexsort((words[:, 0], part))
+    part = pair_part(words[:, -2], words[:, -1], parts)
+    order = np.lexsort((words[:, -2], part))
     words, counts, part = words[order], counts[order], part[order]
     rows = []
     for a, b in _ranges(part):
-        starts = np.flatnonzero(np.concatenate(([True], words[a + 1 : b, 0] != words[a : b - 1, 0])))
+        heads = words[a:b, -2]
+        starts = np.flatnonzero(np.concatenate(([True], heads[1:] != heads[:-1])))
         runs = _narrow(np.diff(np.append(starts, b - a))).tobytes()
-        rest = b"".join(_pack(words[a:b, i]) for i in range(1, level))
-        rows.append((level * SLOTS + int(part[a]), GRAMS, _pack(words[a:b, 0][starts]), runs, rest, _narrow(counts[a:b]).tobytes()))
+        rest = b"".join(_pack(words[a:b, i]) for i in range(level) if i != level - 2)
+        rows.append((int(part[a]), level, _pack(heads[starts]), runs, rest, _narrow(counts[a:b]).tobytes()))
     return rows
 
 
 def _unpacked_grams(level: int, row: tuple) -> tuple[np.ndarray, np.ndarray]:
     _, heads, runs, rest, counts = row
     n = len(rest) // 6 // (level - 1)
-    first = np.repeat(_unpack(heads), _counts(runs, len(heads) // 6).astype(np.int64))
-    return np.column_stack((first, _unpack(rest).reshape(level - 1, n).T)), _counts(counts, n).astype(np.float64)
+    heads = np.repeat(_unpack(heads), _counts(runs, len(heads) // 6).astype(np.int64))
+    return np.insert(_unpack(rest).reshape(level - 1, n).T, level - 2, heads, axis=1), _counts(counts, n).astype(np.float64)
 
 
 def _packed_tables(slot: np.ndarray, kind: int, keys: np.ndarray, table: np.ndarray) -> list[tuple]:
@@ -275,55 +280,48 @@ def _by_slot(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
 
 def _sums_row(level: int, part: int, n: int, counts: np.ndarray, tokens: int = 0, known: int = 0) -> tuple:
     ones = [int((counts == i).sum()) for i in range(1, 5)]
-    return (-1 - level * SLOTS - part, GRAMS, b"", b"", b"", np.array([level, part, n, *ones, tokens, known], "<u8").tobytes())
+    return (-1 - level * SLOTS - part, SUMS, b"", b"", b"", np.array([level, part, n, *ones, tokens, known], "<u8").tobytes())
 
 
-def _add_grams(level: int, order: int, folder: str, parts: int):
-    """Packed counts of a level's parts -> its files, and what they tell the level below. Rows of lower levels pass."""
+def _add_grams(order: int, folder: str, parts: int):
+    """Packed counts of the parts -> files of all levels from the longest grams down to pairs, and what they tell contexts and words."""
 
     def told(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        grams = [_unpacked_grams(level, row) for row in rows if row[0] == GRAMS]
-        contexts = [_unpacked_table(CONTEXTS, row) for row in rows if row[0] == CONTEXTS]
+        held: dict[int, list] = {level: [_unpacked_grams(level, row) for row in rows if row[0] == level] for level in range(2, order + 1)}
         rows.clear()
-        words = np.concatenate([w for w, _ in grams])
-        key, count, first = _summed(gram_keys(words), np.concatenate([c for _, c in grams])[:, None])
-        words, count = words[first], count[:, 0]
-        fields = [count[:, None]]
-        if level < order:  # every context of the level above is a gram of this one
-            followed = np.zeros((len(key), FOLLOWED), np.int64)
-            if contexts:
-                known, sums, _ = _summed(np.concatenate([k for k, _ in contexts]), np.concatenate([t for _, t in contexts]))
-                followed[np.searchsorted(key, known)] = sums
-            fields.append(followed)
-        _write(f"{folder}/grams{level}-{part}", [key.astype("<u8"), _narrow(np.column_stack(fields))])
-        yield from _rows([_sums_row(level, part, len(key), count)])
-        seen = np.stack([count, count == 1, count == 2, count > 2], axis=1)
-        if level > 2:
-            suffix, types, place = _summed(gram_keys(words[:, 1:]), np.ones((len(key), 1)))
-            yield from _rows(_packed_grams(words[place][:, 1:], types[:, 0], parts))
-            context, sums, place = _summed(gram_keys(words[:, :-1]), seen)
-            slot = (level - 1) * SLOTS + pair_part(gram_keys(words[place][:, :-2]), words[place][:, -2], parts)
-            yield from _rows(_packed_tables(slot, CONTEXTS, context, sums))
-        else:
-            word, at = np.unique(np.concatenate((words[:, 1], words[:, 0])), return_inverse=True)
-            as_word, as_context, n = at[: len(words)], at[len(words) :], len(word)
-            table = np.zeros((n, WORD_FIELDS), np.int64)
-            table[:, 1] = np.bincount(as_word, minlength=n)
-            for i in range(FOLLOWED):
-                table[:, 2 + i] = np.bincount(as_context, seen[:, i], n)
-            yield from _rows(_packed_tables(SLOTS + word_part(word, parts), WORDS, word, table))
-        # Tokens are the full grams' last words, and those of shorter grams that begin a text.
-        own = np.ones(len(key), bool) if level == order else words[:, 0] == BEGIN
-        if own.any():
-            word, times, _ = _summed(words[own, -1], count[own, None])
-            yield from _rows(_packed_tables(SLOTS + word_part(word, parts), OCCURRENCES, word, times))
+        for level in range(order, 1, -1):
+            if not held[level]:
+                continue
+            words = np.concatenate([w for w, _ in held[level]])
+            key, count, first = _summed(gram_keys(words), np.concatenate([c for _, c in held.pop(level)])[:, None])
+            words, count = words[first], count[:, 0]
+            _write(f"{folder}/grams{level}-{part}", [key.astype("<u8"), _narrow(count)])
+            yield from _rows([_sums_row(level, part, len(key), count)])
+            seen = np.stack([count, count == 1, count == 2, count > 2], axis=1)
+            if level > 2:
+                _, types, place = _summed(gram_keys(words[:, 1:]), np.ones((len(key), 1)))
+                held[level - 1].append((words[place][:, 1:], types[:, 0].astype(np.float64)))
+                context, sums, place = _summed(gram_keys(words[:, :-1]), seen)
+                begins = words[place]
+                slot = (level - 1) * SLOTS + pair_part(begins[:, -3], begins[:, -2], parts)
+                yield from _rows(_packed_tables(slot, CONTEXTS, context, sums))
+            else:
+                word, at = np.unique(np.concatenate((words[:, 1], words[:, 0])), return_inverse=True)
+                as_word, as_context, n = at[: len(words)], at[len(words) :], len(word)
+                table = np.zeros((n, WORD_FIELDS), np.int64)
+                table[:, 1] = np.bincount(as_word, minlength=n)
+                for i in range(FOLLOWED):
+                    table[:, 2 + i] = np.bincount(as_context, seen[:, i], n)
+                yield from _rows(_packed_tables(SLOTS + word_part(word, parts), WORDS, word, table))
+            # Tokens are the full grams' last words, and those of shorter grams that begin a text.
+            own = np.ones(len(key), bool) if level == order else words[:, 0] == BEGIN
+            if own.any():
+                word, times, _ = _summed(words[own, -1], count[own, None])
+                yield from _rows(_packed_tables(SLOTS + word_part(word, parts), OCCURRENCES, word, times))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for slot, rows in _by_slot(batches):
-            if slot // SLOTS == level:
-                yield from told(slot % SLOTS, rows)
-            else:
-                yield from _rows([(slot, *row) for row in rows])
+        for part, rows in _by_slot(batches):
+            yield from told(part, rows)
 
     return run
 
@@ -331,13 +329,27 @@ def _add_grams(level: int, order: int, folder: str, parts: int):
 FACTS = ["level", "part", "rows", "n1", "n2", "n3", "n4", "tokens", "words"]
 
 
-def _add_words(folder: str):
-    """What the levels above tell about the words of a part -> its word file; and one row of sums per part and level."""
+def _add_contexts(folder: str):
+    """What grams tell about contexts and words -> a file beside the context's grams, or the part's word file; and the rows of sums.
+
+    Every context is a gram of its part, so the file has a row per gram and needs no keys. Its row of sums has level -1 - the contexts'.
+    """
+
+    def followed(level: int, part: int, rows: list[tuple]) -> list[int]:
+        tables = [_unpacked_table(CONTEXTS, row) for row in rows]
+        context, sums, _ = _summed(np.concatenate([k for k, _ in tables]), np.concatenate([t for _, t in tables]))
+        key, _ = _map(f"{folder}/grams{level}-{part}", 1)
+        out = np.zeros((len(key), FOLLOWED), np.int64)
+        out[np.searchsorted(key, context)] = sums
+        _write(f"{folder}/followed{level}-{part}", [_narrow(out)])
+        return [-1 - level, part, len(key), *[0] * 6]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slot, rows in _by_slot(batches):
             if slot < 0:
                 found = [np.frombuffer(row[-1], "<u8").tolist() for row in rows]
+            elif slot // SLOTS > 1:
+                found = [followed(slot // SLOTS, slot % SLOTS, rows)]
             else:
                 keys, tables = [], []
                 for row in rows:
@@ -371,7 +383,7 @@ class Model:
     folder: str
     order: int
     parts: int
-    rows: dict[int, dict[int, int]]  # level -> part -> rows
+    held: dict[int, set[int]]  # level -> parts with grams; -1 - level -> parts with contexts among them
     tokens: int  # N
     words: int  # V
     pairs: int
@@ -381,9 +393,6 @@ class Model:
     def unseen(self) -> float:
         return self.left_over / (self.words + 1)
 
-    def fields(self, level: int) -> int:
-        return WORD_FIELDS if level == 1 else 1 if level == self.order else 1 + FOLLOWED
-
 
 def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
     """Counts all texts of ``docs``. A null text is an empty one, which is its end mark; repeated rows count again."""
@@ -394,18 +403,16 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     folder = fresh_path(spark, "kneser-ney")
-    told = texts.mapInArrow(_count(order, parts), PACKED)
-    for level in range(order, 1, -1):
-        told = told.repartition("slot").sortWithinPartitions("slot").mapInArrow(_add_grams(level, order, folder, parts), PACKED)
-    facts = told.repartition("slot").sortWithinPartitions("slot").mapInArrow(_add_words(folder), ", ".join(f"{f} long" for f in FACTS))
-    found = facts.collect()  # a row per part and level
-    rows = {k: {r["part"]: r["rows"] for r in found if r["level"] == k} for k in range(1, order + 1)}
+    counted = texts.mapInArrow(_count(order, parts), PACKED).repartition("slot").sortWithinPartitions("slot")
+    told = counted.mapInArrow(_add_grams(order, folder, parts), PACKED).repartition("slot").sortWithinPartitions("slot")
+    found = told.mapInArrow(_add_contexts(folder), ", ".join(f"{f} long" for f in FACTS)).collect()  # two rows per part and level
+    held = {k: {r["part"] for r in found if r["level"] == k} for k in [*range(1, order + 1), *range(-order, -2)]}
     total = lambda level, field: sum(r[field] for r in found if r["level"] == level)
-    ones = {k: [total(k, f"n{i}") for i in range(1, 5)] for k in rows}
+    ones = {k: [total(k, f"n{i}") for i in range(1, 5)] for k in range(1, order + 1)}
     taken_from = {k: discounts(n) for k, n in ones.items()}
     n_pairs, known, lower = total(2, "rows"), total(1, "words"), taken_from[1]
     taken = lower[1] * ones[1][0] + lower[2] * ones[1][1] + lower[3] * (known - ones[1][0] - ones[1][1])
-    return Model(folder, order, parts, rows, total(1, "tokens"), known, n_pairs, taken_from, taken / n_pairs if n_pairs else 1.0)
+    return Model(folder, order, parts, held, total(1, "tokens"), known, n_pairs, taken_from, taken / n_pairs if n_pairs else 1.0)
 
 
 # --- scoring ---------------------------------------------------------------------------------------
@@ -417,22 +424,27 @@ class Lookup:
     def __init__(self, model: Model) -> None:
         self.model, self.maps = model, {}
 
+    def _mapped(self, name: str, number: int, width: int, keyed: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        if (name, number) not in self.maps:
+            self.maps[name, number] = _map(f"{self.model.folder}/{name}-{number}", width, keyed)
+        return self.maps[name, number]
+
     def find(self, level: int, part: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Values of keys; zeros for keys that are not there."""
-        width, rows = self.model.fields(level), self.model.rows[level]
+        """Values of keys: a word's fields, or a gram's count and what follows it as a context; zeros for keys that are not there."""
         key, first, where = np.unique(key, return_index=True, return_inverse=True)
-        part, out = part[first], np.zeros((len(key), width), np.int64)
+        part, out = part[first], np.zeros((len(key), WORD_FIELDS if level == 1 else 1 + FOLLOWED), np.int64)
         order = np.lexsort((key, part))
         for a, b in _ranges(part[order]):
             at, number = order[a:b], int(part[order[a]])
-            if number not in rows:
+            if number not in self.model.held[level]:
                 continue
-            if (level, number) not in self.maps:
-                self.maps[level, number] = _map(f"{self.model.folder}/grams{level}-{number}", rows[number], width)
-            keys, values = self.maps[level, number]
+            keys, values = self._mapped(f"grams{level}", number, WORD_FIELDS if level == 1 else 1)
             place = np.minimum(np.searchsorted(keys, key[at]), len(keys) - 1)
             hit = keys[place] == key[at]
-            out[at[hit]] = values[place[hit]]
+            at, place = at[hit], place[hit]
+            out[at, : values.shape[1]] = values[place]
+            if number in self.model.held.get(-1 - level, ()):
+                out[at, 1:] = self._mapped(f"followed{level}", number, FOLLOWED, keyed=False)[1][place]
         return out[where]
 
     def log_scores(self, history: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -448,11 +460,11 @@ class Lookup:
         for level in range(2, m.order + 1):
             # The gram itself, and (for the next level) the context that is one word longer.
             before = history[:, m.order - level :]
-            key, part = pair_hash(gram_keys(before), word), pair_part(gram_keys(before), word, m.parts)
+            key, part = pair_hash(gram_keys(before), word), pair_part(before[:, -1], word, m.parts)
             if level < m.order:
                 wider = history[:, m.order - level - 1 :]
                 key = np.concatenate((key, gram_keys(wider)))
-                part = np.concatenate((part, pair_part(gram_keys(wider[:, :-1]), wider[:, -1], m.parts)))
+                part = np.concatenate((part, pair_part(wider[:, -2], wider[:, -1], m.parts)))
             values = self.find(level, part, key)
             count, total = values[:n, 0], context[:, 0]
             seen = np.maximum(total, 1)

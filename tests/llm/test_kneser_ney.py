@@ -112,10 +112,10 @@ def test_counts_beyond_four_bytes(tmp_path):
     """A context seen three thousand million times before each of two words keeps its count on the way to the word files."""
     grams = np.array([[77, 5], [77, 9]], np.uint64)
     rows = kneser_ney._packed_grams(grams, np.array([3_000_000_000] * 2), 1)
-    told = list(kneser_ney._add_grams(2, 2, str(tmp_path), 1)(kneser_ney._rows(rows)))
+    told = list(kneser_ney._add_grams(2, str(tmp_path), 1)(kneser_ney._rows(rows)))
     told = pa.Table.from_batches(told).sort_by("slot").to_batches()
-    found = [r for b in kneser_ney._add_words(str(tmp_path))(iter(told)) for r in b.to_pylist()]
+    found = [r for b in kneser_ney._add_contexts(str(tmp_path))(iter(told)) for r in b.to_pylist()]
     assert [r["tokens"] for r in found if r["level"] == 1] == [6_000_000_000]
-    keys, values = kneser_ney._map(f"{tmp_path}/grams1-0", 3, kneser_ney.WORD_FIELDS)
+    keys, values = kneser_ney._map(f"{tmp_path}/grams1-0", kneser_ney.WORD_FIELDS)
     facts = dict(zip(keys.tolist(), values.tolist()))
     assert facts[77][2] == 6_000_000_000 and facts[5][0] == facts[9][0] == 3_000_000_000 and facts[77][5] == 2
