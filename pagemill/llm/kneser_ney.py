@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagemill.llm.hyperlang import fold
@@ -30,12 +31,13 @@ from pagemill.plans.stored import fresh_path
 
 BEGIN, END = 1, 0  # hashes of the marks before and after a text
 NONE = np.uint64((1 << 48) + 1)  # no word's hash
-FLUSH = 1 << 21  # tokens a task counts before it sends its pairs on
+FLUSH = 1 << 22  # tokens a task counts before it sends its pairs on
 LOOKUP = 1 << 20  # tokens scored together
 SPREAD = 63  # bits of the word that choose the part together with the context
 REMEMBERED = 400_000
 ORDER = 3  # words of the longest grams
 PART_BYTES = 16 << 20  # bytes of text that a part of a level stands for
+TOPS = 1 << 16  # ranges of a file of sorted keys
 SLOTS = 1 << 40  # slots of a level: its parts
 FOLLOWED = 4  # as a context: sum of the counts that follow, words that follow once, twice, more often
 WORD_FIELDS = 2 + FOLLOWED  # occurrences, different words before, and as a context
@@ -116,14 +118,48 @@ def _narrow(counts: np.ndarray) -> np.ndarray:
     return counts.astype(next(k for k in ("<u1", "<u2", "<u4", "<u8") if most <= np.iinfo(k).max))
 
 
-def _counts(data: bytes, n: int) -> np.ndarray:
-    """``n`` counts that ``_narrow`` has written; eight bytes each where they need them."""
-    return np.frombuffer(data, f"<u{len(data) // n}") if n else np.zeros(0, np.uint64)
+def _joined(blocks: list[bytes]) -> bytes:
+    """Blocks behind their number and lengths."""
+    return np.array([len(blocks), *map(len, blocks)], "<u8").tobytes() + b"".join(blocks)
+
+
+def _split(data: bytes) -> list[bytes]:
+    n = int(np.frombuffer(data, "<u8", 1)[0])
+    ends = 8 * (n + 1) + np.cumsum(np.frombuffer(data, "<u8", n, 8).astype(np.int64))
+    starts = [8 * (n + 1), *ends[:-1].tolist()]
+    return [data[a:b] for a, b in zip(starts, ends.tolist())]
+
+
+def _squeezed(counts: np.ndarray) -> bytes:
+    """A table of counts column by column, in the width that holds them all, compressed."""
+    narrow = _narrow(np.ascontiguousarray(counts.T))
+    return bytes([narrow.itemsize]) + zstandard.compress(narrow.tobytes(), 1)
+
+
+def _stretched(data: bytes, fields: int) -> np.ndarray:
+    counts = np.frombuffer(zstandard.decompress(data[1:]), f"<u{data[0]}")
+    return counts.reshape(fields, len(counts) // fields).T.astype(np.float64)
+
+
+def _packed_words(words: np.ndarray) -> list[bytes]:
+    """Word hashes (rows, columns): each distinct one once, most frequent first, then their numbers by bytes, compressed."""
+    known, number, times = np.unique(words.T.ravel(), return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")
+    rank = np.empty(len(known), "<u4")
+    rank[order] = np.arange(len(known))
+    planes = rank[number].view(np.uint8).reshape(-1, 4)
+    used = max(1, (len(known).bit_length() + 7) // 8)
+    return [_pack(known[order]), *[zstandard.compress(np.ascontiguousarray(planes[:, i]).tobytes(), 1) for i in range(used)]]
+
+
+def _unpacked_words(blocks: list[bytes], columns: int) -> np.ndarray:
+    known, number = _unpack(blocks[0]), 0
+    for i, block in enumerate(blocks[1:]):
+        number = number + (np.frombuffer(zstandard.decompress(block), np.uint8).astype(np.int64) << (8 * i))
+    return known[number].reshape(columns, -1).T
 
 
 def _write(path: str, arrays: list[np.ndarray]) -> None:
-    """The number of rows, then the arrays."""
-    arrays = [np.array([len(arrays[0])], "<u8"), *arrays]
     local = _posix(path)
     if local:
         os.makedirs(os.path.dirname(local), exist_ok=True)
@@ -144,8 +180,8 @@ def _write(path: str, arrays: list[np.ndarray]) -> None:
     store.move(beside, name)
 
 
-def _map(path: str, width: int, keyed: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Memory-mapped keys (none of a file without) and values of a file; from a store that cannot be mapped, of a copy that has no name any more."""
+def _map(path: str) -> np.ndarray:
+    """Bytes of a file, memory-mapped; from a store that cannot be mapped, of a copy that has no name any more."""
     local = _posix(path)
     if not local:
         from pyarrow import fs
@@ -158,26 +194,71 @@ def _map(path: str, width: int, keyed: bool = True) -> tuple[np.ndarray, np.ndar
     whole = np.memmap(local, np.uint8, "r")
     if not _posix(path):
         os.unlink(local)
-    rows = int(np.frombuffer(whole[:8], "<u8")[0])
-    start = 8 + 8 * rows * keyed
-    size, rest = divmod(len(whole) - start, rows * width)
-    if rest or size not in (1, 2, 4, 8):
-        raise OSError(f"{path} has {len(whole)} bytes, which do not fit {rows} rows")
-    return np.frombuffer(whole[8:start], "<u8"), np.frombuffer(whole[start:], f"<u{size}").reshape(rows, width)
+    return whole
+
+
+class Table:
+    """A file of counts, by sorted keys or by place.
+
+    Of a key the first 16 bits lead to a range of the file, which holds the other 48: the middle 32, then the last 16. Each array starts at a
+    multiple of eight bytes.
+    """
+
+    def __init__(self, path: str) -> None:
+        whole = _map(path)
+        self.rows, self.fields, width, keyed = np.frombuffer(whole[:32], "<u8").tolist()
+        at, arrays = 32, []
+        for kind, n in [*([("<u4", TOPS + 1), ("<u4", self.rows), ("<u2", self.rows)] if keyed else []), (f"<u{width}", self.rows * self.fields)]:
+            size = n * int(kind[-1])
+            arrays.append(np.frombuffer(whole[at : at + size], kind))
+            at += -(-size // 8) * 8
+        self.values = arrays[-1].reshape(self.rows, self.fields)
+        if keyed:
+            self.starts, self.middle, self.last = arrays[:3]
+
+    @staticmethod
+    def write(path: str, keys: np.ndarray | None, counts: np.ndarray) -> None:
+        narrow = _narrow(np.ascontiguousarray(counts))
+        arrays = [np.array([*narrow.shape, narrow.itemsize, keys is not None], "<u8")]
+        if keys is not None:
+            starts = np.searchsorted(keys >> np.uint64(48), np.arange(TOPS + 1, dtype=np.uint64))
+            arrays += [starts.astype("<u4"), (keys >> np.uint64(16)).astype("<u4"), keys.astype("<u2")]
+        _write(path, [np.frombuffer(a.tobytes() + bytes(-a.nbytes % 8), np.uint8) for a in [*arrays, narrow]])
+
+    def place(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of keys, and whether they are there: all ranges are halved at once."""
+        top, rest = (keys >> np.uint64(48)).astype(np.int64), keys & np.uint64(0xFFFFFFFFFFFF)
+        low, high = self.starts[top].astype(np.int64), self.starts[top + 1].astype(np.int64)
+        end = high.copy()
+        while True:
+            open_ = np.flatnonzero(low < high)
+            if not len(open_):
+                break
+            at = (low[open_] + high[open_]) // 2
+            below = self._rest(at) < rest[open_]
+            low[open_[below]] = at[below] + 1
+            high[open_[~below]] = at[~below]
+        found = low < end
+        found[found] = self._rest(low[found]) == rest[found]
+        return low, found
+
+    def _rest(self, at: np.ndarray) -> np.ndarray:
+        return self.middle[at].astype(np.uint64) << np.uint64(16) | self.last[at].astype(np.uint64)
+
+    def keys(self) -> np.ndarray:
+        return self._rest(np.arange(self.rows)) | np.repeat(np.arange(TOPS, dtype=np.uint64), np.diff(self.starts.astype(np.int64))) << np.uint64(48)
 
 
 # --- counting --------------------------------------------------------------------------------------
 
 
-CONTEXTS, OCCURRENCES, WORDS, SUMS = range(4)  # kinds of packed rows behind the first shuffle; before it, the words of a gram
-PACKED = "slot long, kind int, heads binary, runs binary, words binary, counts binary"
-NAMES = [column.split()[0] for column in PACKED.split(", ")]
-KINDS = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
+CONTEXTS, WORDS, SUMS = range(3)  # kinds of packed rows behind the first shuffle; before it, the words of a gram
+PACKED = "slot long, kind int, data binary"
 
 
 def _rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     if rows:
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], names=NAMES)
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.int32(), pa.binary()])], names=["slot", "kind", "data"])
 
 
 def _ranges(part: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -186,42 +267,16 @@ def _ranges(part: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(bounds[:-1], bounds[1:])
 
 
-def _packed_grams(words: np.ndarray, counts: np.ndarray, parts: int) -> list[tuple]:
-    """Packed rows of distinct grams, by the word before the last: these with their runs, the other words column by column, counts."""
-    level = words.shape[1]
-    part = pair_part(words[:, -2], words[:, -1], parts)
-    order = np.lexsort((words[:, -2], part))
-    words, counts, part = words[order], counts[order], part[order]
-    rows = []
-    for a, b in _ranges(part):
-        heads = words[a:b, -2]
-        starts = np.flatnonzero(np.concatenate(([True], heads[1:] != heads[:-1])))
-        runs = _narrow(np.diff(np.append(starts, b - a))).tobytes()
-        rest = b"".join(_pack(words[a:b, i]) for i in range(level) if i != level - 2)
-        rows.append((int(part[a]), level, _pack(heads[starts]), runs, rest, _narrow(counts[a:b]).tobytes()))
-    return rows
-
-
-def _unpacked_grams(level: int, row: tuple) -> tuple[np.ndarray, np.ndarray]:
-    _, heads, runs, rest, counts = row
-    n = len(rest) // 6 // (level - 1)
-    heads = np.repeat(_unpack(heads), _counts(runs, len(heads) // 6).astype(np.int64))
-    return np.insert(_unpack(rest).reshape(level - 1, n).T, level - 2, heads, axis=1), _counts(counts, n).astype(np.float64)
-
+def _packed(slot: np.ndarray, kind: int, words: np.ndarray, counts: np.ndarray) -> list[tuple]:
+    """Packed rows of grams (or words) with a table of counts, a row per slot; sorted, so that what is alike is near."""
+    order = np.lexsort((*words.T[:-2], words[:, -1], words[:, max(0, words.shape[1] - 2)], slot))
+    slot, words, counts = slot[order], words[order], counts[order]
+    return [(int(slot[a]), kind, _joined([_squeezed(counts[a:b]), *_packed_words(words[a:b])])) for a, b in _ranges(slot)]
 
-def _packed_tables(slot: np.ndarray, kind: int, keys: np.ndarray, table: np.ndarray) -> list[tuple]:
-    """Packed rows of keys (words in six bytes, hashes in eight) with a table of counts each."""
-    order = np.argsort(slot, kind="stable")
-    slot, keys, table = slot[order], keys[order], table[order]
-    pack = _pack if kind in (OCCURRENCES, WORDS) else lambda x: x.astype("<u8").tobytes()
-    return [(int(slot[a]), kind, b"", b"", pack(keys[a:b]), _narrow(np.ascontiguousarray(table[a:b].T)).tobytes()) for a, b in _ranges(slot)]
 
-
-def _unpacked_table(kind: int, row: tuple) -> tuple[np.ndarray, np.ndarray]:
-    _, _, _, keys, counts = row
-    keys = _unpack(keys) if kind in (OCCURRENCES, WORDS) else np.frombuffer(keys, "<u8")
-    fields = {CONTEXTS: FOLLOWED, OCCURRENCES: 1, WORDS: WORD_FIELDS}[kind]
-    return keys, _counts(counts, len(keys) * fields).reshape(fields, len(keys)).T.astype(np.float64)
+def _unpacked(data: bytes, columns: int, fields: int) -> tuple[np.ndarray, np.ndarray]:
+    counts, *words = _split(data)
+    return _unpacked_words(words, columns), _stretched(counts, fields)
 
 
 def _summed(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,7 +302,8 @@ def _count(order: int, parts: int):
             if words:
                 words = np.concatenate(words)
                 _, first, times = np.unique(gram_keys(words), return_index=True, return_counts=True)
-                yield from _rows(_packed_grams(words[first], times, parts))
+                words = words[first]
+                yield from _rows(_packed(pair_part(words[:, -2], words[:, -1], parts), level, words, times[:, None]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, size = WordHashes(), [], 0
@@ -268,56 +324,58 @@ def _by_slot(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
     """Rows of sorted slots, gathered: (slot, rows without the slot)."""
     slot, rows = None, []
     for batch in batches:
-        for now, *row in zip(*[c.to_pylist() for c in batch.columns]):
+        for now, kind, data in zip(*[c.to_pylist() for c in batch.columns]):
             if slot is not None and now != slot:
                 yield slot, rows
                 rows = []
             slot = now
-            rows.append(tuple(row))
+            rows.append((kind, data))
     if slot is not None:
         yield slot, rows
 
 
 def _sums_row(level: int, part: int, n: int, counts: np.ndarray, tokens: int = 0, known: int = 0) -> tuple:
     ones = [int((counts == i).sum()) for i in range(1, 5)]
-    return (-1 - level * SLOTS - part, SUMS, b"", b"", b"", np.array([level, part, n, *ones, tokens, known], "<u8").tobytes())
+    return (-1 - level * SLOTS - part, SUMS, np.array([level, part, n, *ones, tokens, known], "<u8").tobytes())
 
 
 def _add_grams(order: int, folder: str, parts: int):
     """Packed counts of the parts -> files of all levels from the longest grams down to pairs, and what they tell contexts and words."""
 
     def told(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {level: [_unpacked_grams(level, row) for row in rows if row[0] == level] for level in range(2, order + 1)}
+        held: dict[int, list] = {level: [_unpacked(data, level, 1) for kind, data in rows if kind == level] for level in range(2, order + 1)}
         rows.clear()
+        ends = []  # last words of the tokens, with their counts
         for level in range(order, 1, -1):
             if not held[level]:
                 continue
             words = np.concatenate([w for w, _ in held[level]])
-            key, count, first = _summed(gram_keys(words), np.concatenate([c for _, c in held.pop(level)])[:, None])
-            words, count = words[first], count[:, 0]
-            _write(f"{folder}/grams{level}-{part}", [key.astype("<u8"), _narrow(count)])
+            key, count, first = _summed(gram_keys(words), np.concatenate([c for _, c in held.pop(level)]))
+            words = words[first]
+            Table.write(f"{folder}/grams{level}-{part}", key, count)
+            count = count[:, 0]
             yield from _rows([_sums_row(level, part, len(key), count)])
+            # Tokens are the full grams' last words, and those of shorter grams that begin a text.
+            own = np.ones(len(key), bool) if level == order else words[:, 0] == BEGIN
+            ends.append((words[own, -1], count[own]))
             seen = np.stack([count, count == 1, count == 2, count > 2], axis=1)
             if level > 2:
                 _, types, place = _summed(gram_keys(words[:, 1:]), np.ones((len(key), 1)))
-                held[level - 1].append((words[place][:, 1:], types[:, 0].astype(np.float64)))
-                context, sums, place = _summed(gram_keys(words[:, :-1]), seen)
-                begins = words[place]
-                slot = (level - 1) * SLOTS + pair_part(begins[:, -3], begins[:, -2], parts)
-                yield from _rows(_packed_tables(slot, CONTEXTS, context, sums))
-            else:
-                word, at = np.unique(np.concatenate((words[:, 1], words[:, 0])), return_inverse=True)
-                as_word, as_context, n = at[: len(words)], at[len(words) :], len(word)
-                table = np.zeros((n, WORD_FIELDS), np.int64)
-                table[:, 1] = np.bincount(as_word, minlength=n)
-                for i in range(FOLLOWED):
-                    table[:, 2 + i] = np.bincount(as_context, seen[:, i], n)
-                yield from _rows(_packed_tables(SLOTS + word_part(word, parts), WORDS, word, table))
-            # Tokens are the full grams' last words, and those of shorter grams that begin a text.
-            own = np.ones(len(key), bool) if level == order else words[:, 0] == BEGIN
-            if own.any():
-                word, times, _ = _summed(words[own, -1], count[own, None])
-                yield from _rows(_packed_tables(SLOTS + word_part(word, parts), OCCURRENCES, word, times))
+                held[level - 1].append((words[place][:, 1:], types.astype(np.float64)))
+                _, sums, place = _summed(gram_keys(words[:, :-1]), seen)
+                begins = words[place][:, :-1]
+                slot = (level - 1) * SLOTS + pair_part(begins[:, -2], begins[:, -1], parts)
+                yield from _rows(_packed(slot, CONTEXTS, begins, sums))
+        token, times = (np.concatenate(x) for x in zip(*ends))
+        # ``words`` are pairs now.
+        word, at = np.unique(np.concatenate((words[:, 1], words[:, 0], token)), return_inverse=True)
+        as_word, as_context, as_token = np.split(at, [len(words), 2 * len(words)])
+        table = np.zeros((len(word), WORD_FIELDS), np.int64)
+        table[:, 0] = np.bincount(as_token, times, len(word))
+        table[:, 1] = np.bincount(as_word, minlength=len(word))
+        for i in range(FOLLOWED):
+            table[:, 2 + i] = np.bincount(as_context, seen[:, i], len(word))
+        yield from _rows(_packed(SLOTS + word_part(word, parts), WORDS, word[:, None], table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _by_slot(batches):
@@ -336,13 +394,13 @@ def _add_contexts(folder: str):
     """
 
     def followed(level: int, part: int, rows: list[tuple]) -> list[int]:
-        tables = [_unpacked_table(CONTEXTS, row) for row in rows]
-        context, sums, _ = _summed(np.concatenate([k for k, _ in tables]), np.concatenate([t for _, t in tables]))
-        key, _ = _map(f"{folder}/grams{level}-{part}", 1)
-        out = np.zeros((len(key), FOLLOWED), np.int64)
-        out[np.searchsorted(key, context)] = sums
-        _write(f"{folder}/followed{level}-{part}", [_narrow(out)])
-        return [-1 - level, part, len(key), *[0] * 6]
+        tables = [_unpacked(data, level, FOLLOWED) for _, data in rows]
+        context, sums, _ = _summed(gram_keys(np.concatenate([w for w, _ in tables])), np.concatenate([t for _, t in tables]))
+        grams = Table(f"{folder}/grams{level}-{part}")
+        out = np.zeros((grams.rows, FOLLOWED), np.int64)
+        out[grams.place(context)[0]] = sums
+        Table.write(f"{folder}/followed{level}-{part}", None, out)
+        return [-1 - level, part, grams.rows, *[0] * 6]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slot, rows in _by_slot(batches):
@@ -351,13 +409,9 @@ def _add_contexts(folder: str):
             elif slot // SLOTS > 1:
                 found = [followed(slot // SLOTS, slot % SLOTS, rows)]
             else:
-                keys, tables = [], []
-                for row in rows:
-                    key, table = _unpacked_table(row[0], row)
-                    keys.append(key)
-                    tables.append(table if row[0] == WORDS else np.pad(table, ((0, 0), (0, WORD_FIELDS - 1))))
-                key, total, _ = _summed(np.concatenate(keys), np.concatenate(tables))
-                _write(f"{folder}/grams1-{slot % SLOTS}", [key.astype("<u8"), _narrow(total)])
+                tables = [_unpacked(data, 1, WORD_FIELDS) for _, data in rows]
+                key, total, _ = _summed(np.concatenate([w[:, 0] for w, _ in tables]), np.concatenate([t for _, t in tables]))
+                Table.write(f"{folder}/grams1-{slot % SLOTS}", key, total)
                 sums = _sums_row(1, slot % SLOTS, len(key), total[:, 1], int(total[:, 0].sum()), int((total[:, 0] > 0).sum()))
                 found = [np.frombuffer(sums[-1], "<u8").tolist()]
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], names=FACTS)
@@ -424,9 +478,9 @@ class Lookup:
     def __init__(self, model: Model) -> None:
         self.model, self.maps = model, {}
 
-    def _mapped(self, name: str, number: int, width: int, keyed: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    def _mapped(self, name: str, number: int) -> Table:
         if (name, number) not in self.maps:
-            self.maps[name, number] = _map(f"{self.model.folder}/{name}-{number}", width, keyed)
+            self.maps[name, number] = Table(f"{self.model.folder}/{name}-{number}")
         return self.maps[name, number]
 
     def find(self, level: int, part: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -438,13 +492,12 @@ class Lookup:
             at, number = order[a:b], int(part[order[a]])
             if number not in self.model.held[level]:
                 continue
-            keys, values = self._mapped(f"grams{level}", number, WORD_FIELDS if level == 1 else 1)
-            place = np.minimum(np.searchsorted(keys, key[at]), len(keys) - 1)
-            hit = keys[place] == key[at]
+            table = self._mapped(f"grams{level}", number)
+            place, hit = table.place(key[at])
             at, place = at[hit], place[hit]
-            out[at, : values.shape[1]] = values[place]
+            out[at, : table.fields] = table.values[place]
             if number in self.model.held.get(-1 - level, ()):
-                out[at, 1:] = self._mapped(f"followed{level}", number, FOLLOWED, keyed=False)[1][place]
+                out[at, 1:] = self._mapped(f"followed{level}", number).values[place]
         return out[where]
 
     def log_scores(self, history: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

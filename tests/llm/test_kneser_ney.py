@@ -111,11 +111,33 @@ def test_odd_rows(odd, none, rows):
 def test_counts_beyond_four_bytes(tmp_path):
     """A context seen three thousand million times before each of two words keeps its count on the way to the word files."""
     grams = np.array([[77, 5], [77, 9]], np.uint64)
-    rows = kneser_ney._packed_grams(grams, np.array([3_000_000_000] * 2), 1)
+    rows = kneser_ney._packed(np.zeros(2, np.int64), 2, grams, np.array([[3_000_000_000]] * 2))
     told = list(kneser_ney._add_grams(2, str(tmp_path), 1)(kneser_ney._rows(rows)))
     told = pa.Table.from_batches(told).sort_by("slot").to_batches()
     found = [r for b in kneser_ney._add_contexts(str(tmp_path))(iter(told)) for r in b.to_pylist()]
     assert [r["tokens"] for r in found if r["level"] == 1] == [6_000_000_000]
-    keys, values = kneser_ney._map(f"{tmp_path}/grams1-0", kneser_ney.WORD_FIELDS)
-    facts = dict(zip(keys.tolist(), values.tolist()))
+    words = kneser_ney.Table(f"{tmp_path}/grams1-0")
+    facts = dict(zip(words.keys().tolist(), words.values.tolist()))
     assert facts[77][2] == 6_000_000_000 and facts[5][0] == facts[9][0] == 3_000_000_000 and facts[77][5] == 2
+
+
+def test_tables(tmp_path):
+    """Every key is found at its place, no other key is; keys that share their first bits, and tables of none."""
+    draw = np.random.default_rng(3)
+    for n in (0, 1, 5000):
+        keys = np.unique(np.concatenate((draw.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2), draw.integers(0, 1 << 20, n, dtype=np.uint64))))
+        counts = draw.integers(0, 300, (len(keys), 3))
+        kneser_ney.Table.write(f"{tmp_path}/t{n}", keys, counts)
+        table = kneser_ney.Table(f"{tmp_path}/t{n}")
+        place, found = table.place(keys)
+        assert (place == np.arange(len(keys))).all() and found.all() and (table.values == counts).all() and (table.keys() == keys).all()
+        other = np.setdiff1d(draw.integers(0, 1 << 63, 1000, dtype=np.uint64), keys)
+        assert not table.place(other)[1].any()
+
+
+def test_packed_words():
+    draw = np.random.default_rng(4)
+    for n, most in ((1, 5), (4000, 9), (4000, 1 << 47), (70_000, 1 << 47)):
+        words, counts = draw.integers(0, most, (n, 3), dtype=np.uint64), draw.integers(0, 1 << 40, (n, 2))
+        back, numbers = kneser_ney._unpacked(kneser_ney._joined([kneser_ney._squeezed(counts), *kneser_ney._packed_words(words)]), 3, 2)
+        assert (back == words).all() and (numbers == counts).all()
