@@ -6,8 +6,11 @@ shared folder the cluster names in ``spark.checkpoint.dir``; lineage ends there.
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,3 +68,21 @@ def materialize(df: DataFrame, label: str = "part") -> DataFrame:
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, which need not have it installed: once per application, through the shared folder."""
+    context = spark.sparkContext
+    if getattr(context, "_pagemill_shipped", False):
+        return
+    package, packed = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    path = f"{fresh_path(spark, 'package')}/{package.name}.zip"
+    target, system = _file_system(spark, path)
+    out = system.create(target, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    context.addPyFile(path)
+    context._pagemill_shipped = True
