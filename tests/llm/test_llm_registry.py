@@ -1,3 +1,4 @@
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -23,3 +24,19 @@ def test_the_rest_works_without_the_subpackage(tmp_path):
     (tmp_path / "__spark_entry__.py").write_text((ROOT / "__spark_entry__.py").read_text())
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(n.startswith('op') and n[2].isdigit() for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_workers_are_sent_the_package(tmp_path):
+    """From another folder, with nothing on the workers' path: queries with Python tasks run."""
+    code = f"""
+import importlib.util, sys
+spec = importlib.util.spec_from_file_location("entry", {str(ROOT / "__spark_entry__.py")!r})
+entry = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(entry)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+for name in ("op1_simhash_groups", "op6_bestfit_matrices", "op13_token_links"):
+    assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+"""
+    kept = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=kept, timeout=300)
