@@ -16,16 +16,16 @@ LINKS_OF_A_TASK = 50_000  # links of one page that are followed in one task
 
 
 def split_adjacency(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links with the ``block`` they lie in, hubs with their number of ``blocks``); both stored.
+    """(links with the ``block`` they lie in, hubs with their number of ``blocks``).
 
-    A page with more than ``LINKS_OF_A_TASK`` links is cut into blocks by a hash of the target; every other page is one block. There are
-    at most as many hubs as full blocks.
+    A page with more than ``LINKS_OF_A_TASK`` links is cut into blocks by a hash of the target; every other page is one block, and without any
+    hub links have none. There are at most as many hubs as full blocks.
     """
-    edges = materialize(links.select("src", "dst").distinct(), "edges")
+    edges = links.select("src", "dst")
     degrees = edges.groupBy("src").agg(F.count("*").alias("degree")).filter(F.col("degree") > LINKS_OF_A_TASK)
     hubs = materialize(degrees.select("src", F.ceil(F.col("degree") / LINKS_OF_A_TASK).cast("int").alias("blocks")), "hubs")
     if hubs.isEmpty():
-        return edges.withColumn("block", F.lit(0)), hubs
+        return edges, hubs
     blocks = F.coalesce("blocks", F.lit(1))
     placed = edges.join(hubs, "src", "left").select("src", "dst", F.pmod(F.xxhash64("dst"), blocks).cast("int").alias("block"))
     return materialize(placed, "blocks"), hubs
@@ -51,6 +51,7 @@ def breadth_first(
         raise ValueError("depth and max_pages must be at least 1")
     roots = seeds.select("crawl_id", F.col("url").alias("_base"))
     edges, hubs = split_adjacency(links) if depth > 1 else (None, None)
+    hubs = None if hubs is None or hubs.isEmpty() else hubs
     frontier = seeds.select("crawl_id", "url").distinct()
     levels: list[DataFrame] = []
     counts: list[DataFrame] = []
@@ -61,12 +62,14 @@ def breadth_first(
         levels.append(stored)
         if level == depth - 1 or stored.isEmpty():
             break
-        counts.append(materialize(stored.groupBy("crawl_id").agg(F.count("*").alias("_n")), "level-counts"))
+        counts.append(stored.groupBy("crawl_id").agg(F.count("*").alias("_n")))
         totals = reduce(DataFrame.unionByName, counts).groupBy("crawl_id").agg(F.sum("_n").alias("_n"))
         sources = stored.join(totals.filter(F.col("_n") < max_pages).select("crawl_id"), "crawl_id", "left_semi")
         blocks = F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)
-        spread = sources.join(hubs.withColumnRenamed("src", "url"), "url", "left").select("crawl_id", F.col("url").alias("src"), F.explode(blocks).alias("block"))
-        reached = spread.join(edges, ["src", "block"]).select("crawl_id", F.col("dst").alias("url"))
+        spread = sources.withColumnRenamed("url", "src")
+        if hubs is not None:
+            spread = spread.join(hubs, "src", "left").select("crawl_id", "src", F.explode(blocks).alias("block"))
+        reached = spread.join(edges, ["src", "block"] if hubs is not None else ["src"]).select("crawl_id", F.col("dst").alias("url"))
         if same_prefix:
             reached = reached.join(roots, "crawl_id").filter(F.expr("startswith(url, _base)")).drop("_base")
         visited = reduce(DataFrame.unionByName, levels).select("crawl_id", "url")
