@@ -69,6 +69,12 @@ class Letters:
 
 def encode_texts(letters: Letters, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """One unit vector per text (zero without letters), and whether it has a letter."""
+    vectors, grams = _encode(letters, texts)
+    return vectors, grams > 0
+
+
+def _encode(letters: Letters, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """One unit vector per text and its number of different trigrams."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for text in texts:
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -84,7 +90,7 @@ def encode_texts(letters: Letters, texts: list[str | None]) -> tuple[np.ndarray,
     out = np.zeros((len(texts), letters.dimensions), np.float32)
     sizes = [len(k) for k, _ in found]
     if not sum(sizes):
-        return out, np.zeros(len(texts), bool)
+        return out, np.zeros(len(texts), np.int64)
     vocabulary, column = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
     row = np.repeat(np.arange(len(texts)), sizes)
     weight = np.concatenate([c for _, c in found]).astype(np.float32)
@@ -94,7 +100,7 @@ def encode_texts(letters: Letters, texts: list[str | None]) -> tuple[np.ndarray,
         table[row[inside], column[inside] - at] = weight[inside]
         out += table @ letters.bound(vocabulary[at : at + SLAB])
     length = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(length > 0, length, 1), np.array(sizes) > 0
+    return out / np.where(length > 0, length, 1), np.array(sizes)
 
 
 _LETTERS: dict[int, Letters] = {}
@@ -157,10 +163,12 @@ def train(docs: DataFrame, training: Column, dimensions: int = DIMENSIONS, per_l
 
 
 def predict(docs: DataFrame, labels: list[str], prototypes: np.ndarray, keep: list[str] | None = None) -> DataFrame:
-    """``docs``' columns named in ``keep`` with ``lang_pred`` and ``score`` from the text alone, in one pass without shuffle.
+    """``docs``' columns named in ``keep`` with ``lang_pred``, ``score``, ``cosine`` and ``grams`` from the text alone, in one pass without shuffle.
 
-    ``und`` with score 0 where the text is null, has no letter, or no language was learned. Ties go to the first label.
-    ``score`` is the winner's share of all cosines' exponentials, 0 to 1.
+    ``und`` with score and cosine 0 where the text is null, has no letter, or no language was learned. Ties go to the first label.
+    ``score`` is the winner's share of all cosines' exponentials, 0 to 1; ``cosine`` is that of the text and the winner's prototype as
+    they are, which tells a text far from every learned language; ``grams`` counts its different trigrams. Texts of any length are read whole, a piece at a time. Columns of
+    ``docs`` named like a new one must not be kept.
     """
     keep = ["doc_id"] if keep is None else keep
     dimensions = prototypes.shape[1]
@@ -168,30 +176,36 @@ def predict(docs: DataFrame, labels: list[str], prototypes: np.ndarray, keep: li
     seen = prototypes - middle
     seen = (seen / np.maximum(np.linalg.norm(seen, axis=1, keepdims=True), 1e-12)).astype(np.float32)
     middle = middle.astype(np.float32)
+    whole = prototypes.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = _letters(dimensions)
         for batch in batches:
             for part, texts in _slices(batch, part_text):
                 if labels:
-                    vectors, has = encode_texts(letters, texts)
+                    vectors, grams = _encode(letters, texts)
+                    has = grams > 0
+                    plain = vectors @ whole.T
                     vectors = vectors - middle
                     cosine = vectors @ seen.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
                     best = cosine.argmax(axis=1)
                     share = np.exp(SHARPNESS * (cosine - cosine.max(axis=1, keepdims=True)))
                     score = np.where(has, 1 / share.sum(axis=1), 0.0)
+                    near = np.where(has, plain[np.arange(len(texts)), best], 0.0)
                     names = [labels[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), has.tolist())]
                 else:
-                    names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+                    names, score, near = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+                    grams = np.zeros(len(texts), np.int64)
                 columns = [part.column(i) for i in range(part.num_columns) if i != part_text or text_stays]
-                yield pa.record_batch([*columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=out)
+                said = [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(near, pa.float64()), pa.array(grams, pa.int64())]
+                yield pa.record_batch([*columns, *said], names=out)
 
     text_stays = "text" in keep
     chosen = docs.select(*keep) if text_stays else docs.select(*keep, "text")
     part_text = chosen.columns.index("text")
     kinds = {f.name: f.dataType.simpleString() for f in chosen.schema.fields}
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "lang_pred string", "score double"])
-    out = [*keep, "lang_pred", "score"]
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "lang_pred string", "score double", "cosine double", "grams long"])
+    out = [*keep, "lang_pred", "score", "cosine", "grams"]
     return chosen.mapInArrow(run, schema)
 
 
@@ -208,3 +222,28 @@ def identify(docs: DataFrame) -> DataFrame:
     held_out = fold("doc_id", 4) == 2
     labels, prototypes = train(docs, ~held_out)
     return predict(docs, labels, prototypes).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+FAR = 0.1  # three standard deviations of the cosine of unrelated vectors of 1,024 dimensions
+GRAMS_TO_JUDGE = 50  # a text of fewer different trigrams is never called far
+CERTAIN = 0.95  # score at which a prediction overrules a label
+
+
+def relabel(docs: DataFrame, far: float = FAR, certain: float = CERTAIN) -> DataFrame:
+    """The documents in a learned language, with all columns; ``lang`` becomes the prediction where it is null or a sure prediction contradicts it.
+
+    Rejected are null texts, texts without a letter, and texts of at least ``GRAMS_TO_JUDGE`` different trigrams whose cosine with the nearest
+    language is below ``far``. Without a labelled row nothing can be learned: texts with a letter stay as they are. Repeated rows come
+    back repeated; an empty table gives no rows; further columns stay, also if named like an intermediate.
+    """
+    labels, prototypes = train(docs, F.lit(True))
+    if not labels:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    plain = {c: "text" if c == "text" else f"_column{i}" for i, c in enumerate(docs.columns)}  # no name meets a new one
+    renamed = docs.select(*[F.col(f"`{c}`").alias(name) for c, name in plain.items()])
+    found = predict(renamed, labels, prototypes, keep=list(plain.values()))
+    strange = (F.col("cosine") < far) & (F.col("grams") >= GRAMS_TO_JUDGE)
+    label = F.col(plain["lang"])
+    lang = F.when(label.isNull() | (F.col("score") >= certain), F.col("lang_pred")).otherwise(label)
+    kept = found.filter((F.col("lang_pred") != UNKNOWN) & ~strange)
+    return kept.select(*[(lang if c == "lang" else F.col(name)).alias(c) for c, name in plain.items()])

@@ -49,17 +49,21 @@ def text_fingerprint(text: bytes, shingle: int = 4) -> int:
     return int(np.packbits(counts * 2 > len(first), bitorder="little").view("<i8")[0])
 
 
+def _digest(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``(doc_id, fp)`` per row; a null text counts as one without words (0)."""
+    """``(doc_id, fp, digest)`` per row; a null text counts as one without words (0). ``digest`` tells texts of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             fps = [text_fingerprint(t.as_py() or b"", shingle) for t in texts]
-            yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64()), batch.column(2)], names=["doc_id", "fp", "digest"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, fp long")
+    return chosen.withColumn("digest", _digest(F.col("text"))).mapInArrow(run, "doc_id long, fp long, digest long")
 
 
 # --- buckets ---------------------------------------------------------------------------------------
@@ -264,13 +268,18 @@ def near_groups(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str
     of white space have fingerprint 0 and are linked like any other. Rows with a null doc_id are
     returned and link others; the id of a component without any doc_id is null. Repeated rows come back repeated.
     """
+    prints, named = _grouped(docs, radius, shingle, id_col, text_col)
+    return prints.join(named.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, radius: int, shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Stored fingerprints of all rows, and ``(fp, least, root, component_id)`` per distinct fingerprint."""
     prints = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     joined = components(links(nodes.select("fp"), radius)).withColumnsRenamed({"node": "fp"})
     placed = nodes.join(joined, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(placed.join(smallest, "root").select("fp", "component_id"), "simhash-named")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints, materialize(placed.join(smallest, "root").select("fp", "least", "root", "component_id"), "simhash-named")
 
 
 def as_hex(fp: Column) -> Column:
@@ -278,15 +287,22 @@ def as_hex(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
-    """The documents whose doc_id is the smallest of its near-duplicate group, with all columns.
+    """One row of ``docs`` (``doc_id``, ``text``, further columns) for every near-duplicate group, with all columns.
 
-    Rows that repeat a doc_id together with its text become one row; rows that only share a doc_id stand for one
-    document and stay together. Rows without doc_id stay only where nothing in their group has one, one per text.
+    It is the row of the group's smallest doc_id. Where rows of the group share that id, or none has an id, the smallest fingerprint
+    and then the smallest digest of the text decide, and of rows that repeat id and text any one stays. Null, empty and blank texts are
+    one group, with those within the radius of fingerprint 0. Texts of any length are read whole; an empty table gives no rows.
     """
-    groups = near_groups(docs, radius, shingle)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.groupBy(F.col("doc_id").alias("_stay")).agg(F.count("*").alias("_rows"))
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]))
-    single = kept.filter(stay["_rows"] == 1).select(*[docs[c] for c in docs.columns])
-    repeated = kept.filter(stay["_rows"] > 1).select(*[docs[c] for c in docs.columns])
-    return single.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    prints, named = _grouped(docs, radius, shingle, "doc_id", "text")
+    first = named.filter(F.col("least").eqNullSafe(F.col("component_id")))
+    first = first.groupBy("root").agg(F.min("fp").alias("fp"), F.min("least").alias("_id"))
+    chosen = prints.join(first.select("fp", "_id"), "fp").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
+    texts = chosen.groupBy("fp", "_id", "digest").agg(F.count("*").alias("_rows"))
+    stay = texts.groupBy("fp").agg(F.min("digest").alias("_digest"), F.min("_id").alias("_id"), F.min_by("_rows", "digest").alias("_rows"))
+    stay = materialize(stay.select("_id", "_digest", "_rows"), "simhash-stay")
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    own = docs["doc_id"].cast("long").eqNullSafe(stay["_id"]) & (_digest(docs["text"].cast("string")) == stay["_digest"])
+    if not stay.filter("_rows > 1").head(1):
+        return docs.join(stay, own).select(*columns)
+    single, repeated = docs.join(stay.filter("_rows = 1"), own), docs.join(stay.filter("_rows > 1"), own)
+    return single.select(*columns).unionByName(repeated.select(*columns).dropDuplicates(["doc_id", "text"]))

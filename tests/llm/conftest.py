@@ -14,7 +14,7 @@ ROWS = [
     (8, "1234 5678 !!!", None, "c", 13),
     (3, "Le chat est sur la table de la maison", "fr", "a", 37),
 ]
-CLASHES = ["fp", "component_id", "lang_pred", "score", "copies", "n_tokens", "slot", "shard", "sketch", "range", "rank", "kind", "spans", "_stay", "_rows", "key"]
+CLASHES = ["fp", "component_id", "lang_pred", "score", "copies", "n_tokens", "slot", "shard", "sketch", "range", "rank", "kind", "spans", "_stay", "_rows", "key", "cosine", "digest", "_digest", "_id", "root"]
 
 
 @pytest.fixture(scope="session")

@@ -5,7 +5,7 @@ import pytest
 import corpus_pipeline
 from pagemill.llm import personal
 
-from test_near_copies import groups
+from test_simhash import fingerprint, groups
 
 
 @pytest.fixture(scope="module")
@@ -36,12 +36,9 @@ def test_language_keeps_texts_with_letters(staged):
 
 
 def test_one_of_each_group(staged):
-    """The least doc_id of every group linked by five-word shingle sets of similarity 0.8 or more, by brute force."""
-    rows = sorted((r.doc_id, r.text) for r in staged["language_id"].collect())
-    least = {}
-    for (doc_id, _), root in zip(rows, groups([text for _, text in rows])):
-        least.setdefault(root, doc_id)
-    assert ids(staged["near_dedup"]) == sorted(least.values())
+    """The least doc_id of every group linked by fingerprints of four-word shingles within four bits, by brute force."""
+    items = [(r.doc_id, fingerprint(r.text)) for r in staged["language_id"].collect()]
+    assert ids(staged["near_dedup"]) == sorted({least for _, _, least in groups(items)})
 
 
 def test_personal_data_is_masked(staged):

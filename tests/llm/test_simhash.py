@@ -52,6 +52,24 @@ def test_odd_rows(odd, none, rows):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 3), (False, 3), (False, 6), (False, 7), (False, 8), (True, 0)]
 
 
+def test_one_row_of_each_group(spark):
+    """Null, shared and repeated ids: one row per group, that of the least id where there is one."""
+    a, b, c = [" ".join(f"{x}{i}" for i in range(400)) for x in "abc"]
+    near = lambda text: text + " z"
+    assert all(0 < (fingerprint(t) ^ fingerprint(near(t))).bit_count() <= 4 for t in (a, b, c))
+    rows = [(None, a), (None, a), (None, near(a)), (5, near(b)), (None, b), (None, b), (7, c), (3, near(c)), (3, near(c)), (3, a.upper() + " y x"), (None, None), (None, "")]
+    rows += [(9, "one two"), (9, "ONE two"), (9, "one two")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    prints = [(d, fingerprint(t), t) for d, t in rows]
+    find, want = connected([(p, q) for _, p, _ in prints for _, q, _ in prints if (p ^ q).bit_count() <= 4]), {}
+    for d, p, t in prints:
+        want.setdefault(find[p], []).append((d, t))
+    assert len(got) == len(want)
+    for members in want.values():
+        (kept,) = [(r.doc_id, r.text) for r in got if (r.doc_id, r.text) in members]
+        assert kept[0] == min((d for d, _ in members if d is not None), default=None)
+
+
 def test_long_text_in_pieces(monkeypatch, rows):
     monkeypatch.setattr(simhash, "PIECE", 1000)
     assert simhash.text_fingerprint(rows[7][1].encode()) & (2**64 - 1) == fingerprint(rows[7][1])
