@@ -2,14 +2,15 @@
 
 ``STAGES`` lists the stages; each takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
 as the next stage's docs. All but the last return the columns of documents; further columns of the input are dropped. Every stage
-reads all that its predecessor kept, takes nulls in any column, and gives an empty table for an empty one.
+reads all that its predecessor kept, takes nulls in any column and texts of any length, and gives an empty table for an empty one. Of
+repeated rows near_dedup keeps one; the others keep them all. Ties are settled by hashes or the smallest doc_id, as each operator states.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagemill.llm import cutting_stock, hyperlang, mixing, near_copies, personal
+from pagemill.llm import cutting_stock, hyperlang, mixing, personal, simhash
 from pagemill.plans.stored import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -19,21 +20,13 @@ ORACLE_SQL = None  # hashes, trained models and a tokenizer are beyond SQL; the
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in an identified language; a missing ``lang`` is filled in. Texts without a letter are rejected, and null ones."""
-    docs = docs.select(COLUMNS)
-    labels, prototypes = hyperlang.train(docs, F.lit(True))
-    found = hyperlang.predict(docs, labels, prototypes, keep=COLUMNS)
-    if labels:
-        found = found.filter(F.col("lang_pred") != hyperlang.UNKNOWN)
-    else:  # nothing to learn from: only texts without letters can be told
-        found = found.filter(F.col("text").rlike(r"\p{L}"))
-        found = found.withColumn("lang_pred", F.lit(None).cast("string"))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
+    """Documents in a learned language, by ``hyperlang.relabel``: it fills in a missing ``lang`` and overrules a label that a sure prediction contradicts."""
+    return hyperlang.relabel(docs.select(COLUMNS))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of every group linked by five-word shingle sets of similarity 0.8 or more."""
-    return near_copies.keep_one(docs.select(COLUMNS))
+    """One document, that of the smallest doc_id, of every group linked by SimHash: four-word shingles, at most four differing bits."""
+    return simhash.keep_one(docs.select(COLUMNS), radius=4, shingle=4)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
