@@ -9,14 +9,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy work all cores when the input has too few splits.
+PAGES_PER_TASK = 10_000  # product pages that one task builds and reads
 
-    A corpus with at least one split per core is returned as it is, unshuffled.
+
+def spread(df: DataFrame, task_rows: int | None = None) -> DataFrame:
+    """Give CPU-heavy work all cores when the input has too few splits, and with ``task_rows`` no task many more rows than that.
+
+    A corpus with that many splits is returned as it is, unshuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if task_rows:
+        wanted = max(wanted, -(-df.count() // task_rows))
     splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if splits >= cores else df.repartition(cores)
+    return df if splits >= wanted else df.repartition(wanted)
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
@@ -172,6 +177,6 @@ def catalog_pages(spark: SparkSession, folder: str) -> DataFrame:
     html = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces])
     url = F.concat(F.lit("https://www.Shop.example/items/"), key, F.lit(".html"))
     server = F.create_map(F.lit("server"), brand, F.lit("content-type"), F.lit("text/html"))
-    return spread(table(spark, folder, "part")).select(
+    return spread(table(spark, folder, "part"), PAGES_PER_TASK).select(
         F.col("p_partkey").alias("page_id"), url.alias("url"), server.alias("headers"), html.alias("html")
     )

@@ -162,8 +162,7 @@ def tables(elements: Column, whole: bool = True) -> Column:
 def main_content(elements: Column, paras: Column) -> Column:
     """Text of the best-ranked content element, else the first five paragraphs of ``paras``."""
 
-    def rank(e: Column) -> Column:
-        classes = F.split(_attr(e, "class"), rf"[{SPACE}]+")
+    def rank(e: Column, classes: Column) -> Column:
         best = F.lit(None).cast("int")
         for place, selector in reversed(list(enumerate(fixed.MAIN_SELECTORS))):
             if selector.startswith("."):
@@ -175,7 +174,10 @@ def main_content(elements: Column, paras: Column) -> Column:
             best = F.when(matches, place).otherwise(best)
         return best
 
-    ranked = F.transform(elements, lambda e: F.struct(rank(e).alias("rank"), e["seq"].alias("seq"), e["text"].alias("text"), e["body"].alias("body")))
+    tags = [selector for selector in fixed.MAIN_SELECTORS if selector[0] not in ".#"]
+    named = F.filter(elements, lambda e: e["tag"].isin(*tags) | _attr(e, "class", None).isNotNull() | _attr(e, "id", None).isNotNull())
+    classed = lambda e: let(F.split(_attr(e, "class"), rf"[{SPACE}]+"), lambda classes: rank(e, classes))
+    ranked = F.transform(named, lambda e: F.struct(classed(e).alias("rank"), e["seq"].alias("seq"), e["text"].alias("text"), e["body"].alias("body")))
     best = F.array_min(F.filter(ranked, lambda e: e["rank"].isNotNull()))
     fallback = F.array_join(F.slice(paras, 1, 5), " ")
     return let(clean_web_text(_body(best)), lambda text: F.when(text != "", text).otherwise(fallback))
@@ -206,73 +208,64 @@ def links(elements: Column, base: Column, profile: str, text_cap: int | None = N
         # "#..." and blank references lead nowhere
         usable = F.filter(found, lambda e: ~strip(_attr(e, "href")).rlike("^(#|$)"))
 
-        def describe(e: Column) -> Column:
+        def describe(e: Column, page: Column, parts: Column) -> Column:
             rel = F.filter(F.split(_attr(e, "rel"), rf"[{SPACE}]+"), lambda r: r != "")
             return let(
-                urls.normalize_url(urls.resolve_url(base, strip(_attr(e, "href")))),
+                urls.normalize_url(let(strip(_attr(e, "href")), lambda href: urls.resolve_url(page, href, parts))),
                 lambda url: F.struct(
                     url.alias("url"), clean_web_text(_body(e)).alias("text"), _attr(e, "title").alias("title"),
-                    urls.link_type(url, base).alias("type"), rel.alias("rel"),
+                    urls.link_type(url, page, parts).alias("type"), rel.alias("rel"),
                 ),
             )
 
-        return _first_by_url(F.transform(usable, describe))
+        return _first_by_url(urls.with_parts(base, lambda page, parts: F.transform(usable, lambda e: describe(e, page, parts))))
 
-    def target(e: Column) -> Column:
+    def target(e: Column, page: Column, parts: Column) -> Column:
         href = strip(_attr(e, "href"))
         return let(
             href,
             lambda h: F.struct(
-                F.when(F.startswith(h, F.lit("/")), urls.resolve_url(base, h)).when(h.rlike("^https?://"), h).alias("url"),
+                F.when(F.startswith(h, F.lit("/")), urls.resolve_url(page, h, parts)).when(h.rlike("^https?://"), h).alias("url"),
                 strip(text_of(e)).alias("text"),
             ),
         )
 
-    return F.filter(F.transform(found, target), lambda link: link["url"].isNotNull() & (link["text"] != ""))
+    targets = urls.with_parts(base, lambda page, parts: F.transform(found, lambda e: target(e, page, parts)))
+    return F.filter(targets, lambda link: link["url"].isNotNull() & (link["text"] != ""))
 
 
 def images(elements: Column, base: Column, profile: str) -> Column:
     found = _tagged(elements, "img")
-    if profile == "basic":
-        used = F.filter(found, lambda e: _attr(e, "src") != "")
-        return F.transform(
-            used,
-            lambda e: F.struct(
-                urls.resolve_url(base, _attr(e, "src")).alias("src"),
-                _attr(e, "alt").alias("alt"), _attr(e, "title").alias("title"),
-            ),
-        )
-    used = F.filter(found, lambda e: strip(_attr(e, "src")) != "")
-    if profile == "enhanced":
-        return F.transform(
-            used,
-            lambda e: F.struct(
-                urls.resolve_url(base, strip(_attr(e, "src"))).alias("src"),
-                _attr(e, "alt").alias("alt"), _attr(e, "title").alias("title"),
-                _attr(e, "width", None).alias("width"), _attr(e, "height", None).alias("height"),
-                _attr(e, "loading", "eager").alias("loading"),
-            ),
-        )
-
-    def source(e: Column) -> Column:
-        return let(
-            strip(_attr(e, "src")),
-            lambda src: F.when(F.startswith(src, F.lit("/")), urls.resolve_url(base, src)).otherwise(src),
-        )
-
-    return F.transform(used, lambda e: F.struct(source(e).alias("src"), strip(_attr(e, "alt")).alias("alt")))
+    stripped = profile != "basic"
+    sources = lambda e: strip(_attr(e, "src")) if stripped else _attr(e, "src")
+    used = F.filter(found, lambda e: sources(e) != "")
+
+    def describe(e: Column, page: Column, parts: Column) -> Column:
+        absolute = lambda src: urls.resolve_url(page, src, parts)
+        if profile in ("basic", "enhanced"):
+            fields = [let(sources(e), absolute).alias("src"), _attr(e, "alt").alias("alt"), _attr(e, "title").alias("title")]
+            if profile == "enhanced":
+                fields += [
+                    _attr(e, "width", None).alias("width"), _attr(e, "height", None).alias("height"),
+                    _attr(e, "loading", "eager").alias("loading"),
+                ]
+            return F.struct(*fields)
+        source = let(sources(e), lambda src: F.when(F.startswith(src, F.lit("/")), absolute(src)).otherwise(src))
+        return F.struct(source.alias("src"), strip(_attr(e, "alt")).alias("alt"))
+
+    return urls.with_parts(base, lambda page, parts: F.transform(used, lambda e: describe(e, page, parts)))
 
 
 def videos(elements: Column, base: Column, whole: bool = True) -> Column:
     """Videos with sources that lead somewhere. ``whole``: boilerplate is among ``elements``."""
 
-    def describe(video: Column, sources: Column) -> Column:
+    def describe(video: Column, sources: Column, page: Column, parts: Column) -> Column:
         own = F.filter(_held(video, sources, whole), lambda s: strip(_attr(s, "src")) != "")
         return F.struct(
             F.transform(
                 own,
                 lambda s: F.struct(
-                    urls.resolve_url(base, strip(_attr(s, "src"))).alias("src"), _attr(s, "type").alias("type")
+                    let(strip(_attr(s, "src")), lambda src: urls.resolve_url(page, src, parts)).alias("src"), _attr(s, "type").alias("type")
                 ),
             ).alias("sources"),
             _attr(video, "poster").alias("poster"),
@@ -281,7 +274,10 @@ def videos(elements: Column, base: Column, whole: bool = True) -> Column:
         )
 
     found = _tagged(elements, "video")
-    described = let(_tagged(elements, "source"), lambda sources: F.transform(found, lambda v: describe(v, sources)))
+    described = urls.with_parts(
+        base,
+        lambda page, parts: let(_tagged(elements, "source"), lambda sources: F.transform(found, lambda v: describe(v, sources, page, parts))),
+    )
     return F.filter(described, lambda v: F.size(v["sources"]) > 0)
 
 
