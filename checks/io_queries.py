@@ -29,7 +29,7 @@ def html_file_scan(spark, folder):
     path = fresh_path(spark, "html")
     pages = views.table(spark, folder, "pages").select(F.col("html").alias("value"), "page_id")
     pages.repartition("page_id").write.partitionBy("page_id").text(path)
-    out = readers.page_corpus(spark, f"{path}/*/*.txt", html_files=True)
+    out = readers.page_corpus(spark, path, html_files=True)
     page = F.regexp_extract("url", "page_id=([0-9]+)", 1).cast("long")
     return out.select(page.alias("page_id"), F.md5(F.regexp_replace("html", "\n$", "")).alias("html_md5"))
 
@@ -62,11 +62,11 @@ def crawl_json_scan(spark, folder):
 
 def processed(spark, folder):
     """Documents as processed data: one cleaned item per document."""
-    sub = tq.documents(spark, folder).select(
+    sub = tq.documents(spark, folder).withColumn("headings", tx.sentences(F.col("text"))).select(
         F.col("doc_id").cast("string").alias("id"),
         F.concat(F.lit("https://docs.example/"), F.col("doc_id")).alias("url"),
-        F.get(tx.sentences(F.col("text")), F.lit(0)).alias("title"),
-        tx.sentences(F.col("text")).alias("headings"), F.split("text", "\n").alias("paragraphs"), "text",
+        F.get("headings", F.lit(0)).alias("title"),
+        "headings", F.split("text", "\n").alias("paragraphs"), "text",
     )
     cleaned = docs.clean_record(sub, content="text")
     item = F.struct("url", "title", "headings", "paragraphs", "content_length", "headings_count", "paragraphs_count")

@@ -10,9 +10,12 @@ from pagemill.functions.common import unnest
 
 
 def page_corpus(spark: SparkSession, path: str, html_files: bool = False) -> DataFrame:
-    """(url, html) pages from Parquet, or one page per HTML file with its path as URL."""
+    """(url, html) pages from Parquet, or one page per HTML file at ``path`` or in its folders, with the file's path as URL.
+
+    A folder is listed by tasks, a pattern such as ``folder/*/*.html`` one folder after another by the driver.
+    """
     if html_files:
-        return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("url"), F.col("value").alias("html"))
+        return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("url"), F.col("value").alias("html"))
     return spark.read.parquet(path)
 
 

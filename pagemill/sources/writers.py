@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, ty
 
 from pagemill import schemas
 from pagemill.functions.common import unnest
-from pagemill.plans.stored import delete_folder
+from pagemill.plans.stored import delete_folder, materialize
 
 NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 
@@ -64,8 +64,10 @@ def export(
     if fmt not in WRITERS:
         error = f"Unsupported format: {fmt}"
     else:
-        items = gather(wanted, processed).orderBy("position", "item_no").drop("position", "item_no")
+        items = gather(wanted, processed)
         try:
+            # Sorting samples its input first: the items are computed once and kept for both passes.
+            items = materialize(items, "export-items").orderBy("position", "item_no").drop("position", "item_no")
             WRITERS[fmt](items.observe(seen, F.count(F.lit(1)).alias("rows")), path)
             rows = seen.get["rows"]
         except Exception as problem:  # reported in the manifest, as any export outcome is
