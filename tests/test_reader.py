@@ -29,6 +29,26 @@ def test_plain_tags_are_read_by_one_match_each(monkeypatch):
     assert el.read_page(PLAIN) == rows and [r["tag"] for r in rows[0]] == ["html", "title", "p", "video"]
 
 
+def test_plain_tags_and_texts_are_read_in_one_loop(monkeypatch):
+    page = '<html lang="en"><title>a &amp; b</title><P Class="main" id="x">t<br>u</p><table><tr><td>c</table><nav>n</nav><p>v <b>w</b><nav>z</nav></html>'
+    rows, pieces, body, _ = el.read_page(page)
+
+    def refuse(self, *of):
+        raise RuntimeError("read by a call each")
+
+    for method in ("handle_starttag", "handle_endtag", "handle_data"):
+        monkeypatch.setattr(el.TagReader, method, refuse)
+    assert el.read_page(page) == (rows, pieces, body, None) and pieces == ["a & b", "t", "u", "c", "n", "v ", "w", "z"]
+    assert rows[-1]["measure"]["words"] == 2 and rows[-1]["body_measure"]["words"] == 2
+
+
+def test_texts_that_nothing_measures_are_not_indexed():
+    reader = el.TagReader()
+    reader.feed("<title>a</title><p>b</p>" + "<b>c</b>" * 50)
+    reader.finish()
+    assert len(reader.text.pieces) == 52 and len(reader.text.chars) == 3 and reader.body.chars == [0]
+
+
 @pytest.mark.parametrize("every", [False, True])
 def test_any_markup_gives_the_rows_of_the_parsers_own_loop(monkeypatch, every):
     rng = random.Random(3)
