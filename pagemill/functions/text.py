@@ -39,30 +39,41 @@ def vowel_runs(text: Column) -> Column:
 def ranked_words(words: Column, limit: int) -> Column:
     """The ``limit`` most frequent words, ties by first occurrence.
 
-    Sort (word, position) pairs; each run of equal words then starts with its first
-    position, and its length is the distance to the next start.
+    A sorted word equal to the next is a copy; runs of copies are the words that occur more than once. Only these are sorted
+    by count. Set operations keep first occurrences in order, which ranks equal counts and lists the words that occur once.
     """
-    pairs = F.sort_array(F.transform(words, lambda word, pos: F.struct(word.alias("word"), pos.alias("pos"))))
 
-    def run_starts(sorted_pairs: Column) -> Column:
-        def starts_run(at: Column) -> Column:
-            here, before = F.get(sorted_pairs, at)["word"], F.get(sorted_pairs, at - 1)["word"]
-            return (at == 0) | (here != before)
+    def repeated(copies: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(copies) - 1), lambda at: (at == 0) | (F.get(copies, at) != F.get(copies, at - 1))
+        )
 
-        return F.filter(F.sequence(F.lit(0), F.size(sorted_pairs) - 1), starts_run)
+        def runs(all_starts: Column) -> Column:
+            def run(at: Column, nth: Column) -> Column:
+                end = F.coalesce(F.get(all_starts, nth + 1), F.size(copies))
+                return F.struct(F.get(copies, at).alias("word"), (at - end - 1).alias("neg_count"))
 
-    def runs(sorted_pairs: Column, starts: Column) -> Column:
-        def run(at: Column, nth: Column) -> Column:
-            first = F.get(sorted_pairs, at)
-            end = F.coalesce(F.get(starts, nth + 1), F.size(sorted_pairs))
-            return F.struct(
-                (at - end).alias("neg_count"), first["pos"].alias("first_pos"), first["word"].alias("word")
-            )
+            return F.transform(all_starts, run)
+
+        none = F.array().cast("array<struct<word:string,neg_count:int>>")
+        return F.when(F.size(copies) > 0, let(starts, runs)).otherwise(none)
 
-        return F.slice(F.sort_array(F.transform(starts, run)), 1, limit)
+    def ranked(often: Column, names: Column) -> Column:
+        firsts = F.transform(F.array_intersect(words, names), lambda word, pos: F.struct(word.alias("word"), pos.alias("pos")))
+        counted = F.zip_with(
+            often, F.sort_array(firsts),
+            lambda run, first: F.struct(run["neg_count"].alias("neg_count"), first["pos"].alias("first_pos"), run["word"].alias("word")),
+        )
+        n = F.size(names)
+        single = F.slice(F.array_except(words, names), 1, F.greatest(F.lit(limit) - n, F.lit(0)))
+        singles = F.transform(
+            single, lambda word, pos: F.struct(F.lit(-1).alias("neg_count"), (n + pos).alias("first_pos"), word.alias("word"))
+        )
+        return F.slice(F.concat(F.sort_array(counted), singles), 1, limit)
 
-    ranked = let(pairs, lambda p: F.when(F.size(p) > 0, let(run_starts(p), lambda starts: runs(p, starts))))
-    return F.coalesce(ranked, F.array().cast(RANKED_TYPE))
+    copies = let(F.sort_array(words), lambda s: F.filter(s, lambda word, at: word == F.get(s, at + 1)))
+    named = let(let(copies, repeated), lambda often: F.struct(often.alias("often"), F.transform(often, lambda run: run["word"]).alias("names")))
+    return F.coalesce(let(named, lambda r: ranked(r["often"], r["names"])).cast(RANKED_TYPE), F.array().cast(RANKED_TYPE))
 
 
 def top_words(ranked: Column, limit: int = 10) -> Column:
@@ -135,6 +146,12 @@ def count_in(words: Column, lexicon: list[str]) -> Column:
     return F.size(F.filter(words, lambda word: word.isin(lexicon)))
 
 
+def counts_in(words: Column, lexicons: dict[str, list[str]]) -> Column:
+    """Struct of :func:`count_in` for several lists, from one pass over the words and one over those in any list."""
+    listed = F.filter(words, lambda word: word.isin(sorted({word for lexicon in lexicons.values() for word in lexicon})))
+    return let(listed, lambda few: F.struct(*[count_in(few, lexicon).alias(name) for name, lexicon in lexicons.items()]))
+
+
 def sentiment_from_counts(positive: Column, negative: Column, n_words: Column) -> Column:
     score = (positive - negative) / n_words
     confidence = F.least(F.lit(1.0), (positive + negative) / n_words * 2)
@@ -150,11 +167,8 @@ def sentiment_from_counts(positive: Column, negative: Column, n_words: Column) -
 
 
 def sentiment(words: Column) -> Column:
-    counts = F.struct(
-        count_in(words, fixed.POSITIVE_WORDS).alias("p"), count_in(words, fixed.NEGATIVE_WORDS).alias("q"),
-        F.nullif(F.size(words), F.lit(0)).alias("n"),
-    )
-    return let(counts, lambda c: sentiment_from_counts(c["p"], c["q"], c["n"]))
+    counts = counts_in(words, {"p": fixed.POSITIVE_WORDS, "q": fixed.NEGATIVE_WORDS})
+    return let(counts, lambda c: sentiment_from_counts(c["p"], c["q"], F.nullif(F.size(words), F.lit(0))))
 
 
 def topics_from_hits(matches: dict[str, Column]) -> Column:
@@ -182,7 +196,8 @@ def topics_from_hits(matches: dict[str, Column]) -> Column:
 
 
 def topics(lower_text: Column) -> Column:
-    return topics_from_hits({name: hits(lower_text, words) for name, words in fixed.TOPIC_KEYWORDS.items()})
+    found = F.struct(*[hits(lower_text, words).alias(name) for name, words in fixed.TOPIC_KEYWORDS.items()])
+    return let(found, lambda n: topics_from_hits({name: n[name] for name in fixed.TOPIC_KEYWORDS}))
 
 
 def content_type_from_hits(scores: dict[str, Column]) -> Column:
@@ -221,11 +236,8 @@ def language_from_counts(english: Column, spanish: Column, n_words: Column) -> C
 
 
 def language(words: Column) -> Column:
-    counts = F.struct(
-        count_in(words, fixed.ENGLISH_WORDS).alias("e"), count_in(words, fixed.SPANISH_WORDS).alias("s"),
-        F.nullif(F.size(words), F.lit(0)).alias("n"),
-    )
-    return let(counts, lambda c: language_from_counts(c["e"], c["s"], c["n"]))
+    counts = counts_in(words, {"e": fixed.ENGLISH_WORDS, "s": fixed.SPANISH_WORDS})
+    return let(counts, lambda c: language_from_counts(c["e"], c["s"], F.nullif(F.size(words), F.lit(0))))
 
 
 def summary(text: Column, pieces: Column) -> Column:
@@ -253,12 +265,23 @@ def summary(text: Column, pieces: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """Distinct matches of each entity pattern, sorted."""
+    return F.struct(*[values.alias(kind) for kind, values in entities_by_kind(text).items()])
+
+
+def entities_by_kind(text: Column) -> dict[str, Column]:
+    """The fields of :func:`entities`."""
 
     def found(pattern: str) -> Column:
         # (?U): \b and \d follow Unicode, as in the patterns' home language.
-        return F.sort_array(F.array_distinct(F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))))
-
-    return F.struct(*[found(pattern).alias(name) for name, pattern in fixed.ENTITY_PATTERNS.items()])
+        # A digit is looked for before the border in front of it, which is dearer to tell.
+        guarded = f"(?=\\d){pattern}" if pattern.startswith(r"\b\d") else pattern
+        matches = F.sort_array(F.array_distinct(F.regexp_extract_all(text, F.lit("(?U)" + guarded), F.lit(0))))
+        if "@" not in pattern:
+            return matches
+        # The search for a sign that every match holds is far cheaper than the pattern.
+        return F.when(F.contains(text, F.lit("@")) | text.isNull(), matches).otherwise(F.array().cast("array<string>"))
+
+    return {name: found(pattern) for name, pattern in fixed.ENTITY_PATTERNS.items()}
 
 
 def too_short(text: Column) -> Column:

@@ -36,8 +36,8 @@ def analyse(df: DataFrame, text: str = "text", as_of: Column | None = None) -> D
     def gated(full: Column, otherwise: Column) -> Column:
         return F.when(short, otherwise).otherwise(full)
 
-    found_entities = tx.entities(body)
-    no_entities = F.struct(*[F.array().cast("array<string>").alias(name) for name in fixed.ENTITY_PATTERNS])
+    no_entities = F.array().cast("array<string>")
+    found_entities = [gated(values, no_entities).alias(kind) for kind, values in tx.entities_by_kind(body).items()]
     columns = {
         "basic_stats": F.when(~short, tx.basic_stats(words, m, ranked)),
         "readability": F.when(~short, tx.readability(n, m, tx.syllables(body))),
@@ -47,7 +47,7 @@ def analyse(df: DataFrame, text: str = "text", as_of: Column | None = None) -> D
         "content_type": gated(tx.content_type(F.col("_lower")).cast(type_type), unknown_type),
         "language_detection": gated(tx.language(words), unknown_language),
         "summary": gated(tx.summary(body, pieces), no_summary),
-        "entities": gated(found_entities, no_entities),
+        "entities": F.struct(*found_entities),  # gated by kind, so that kinds nobody asks for are not searched
         "metadata": F.struct(
             (as_of if as_of is not None else F.current_timestamp()).alias("analyzed_at"),
             F.when(~short, F.length(body)).cast("long").alias("text_length"),
