@@ -8,8 +8,10 @@ word counts, and the sentence pieces at page borders), so a crawl may have any s
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegralType
 
 from pagemill import fixed_values as fixed
 from pagemill.functions import text as tx
@@ -81,12 +83,18 @@ def _group_hits(mask: Column, terms: list[tuple[str, str]]) -> dict[str, Column]
 def crawl_words(pages: DataFrame, key: str, order: str) -> DataFrame:
     """Word counts per crawl with the place of the first occurrence.
 
-    ``pages`` holds the words of each page counted inside its row (``_ranked``); only distinct words per page are shuffled.
+    ``pages`` holds the words of each page in order (``_words``). They are counted map-side, so distinct words per task are shuffled.
     """
-    rows = unnest(pages, [key, order], "_ranked", "_w")
-    return rows.groupBy(key, F.col("_w.word").alias("word")).agg(
-        (-F.sum("_w.neg_count")).alias("count"), F.min(F.struct(F.col(order), F.col("_w.first_pos"))).alias("first_at")
-    )
+    place = F.col(order)
+    if isinstance(pages.schema[order].dataType, IntegralType):
+        # Page and position as one number of fixed width, where a struct would make Spark sort all words to aggregate them.
+        whole = F.coalesce(place.cast("decimal(20,0)"), F.lit(Decimal(-(2**63) - 1)))
+        pages = pages.select(key, "_words", (whole * F.lit(Decimal(2**31))).alias("_page"))
+        rows, first = unnest(pages, [key, "_page"], "_words", "_w"), F.col("_page") + F.col("pos")
+    else:
+        rows = unnest(pages, [key, order], "_words", "_w")
+        first = F.struct(place, F.col("pos").alias("first_pos"))
+    return rows.groupBy(key, F.col("_w").alias("word")).agg(F.count("*").alias("count"), F.min(first).alias("first_at"))
 
 
 def combined_words(words: DataFrame, key: str, limit: int = 20) -> DataFrame:
@@ -114,26 +122,26 @@ def _inner(pieces: Column) -> Column:
     return F.filter(F.transform(middle, strip), lambda piece: piece != "")
 
 
+LEXICONS = {
+    "positive": fixed.POSITIVE_WORDS, "negative": fixed.NEGATIVE_WORDS, "english": fixed.ENGLISH_WORDS, "spanish": fixed.SPANISH_WORDS,
+}
 SUMS = ["n", "letters", "vowels", "positive", "negative", "english", "spanish", "chars", "trimmed"]
 
 
 def page_features(texts: DataFrame, key: str, order: str) -> DataFrame:
-    """Everything a crawl's analysis needs of a page, from one reading of its text; stored. ``_ranked`` are the page's words, counted."""
+    """Everything a crawl's analysis needs of a page, from one reading of its text; stored. ``_words`` are the page's words in order."""
     base = texts.select(
         key, order, "text", tx.tokens(F.col("text")).alias("_words"), _pieces(F.col("text")).alias("_p"),
         F.lower("text").alias("_low"),
     )
-    words = F.col("_words")
-    counted = base.select(
+    words, listed = F.col("_words"), tx.counts_in(F.col("_words"), LEXICONS)
+    counted = base.withColumn("_listed", listed).select(
         key,
         order,
         F.size(words).alias("n"),
         F.aggregate(words, F.lit(0), lambda total, word: total + F.length(word)).alias("letters"),
         tx.vowel_runs(F.col("text")).alias("vowels"),
-        tx.count_in(words, fixed.POSITIVE_WORDS).alias("positive"),
-        tx.count_in(words, fixed.NEGATIVE_WORDS).alias("negative"),
-        tx.count_in(words, fixed.ENGLISH_WORDS).alias("english"),
-        tx.count_in(words, fixed.SPANISH_WORDS).alias("spanish"),
+        *[F.col(f"_listed.{name}").alias(name) for name in LEXICONS],
         (F.length("text") + 1).alias("chars"),
         F.length(strip(F.col("text"))).alias("trimmed"),
         _bits(F.col("_low"), TOPIC_TERMS).alias("topic_bits"),
@@ -144,7 +152,7 @@ def page_features(texts: DataFrame, key: str, order: str) -> DataFrame:
         F.size(_inner(F.col("_p"))).alias("_n_inner"),
         (strip(F.get("_p", F.lit(0))) != "").alias("_head_filled"),
         (strip(F.element_at("_p", -1)) != "").alias("_tail_filled"),
-        tx.ranked_words(words, 2**31 - 1).alias("_ranked"),
+        words,
     )
     return materialize(counted, "page-features")
 
@@ -156,7 +164,7 @@ def page_parts(features: DataFrame, key: str, order: str) -> DataFrame:
     terminators over the whole crawl; the last piece of a page and the first of the next
     share one, and ``_head_id`` and ``_tail_id`` number the page's first and last.
     """
-    numbered = running_totals(features.drop("_ranked"), [F.col(order).asc()], {"_marks": "_tail_id"}, [key], index="_page")
+    numbered = running_totals(features.drop("_words"), [F.col(order).asc()], {"_marks": "_tail_id"}, [key], index="_page")
     return materialize(numbered.withColumn("_head_id", F.col("_tail_id") - F.col("_marks")), "page-parts")
 
 
