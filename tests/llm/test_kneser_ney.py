@@ -141,3 +141,56 @@ def test_packed_words():
         words, counts = draw.integers(0, most, (n, 3), dtype=np.uint64), draw.integers(0, 1 << 40, (n, 2))
         back, numbers = kneser_ney._unpacked(kneser_ney._joined([kneser_ney._squeezed(counts), *kneser_ney._packed_words(words)]), 3, 2)
         assert (back == words).all() and (numbers == counts).all()
+
+
+def test_packets_hold_no_dictionary():
+    """Grams of Zipf's words travel in less than five bytes each, though nearly every gram brings a word that its packet has not seen."""
+    draw = np.random.default_rng(5)
+    words = np.exp(draw.random((60_000, 3)) * math.log(400_000)).astype(np.uint64)
+    words[:, 1] //= np.uint64(40)  # a part has few of the words in the middle
+    words = np.unique(words, axis=0)
+    ((_, _, data),) = kneser_ney._packed(np.zeros(len(words), np.int64), 3, words, np.ones((len(words), 1)))
+    assert len(data) < 5 * len(words)
+    back, counts = kneser_ney._unpacked(data, 3, 1)
+    assert len(back) == len(words) and (np.unique(back, axis=0) == words).all() and (counts == 1).all()
+
+
+def test_word_places():
+    """Words are what lies between ASCII white space, whatever else is in the text; a null text is its marks."""
+    texts = [*(f"A{chr(i)}b" for i in range(256)), "  x ", "", None, "\n\n", "ÀB  c d e", " a b"]
+    for order in (2, 3):
+        places, hashes, n = kneser_ney.word_places(pa.array(texts, pa.string()), order)
+        words = [(t or "").encode().lower().split() for t in texts]
+        assert n.tolist() == [len(w) + 1 for w in words]
+        want = [h for w in words for h in [*[kneser_ney.BEGIN] * (order - 1), *kneser_ney._hashes(w).tolist(), kneser_ney.END]]
+        assert hashes[places].tolist() == want and (places == 0).sum() == (order - 2) * len(texts)
+
+
+def test_counted():
+    draw = np.random.default_rng(6)
+    few = np.minimum(draw.zipf(1.7, (20_000, 2)), 5000)
+    for counts in (few, few[:1], few[:0], draw.integers(0, 1 << 40, (3000, 4)), draw.integers(0, 30, (5000, 2)), few * 10_000_000_000):
+        kept = kneser_ney.Counted(kneser_ney.Counted.arrays(counts))
+        assert (kept.at(np.arange(len(counts))) == counts).all()
+        doubled = kneser_ney.Counted(kneser_ney.Counted.arrays(counts), lambda x: 2 * x)
+        assert (doubled.at(np.arange(len(counts))) == 2 * counts).all()
+
+
+@pytest.mark.parametrize("most", [3, 200, 70_000, 1 << 34])
+def test_trie(tmp_path, most):
+    """Grams and their endings are found with their counts, others are not; numbers of all widths."""
+    draw = np.random.default_rng(most)
+    grams = {tuple(g): i + 1 for i, g in enumerate(draw.integers(1, most, (2000, 4)).tolist())}
+    words = np.array(sorted(grams), np.uint64)
+    packed = kneser_ney._packed(np.zeros(len(words), np.int64), 4, words, np.array([[grams[tuple(g)]] for g in words.tolist()]))
+    list(kneser_ney._add_grams(4, str(tmp_path), 1)(kneser_ney._rows(packed)))
+    trie = kneser_ney.Trie(f"{tmp_path}/grams-0")
+    other = draw.integers(1, most + 5, (2000, 4)).astype(np.uint64)
+    asked = np.concatenate((words, other))
+    endings = {k: Counter(g[1:] for g in {h[3 - k :] for h in grams}) for k in (2, 3)}
+    got = {}
+    for level, row, place in trie.find([asked[:, 2], asked[:, 3], asked[:, 1], asked[:, 0]]):
+        got[level] = dict(zip(row.tolist(), trie.counts(level, place).tolist()))
+    for i, g in enumerate(asked.tolist()):
+        for level in (2, 3, 4):
+            assert got[level].get(i, 0) == (grams if level == 4 else endings[level]).get(tuple(g)[4 - level :], 0)
