@@ -22,7 +22,6 @@ from pagemill.plans.stored import materialize
 
 TOPIC_TERMS = [(topic, word) for topic, words in fixed.TOPIC_KEYWORDS.items() for word in words]
 TYPE_TERMS = [(kind, word) for kind, words in fixed.TYPE_INDICATORS.items() for word in words]
-SUMMARY_LIMIT = 16_000_000  # characters of a summary that is written as one value
 BROADCAST_ROWS = 50_000  # narrow rows of a side that is broadcast after it was counted
 BORDER = max(len(word) for _, word in TOPIC_TERMS + TYPE_TERMS) - 1  # characters a term can reach past a page border
 
@@ -232,23 +231,25 @@ def combined_sentences(texts: DataFrame, parts: DataFrame, key: str, order: str)
     return totals.select(key, "sentences"), materialize(pieces, "summary-pieces")
 
 
-def summaries(pieces: DataFrame, key: str, order: str, limit: int) -> DataFrame:
-    """Per crawl ``summary_length``, and ``summary`` where it has at most ``limit`` characters: longer ones stay pieces."""
+def summaries(pieces: DataFrame, key: str, order: str, limit: int | None = None) -> DataFrame:
+    """Per crawl ``summary_length`` and ``summary``; with ``limit`` a summary of more characters stays pieces, on the caller's request."""
     lengths = pieces.groupBy(key, "sentence").agg(F.sum(F.length("text")).alias("_n"))
     lengths = lengths.groupBy(key).agg((F.sum("_n") + F.count("*") - 1).alias("summary_length"))
-    short = join_null_safe(pieces, lengths.filter(F.col("summary_length") <= limit).select(key), [key])
-    sentences = short.groupBy(key, "sentence").agg(F.sort_array(F.collect_list(F.struct(order, "text"))).alias("_t"))
+    if limit is not None:
+        pieces = join_null_safe(pieces, lengths.filter(F.col("summary_length") <= limit).select(key), [key])
+    sentences = pieces.groupBy(key, "sentence").agg(F.sort_array(F.collect_list(F.struct(order, "text"))).alias("_t"))
     joined = F.array_join(F.transform("_t", lambda t: t["text"]), "").alias("_s")
     texts = sentences.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("sentence", joined))).alias("_all"))
     summary = F.array_join(F.transform("_all", lambda s: s["_s"]), " ")
-    return join_null_safe(lengths, texts, [key], "left").select(key, "summary_length", summary.alias("summary"))
+    # A summary may be far longer than Spark's estimate of it, so its row is never broadcast.
+    return join_null_safe(lengths, texts.hint("merge"), [key], "left").select(key, "summary_length", summary.alias("summary"))
 
 
-def combined_analysis(texts: DataFrame, key: str, order: str, summary_limit: int = SUMMARY_LIMIT, pieces: bool = False):
+def combined_analysis(texts: DataFrame, key: str, order: str, summary_limit: int | None = None, pieces: bool = False):
     """One analysis row per crawl over (key, order, text) rows made by :func:`page_texts`.
 
-    A summary of more than ``summary_limit`` characters (a sentence over very many pages) is null in its row, its length is not; with
-    ``pieces`` the result is (analysis, pieces of all summaries as :func:`combined_sentences` has them).
+    Summaries are whole, whatever their length. A caller that sets ``summary_limit`` gets null for one of more characters (a sentence over very
+    many pages), but its length; with ``pieces`` the result is (analysis, pieces of all summaries as :func:`combined_sentences` has them).
     """
     features = page_features(texts, key, order)
     parts = page_parts(features, key, order)
@@ -260,7 +261,7 @@ def combined_analysis(texts: DataFrame, key: str, order: str, summary_limit: int
     words = materialize(crawl_words(features, key, order), "words")
     sentences, found = combined_sentences(texts, parts, key, order)
     joined = sums
-    for part in (combined_words(words, key), sentences, summaries(found, key, order, summary_limit), _border_bits(parts, key)):
+    for part in (combined_words(words, key), sentences, summaries(found, key, order, summary_limit).hint("merge"), _border_bits(parts, key)):
         joined = join_null_safe(joined, part, [key], "left")
     for bits in ("topic_bits", "type_bits"):
         joined = joined.withColumn(bits, F.col(bits).bitwiseOR(F.coalesce(F.col(f"_border_{bits}"), F.lit(0).cast("long"))))

@@ -51,6 +51,15 @@ def test_summaries_as_pieces(spark):
     assert "".join(r.text for r in rows) == whole["long"].summary and len(rows) > 300
 
 
+def test_summaries_of_any_length_are_whole(spark):
+    """One sentence over 17 pages of a million characters: its summary is as long, in its row."""
+    page = F.concat(F.lit("  "), F.repeat(F.concat(F.lit("w"), F.col("id"), F.lit(" ")), 1_000_000 // 3))
+    texts = spark.range(17).select(F.lit("long").alias("crawl"), F.col("id").alias("page"), page.alias("text"))
+    want = "".join(r.text + " " for r in texts.orderBy("page").collect()).strip()
+    row = corpus.combined_analysis(texts, "crawl", "page").select("summary.*").first()
+    assert len(want) > 16_000_000 and row.summary == want and row.summary_length == len(want)
+
+
 def test_border_terms_are_found(pair):
     topics = {t.topic for t in pair[0]["border"].topics}
     assert {"technology", "education"} <= topics and pair[0]["border"].content_type.primary_type == "tutorial"
