@@ -13,7 +13,7 @@ from pagemill.functions import text as tx
 from pagemill.operators import documents as docs, lifecycle as life, listing, metrics as mx
 from pagemill.plans.stored import fresh_path
 from checks import views
-from pagemill.sources import readers, writers
+from pagemill.sources import files, readers, writers
 from pagemill.streaming import flows
 
 KINDS = 6  # ways a submission can be good or bad
@@ -27,8 +27,8 @@ def page_scan(spark, folder):
 def html_file_scan(spark, folder):
     """Every page as an HTML file of its own, read back whole."""
     path = fresh_path(spark, "html")
-    pages = views.table(spark, folder, "pages").select(F.col("html").alias("value"), "page_id")
-    pages.repartition("page_id").write.partitionBy("page_id").text(path)
+    name = F.concat(F.lit("page_id="), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(".html"))
+    files.write_files(views.table(spark, folder, "pages").select(name.alias("file"), F.col("html").alias("value")), path)
     out = readers.page_corpus(spark, path, html_files=True)
     page = F.regexp_extract("url", "page_id=([0-9]+)", 1).cast("long")
     return out.select(page.alias("page_id"), F.md5(F.regexp_replace("html", "\n$", "")).alias("html_md5"))

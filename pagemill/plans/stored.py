@@ -35,25 +35,25 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{_session_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder of any file system; one that is not there is fine."""
-    target, system = _file_system(spark, path)
+    target, system = file_system(spark, path)
     system.delete(target, True)
 
 
 def list_names(spark: SparkSession, path: str) -> list[str]:
     """Names inside a folder; none where there is no folder."""
-    target, system = _file_system(spark, path)
+    target, system = file_system(spark, path)
     return sorted(s.getPath().getName() for s in system.listStatus(target)) if system.exists(target) else []
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    target, system = _file_system(spark, path)
+    target, system = file_system(spark, path)
     return system.exists(target)
 
 
@@ -80,7 +80,7 @@ def ship_package(spark: SparkSession) -> None:
         for file in sorted(package.rglob("*.py")):
             archive.write(file, file.relative_to(package.parent))
     path = f"{fresh_path(spark, 'package')}/{package.name}.zip"
-    target, system = _file_system(spark, path)
+    target, system = file_system(spark, path)
     out = system.create(target, True)
     out.write(bytearray(packed.getvalue()))
     out.close()

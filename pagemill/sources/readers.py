@@ -7,16 +7,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pagemill import schemas
 from pagemill.functions import urls
 from pagemill.functions.common import unnest
+from pagemill.sources.files import whole_files
 
 
 def page_corpus(spark: SparkSession, path: str, html_files: bool = False) -> DataFrame:
     """(url, html) pages from Parquet, or one page per HTML file at ``path`` or in its folders, with the file's path as URL.
 
-    A folder is listed by tasks, a pattern such as ``folder/*/*.html`` one folder after another by the driver.
+    Tasks list and read a folder. Single files, a pattern such as ``folder/*/*.html`` and packed files go through Spark's reader, whose driver holds their names.
     """
-    if html_files:
-        return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("url"), F.col("value").alias("html"))
-    return spark.read.parquet(path)
+    if not html_files:
+        return spark.read.parquet(path)
+    read = lambda at: spark.read.text(at, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("url"), F.col("value").alias("html"))
+    found = whole_files(spark, path)
+    if found is None:
+        return read(path)
+    content, packed = found
+    pages = content.select("url", F.col("content").cast("string").alias("html"))
+    return pages.unionByName(read(packed)) if packed else pages
 
 
 def crawl_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
