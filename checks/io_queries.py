@@ -36,12 +36,13 @@ def html_file_scan(spark, folder):
 
 def crawl_json_multiline(spark, folder):
     """Crawl results pretty-printed, one object per file."""
-    pages = iq.crawl_records(spark, folder, "basic").select(F.col("page_id").alias("file"), "url", "title", "content_length")
+    pages = iq.crawl_records(spark, folder, "basic")
+    name = F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(".json"))
     page = F.struct("url", "title", "content_length")
     text = F.to_json(F.struct(F.col("url").alias("base_url"), F.lit(1).alias("pages_scraped"), F.array(page).alias("pages")), {"pretty": "true"})
     path = fresh_path(spark, "crawl-objects")
-    pages.select(text.alias("value"), "file").repartition("file").write.partitionBy("file").text(path)
-    out = readers.crawl_pages(readers.crawl_results(spark, f"{path}/*/*.txt"))
+    files.write_files(pages.select(name.alias("file"), text.alias("value")), path)
+    out = readers.crawl_pages(readers.crawl_results(spark, path, folders=True))
     return out.select("base_url", "title", "content_length")
 
 

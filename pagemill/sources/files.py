@@ -6,6 +6,7 @@ few. Here tasks list folders, read and write, so the driver holds neither names
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import uuid
@@ -60,6 +61,16 @@ def _lister(base: str):
     return read
 
 
+def utf8_json(content: bytes) -> bytes:
+    """JSON in UTF-8 without a mark, from the encoding that its first bytes tell; broken JSON where its bytes do not fit it."""
+    encoding = json.detect_encoding(content)
+    try:
+        text = content.decode(encoding)
+    except UnicodeDecodeError:
+        return b"{"
+    return content if encoding == "utf-8" else text.encode("utf-8", "replace")
+
+
 def _reader(base: str, change: Callable[[bytes], bytes] | None):
     """(url, content) of the files named in ``path``, all below ``base``."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pagemill import schemas
 from pagemill.functions import urls
 from pagemill.functions.common import unnest
-from pagemill.sources.files import whole_files
+from pagemill.sources.files import utf8_json, whole_files
 
 
 def page_corpus(spark: SparkSession, path: str, html_files: bool = False) -> DataFrame:
@@ -26,9 +26,22 @@ def page_corpus(spark: SparkSession, path: str, html_files: bool = False) -> Dat
     return pages.unionByName(read(packed)) if packed else pages
 
 
-def crawl_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Crawl results: one pretty-printed JSON object per file, or with ``lines`` one per line."""
-    return spark.read.schema(schemas.CRAWL_RESULT).option("multiLine", not lines).json(path)
+def crawl_results(spark: SparkSession, path: str, lines: bool = False, folders: bool = False) -> DataFrame:
+    """Crawl results: one pretty-printed JSON object per file, or with ``lines`` one per line.
+
+    With ``folders`` the files of one object also lie in folders of the path, and tasks list and read them, as in :func:`page_corpus`.
+    """
+    reader = spark.read.schema(schemas.CRAWL_RESULT).option("multiLine", not lines)
+    if folders:
+        reader = reader.option("recursiveFileLookup", True)
+    found = whole_files(spark, path, utf8_json) if folders and not lines else None
+    if found is None:
+        return reader.json(path)
+    content, packed = found
+    texts = content.select(F.col("content").cast("string").alias("value"))
+    texts = getattr(texts._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    parsed = DataFrame(spark.read.schema(schemas.CRAWL_RESULT)._jreader.json(texts), spark)  # by the parser that reads files
+    return parsed.unionByName(reader.json(packed)) if packed else parsed
 
 
 def crawl_pages(results: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """Folders of many files, read and written by tasks, against Spark's own readers."""
 
 import gzip
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill import schemas
 from pagemill.sources import files, readers
 
 NAMES = ["a.html", "b c.html", "d%20.html", "é,=+.html", "x[1]{2}.html", "_kept=1.html", "_not", ".not", "late._COPYING_", "q?#.html", "~'()!@;&$.txt"]
@@ -51,3 +53,23 @@ def test_files_are_written_by_name(spark, tmp_path, monkeypatch):
     got = {r.url.rsplit("/", 1)[1]: r.html for r in readers.page_corpus(spark, path, html_files=True).collect()}
     assert len(got) == 61 and got["page_id=9.html"] == "<p>9\né\n" and got["none"] == "\n"
     assert sorted(got["page_id=7.html"].split("\n")) == ["", "<p>7", "again", "é"]
+
+
+def test_objects_are_parsed_as_by_spark(spark, tmp_path):
+    page = {"base_url": "https://a.é", "pages_scraped": 2, "pages": [{"url": "u", "title": "t\n", "headings": ["h"]}]}
+    texts = {
+        "one": json.dumps(page, indent=2), "many": json.dumps([page, page]), "two": json.dumps(page) + "\n" + json.dumps(page), "broken": '{"base_url": "x", ',
+        "blank": " \n", "empty": "", "number": "7", "wrong": '{"base_url": ["x"], "pages_scraped": "no"}', "list": "[]",
+    }
+    for at in ("", "in/ner"):
+        (tmp_path / at).mkdir(parents=True, exist_ok=True)
+        for name, text in texts.items():
+            (tmp_path / at / f"{name}.json").write_text(text, encoding="utf-8")
+        (tmp_path / at / "wide.json").write_bytes(json.dumps(page, ensure_ascii=False).encode("utf-16"))
+        (tmp_path / at / "mark.json").write_bytes(json.dumps(page, ensure_ascii=False).encode("utf-8-sig"))
+        (tmp_path / at / "bad.json").write_bytes(b'{"base_url": "\xff\xfe"}')
+        (tmp_path / at / "packed.json.gz").write_bytes(gzip.compress(json.dumps(page).encode()))
+    own = spark.read.schema(schemas.CRAWL_RESULT).json(str(tmp_path), multiLine=True, recursiveFileLookup=True)
+    got = readers.crawl_results(spark, str(tmp_path), folders=True)
+    rows = lambda df: sorted(r[0] for r in df.select(F.to_json(F.struct("*"))).collect())
+    assert rows(got) == rows(own) and len(rows(own)) > 12 and got.schema == own.schema
